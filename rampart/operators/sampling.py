@@ -153,15 +153,22 @@ def dirichlet_proportions(n_classes: int, n_silos: int, alpha: float, seed: int
 
 
 def dirichlet_cuts(spark: SparkSession, proportions: list[tuple[int, int, float]]) -> DataFrame:
-    """Cumulative proportion per (class, silo): silo s takes class ranks in (floor(P_{s-1} n), floor(P_s n)]."""
-    df = spark.createDataFrame(proportions, "label_id int, silo_id int, p double")
-    w = Window.partitionBy("label_id").orderBy("silo_id")
-    return df.select(
-        "label_id", "silo_id",
-        (F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("p")).alias("cum_lo"),
-        F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum_hi"),
-        F.max("silo_id").over(Window.partitionBy("label_id")).alias("last_silo"),
-    )
+    """Cut table ``(label_id, silo_id, cum_lo, cum_hi, last_silo)`` with numpy's cumulative sums.
+
+    Silo s takes class ranks in ``(floor(cum_lo * n), floor(cum_hi * n)]`` (first silo from 0,
+    last silo up to n). Classes x silos rows, built on the driver.
+    """
+    by_class: dict[int, list[tuple[int, float]]] = {}
+    for c, s, p in proportions:
+        by_class.setdefault(int(c), []).append((int(s), float(p)))
+    rows = []
+    for c, items in sorted(by_class.items()):
+        items.sort()
+        cum = np.cumsum([p for _, p in items])
+        last = items[-1][0]
+        for k, (s, _) in enumerate(items):
+            rows.append((c, s, float(cum[k - 1]) if k else 0.0, float(cum[k]), last))
+    return spark.createDataFrame(rows, "label_id int, silo_id int, cum_lo double, cum_hi double, last_silo int")
 
 
 def dirichlet_partition(df: DataFrame, id_col: str, proportions: list[tuple[int, int, float]],

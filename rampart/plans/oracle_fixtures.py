@@ -57,9 +57,12 @@ SELECT concat('run_', CAST(u8 AS VARCHAR)) AS run_name,
        CASE WHEN d = 1 THEN NULL ELSE 10 END AS clients,
        av / 500 AS f1, mx / 500 AS recall, mn / 500 AS fpr,
        av / 400 AS val_macro_f1, sm / 1000 AS agg_time_s,
-       CAST(cnt * 512 AS BIGINT) AS bytes_up
+       CAST(cnt * 512 AS BIGINT) AS bytes_up,
+       CASE WHEN d = 1 THEN NULL WHEN u8 < 4 THEN 0 ELSE 2 END AS malicious_in_round,
+       CASE WHEN d > 1 AND u4 >= 2 THEN CAST(cnt % 3 AS INTEGER) END AS malicious_kept,
+       last_ts AS logged_at
 FROM (SELECT user_id % 8 AS u8, CAST(user_id % 4 AS INTEGER) AS u4, day(ts) AS d,
-             avg(value) AS av, max(value) AS mx, min(value) AS mn, sum(value) AS sm, count(*) AS cnt
+             avg(value) AS av, max(value) AS mx, min(value) AS mn, sum(value) AS sm, count(*) AS cnt, max(ts) AS last_ts
       FROM events GROUP BY 1, 2, 3) g""",
 }
 

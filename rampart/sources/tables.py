@@ -140,6 +140,7 @@ def round_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("value").alias("mn"),
         F.sum("value").alias("sm"),
         F.count(F.lit(1)).alias("cnt"),
+        F.max("ts").alias("last_ts"),
     )
     return g.select(
         F.concat(F.lit("run_"), F.col("u8").cast("string")).alias("run_name"),
@@ -155,4 +156,8 @@ def round_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("av") / 400).alias("val_macro_f1"),
         (F.col("sm") / 1000).alias("agg_time_s"),
         (F.col("cnt") * 512).cast("bigint").alias("bytes_up"),
+        F.when(F.col("d") == 1, F.lit(None).cast("int")).when(F.col("u8") < 4, F.lit(0)).otherwise(F.lit(2))
+        .alias("malicious_in_round"),
+        F.when((F.col("d") > 1) & (F.col("u4") >= 2), (F.col("cnt") % 3).cast("int")).alias("malicious_kept"),
+        F.col("last_ts").alias("logged_at"),
     )

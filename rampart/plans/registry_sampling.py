@@ -118,12 +118,12 @@ SELECT row_id, label_id, CAST(CASE WHEN rk - 1 < (n % {N_SILOS}) * (n // {N_SILO
 FROM (SELECT row_id, label_id, {_rank_sql('fl', SEED)} AS rk, count(*) OVER () AS n FROM fl) r""")
 
 
-def _cuts_sql() -> tuple[str, str]:
+def _cuts_sql(props=None) -> tuple[str, str]:
     import numpy as np
 
     rows = []
     by = {}
-    for c, s, p in proportions():
+    for c, s, p in (props if props is not None else proportions()):
         by.setdefault(c, []).append(p)
     for c, ps in by.items():
         cum = np.cumsum(ps)

@@ -115,3 +115,67 @@ def balanced_class_weights(df: DataFrame, label: str = "label_id", keys: Sequenc
     tot = counts.groupBy(*ks).agg(F.sum("cnt").alias("_n"), F.count(F.lit(1)).alias("_k"))
     j = counts.join(tot, on=ks, how="inner") if ks else counts.crossJoin(tot)
     return j.select(*ks, "label_id", "cnt", (F.col("_n") / (F.col("_k") * F.col("cnt"))).alias("weight"))
+
+
+def metrics_from_confusion(conf: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """The full metric row from a confusion table ``(keys, y, p, cnt)`` (at most C*C rows per key)."""
+    ks = list(keys or [])
+    pc = per_class_scores(conf, ks)
+    m = pc.groupBy(*ks).agg(
+        _div(F.sum("tp"), F.sum("support")).alias("accuracy"),
+        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
+        F.avg("f1").alias("macro_f1"),
+        _div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
+    )
+    t, p, n = F.col("y") != 0, F.col("p") != 0, F.col("cnt")
+    b = conf.groupBy(*ks).agg(
+        F.sum(F.when(t & p, n).otherwise(0)).alias("tp"), F.sum(F.when(~t & p, n).otherwise(0)).alias("fp"),
+        F.sum(F.when(t & ~p, n).otherwise(0)).alias("fn"), F.sum(F.when(~t & ~p, n).otherwise(0)).alias("tn"))
+    b = b.withColumn("precision", _div(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn(
+        "recall", _div(F.col("tp"), F.col("tp") + F.col("fn")))
+    b = b.select(*ks, "tp", "fp", "fn", "tn", "precision", "recall",
+                 _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"),
+                 _div(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
+    return m.join(b, on=ks, how="inner") if ks else m.crossJoin(b)
+
+
+def metrics_from_confusion_rows(rows: list[tuple[int, int, int]]) -> dict[str, float]:
+    """Same metrics as ``metrics_from_confusion`` for one collected confusion table.
+
+    ``rows`` = (y_true, y_pred, count) cells, at most C*C of them; used by the round
+    loop, where a Spark job per round on a table this small is pure scheduling cost.
+    """
+    support: dict[int, int] = {}
+    predicted: dict[int, int] = {}
+    tp: dict[int, int] = {}
+    tpb = fpb = fnb = tnb = 0
+    for y, p, n in rows:
+        support[y] = support.get(y, 0) + n
+        predicted[p] = predicted.get(p, 0) + n
+        if y == p:
+            tp[y] = tp.get(y, 0) + n
+        if y != 0 and p != 0:
+            tpb += n
+        elif y == 0 and p != 0:
+            fpb += n
+        elif y != 0:
+            fnb += n
+        else:
+            tnb += n
+    classes = set(support) | set(predicted)
+    tot = sum(support.values())
+
+    def div(a, b):
+        return a / b if b else 0.0
+
+    f1 = {c: div(2 * tp.get(c, 0), support.get(c, 0) + predicted.get(c, 0)) for c in classes}
+    rec = {c: div(tp.get(c, 0), support[c]) for c in support}
+    prec_b, rec_b = div(tpb, tpb + fpb), div(tpb, tpb + fnb)
+    return {
+        "accuracy": div(sum(tp.values()), tot),
+        "balanced_accuracy": sum(rec.values()) / len(rec) if rec else 0.0,
+        "macro_f1": sum(f1.values()) / len(f1) if f1 else 0.0,
+        "weighted_f1": div(sum(f1[c] * support.get(c, 0) for c in classes), tot),
+        "precision": prec_b, "recall": rec_b, "f1": div(2 * prec_b * rec_b, prec_b + rec_b),
+        "fpr": div(fpb, fpb + tnb),
+    }

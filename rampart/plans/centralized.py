@@ -17,6 +17,7 @@ from rampart.operators import metrics as M
 from rampart.operators import sampling as S
 from rampart.operators.model import LinearModel, score, train_local
 from rampart.plans.federated import class_weights_of
+from rampart.session import materialize
 from rampart.sources import tables as T
 
 METRICS = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "precision", "recall", "f1", "fpr")
@@ -29,7 +30,8 @@ def flow_training_sets(spark: SparkSession, sf: str, mode: str = "signedlog"):
     n_classes = lmap.count()
     enc = S.hash_split(FE.encode_labels(fl, lmap), "row_id", "split")
     scaled, kept, _ = FE.prepare_features(enc, T.FLOW_FEATURES, mode=mode)
-    rows = scaled.select("row_id", "split", "label_id", F.array(*kept).alias("features"))
+    rows = materialize(scaled.select("row_id", "split", "label_id", F.array(*kept).alias("features")),
+                       "flow-features", ["split"])
     sets = [rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
     return sets[0], sets[1], sets[2], len(kept), n_classes
 

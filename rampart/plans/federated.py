@@ -107,24 +107,30 @@ def prepare_silo_rows(train: DataFrame, cfg: RunConfig, n_classes: int, spark: S
 
 
 def evaluate(model: LinearModel, test: DataFrame, val: DataFrame | None) -> dict[str, float]:
-    """Test and validation metrics plus log-loss in one job over the union of both sets."""
+    """Test and validation metrics plus log-loss from one scan of both sets.
+
+    The scan produces a confusion table with summed log-loss per cell (at most
+    2 x C x C rows); every metric is derived from that small table.
+    """
     sets = test.withColumn("_set", F.lit("test"))
     if val is not None:
         sets = sets.unionByName(val.withColumn("_set", F.lit("val")))
     sc = score(sets.select("_set", "label_id", "features"), model)
-    sc = sc.select("_set", F.col("label_id").alias("y_true"), F.col("prediction").alias("y_pred"),
-                   true_class_proba("y_true").alias("p_true"))
-    sc = sc.cache()
-    try:
-        met = {r["_set"]: r.asDict() for r in M.detection_metrics(sc, keys=["_set"]).collect()}
-        loss = {r["_set"]: r["loss"] for r in M.log_loss(sc, keys=["_set"]).collect()}
-    finally:
-        sc.unpersist()
+    p = F.greatest(F.lit(M.EPS), F.least(F.lit(1 - M.EPS), true_class_proba("label_id")))
+    conf = sc.groupBy("_set", F.col("label_id").alias("y"), F.col("prediction").alias("p")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum(-F.log(p)).alias("nll"))
+    rows = conf.collect()                               # <= 2 * C * C rows
+    met: dict[str, dict] = {}
+    loss: dict[str, list[float]] = {}
+    for part in {r["_set"] for r in rows}:
+        cells = [(int(r["y"]), int(r["p"]), int(r["cnt"])) for r in rows if r["_set"] == part]
+        met[part] = M.metrics_from_confusion_rows(cells)
+        loss[part] = [sum(r["nll"] for r in rows if r["_set"] == part), sum(c[2] for c in cells)]
     out: dict[str, float] = {}
     names = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "precision", "recall", "f1", "fpr")
     for s, prefix in (("test", ""), ("val", "val_")):
         if s in met:
-            out[f"{prefix}loss"] = float(loss[s])
+            out[f"{prefix}loss"] = loss[s][0] / loss[s][1]
             out.update({f"{prefix}{k}": float(met[s][k]) for k in names})
     return out
 

@@ -94,6 +94,9 @@ def attack_study(updates: DataFrame, clients: DataFrame, gparams: DataFrame, fra
     Returns ``(aggregation, malicious_fraction, kept, err)``: err = L2 distance of the
     aggregate to the clean global parameters.
     """
+    # the three inputs are small derived tables (clients x params); checkpoint them once so
+    # the 25 configurations below do not rescan the source for every branch
+    updates, clients, gparams = updates.checkpoint(), clients.checkpoint(), gparams.checkpoint()
     cfg = F.broadcast(spark.createDataFrame([(float(x),) for x in fractions], "malicious_fraction double"))
     n = clients.agg(F.count(F.lit(1)).alias("_n"))
     cl = clients.crossJoin(cfg).crossJoin(n)

@@ -85,3 +85,14 @@ def sigmoid(z) -> Column:
 def percent_label(c) -> Column:
     """``int(round(100*x))%`` with Python's half-even rounding."""
     return F.concat(F.bround(_c(c) * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def mean_std_text(mean, std, n, digits: int = 4) -> Column:
+    """``mean ± std`` when a group has more than one value, else the plain mean.
+
+    Java's formatter rounds half-up on the decimal expansion; numeric mean/std columns
+    are the comparison-safe form of the same report.
+    """
+    fmt = f"%.{digits}f"
+    return F.when(_c(n) > 1, F.format_string(f"{fmt} \u00b1 {fmt}", _c(mean), _c(std))).otherwise(
+        F.format_string(fmt, _c(mean)))

@@ -41,6 +41,35 @@ def repair_negative(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: non_negative(c) for c in cols})
 
 
+def zero_nonfinite_with_count(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Non-finite cells -> 0 on every column, plus a one-row count of replaced cells.
+
+    The count is a separate aggregate over the same input (one extra scan, no driver loop).
+    """
+    n_bad = sum((~is_finite(c)).cast("long") for c in cols) if cols else F.lit(0)
+    count = df.agg(F.sum(n_bad).alias("n_replaced"))
+    return lenient_clean(df, cols), count
+
+
+def inspect_rows(df: DataFrame, predicate, cols: Sequence[str], n: int = 20, order_by: str = "row_id") -> DataFrame:
+    """Preview of the first ``n`` rows (by ``order_by``) matching a predicate, selected columns only."""
+    return df.where(predicate).select(*dict.fromkeys([order_by, *cols])).orderBy(order_by).limit(n)
+
+
+def top_values(df: DataFrame, col: str, n: int = 5) -> DataFrame:
+    """Most frequent values of a column, NULL counted as a value (ties: smaller value first)."""
+    g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return g.orderBy(F.desc("n"), F.asc_nulls_first(col)).limit(n)
+
+
+def per_file_distribution(df: DataFrame, label: str = "label", file_col: str = "source_file") -> DataFrame:
+    """Rows per source file and label, with the file's total."""
+    from pyspark.sql import Window
+
+    g = df.groupBy(file_col, label).agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("file_rows", F.sum("n").over(Window.partitionBy(file_col)))
+
+
 def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop rows with a NULL or NaN in any of ``cols``."""
     return df.dropna(subset=list(cols))
@@ -69,12 +98,15 @@ def missing_infinite_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
-    """Count and percent of total per label (the total is a window over the grouped rows)."""
+    """Count and percent of total per label, count-descending (ties by label).
+
+    The total is a window over the grouped rows (one row per label).
+    """
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
     tot = F.sum("n").over(Window.partitionBy())
-    return g.withColumn("pct", F.col("n") * 100.0 / tot)
+    return g.withColumn("pct", F.col("n") * 100.0 / tot).orderBy(F.desc("n"), label)
 
 
 def zero_duration_profile(df: DataFrame, duration: str, rate_cols: Sequence[str], label: str = "label") -> DataFrame:
@@ -106,46 +138,81 @@ def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    buckets: int = 1024) -> DataFrame:
-    """Exact linear-interpolated quantiles per column, without gathering a column in one task.
-
-    Approximate cut points (``percentile_approx``, buckets per column, a bounded table)
-    place every value in a value-ordered bucket; bucket counts give each bucket's rank
-    offset; only the buckets holding the needed ranks are sorted, each in its own task.
-    Returns ``(column, prob, value)``.
+                    buckets: int = 256, max_sort_rows: int = 1_000_000, max_levels: int = 5) -> DataFrame:
+    """Exact linear-interpolated quantiles per column, never gathering a column in one task.
+
+    Level 1: approximate cut points (``percentile_approx``, ``buckets`` per column) put every
+    value into a value-ordered bucket (binary search in ``Bucketizer``); bucket counts give
+    each bucket's rank offset. While a bucket that holds a needed rank is larger than
+    ``max_sort_rows``, only that bucket's rows are cut again the same way (each level
+    divides the candidates by ~``buckets``). Finally the target buckets are reduced to
+    ``(value, count)`` pairs and a running count picks the value at each needed rank, so
+    heavy ties cost no more than distinct values. Returns ``(column, prob, value)``.
     """
     from pyspark.ml.feature import Bucketizer
+    from pyspark.sql import Window
 
     spark = df.sparkSession
     cuts_p = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts_p, 10 * buckets).alias(c) for c in cols]).head()
     inf = float("inf")
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts_p, 10 * buckets).alias(c) for c in cols]).head()
     splits = [[-inf] + sorted({x for x in (row[c] or []) if x is not None and x == x and abs(x) != inf}) + [inf]
               for c in cols]
     bz = Bucketizer(splitsArray=splits, inputCols=list(cols), outputCols=[f"{c}__b" for c in cols],
                     handleInvalid="keep")
     wide = bz.transform(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    b = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("v"), F.col(f"{c}__b").cast("int").alias("bkt"))
-        for c in cols])).alias("s")).select("s.column", "s.v", "s.bkt").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = b.groupBy("column", "bkt").agg(F.count(F.lit(1)).alias("cnt"))
-    from pyspark.sql import Window
+    long = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("v"), F.array(F.col(f"{c}__b").cast("int")).alias("path"))
+        for c in cols])).alias("s")).select("s.column", "s.v", "s.path").where(F.col("v").isNotNull() & ~F.isnan("v"))
 
-    w = Window.partitionBy("column").orderBy("bkt")
-    offs = counts.select("column", "bkt", "cnt",
-                         (F.sum("cnt").over(w) - F.col("cnt")).alias("off"),
-                         F.sum("cnt").over(Window.partitionBy("column")).alias("n"))
-    targets = []
+    counts = long.groupBy("column", "path").agg(F.count(F.lit(1)).alias("cnt"))
+    # targets: 1-based global positions floor(h)+1 and ceil(h)+1, h = (n - 1) * prob
     pdf = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    t = offs.crossJoin(F.broadcast(pdf)).withColumn("h", (F.col("n") - 1) * F.col("prob"))
-    for name, pos in (("lo", F.floor("h")), ("hi", F.ceil("h"))):
-        targets.append(t.where((pos >= F.col("off")) & (pos < F.col("off") + F.col("cnt"))).select(
-            "column", "bkt", "prob", "h", F.lit(name).alias("side"), (pos - F.col("off") + 1).alias("r")))
-    tg = targets[0].unionByName(targets[1])
-    need = tg.select("column", "bkt").distinct()
-    ranked = b.join(need, ["column", "bkt"], "left_semi").withColumn(
-        "r", F.row_number().over(Window.partitionBy("column", "bkt").orderBy("v")))
-    hit = ranked.join(tg, ["column", "bkt", "r"])
+    n = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
+    tg = n.crossJoin(F.broadcast(pdf)).withColumn("h", (F.col("n") - 1) * F.col("prob"))
+    tg = tg.select("column", "prob", "h", F.explode(F.array(
+        F.struct(F.lit("lo").alias("side"), (F.floor("h") + 1).alias("r")),
+        F.struct(F.lit("hi").alias("side"), (F.ceil("h") + 1).alias("r")))).alias("t")).select(
+        "column", "prob", "h", "t.side", "t.r")
+
+    def locate(targets: DataFrame, cnts: DataFrame, parent_len: int | None) -> DataFrame:
+        """Move each target into the child bucket holding its rank; r becomes the rank inside it."""
+        if parent_len is None:
+            c = cnts.withColumn("_parent", F.array().cast("array<int>"))
+            tgt = targets.withColumn("_parent", F.array().cast("array<int>"))
+        else:
+            c = cnts.withColumn("_parent", F.slice("path", 1, parent_len))
+            tgt = targets.withColumnRenamed("path", "_parent")
+        w = Window.partitionBy("column", "_parent").orderBy(F.element_at("path", -1))
+        off = c.withColumn("_off", F.sum("cnt").over(w) - F.col("cnt"))
+        j = tgt.join(off, ["column", "_parent"])
+        j = j.where((F.col("r") > F.col("_off")) & (F.col("r") <= F.col("_off") + F.col("cnt")))
+        return j.select("column", "prob", "h", "side", "path", (F.col("r") - F.col("_off")).alias("r"), "cnt")
+
+    tg = locate(tg, counts, None)
+    for level in range(1, max_levels):
+        tg = tg.checkpoint()                       # tiny: <= columns x probs x 2 rows
+        biggest = tg.agg(F.max("cnt")).head()[0] or 0
+        if biggest <= max_sort_rows:
+            break
+        need = tg.select("column", "path").distinct()
+        long = long.join(F.broadcast(need), ["column", "path"], "left_semi")
+        cuts = long.groupBy("column", "path").agg(F.percentile_approx("v", cuts_p, 10 * buckets).alias("_cuts"))
+        long = long.join(F.broadcast(cuts), ["column", "path"]).select(
+            "column", "v", F.concat("path", F.array(F.size(F.filter("_cuts", lambda x: x < F.col("v"))))).alias("path"))
+        counts = long.groupBy("column", "path").agg(F.count(F.lit(1)).alias("cnt"))
+        new = locate(tg.drop("cnt"), counts, level)
+        if new.agg(F.max("cnt")).head()[0] >= biggest:   # only ties left in the bucket
+            tg = new
+            break
+        tg = new
+    need = tg.select("column", "path").distinct()
+    vals = long.join(F.broadcast(need), ["column", "path"], "left_semi").groupBy("column", "path", "v").agg(
+        F.count(F.lit(1)).alias("vc"))
+    w = Window.partitionBy("column", "path").orderBy("v")
+    vals = vals.withColumn("_cum", F.sum("vc").over(w))
+    hit = tg.join(vals, ["column", "path"]).where(
+        (F.col("r") > F.col("_cum") - F.col("vc")) & (F.col("r") <= F.col("_cum")))
     piv = hit.groupBy("column", "prob", "h").agg(
         F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("vlo"),
         F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("vhi"))

@@ -154,6 +154,17 @@ def top_k(scores: DataFrame, k: int, score: str = "abs_corr", tie: str = "pos")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_importances(imp: DataFrame, k: int, score: str = "importance", pos: str = "pos") -> DataFrame:
+    """Top-k features by importance, returned in original column order (bounded: one row per feature)."""
+    return top_k(imp, k, score, pos).orderBy(pos)
+
+
+def bottom_importances(imp: DataFrame, k: int = 20, score: str = "importance", pos: str = "pos") -> DataFrame:
+    """The k least important features (ascending)."""
+    w = Window.orderBy(F.asc(score), pos)
+    return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def forest_importances(df: DataFrame, features_col: str = "features", label: str = "label_id",
                        num_trees: int = 60, seed: int = 42, max_depth: int = 8) -> DataFrame:
     """Random-forest importance per feature position (MLlib)."""

@@ -56,34 +56,44 @@ class LinearModel:
 
 
 # ------------------------------------------------------------------ scoring (JVM expressions)
+def decision_array(model: LinearModel, features: str = "features") -> Column:
+    """``z = [<x, w_c> + b_c for every coefficient row]`` as one built-in array expression.
+
+    The weights are a single literal ``array<array<double>>`` (constant-folded once), so the
+    expression tree stays small however many classes there are.
+    """
+    w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.coef])
+    b = F.array(*[F.lit(float(v)) for v in model.intercept])
+    dots = F.transform(w, lambda wc: F.aggregate(F.zip_with(F.col(features), wc, lambda x, y: x * y),
+                                                  F.lit(0.0), lambda acc, v: acc + v))
+    return F.zip_with(dots, b, lambda d, bc: d + bc)
+
+
 def decision_columns(model: LinearModel, features: str = "features") -> list[Column]:
-    """``z_c = <x, w_c> + b_c`` per coefficient row, as built-in array expressions (literal weights)."""
-    out = []
-    for c in range(model.coef.shape[0]):
-        w = F.array(*[F.lit(float(v)) for v in model.coef[c]])
-        dot = F.aggregate(F.zip_with(F.col(features), w, lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
-        out.append(dot + F.lit(float(model.intercept[c])))
-    return out
+    """Per-row ``z_c`` as separate columns (used by the pure-SQL gradient)."""
+    z = decision_array(model, features)
+    return [F.element_at(z, c + 1) for c in range(model.coef.shape[0])]
 
 
 def score(df: DataFrame, model: LinearModel, features: str = "features") -> DataFrame:
-    """Adds ``proba`` (array over classes), ``prediction`` and ``p_max``."""
-    z = decision_columns(model, features)
-    sig = [F.lit(1.0) / (F.lit(1.0) + F.exp(-zc)) for zc in z]
+    """Adds ``proba`` (array over classes), ``prediction`` and ``p_max``.
+
+    Built in stages (scores, sigmoids, normaliser) so every intermediate is computed once per row.
+    """
+    out = df.withColumn("_z", decision_array(model, features))
+    out = out.withColumn("_s", F.transform("_z", lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z))))
     if model.binary:
-        proba = F.array(F.lit(1.0) - sig[0], sig[0])
-        pred = F.when(z[0] > 0, F.lit(1)).otherwise(F.lit(0))
-        out = df.withColumn("proba", proba).withColumn("prediction", pred)
+        out = out.withColumn("proba", F.array(F.lit(1.0) - F.element_at("_s", 1), F.element_at("_s", 1)))
+        out = out.withColumn("prediction", F.when(F.element_at("_z", 1) > 0, F.lit(1)).otherwise(F.lit(0)))
     else:
-        s = F.array(*sig)
-        tot = F.aggregate(s, F.lit(0.0), lambda a, v: a + v)
-        proba = F.transform(s, lambda p: F.when(tot > 0, p / tot).otherwise(F.lit(1.0 / len(sig))))
-        out = df.withColumn("proba", proba)
-        # first index holding the maximum of the raw scores
-        zs = F.array(*z)
-        out = out.withColumn("_z", zs).withColumn(
-            "prediction", (F.array_position(F.col("_z"), F.array_max(F.col("_z"))) - 1).cast("int")).drop("_z")
-    return out.withColumn("p_max", F.array_max("proba"))
+        k = model.coef.shape[0]
+        out = out.withColumn("_t", F.aggregate("_s", F.lit(0.0), lambda a, v: a + v))
+        out = out.withColumn("proba", F.when(F.col("_t") > 0, F.transform("_s", lambda p: p / F.col("_t")))
+                             .otherwise(F.array_repeat(F.lit(1.0 / k), k)))
+        # first index holding the maximum score
+        out = out.withColumn("prediction", (F.array_position("_z", F.array_max("_z")) - 1).cast("int"))
+    out = out.withColumn("p_max", F.array_max("proba"))
+    return out.drop("_z", "_s", "_t")
 
 
 def true_class_proba(label: str = "label_id") -> Column:
@@ -213,8 +223,7 @@ def gradient_sql(df: DataFrame, model: LinearModel, class_weights: Sequence[floa
     against plain SQL, but more CPU per row than the Arrow path.
     """
     rows, nf = model.coef.shape
-    z = decision_columns(model, features)
-    d = df.select(group, label, features, F.array(*z).alias("_z"))
+    d = df.select(group, label, features, decision_array(model, features).alias("_z"))
     cls = F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_c")
     d = d.select("*", cls)
     zc = F.element_at("_z", F.col("_c") + 1)

@@ -218,7 +218,10 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
     (silo, class, rank); AQE's skew-join splitting covers hot ranks of tiny classes.
     """
     ranked = hash_rank(df, id_col, seed, [silo_col, label_id], size_col="_cnt")
-    need = oversample_weights(df, silo_col, label_id).where(F.col("target") > F.col("cnt")).select(
+    # class sizes come with the rank (stratum sizes): no separate counting pass over the rows
+    sizes = ranked.select(silo_col, label_id, F.col("_cnt").alias("cnt")).distinct()
+    target = F.max("cnt").over(Window.partitionBy(silo_col))
+    need = sizes.withColumn("target", target).where(F.col("target") > F.col("cnt")).select(
         silo_col, label_id, "cnt", (F.col("target") - F.col("cnt")).alias("_extra"))
     chunks = need.select(
         "*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_extra") - 1) / chunk).cast("bigint"))).alias("_chunk"))

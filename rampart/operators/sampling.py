@@ -4,10 +4,14 @@ Every random choice is the order of ``md5(id ':' seed)``. A global (or per-strat
 rank over that order is computed in two phases so no window ever holds a whole table:
 
 1. bucket = first ``bucket_hex`` hex digits of the key; count rows per (stratum, bucket);
-   a running sum over the (at most strata x 16**bucket_hex) counts gives each bucket's
-   offset -- that table has a size bound fixed by construction and is broadcast;
+   a running sum over those counts (at most min(rows, strata x 16**bucket_hex) entries)
+   gives each bucket's offset;
 2. ``row_number`` inside (stratum, bucket), plus the offset, is the exact rank.
 
+The offsets join is not forced to broadcast: with few strata AQE broadcasts it after
+measuring it; with many strata (e.g. silo x class) it becomes a shuffle join on exactly
+the window's keys, so the rows are still shuffled only once.
+
 Bucket windows hold ~n / 16**bucket_hex rows each and run in parallel; since the md5
 prefix is uniform, a stratum holding a third of all rows is still cut into the same
 number of even buckets (no hot task).
@@ -38,7 +42,7 @@ def hash_rank(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str]
         (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt")).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*st)).alias("_size"),
     )
-    j = keyed.join(F.broadcast(offsets), on=st + ["_bkt"], how="inner")
+    j = keyed.join(offsets, on=st + ["_bkt"], how="inner")
     inner = Window.partitionBy(*st, "_bkt").orderBy("_key", id_col)
     out = j.withColumn(rank_col, (F.row_number().over(inner) + F.col("_off")).cast("bigint"))
     if size_col:

@@ -41,13 +41,15 @@ def duplicate_vectors(df: DataFrame, feature_cols: Sequence[str], split_col: str
                       probe: str = "test", base: str = "train") -> DataFrame:
     """Rows of ``probe`` whose feature vector also occurs in ``base``: ``(n_probe, n_dup, share)``.
 
-    Semi-join on a 128-bit fingerprint, so only 16 bytes per row are shuffled.
+    Both sides are first reduced to one row per 128-bit fingerprint (map-side partial
+    aggregation), so a vector copied into a third of all rows is a single row by the time
+    it is shuffled; the semi-join then moves 16 bytes plus a count per distinct vector.
     """
     fp = df.select(split_col, *fingerprint(feature_cols))
     b = fp.where(F.col(split_col) == base).select("_fp1", "_fp2").distinct()
-    p = fp.where(F.col(split_col) == probe)
-    dup = p.join(b, on=["_fp1", "_fp2"], how="left_semi").agg(F.count(F.lit(1)).alias("n_dup"))
-    tot = p.agg(F.count(F.lit(1)).alias("n_probe"))
+    p = fp.where(F.col(split_col) == probe).groupBy("_fp1", "_fp2").agg(F.count(F.lit(1)).alias("_c"))
+    dup = p.join(b, on=["_fp1", "_fp2"], how="left_semi").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_dup"))
+    tot = p.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_probe"))
     return tot.crossJoin(dup).withColumn(
         "share", F.coalesce(F.try_divide(F.col("n_dup").cast("double"), F.col("n_probe")), F.lit(0.0)))
 

@@ -218,8 +218,9 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
 
     Originals are kept (``copy = 0``); extras are drawn with replacement by hash. The
     extra picks are generated in two levels (chunks, then rows in a chunk) so a class
-    needing millions of copies is spread across tasks, then joined back to the rows by
-    (silo, class, rank); AQE's skew-join splitting covers hot ranks of tiny classes.
+    needing millions of copies is spread across tasks, counted per picked source row
+    (partial aggregation), joined back by (silo, class, rank) and expanded; the
+    ``copy`` column numbers the copies of one source row 1..k.
     """
     ranked = hash_rank(df, id_col, seed, [silo_col, label_id], size_col="_cnt")
     # class sizes come with the rank (stratum sizes): no separate counting pass over the rows
@@ -236,9 +237,12 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
                              F.least(F.col("_extra"), (F.col("_chunk") + 1) * chunk))).alias("copy"))
     key = F.concat_ws(":", F.col(silo_col).cast("string"), F.col(label_id).cast("string"),
                       F.col("copy").cast("string"), F.lit(str(seed)))
-    picks = picks.select(silo_col, label_id, "copy",
-                         (F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.col("cnt")) + 1)
-                         .alias("rank"))
-    extras = picks.join(ranked.drop("_cnt"), on=[silo_col, label_id, "rank"], how="inner").drop("rank")
+    pick = (F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.col("cnt")) + 1).alias("rank")
+    # picks of the same source row are counted map-side first: a tiny class replicated
+    # millions of times becomes one row per distinct source row before the shuffle
+    per_row = picks.select(silo_col, label_id, pick).groupBy(silo_col, label_id, "rank").agg(
+        F.count(F.lit(1)).alias("_k"))
+    extras = per_row.join(ranked.drop("_cnt"), on=[silo_col, label_id, "rank"], how="inner").select(
+        "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k"))).alias("copy")).drop("rank", "_k")
     originals = ranked.drop("rank", "_cnt").withColumn("copy", F.lit(0).cast("bigint"))
     return originals.unionByName(extras)

@@ -185,7 +185,8 @@ FROM (SELECT silo_id, label_id, count(*) AS cnt, max(count(*)) OVER (PARTITION B
     "silo_oversample": with_fixtures("flows", """
 SELECT silo_id, label_id, row_id, CAST(0 AS BIGINT) AS copy FROM rk
 UNION ALL
-SELECT pk.silo_id, pk.label_id, rk.row_id, pk.copy FROM pk JOIN rk USING (silo_id, label_id, rank)""",
+SELECT pk.silo_id, pk.label_id, rk.row_id, CAST(unnest(generate_series(1, pk.k)) AS BIGINT) AS copy
+FROM pk JOIN rk USING (silo_id, label_id, rank)""",
                                      _ENC + [_cuts_sql(), _DIR, (
                                          "rk", f"SELECT *, {_rank_sql('dir', f'{SEED}:over', 'silo_id, label_id')} AS rank, "
                                                "count(*) OVER (PARTITION BY silo_id, label_id) AS cnt FROM dir"), (
@@ -193,7 +194,8 @@ SELECT pk.silo_id, pk.label_id, rk.row_id, pk.copy FROM pk JOIN rk USING (silo_i
                                                  "FROM (SELECT DISTINCT silo_id, label_id, cnt FROM rk) d"), (
                                          "picks", "SELECT silo_id, label_id, cnt, unnest(generate_series(1, extra)) AS copy "
                                                   "FROM need WHERE extra > 0"), (
-                                         "pk", "SELECT silo_id, label_id, copy, (CAST(('0x' || substr(md5(concat_ws(':', "
+                                         "pk", "SELECT silo_id, label_id, rank, count(*) AS k FROM (SELECT silo_id, label_id, "
+                                               "(CAST(('0x' || substr(md5(concat_ws(':', "
                                                f"silo_id, label_id, copy, '{SEED}:over')), 1, 8)) AS BIGINT) % cnt) + 1 AS rank "
-                                               "FROM picks")]),
+                                               "FROM picks) x GROUP BY 1, 2, 3")]),
 }

@@ -32,10 +32,21 @@ def _exists(spark: SparkSession, p: str) -> bool:
 
 # ------------------------------------------------------------------ raw flow CSVs (S1-S3)
 def header_columns(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> list[str]:
-    """Raw header names of one CSV file (first line only)."""
-    first = spark.read.option("encoding", encoding).option("header", False).option("inferSchema", False) \
-        .csv(path).limit(1).collect()
-    return [c if c is not None else "" for c in first[0]] if first else []
+    """Raw header names of one CSV file: its first line, read through the file system API
+    (a few bytes per file, like reading a Parquet footer; no Spark job)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding)).readLine()
+    finally:
+        stream.close()
+    if not line:
+        return []
+    import csv
+
+    return next(csv.reader([line]))
 
 
 def normalised_names(raw: Sequence[str]) -> tuple[list[str], list[int]]:
@@ -55,28 +66,37 @@ def normalised_names(raw: Sequence[str]) -> tuple[list[str], list[int]]:
     return [names[i] for i in keep], keep
 
 
-def read_flow_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """One CSV file, every cell as text, header normalised; adds ``source_file``."""
-    raw = header_columns(spark, path, encoding)
+def _read_with_header(spark: SparkSession, paths: list[str], raw: list[str], encoding: str) -> DataFrame:
     names, pos = normalised_names(raw)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(raw))])
     df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-          .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+          .option("encoding", encoding).option("mode", "PERMISSIVE").csv(paths))
     return df.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(pos, names)],
                      F.col("_metadata.file_name").alias("source_file"))
 
 
+def read_flow_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """One CSV file, every cell as text, header normalised; adds ``source_file``."""
+    return _read_with_header(spark, [path], header_columns(spark, path, encoding), encoding)
+
+
 def read_flow_csvs(spark: SparkSession, directory: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Every ``*.csv`` in ``directory`` (sorted), each read with its own header, unioned by name.
+    """Every ``*.csv`` in ``directory``, each column matched by its own file's header, unioned by name.
 
-    Files are read one by one because a multi-file CSV read aligns columns by position.
+    A multi-file CSV read aligns columns by position, so files are grouped by identical
+    raw header and each group is one parallel read; groups are unioned by name (missing
+    columns become NULL). Thousands of day files with a handful of layouts stay a handful
+    of scans.
     """
     files = _fs_glob(spark, f"{directory.rstrip('/')}/*.csv")
     if not files:
         raise FileNotFoundError(f"no CSV files in {directory}")
-    out = None
+    groups: dict[tuple[str, ...], list[str]] = {}
     for f in files:
-        d = read_flow_csv(spark, f, encoding)
+        groups.setdefault(tuple(header_columns(spark, f, encoding)), []).append(f)
+    out = None
+    for raw, paths in groups.items():
+        d = _read_with_header(spark, paths, list(raw), encoding)
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
 

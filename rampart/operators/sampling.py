@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rampart.functions.scalar import hash_key, hash_unit
+from rampart.session import materialize
 
 BUCKET_HEX = 3
 
@@ -222,7 +223,9 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
     (partial aggregation), joined back by (silo, class, rank) and expanded; the
     ``copy`` column numbers the copies of one source row 1..k.
     """
-    ranked = hash_rank(df, id_col, seed, [silo_col, label_id], size_col="_cnt")
+    # the ranked rows feed three branches (sizes, originals, join-back): write them once to
+    # the shared checkpoint folder instead of recomputing the rank and its input three times
+    ranked = materialize(hash_rank(df, id_col, seed, [silo_col, label_id], size_col="_cnt"), "oversample-ranked")
     # class sizes come with the rank (stratum sizes): no separate counting pass over the rows
     sizes = ranked.select(silo_col, label_id, F.col("_cnt").alias("cnt")).distinct()
     target = F.max("cnt").over(Window.partitionBy(silo_col))

@@ -167,17 +167,23 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
         f = int(round((cfg.defense_fraction if cfg.defense_fraction >= 0 else cfg.malicious_fraction) * n))
         trim = cfg.trim_ratio if cfg.trim_ratio >= 0 else (f / n if n else 0.0)
         ta = time.perf_counter()
-        agg = R.aggregate(cfg.aggregation, updates, clients, f=f, trim_ratio=trim).collect()
-        agg_time = time.perf_counter() - ta
-        flat = np.zeros(n_params)
-        for r in agg:
-            flat[int(r["pos"])] = float(r["value"])
-        glob = LinearModel.from_flat(flat, n_features, n_classes)
         kept = mal_kept = None
         if cfg.aggregation in ("krum", "multikrum"):
+            # one pairwise-distance pass: the selection (one row per client) drives both the
+            # aggregate and the kept-client statistics
             sel = [r["client_id"] for r in R.krum_select(updates, f, cfg.aggregation == "multikrum")
                    .where("selected").collect()]
             kept, mal_kept = len(sel), int(sum(1 for s in sel if s < n_mal))
+            chosen = spark.createDataFrame([(s,) for s in sel], "client_id int")
+            agg = (updates.join(chosen, "client_id", "left_semi").groupBy("pos")
+                   .agg(F.avg("value").alias("value")).collect())
+        else:
+            agg = R.aggregate(cfg.aggregation, updates, clients, f=f, trim_ratio=trim).collect()
+        agg_time = time.perf_counter() - ta
+        flat = np.zeros(n_params)
+        for r in agg:
+            flat[int(r["pos"])] = float(r["value"])
+        glob = LinearModel.from_flat(flat, n_features, n_classes)
         wsum = sum(stats[s][0] for s in present)
         log.append({**info, "round": rnd, **evaluate(glob, test, val),
                     "elapsed_s": time.perf_counter() - t0, "clients": n, "malicious_in_round": min(n_mal, n),

@@ -144,10 +144,19 @@ def correlated_drop(corr: DataFrame, threshold: float = CORR_THRESHOLD) -> DataF
 
 
 def label_correlation(long: DataFrame, y: str = "y_bin") -> DataFrame:
-    """``|corr(x_pos, y)|`` per feature position, one aggregate pass."""
+    """``|corr(x_pos, y)|`` per feature position from long-form ``(pos, value)`` rows."""
     return long.groupBy("pos").agg(F.abs(F.corr("value", F.col(y).cast("double"))).alias("abs_corr"))
 
 
+def label_correlation_wide(df: DataFrame, n_features: int, y: str = "y_bin", features: str = "features") -> DataFrame:
+    """``|corr(x_j, y)|`` for every array element in one aggregate pass (no explode):
+    ``n_features`` correlation aggregates side by side, then the one-row result is unpivoted."""
+    yy = F.col(y).cast("double")
+    row = df.agg(*[F.abs(F.corr(F.element_at(features, j + 1), yy)).alias(f"c{j}") for j in range(n_features)])
+    parts = ", ".join(f"{j}, c{j}" for j in range(n_features))
+    return row.selectExpr(f"stack({n_features}, {parts}) AS (pos, abs_corr)")
+
+
 def top_k(scores: DataFrame, k: int, score: str = "abs_corr", tie: str = "pos") -> DataFrame:
     """Top-k rows by score (ties: lower ``tie`` first) with their 1-based rank."""
     w = Window.orderBy(F.desc(score), tie)

@@ -78,8 +78,8 @@ def q_corr_drop(spark, sf):
 
 
 def q_label_corr(spark, sf):
-    lg = T.wide_long(spark, sf).withColumn("y_bin", (F.col("label_id") != 0).cast("int"))
-    t = FE.top_k(FE.label_correlation(lg), TOP_K)
+    w = T.wide(spark, sf).withColumn("y_bin", (F.col("label_id") != 0).cast("int"))
+    t = FE.top_k(FE.label_correlation_wide(w, T.N_WIDE), TOP_K)
     return t.select(F.col("rank").cast("int").alias("rank"), "pos", r6("abs_corr").alias("abs_corr"))
 
 

@@ -96,13 +96,18 @@ def binary_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select("doc_id", F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"))
 
 
+def _vector_means(df: DataFrame, keys: list) -> DataFrame:
+    """Per-group coordinate means of the feature arrays (vector sums, no per-coordinate rows)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    m = df.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("_m"))
+    return m.select(*keys, F.posexplode("_m").alias("pos", "value"))
+
+
 def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-updates: one client per embedding label; value = per-client mean of each coordinate."""
-    return (
-        wide_long(spark, sf_dir)
-        .groupBy(F.col("label_id").alias("client_id"), "pos")
-        .agg(F.avg("value").alias("value"))
-    )
+    return _vector_means(wide(spark, sf_dir).withColumnRenamed("label_id", "client_id"), ["client_id"])
 
 
 def client_info(spark: SparkSession, sf_dir: str, fraction: float = UPDATE_FRACTION) -> DataFrame:
@@ -125,7 +130,7 @@ def client_info(spark: SparkSession, sf_dir: str, fraction: float = UPDATE_FRACT
 
 def global_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global parameter vector: mean over all rows per coordinate."""
-    return wide_long(spark, sf_dir).groupBy("pos").agg(F.avg("value").alias("value"))
+    return _vector_means(wide(spark, sf_dir), [])
 
 
 def round_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

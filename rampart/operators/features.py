@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampart.functions.scalar import BENIGN, clip, finite_or_zero, is_attack_label, signed_log1p
@@ -184,7 +184,3 @@ def forest_importances(df: DataFrame, features_col: str = "features", label: str
                                    maxDepth=max_depth).fit(data)
     imp = model.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "pos int, importance double")
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -11,7 +11,6 @@ from rampart.operators import clean as C
 from rampart.operators import features as FE
 from rampart.plans import centralized as CZ
 from rampart.plans import registry_model as RM
-from rampart.plans import registry_sources as RSRC
 from rampart.plans.oracle_fixtures import with_fixtures
 from rampart.session import scratch_path
 from rampart.sources import io as IO
@@ -102,4 +101,3 @@ ORDER BY row_id LIMIT 20"""),
 SELECT raw_text, count(*) AS n FROM dirty GROUP BY raw_text ORDER BY n DESC, raw_text ASC NULLS FIRST LIMIT 5"""),
     "streaming_score": RM.ORACLE["model_score"],
 }
-del RSRC

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from rampart.operators import features as FE
 from rampart.operators import metrics as M
 from rampart.operators import sampling as S
 from rampart.operators.model import LinearModel, gradient_sql, gradients, score, sgd_step, true_class_proba

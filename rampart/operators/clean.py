@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import expand_values, scalar_row, with_scalars
 from rampart.functions.scalar import finite_or_null, finite_or_zero, is_finite, non_negative, repair_label, to_double
 
 
@@ -84,7 +85,7 @@ def cleaning_funnel(df: DataFrame, cols: Sequence[str], dedup_cols: Sequence[str
     after = drop_incomplete(strict_clean(df, cols), cols)
     dd = after.select(*dedup_cols).distinct().agg(F.count(F.lit(1)).alias("rows_dedup"))
     kept = after.agg(F.count(F.lit(1)).alias("rows_after_dropna"))
-    return raw.crossJoin(kept).crossJoin(dd)
+    return scalar_row(raw, kept, dd)
 
 
 def missing_infinite_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -103,10 +104,9 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     The total is a window over the grouped rows (one row per label).
     """
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    tot = F.sum("n").over(Window.partitionBy())
-    return g.withColumn("pct", F.col("n") * 100.0 / tot).orderBy(F.desc("n"), label)
+    tot = df.agg(F.count(F.lit(1)).alias("_tot"))
+    return with_scalars(g, tot).select(label, "n", (F.col("n") * 100.0 / F.col("_tot")).alias("pct")).orderBy(
+        F.desc("n"), label)
 
 
 def zero_duration_profile(df: DataFrame, duration: str, rate_cols: Sequence[str], label: str = "label") -> DataFrame:
@@ -125,7 +125,7 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     sel = df.select(*(cols or df.columns))
     a = sel.agg(F.count(F.lit(1)).alias("n_rows"))
     b = sel.distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
-    return a.crossJoin(b).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
+    return scalar_row(a, b).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -152,7 +152,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     from pyspark.ml.feature import Bucketizer
     from pyspark.sql import Window
 
-    spark = df.sparkSession
     cuts_p = [i / buckets for i in range(1, buckets)]
     inf = float("inf")
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts_p, 10 * buckets).alias(c) for c in cols]).head()
@@ -167,9 +166,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
 
     counts = long.groupBy("column", "path").agg(F.count(F.lit(1)).alias("cnt"))
     # targets: 1-based global positions floor(h)+1 and ceil(h)+1, h = (n - 1) * prob
-    pdf = spark.createDataFrame([(float(p),) for p in probs], "prob double")
     n = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
-    tg = n.crossJoin(F.broadcast(pdf)).withColumn("h", (F.col("n") - 1) * F.col("prob"))
+    tg = expand_values(n, "prob", [float(p) for p in probs], "double").withColumn("h", (F.col("n") - 1) * F.col("prob"))
     tg = tg.select("column", "prob", "h", F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), (F.floor("h") + 1).alias("r")),
         F.struct(F.lit("hi").alias("side"), (F.ceil("h") + 1).alias("r")))).alias("t")).select(

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import with_scalars
+
 # Fixed value: probability clip for log-loss (float64 machine epsilon).
 EPS = 2.220446049250313e-16
 
@@ -99,7 +101,7 @@ def detection_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pr
     ks = list(keys or [])
     m = multiclass_metrics(df, y_true, y_pred, ks)
     b = binary_metrics(df, y_true, y_pred, ks).drop("accuracy")
-    return m.join(b, on=ks, how="inner") if ks else m.crossJoin(b)
+    return m.join(b, on=ks, how="inner") if ks else with_scalars(m, b)
 
 
 def log_loss(df: DataFrame, p_true: str = "p_true", keys: Sequence[str] | None = None) -> DataFrame:
@@ -113,7 +115,7 @@ def balanced_class_weights(df: DataFrame, label: str = "label_id", keys: Sequenc
     ks = list(keys or [])
     counts = df.groupBy(*ks, F.col(label).alias("label_id")).agg(F.count(F.lit(1)).alias("cnt"))
     tot = counts.groupBy(*ks).agg(F.sum("cnt").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    j = counts.join(tot, on=ks, how="inner") if ks else counts.crossJoin(tot)
+    j = counts.join(tot, on=ks, how="inner") if ks else with_scalars(counts, tot)
     return j.select(*ks, "label_id", "cnt", (F.col("_n") / (F.col("_k") * F.col("cnt"))).alias("weight"))
 
 
@@ -136,7 +138,7 @@ def metrics_from_confusion(conf: DataFrame, keys: Sequence[str] | None = None) -
     b = b.select(*ks, "tp", "fp", "fn", "tn", "precision", "recall",
                  _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"),
                  _div(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
-    return m.join(b, on=ks, how="inner") if ks else m.crossJoin(b)
+    return m.join(b, on=ks, how="inner") if ks else with_scalars(m, b)
 
 
 def metrics_from_confusion_rows(rows: list[tuple[int, int, int]]) -> dict[str, float]:

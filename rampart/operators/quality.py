@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import scalar_row, with_scalars
+
 SPLITS = ("train", "val", "test")
 
 
@@ -50,7 +52,7 @@ def duplicate_vectors(df: DataFrame, feature_cols: Sequence[str], split_col: str
     p = fp.where(F.col(split_col) == probe).groupBy("_fp1", "_fp2").agg(F.count(F.lit(1)).alias("_c"))
     dup = p.join(b, on=["_fp1", "_fp2"], how="left_semi").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_dup"))
     tot = p.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_probe"))
-    return tot.crossJoin(dup).withColumn(
+    return scalar_row(tot, dup).withColumn(
         "share", F.coalesce(F.try_divide(F.col("n_dup").cast("double"), F.col("n_probe")), F.lit(0.0)))
 
 
@@ -67,12 +69,14 @@ def class_counts(df: DataFrame, keys: Sequence[str], label: str = "label") -> Da
 def class_coverage(df: DataFrame, silo_col: str = "silo_id", label: str = "label_id") -> DataFrame:
     """(silo, class) pairs with no row: every silo x every known class, minus observed pairs.
 
-    Both sides are distinct-value sets (silos, classes), not rows.
+    The silo ids are one array (as many entries as silos, a run parameter; the partial
+    aggregate keeps only distinct ids per task); every distinct class expands over it.
     """
-    silos = df.select(silo_col).distinct()
+    silos = df.agg(F.array_sort(F.collect_set(silo_col)).alias("_silos"))
     classes = df.select(label).distinct()
+    pairs = classes.select(F.explode(silos.select("_silos").scalar()).alias(silo_col), label)
     observed = df.select(silo_col, label).distinct()
-    return silos.crossJoin(classes).join(observed, on=[silo_col, label], how="left_anti")
+    return pairs.join(observed, on=[silo_col, label], how="left_anti")
 
 
 def partition_check(df: DataFrame, expected_rows: DataFrame, id_col: str = "row_id",
@@ -81,7 +85,7 @@ def partition_check(df: DataFrame, expected_rows: DataFrame, id_col: str = "row_
     sizes = df.groupBy(silo_col).agg(F.count(F.lit(1)).alias("n_rows"))
     tot = df.agg(F.count(F.lit(1)).alias("assigned"), F.count_distinct(id_col).alias("distinct_ids"))
     exp = expected_rows.agg(F.count(F.lit(1)).alias("expected"))
-    return sizes.crossJoin(tot).crossJoin(exp)
+    return with_scalars(with_scalars(sizes, tot), exp)
 
 
 def label_union(frames: Sequence[DataFrame], label: str = "label") -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import with_scalars
 from rampart.functions.scalar import percent_label
 
 METHODS = ("fedavg", "median", "trimmed_mean", "krum", "multikrum")
@@ -200,10 +201,10 @@ def union_benchmarks(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def baseline_overlay(summary: DataFrame, baseline: DataFrame, metric: str = "f1") -> DataFrame:
-    """Every run's final metric next to the best baseline row (one row, broadcast by construction)."""
+    """Every run's final metric next to the best baseline row (a one-row aggregate, attached as scalars)."""
     best = baseline.agg(F.max_by(F.struct(RUN, metric), F.col(metric)).alias("_b")).select(
         F.col(f"_b.{RUN}").alias("baseline_run"), F.col(f"_b.{metric}").alias(f"baseline_{metric}"))
-    return summary.crossJoin(F.broadcast(best)).withColumn(
+    return with_scalars(summary, best).withColumn(
         f"delta_{metric}", F.col(metric) - F.col(f"baseline_{metric}"))
 
 

@@ -19,6 +19,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import with_scalars
+
 # Names of the aggregation rules and attacks.
 METHODS = ("fedavg", "median", "trimmed_mean", "krum", "multikrum")
 ATTACKS = ("none", "label_flip", "model_poison")
@@ -36,8 +38,8 @@ def _param(df: DataFrame, p: float | int | str | None, keys: list[str], name: st
 
 
 def _join(a: DataFrame, b: DataFrame, ks: list[str], how: str = "inner") -> DataFrame:
-    """Join on the key columns; with no keys ``b`` is a single-row table attached to every row."""
-    return a.join(b, on=ks, how=how) if ks else a.crossJoin(b)
+    """Join on the key columns; with no keys ``b`` is a one-row aggregate attached as scalars."""
+    return a.join(b, on=ks, how=how) if ks else with_scalars(a, b)
 
 
 def client_count(updates: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -150,8 +152,8 @@ def krum_select(updates: DataFrame, f: int | str = 0, multi: bool = False,
     sel = (F.col("n_clients") < 3) | (F.col("_r") <= m)
     scored = ranked.select(*ks, "client_id", "score", sel.alias("selected"))
     # a lone client has no distances at all: select it explicitly
-    small = client_count(updates, ks).where(F.col("n_clients") < 2)
-    small_rows = _join(updates.select(*ks, "client_id").distinct(), small, ks).select(
+    small_rows = _join(updates.select(*ks, "client_id").distinct(), client_count(updates, ks), ks).where(
+        F.col("n_clients") < 2).select(
         *ks, "client_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("selected"))
     return scored.unionByName(small_rows)
 
@@ -242,8 +244,9 @@ def mark_malicious(clients: DataFrame, fraction: float | str, keys: Sequence[str
     """Clients with ``client_id < round(fraction * n)`` are malicious."""
     ks = _keys(keys)
     fr = F.col(fraction) if isinstance(fraction, str) else F.lit(float(fraction))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*ks)) if ks else F.count(F.lit(1)).over(Window.partitionBy())
-    return clients.withColumn("malicious", (F.col("client_id") < num_malicious(fr, n)).cast("int"))
+    n = clients.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    out = _join(clients, n, ks)
+    return out.withColumn("malicious", (F.col("client_id") < num_malicious(fr, F.col("_n"))).cast("int")).drop("_n")
 
 
 # ------------------------------------------------------------------ parameter layout

@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import with_scalars
 from rampart.functions.scalar import hash_key, hash_unit
 from rampart.session import materialize
 
@@ -84,7 +85,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     from a one-row aggregate, no driver round trip).
     """
     min_count = df.groupBy(label).count().agg(F.min("count").alias("_minc"))
-    j = df.crossJoin(F.broadcast(min_count))
+    j = with_scalars(df, min_count)
     j = j.withColumn("_stratum", F.when(F.col("_minc") >= 2, F.col(label).cast("string"))
                      .otherwise(F.col(attack_col).cast("string"))).drop("_minc")
     r = hash_rank(j, id_col, seed, ["_stratum"])
@@ -114,7 +115,7 @@ def undersample_benign(df: DataFrame, id_col: str, label_id: str = "label_id", r
         return df
     attacks = df.where(F.col(label_id) != 0).agg(F.count(F.lit(1)).alias("_att"))
     benign = hash_rank(df.where(F.col(label_id) == 0), id_col, seed, size_col=None)
-    keep = benign.crossJoin(F.broadcast(attacks)).where(
+    keep = with_scalars(benign, attacks).where(
         F.col("rank") <= F.floor(F.lit(float(ratio)) * F.col("_att"))).drop("rank", "_att")
     return df.where(F.col(label_id) != 0).unionByName(keep)
 

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import with_scalars
 from rampart.operators import features as FE
 from rampart.operators import metrics as M
 from rampart.operators import sampling as S
@@ -116,16 +117,19 @@ def class_aligned_average(local: DataFrame, sizes: DataFrame, n_classes: int, n_
                           spark: SparkSession) -> DataFrame:
     """Size-weighted average of per-silo class parameters on the global class order.
 
-    ``local(silo_id, label_id, pos, value)`` holds only the classes a silo saw; the grid
-    silos x classes x positions (parameters per silo, bounded by the model size) is
-    left-joined so a missing class contributes 0.
+    ``local(silo_id, label_id, pos, value)`` holds only the classes a silo saw; a missing
+    class contributes 0, so the numerator sums the local rows only and the denominator is
+    every silo's weight. The global parameter grid (classes x positions, the model size)
+    is a range, left-joined so cells no silo saw come out 0.
     """
-    grid = (sizes.select("silo_id", "num_examples")
-            .crossJoin(spark.range(n_classes).select(F.col("id").cast("int").alias("label_id")))
-            .crossJoin(spark.range(n_features).select(F.col("id").cast("int").alias("pos"))))
-    j = grid.join(local, ["silo_id", "label_id", "pos"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     w = F.col("num_examples").cast("double")
-    return j.groupBy("label_id", "pos").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
+    num = local.join(sizes.select("silo_id", "num_examples"), "silo_id").groupBy("label_id", "pos").agg(
+        F.sum(w * F.col("value")).alias("_num"))
+    grid = spark.range(n_classes * n_features).select(
+        (F.col("id") / n_features).cast("int").alias("label_id"), (F.col("id") % n_features).cast("int").alias("pos"))
+    tot = sizes.agg(F.sum(w).alias("_den"))
+    j = with_scalars(grid.join(num, ["label_id", "pos"], "left"), tot)
+    return j.select("label_id", "pos", (F.coalesce("_num", F.lit(0.0)) / F.col("_den")).alias("value"))
 
 
 def local_fit_average(train: DataFrame, n_features: int, n_classes: int, steps: int = 20, eta0: float = 0.01,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import expand_values, with_scalars
 from rampart.operators import robust as R
 from rampart.plans.oracle_fixtures import with_fixtures
 from rampart.sources import tables as T
@@ -90,20 +91,22 @@ def attack_study(updates: DataFrame, clients: DataFrame, gparams: DataFrame, fra
                  spark: SparkSession) -> DataFrame:
     """Every aggregation rule under model poisoning at every malicious fraction, in one job.
 
-    The fraction table is a literal of len(fractions) rows (broadcast by construction).
+    The fractions are a literal array: every client / update / parameter row is expanded
+    over it by a generator (len(fractions) copies), no join with a literal table.
     Returns ``(aggregation, malicious_fraction, kept, err)``: err = L2 distance of the
     aggregate to the clean global parameters.
     """
     # the three inputs are small derived tables (clients x params); checkpoint them once so
     # the 25 configurations below do not rescan the source for every branch
     updates, clients, gparams = updates.checkpoint(), clients.checkpoint(), gparams.checkpoint()
-    cfg = F.broadcast(spark.createDataFrame([(float(x),) for x in fractions], "malicious_fraction double"))
+    fr = [float(x) for x in fractions]
     n = clients.agg(F.count(F.lit(1)).alias("_n"))
-    cl = clients.crossJoin(cfg).crossJoin(n)
+    cl = with_scalars(expand_values(clients, "malicious_fraction", fr, "double"), n)
     f_col = R.num_malicious(F.col("malicious_fraction"), F.col("_n"))
     cl = cl.withColumn("malicious", (F.col("client_id") < f_col).cast("int")).withColumn("f_def", f_col)
     keys = ["malicious_fraction"]
-    up = R.poison_updates(updates.crossJoin(cfg), gparams.crossJoin(cfg), cl, scale, keys)
+    up = R.poison_updates(expand_values(updates, "malicious_fraction", fr, "double"),
+                          expand_values(gparams, "malicious_fraction", fr, "double"), cl, scale, keys)
     up = up.join(cl.select(*keys, "client_id", "f_def", (F.col("f_def") / F.col("_n")).alias("trim")),
                  on=keys + ["client_id"])
     outs = []

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import with_scalars
 from rampart.functions.scalar import BENIGN
 
 TABLES = (
@@ -120,7 +121,7 @@ def client_info(spark: SparkSession, sf_dir: str, fraction: float = UPDATE_FRACT
         ),
     )
     n = clients.agg(F.count(F.lit(1)).alias("n"))
-    return clients.crossJoin(F.broadcast(n)).select(
+    return with_scalars(clients, n).select(
         "client_id",
         "num_examples",
         "train_loss",

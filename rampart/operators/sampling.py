@@ -14,7 +14,11 @@ the window's keys, so the rows are still shuffled only once.
 
 Bucket windows hold ~n / 16**bucket_hex rows each and run in parallel; since the md5
 prefix is uniform, a stratum holding a third of all rows is still cut into the same
-number of even buckets (no hot task).
+number of even buckets (no hot task). Five hex digits give 1,048,576 buckets: ~10^11
+flow rows (100 TB) make ~10^5 rows per bucket window, while the offsets table stays at
+most strata x 2^20 narrow rows (its running sum per stratum sorts <= 2^20 small rows).
+Below ~10^6 rows nearly every row is its own bucket and the offsets table is as small as
+the input's key columns (AQE broadcasts it).
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from rampart.functions.attach import with_scalars
 from rampart.functions.scalar import hash_key, hash_unit
 from rampart.session import materialize
 
-BUCKET_HEX = 3
+BUCKET_HEX = 5
 
 
 def hash_rank(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str] = (),

@@ -8,8 +8,8 @@ Input shape (long form, one row per client and coordinate)::
 ``keys`` are optional grouping columns (round, config_id, ...) so that many
 aggregations run in one job. Every rule reduces per ``(keys, pos)``; a group holds
 one value per client, so group sizes are bounded by the client count, never by the
-number of flow rows. Krum's pairwise distances are a self-join on ``(keys, pos)``
-with ``a.client_id < b.client_id`` followed by a partial (map-side) sum.
+number of flow rows. Krum's pairwise distances are a self-join of coordinate blocks on
+``(keys, block)`` with ``a.client_id < b.client_id`` followed by a partial (map-side) sum.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from rampart.functions.attach import with_scalars
 METHODS = ("fedavg", "median", "trimmed_mean", "krum", "multikrum")
 ATTACKS = ("none", "label_flip", "model_poison")
 
+PAIR_BLOCK = 64   # coordinates per packed block in Krum's pairwise distances
+
 
 def _keys(keys: Sequence[str] | None) -> list[str]:
     return list(keys or [])
@@ -97,20 +99,29 @@ def trimmed_mean(updates: DataFrame, trim_ratio: float | str = 0.0,
     return kept.groupBy(*ks, "pos").agg(F.avg("value").alias("value"))
 
 
-def pairwise_sq_distances(updates: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def pairwise_sq_distances(updates: DataFrame, keys: Sequence[str] | None = None,
+                          block: int = PAIR_BLOCK) -> DataFrame:
     """Squared L2 distance between every pair of clients, both directions, self excluded.
 
-    Computed once per unordered pair (``a < b``) by differences, which is >= 0 by
-    construction, then mirrored.
+    Each client's update is packed into blocks of ``block`` coordinates (one
+    ``pos -> value`` map per (keys, client, block), bounded by ``block``), so client pairs
+    are formed once per block rather than once per coordinate: n^2/2 x P/block pair rows,
+    an equi-join on (keys, block). Per-block sums of squared differences (>= 0 by
+    construction, no Gram-matrix cancellation) are summed per pair, partially before the
+    shuffle, then mirrored. A coordinate missing on one side is skipped.
     """
     ks = _keys(keys)
-    a = updates.select(*ks, "pos", F.col("client_id").alias("c1"), F.col("value").alias("v1"))
-    b = updates.select(*ks, "pos", F.col("client_id").alias("c2"), F.col("value").alias("v2"))
+    packed = updates.groupBy(*ks, "client_id", F.floor(F.col("pos") / block).alias("_blk")).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_m"))
+    a = packed.select(*ks, "_blk", F.col("client_id").alias("c1"), F.col("_m").alias("_m1"))
+    b = packed.select(*ks, "_blk", F.col("client_id").alias("c2"), F.col("_m").alias("_m2"))
+    sq = F.map_zip_with("_m1", "_m2", lambda _, x, y: F.coalesce((x - y) * (x - y), F.lit(0.0)))
+    part = F.aggregate(F.map_values(sq), F.lit(0.0), lambda acc, v: acc + v)
     half = (
-        a.join(b, on=ks + ["pos"], how="inner")
+        a.join(b, on=ks + ["_blk"], how="inner")
         .where(F.col("c1") < F.col("c2"))
         .groupBy(*ks, "c1", "c2")
-        .agg(F.sum((F.col("v1") - F.col("v2")) * (F.col("v1") - F.col("v2"))).alias("d"))
+        .agg(F.sum(part).alias("d"))
     )
     mirror = half.select(*ks, F.col("c2").alias("c1"), F.col("c1").alias("c2"), "d")
     return half.unionByName(mirror)

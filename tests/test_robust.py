@@ -111,3 +111,22 @@ def test_keys_run_many_configs_in_one_job(updates, clients):
     a = updates.crossJoin(updates.sparkSession.createDataFrame([(0,), (1,)], "cfg int"))
     out = R.trimmed_mean(a, 0.2, keys=["cfg"]).groupBy("cfg").count().collect()
     assert sorted((r["cfg"], r["count"]) for r in out) == [(0, N_PARAMS), (1, N_PARAMS)]
+
+
+def test_pairwise_distances_across_blocks_match_brute_force(spark):
+    """Several coordinate blocks (block 4, 11 coordinates) with one coordinate missing on a client."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(5, 11))
+    rows = [(c, p, float(m[c, p])) for c in range(5) for p in range(11) if not (c == 3 and p == 9)]
+    u = spark.createDataFrame(rows, "client_id int, pos int, value double")
+    got = {(r["c1"], r["c2"]): r["d"] for r in R.pairwise_sq_distances(u, block=4).collect()}
+    assert len(got) == 20
+    for i in range(5):
+        for j in range(5):
+            if i == j:
+                continue
+            keep = [p for p in range(11) if not ({i, j} & {3} and p == 9)]
+            want = float(((m[i, keep] - m[j, keep]) ** 2).sum())
+            assert got[(i, j)] == pytest.approx(want, rel=1e-12)

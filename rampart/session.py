@@ -45,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running on a cluster")
         path = tempfile.mkdtemp(prefix="rampart-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,39 +15,41 @@ ROW_ID = "Row_ID"
 SPLIT_FILES = {"train": "train", "val": "validation", "test": "test"}
 
 
-# ------------------------------------------------------------------ file listing (Hadoop FS, works on any store)
-def _fs_glob(spark: SparkSession, pattern: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    statuses = path.getFileSystem(conf).globStatus(path)
-    return sorted(str(s.getPath().toString()) for s in (statuses or []))
-
-
-def _exists(spark: SparkSession, p: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(p)
-    return bool(path.getFileSystem(conf).exists(path))
+# ------------------------------------------------------------------ file listing (data source API, any store)
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, by the data source's own path check (no content is read)."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def _list_files(spark: SparkSession, directory: str, glob: str) -> list[str]:
+    """Sorted paths of the files matching ``directory/glob`` (listing only: the ``content``
+    column of the binary-file source is never selected, so no file body is read)."""
+    pattern = f"{directory.rstrip('/')}/{glob}"
+    if not _exists(spark, directory):
+        return []
+    try:
+        rows = spark.read.format("binaryFile").load(pattern).select("path").collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    return sorted(r["path"] for r in rows)
 
 
 # ------------------------------------------------------------------ raw flow CSVs (S1-S3)
 def header_columns(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> list[str]:
-    """Raw header names of one CSV file: its first line, read through the file system API
-    (a few bytes per file, like reading a Parquet footer; no Spark job)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(conf).open(p)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding)).readLine()
-    finally:
-        stream.close()
-    if not line:
-        return []
-    import csv
-
-    return next(csv.reader([line]))
+    """Raw header names of one CSV file: its first line read as a data row (no header
+    handling, so names keep their spaces and duplicates are not renamed). Only the first
+    line of the first split is parsed."""
+    row = (spark.read.option("header", False).option("encoding", encoding).option("inferSchema", False)
+           .csv(path).limit(1).collect())
+    return [] if not row else ["" if v is None else v for v in row[0]]
 
 
 def normalised_names(raw: Sequence[str]) -> tuple[list[str], list[int]]:
@@ -88,7 +91,7 @@ def read_flow_csvs(spark: SparkSession, directory: str, encoding: str = "ISO-885
     columns become NULL). Thousands of day files with a handful of layouts stay a handful
     of scans.
     """
-    files = _fs_glob(spark, f"{directory.rstrip('/')}/*.csv")
+    files = _list_files(spark, directory, "*.csv")
     if not files:
         raise FileNotFoundError(f"no CSV files in {directory}")
     groups: dict[tuple[str, ...], list[str]] = {}

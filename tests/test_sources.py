@@ -37,3 +37,25 @@ def test_meta_round_trip(spark):
     d = tempfile.mkdtemp(prefix="rampart-meta-")
     IO.write_meta(spark, d + "/m", {"x": [1, 2], "y": "z"})
     assert IO.read_meta(spark, d + "/m") == {"x": [1, 2], "y": "z"}
+
+
+def test_missing_paths_raise(spark):
+    import pytest
+
+    d = tempfile.mkdtemp(prefix="rampart-miss-")
+    with pytest.raises(FileNotFoundError):
+        IO.read_split(spark, d, "train")
+    with pytest.raises(FileNotFoundError):
+        IO.read_meta(spark, d + "/absent")
+    with pytest.raises(FileNotFoundError):
+        IO.read_flow_csvs(spark, d)
+
+
+def test_split_without_label_raises(spark):
+    import pytest
+
+    d = tempfile.mkdtemp(prefix="rampart-split-")
+    with open(os.path.join(d, "train_group_aware.csv"), "w") as fh:
+        fh.write("Row_ID,a\n1,2.0\n")
+    with pytest.raises(KeyError):
+        IO.read_split(spark, d, "train")

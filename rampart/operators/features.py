@@ -13,6 +13,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import lookup_join
 from rampart.functions.scalar import BENIGN, clip, finite_or_zero, is_attack_label, signed_log1p
 
 # Fixed values (defaults of the preparation step).
@@ -48,7 +49,8 @@ def encode_labels(df: DataFrame, lmap: DataFrame, label: str = "label", mode: st
     if mode != "multiclass":
         raise ValueError(f"unknown label mode {mode!r}")
     j = df.withColumn("_lbl", F.trim(F.col(label).cast("string")))
-    return j.join(lmap.withColumnRenamed("label", "_lbl"), on="_lbl", how="left").drop("_lbl")
+    # one label may hold most rows (BENIGN): the map is broadcast within a checked bound
+    return lookup_join(j, lmap.withColumnRenamed("label", "_lbl"), on="_lbl", how="left").drop("_lbl")
 
 
 # ------------------------------------------------------------------ statistics

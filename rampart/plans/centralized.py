@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.functions.attach import with_scalars
+from rampart.functions.attach import lookup_join, with_scalars
 from rampart.operators import features as FE
 from rampart.operators import metrics as M
 from rampart.operators import sampling as S
@@ -71,7 +71,7 @@ def alpha_sweep(train: DataFrame, val: DataFrame, test: DataFrame, n_features: i
 
 def _weighted(train: DataFrame, n_classes: int) -> DataFrame:
     w = M.balanced_class_weights(train).select("label_id", F.col("weight").alias("w"))
-    return train.join(w, "label_id")
+    return lookup_join(train, w, "label_id", how="inner")
 
 
 def forest_baseline(train: DataFrame, val: DataFrame, test: DataFrame, n_classes: int, num_trees: int = 100,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rampart.functions.attach import lookup_join
 from rampart.operators import metrics as M
 from rampart.operators import robust as R
 from rampart.operators import sampling as S
@@ -91,7 +92,7 @@ def prepare_silo_rows(train: DataFrame, cfg: RunConfig, n_classes: int, spark: S
     tr = part.where(F.col("part") == "train")
     if "oversample" in cfg.rebalance:
         w = S.oversample_weights(tr).select("silo_id", "label_id", F.col("weight").alias("w_row"))
-        rows = part.join(w, ["silo_id", "label_id"], "left").fillna({"w_row": 1.0})
+        rows = lookup_join(part, w, ["silo_id", "label_id"], how="left").fillna({"w_row": 1.0})
     else:
         rows = part.withColumn("w_row", F.lit(1.0))
     n_mal = int(round(cfg.malicious_fraction * cfg.n_silos)) if cfg.attack != "none" else 0

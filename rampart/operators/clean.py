@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rampart.functions.attach import expand_values, scalar_row, with_scalars
 from rampart.functions.scalar import finite_or_null, finite_or_zero, is_finite, non_negative, repair_label, to_double
+from rampart.session import materialize
 
 
 def _stack(wide: DataFrame, names: Sequence[str], suffixes: Sequence[str], out: Sequence[str]) -> DataFrame:
@@ -189,7 +190,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
 
     tg = locate(tg, counts, None)
     for level in range(1, max_levels):
-        tg = tg.checkpoint()                       # tiny: <= columns x probs x 2 rows
+        # tiny (<= columns x probs x 2 rows) but derived from a full pass: written once to the
+        # shared checkpoint folder (an RDD checkpoint would compute that pass twice)
+        tg = materialize(tg, "quantile-targets")
         biggest = tg.agg(F.max("cnt")).head()[0] or 0
         if biggest <= max_sort_rows:
             break

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rampart.functions.attach import expand_values, with_scalars
 from rampart.operators import robust as R
 from rampart.plans.oracle_fixtures import with_fixtures
+from rampart.session import materialize
 from rampart.sources import tables as T
 
 F_DEF = 2          # assumed attacker count for the Krum family (= round(0.2 * 10))
@@ -96,9 +97,11 @@ def attack_study(updates: DataFrame, clients: DataFrame, gparams: DataFrame, fra
     Returns ``(aggregation, malicious_fraction, kept, err)``: err = L2 distance of the
     aggregate to the clean global parameters.
     """
-    # the three inputs are small derived tables (clients x params); checkpoint them once so
-    # the 25 configurations below do not rescan the source for every branch
-    updates, clients, gparams = updates.checkpoint(), clients.checkpoint(), gparams.checkpoint()
+    # the three inputs are small derived tables (clients x params); write them once to the
+    # shared checkpoint folder so the 25 configurations below do not rescan the source for
+    # every branch (computed once, unlike an RDD checkpoint, and safe from executor loss)
+    updates, clients, gparams = (materialize(updates, "study-updates"), materialize(clients, "study-clients"),
+                                 materialize(gparams, "study-global"))
     fr = [float(x) for x in fractions]
     n = clients.agg(F.count(F.lit(1)).alias("_n"))
     cl = with_scalars(expand_values(clients, "malicious_fraction", fr, "double"), n)

@@ -4,7 +4,9 @@ The flow rows are prepared once (silo id, per-silo validation flag, oversampling
 possibly flipped training label), written as Parquet under the session's shared
 checkpoint folder and read back, which cuts lineage and survives executor loss. Every
 round runs a handful of jobs over those rows; only parameters (silos x classes x
-features doubles) move between driver and executors.
+features doubles) move between driver and executors. The rows are not cached: each pass
+re-reads the compact Parquet copy (column-pruned), which holds at any size, where a cache
+of the whole training set would not fit executor memory at scale.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def evaluate(model: LinearModel, test: DataFrame, val: DataFrame | None) -> dict
 def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame | None,
                   n_features: int, n_classes: int, cfg: RunConfig, log_dir: str | None = None) -> DataFrame:
     """Train one run; returns its round log (round 0 = the zero model) and appends it to ``log_dir``."""
-    rows = prepare_silo_rows(train, cfg, n_classes, spark).cache()
+    rows = prepare_silo_rows(train, cfg, n_classes, spark)
     local_rows = rows.where(F.col("part") == "train")
     cw = class_weights_of(train, n_classes) if "weights" in cfg.rebalance else None
     silos = list(range(cfg.n_silos))
@@ -191,7 +193,6 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
                     "kept_clients": kept, "malicious_kept": mal_kept, "agg_time_s": agg_time,
                     "train_loss": sum(stats[s][1] * stats[s][0] for s in present) / wsum if wsum else 0.0,
                     "bytes_up": n * n_params * 8, "bytes_down": n * n_params * 8})
-    rows.unpersist()
     out = spark.createDataFrame([tuple(r.get(f.name) for f in ROUND_SCHEMA.fields) for r in log], ROUND_SCHEMA)
     if log_dir:
         out.write.mode("append").partitionBy("run_name").parquet(log_dir)

@@ -112,7 +112,9 @@ def prepare_features(df: DataFrame, features: Sequence[str], split_col: str = "s
     dropped = [c for c in features if c not in kept]
     kept_stats = {r["feature"]: (r["mean"], r["std"]) for r in srows if r["feature"] in kept}
     out = standardize(t.drop(*dropped), kept_stats, kept, CLIP_SIGNEDLOG if mode == "signedlog" else None)
-    return out, kept, stats.where(F.col("feature").isin(kept))
+    # the statistics already collected (one row per feature) become a local table: no second pass
+    local = df.sparkSession.createDataFrame([r for r in srows if r["feature"] in kept], stats.schema)
+    return out, kept, local
 
 
 # ------------------------------------------------------------------ profiles over long-form features

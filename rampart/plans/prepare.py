@@ -1,6 +1,7 @@
 """Split tables -> checked, encoded, scaled feature store (one lazy plan, two small collects).
 
-Order: read the three splits (optional stratified subsample) -> id leakage check (raises)
+Order: read the three splits (optional stratified subsample) -> typed copy written once
+-> id leakage check (raises)
 -> feature alignment (raises) -> duplicate feature vectors across splits (reported)
 -> label map (BENIGN = 0) and unseen labels (reported) -> encode -> non-finite -> 0
 -> signed log (optional) -> train-only statistics -> drop constant columns -> scale (+clip)
@@ -14,9 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rampart.functions.attach import small_table
 from rampart.operators import features as FE
 from rampart.operators import quality as Q
 from rampart.operators import sampling as S
+from rampart.session import materialize
 from rampart.sources import io as IO
 
 
@@ -42,10 +45,14 @@ def prepare_from_splits(spark: SparkSession, directory: str, out: str | None = N
     if sample_frac is not None:
         df = S.stratified_sample_frac(df, IO.ROW_ID, IO.LABEL, sample_frac, seed, ["split"])
     df = df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in feats})
+    # parse the CSV text once: the checks below re-read a typed, column-pruned Parquet copy
+    # (partitioned by split) instead of re-parsing every file, and generated ids stay fixed
+    df = materialize(df, "prepare-splits", ["split"])
     if has_id:
         Q.assert_no_leak(Q.id_overlap(df, IO.ROW_ID, "split"))
     dup = Q.duplicate_vectors(df, feats).head().asDict()
     lmap = FE.label_map(df, IO.LABEL)
+    lmap = small_table(lmap) or lmap      # one row per class: computed once, then local
     if label_mode == "multiclass":
         FE.require_benign(lmap)
     unseen = [r[IO.LABEL] for r in Q.unseen_labels(df, IO.LABEL).collect()]

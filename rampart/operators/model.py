@@ -96,6 +96,32 @@ def score(df: DataFrame, model: LinearModel, features: str = "features") -> Data
     return out.drop("_z", "_s", "_t")
 
 
+def prediction_expr(model: LinearModel, features: str = "features") -> Column:
+    """Hard prediction of ``model`` as one expression (same rule as ``score``)."""
+    z = decision_array(model, features)
+    if model.binary:
+        return F.when(F.element_at(z, 1) > 0, F.lit(1)).otherwise(F.lit(0))
+    return (F.array_position(z, F.array_max(z)) - 1).cast("int")
+
+
+def confusion_of_models(sets: DataFrame, models: dict[int, LinearModel], label: str = "label_id",
+                        set_col: str = "_set", features: str = "features") -> dict[tuple[int, str], list]:
+    """Confusion cells of several models on several row sets from ONE scan.
+
+    Each row gets one prediction per model (an array), unpivoted to (model, prediction)
+    and counted per (model, set, true, predicted): at most models x sets x C^2 cells
+    reach the driver. Returns ``{(model key, set): [(y, p, count), ...]}``.
+    """
+    keys = sorted(models)
+    preds = F.array(*[prediction_expr(models[k], features) for k in keys])
+    long = sets.select(set_col, F.col(label).alias("_y"), F.posexplode(preds).alias("_m", "_p"))
+    cells = long.groupBy("_m", set_col, "_y", "_p").agg(F.count(F.lit(1)).alias("_n")).collect()
+    out: dict[tuple[int, str], list] = {}
+    for r in cells:
+        out.setdefault((keys[int(r["_m"])], r[set_col]), []).append((int(r["_y"]), int(r["_p"]), int(r["_n"])))
+    return out
+
+
 def true_class_proba(label: str = "label_id") -> Column:
     return F.element_at(F.col("proba"), F.col(label) + 1)
 

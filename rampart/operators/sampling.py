@@ -28,6 +28,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from rampart.functions.attach import with_scalars
 from rampart.functions.scalar import hash_key, hash_unit
@@ -36,26 +37,48 @@ from rampart.session import materialize
 BUCKET_HEX = 5
 
 
+def _stratum_keys(df: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Per stratum column a non-null pair (value or a typed default, is-null flag).
+
+    Plain equality on the pair is null-safe equality on the column, so the counts, the
+    offsets join and the bucket window all group by the same plain columns: a NULL
+    stratum is its own stratum (as in a window) and the rows are shuffled once.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols: dict[str, Column] = {}
+    for i, c in enumerate(strata):
+        t = types[c]
+        if isinstance(t, NumericType):
+            v = F.coalesce(F.col(c), F.lit(0).cast(t))
+        elif isinstance(t, BooleanType):
+            v = F.coalesce(F.col(c), F.lit(False))
+        else:
+            v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        cols[f"_sv{i}"] = v
+        cols[f"_sn{i}"] = F.col(c).isNull()
+    return df.withColumns(cols), list(cols)
+
+
 def hash_rank(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str] = (),
               bucket_hex: int = BUCKET_HEX, rank_col: str = "rank", size_col: str | None = "stratum_size") -> DataFrame:
     """Exact 1-based rank of each row in ``md5(id:seed), id`` order within its stratum."""
-    st = list(strata)
-    keyed = df.withColumn("_key", hash_key(id_col, seed)).withColumn("_bkt", F.substring("_key", 1, bucket_hex))
-    counts = keyed.groupBy(*st, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*st).orderBy("_bkt")
+    keyed, sk = _stratum_keys(df, list(strata))
+    keyed = keyed.withColumn("_key", hash_key(id_col, seed)).withColumn("_bkt", F.substring("_key", 1, bucket_hex))
+    counts = keyed.groupBy(*sk, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*sk).orderBy("_bkt")
     offsets = counts.select(
-        *st, "_bkt",
+        *sk, "_bkt",
         (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt")).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*st)).alias("_size"),
+        F.sum("_cnt").over(Window.partitionBy(*sk)).alias("_size"),
     )
-    j = keyed.join(offsets, on=st + ["_bkt"], how="inner")
-    inner = Window.partitionBy(*st, "_bkt").orderBy("_key", id_col)
+    j = keyed.join(offsets, on=sk + ["_bkt"], how="inner")
+    inner = Window.partitionBy(*sk, "_bkt").orderBy("_key", id_col)
     out = j.withColumn(rank_col, (F.row_number().over(inner) + F.col("_off")).cast("bigint"))
     if size_col:
         out = out.withColumnRenamed("_size", size_col)
     else:
         out = out.drop("_size")
-    return out.drop("_key", "_bkt", "_off")
+    return out.drop("_key", "_bkt", "_off", *sk)
 
 
 # ------------------------------------------------------------------ stratified samples

@@ -85,3 +85,19 @@ def test_undersample(rows):
     # attacks = 429 (multiples of 7 -> label 0 after the flip are benign ... ) keep min(benign, attacks)
     counts = {r["label_id"]: r["count"] for r in u.groupBy("label_id").count().collect()}
     assert counts[0] == min(429, counts[1])
+
+
+def test_rank_keeps_null_strata(spark):
+    """A NULL stratum is ranked as its own group, exactly like a window partition."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = [(i, None if i % 7 == 0 else f"c{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, label string")
+    got = {r["row_id"]: (r["rank"], r["stratum_size"]) for r in S.hash_rank(df, "row_id", 42, ["label"]).collect()}
+    key = F.md5(F.concat(F.col("row_id").cast("string"), F.lit(":42")))
+    w = Window.partitionBy("label").orderBy(key, "row_id")
+    want = {r["row_id"]: (r["rank"], r["n"]) for r in df.select(
+        "row_id", F.row_number().over(w).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("n")
+    ).collect()}
+    assert got == want and len(got) == 500

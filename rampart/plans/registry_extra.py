@@ -77,6 +77,21 @@ def q_stream_score(spark, sf):
     return out.select("row_id", "prediction", F.round("p_max", 6).alias("p_max"))
 
 
+def q_stream_confusion(spark, sf):
+    """Running (true, predicted) counts of a stream of embedding rows: a stateful streaming
+    aggregation whose state is one row per confusion cell."""
+    model = RM.class_mean_model(spark, sf)
+    src = T.table(spark, sf, "embeddings")
+    stream = ST.read_flow_stream(spark, sf, src.schema, max_files_per_trigger=1, file_glob="embeddings.parquet")
+    rows = stream.select(F.col("label").cast("int").alias("label_id"),
+                         F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    base = scratch_path(spark, f"stream-conf-{uuid.uuid4().hex}")
+    q = ST.start_state_sink(ST.running_confusion(rows, model), f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("y").cast("int").alias("y"),
+                                                     F.col("p").cast("int").alias("p"), "cnt")
+
+
 QUERIES = {
     "clean_nonfinite_replaced": q_replaced,
     "profile_inspect_negative_duration": q_inspect,
@@ -86,6 +101,7 @@ QUERIES = {
     "model_one_shot_average": q_one_shot,
     "features_top_importances": q_top_importances,
     "streaming_score": q_stream_score,
+    "streaming_confusion": q_stream_confusion,
 }
 
 ORACLE = {
@@ -100,4 +116,7 @@ ORDER BY row_id LIMIT 20"""),
     "profile_top_values": with_fixtures("dirty", """
 SELECT raw_text, count(*) AS n FROM dirty GROUP BY raw_text ORDER BY n DESC, raw_text ASC NULLS FIRST LIMIT 5"""),
     "streaming_score": RM.ORACLE["model_score"],
+    "streaming_confusion": with_fixtures("updates", """
+SELECT CAST(label_id AS INTEGER) AS y, CAST(cls AS INTEGER) AS p, count(*) AS cnt FROM pn WHERE rk = 1
+GROUP BY label_id, cls""", RM.SCORE_CTES),
 }

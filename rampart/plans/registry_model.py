@@ -123,7 +123,7 @@ QUERIES = {
     "model_gbt": q_gbt,
 }
 
-_SCORE = [
+SCORE_CTES = _SCORE = [
     ("z", "SELECT w.row_id, w.label_id, u.client_id AS cls, sum(w.value * u.value) AS z "
           "FROM wide_long w JOIN updates u ON w.pos = u.pos GROUP BY w.row_id, w.label_id, u.client_id"),
     ("p", "SELECT row_id, label_id, cls, z, 1.0e0 / (1.0e0 + exp(-z)) AS s FROM z"),

@@ -48,3 +48,19 @@ def running_confusion(stream: DataFrame, model: LinearModel, label: str = "label
     """Streaming confusion counts (complete mode); state = one row per (true, predicted) pair."""
     sc = score(stream, model, features)
     return sc.groupBy(F.col(label).alias("y"), F.col("prediction").alias("p")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def start_state_sink(agg: DataFrame, out_dir: str, checkpoint_dir: str,
+                     available_now: bool = True) -> StreamingQuery:
+    """Complete-mode sink for a bounded streaming aggregation (e.g. ``running_confusion``).
+
+    Every micro-batch carries the whole current result (at most classes x classes rows);
+    it overwrites ``out_dir``, so a replayed batch after a failure writes the same table
+    again (idempotent), and the state itself lives in the checkpoint location.
+    """
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out_dir)
+
+    w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir).foreachBatch(write)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

@@ -61,17 +61,27 @@ def rounds_to_fraction(rounds: DataFrame, metric: str = "f1", frac: float = 0.95
         RUN, F.when(F.col("final") > floor_, F.col("_hit")).alias("rounds_to_95pct_final_f1"))
 
 
+# Columns of the per-run summary, in report order (run keys, then final metrics).
+SUMMARY_KEYS = ("aggregation", "attack", "malicious_fraction", "clients", "partition_alpha", "seed")
+SUMMARY_FINAL = ("accuracy", "precision", "recall", "f1", "fpr", "loss")
+
+
 def run_summary(rounds: DataFrame) -> DataFrame:
-    """One row per run: final metrics, convergence, mean aggregation ms, communication MB, attackers seen/kept."""
+    """One row per run: final metrics, convergence, mean aggregation ms, communication MB, attackers seen/kept.
+
+    Key and final-metric columns missing from the log (older logs, other writers) are left out.
+    ``wall_time_s`` is the last logged ``elapsed_s``; logs without it derive it from ``logged_at``.
+    """
     r = backfill_clients(rounds)
-    r = elapsed(r) if "logged_at" in r.columns else r.withColumn("elapsed_s", F.lit(None).cast("double"))
+    if "elapsed_s" not in r.columns:
+        r = elapsed(r) if "logged_at" in r.columns else r.withColumn("elapsed_s", F.lit(None).cast("double"))
     down = F.col("bytes_down") if "bytes_down" in r.columns else F.col("bytes_up")
     trained = F.col("round") > 0
-    w = _run_window()
-    final_f1 = F.max_by("f1", "round").over(w)
-    r = r.withColumn("_final_f1", final_f1)
-    last = F.max_by(F.struct("aggregation", "attack", "malicious_fraction", "clients", "f1", "recall", "fpr",
-                             "elapsed_s"), "round")
+    keys = [c for c in SUMMARY_KEYS if c in r.columns]
+    finals = [c for c in SUMMARY_FINAL if c in r.columns]
+    kept = F.col("malicious_kept") if "malicious_kept" in r.columns else F.lit(None).cast("double")
+    r = r.withColumn("_final_f1", F.max_by("f1", "round").over(_run_window()))
+    last = F.max_by(F.struct(*keys, *finals, "elapsed_s"), "round")
     g = r.groupBy(RUN).agg(
         last.alias("_l"),
         F.max("round").alias("rounds"),
@@ -79,13 +89,13 @@ def run_summary(rounds: DataFrame) -> DataFrame:
         (F.avg(F.when(trained, F.col("agg_time_s"))) * 1000).alias("mean_agg_time_ms"),
         (F.sum(F.when(trained, F.col("bytes_up") + down)) / F.lit(1e6)).alias("total_comm_MB"),
         F.avg(F.when(trained, F.col("malicious_in_round"))).alias("malicious_in_round"),
-        F.avg(F.when(trained, F.col("malicious_kept"))).alias("malicious_kept"),
+        F.avg(F.when(trained, kept)).alias("malicious_kept"),
     )
     return g.select(
         RUN,
-        *[F.col(f"_l.{c}").alias(c) for c in ("aggregation", "attack", "malicious_fraction", "clients")],
+        *[F.col(f"_l.{c}").alias(c) for c in keys],
         "rounds",
-        *[F.col(f"_l.{c}").alias(c) for c in ("f1", "recall", "fpr")],
+        *[F.col(f"_l.{c}").alias(c) for c in finals],
         F.when(F.col("_l.f1") > 0.05, F.col("_hit")).alias("rounds_to_95pct_final_f1"),
         "mean_agg_time_ms", "total_comm_MB",
         F.col("_l.elapsed_s").alias("wall_time_s"),

@@ -43,3 +43,21 @@ def test_unknown_clients_show_question_mark(spark):
     v = spark.range(1).select(RP.model_name(F.lit("krum"), F.lit(None).cast("int"), F.lit(0.5), F.lit(3),
                                             F.lit("0.5")).alias("m")).head()["m"]
     assert v == "Federated logistic_sgd (krum, ? clients, non-IID a=0.5, 3 rounds)"
+
+
+def test_summary_of_a_training_run_log(spark):
+    """A log written by the round loop: logged elapsed time and every key / final column carried."""
+    from rampart.operators import report as RP
+
+    rows = [("r", "krum", "none", 0.0, 0.0, 42, rnd, None if rnd == 0 else 5, 0.5 + rnd / 10, 0.6, 0.7, 0.4 + rnd / 10,
+             0.1, 0.3, 1.5 * rnd, None if rnd == 0 else 0.01, None if rnd == 0 else 800, None if rnd == 0 else 0,
+             None if rnd == 0 else 1) for rnd in range(3)]
+    df = spark.createDataFrame(rows, "run_name string, aggregation string, attack string, malicious_fraction double, "
+                               "partition_alpha double, seed int, round int, clients int, accuracy double, "
+                               "precision double, recall double, f1 double, fpr double, loss double, elapsed_s double, "
+                               "agg_time_s double, bytes_up bigint, malicious_in_round int, malicious_kept int")
+    s = RP.run_summary(df).collect()[0].asDict()
+    assert s["wall_time_s"] == 3.0 and s["clients"] == 5 and s["seed"] == 42 and s["partition_alpha"] == 0.0
+    assert s["accuracy"] == 0.7 and s["loss"] == 0.3 and s["rounds"] == 2
+    assert s["rounds_to_95pct_final_f1"] == 2 and abs(s["mean_agg_time_ms"] - 10.0) < 1e-9
+    assert abs(s["total_comm_MB"] - 4 * 800 / 1e6) < 1e-12 and s["malicious_kept"] == 1.0

@@ -154,9 +154,19 @@ def select_best(candidates: DataFrame, keys: Sequence[str], choice: str, metric:
     return candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(*keys, choice, metric)
 
 
-def eligible_runs(rounds: DataFrame, required: Sequence[str] = ("f1", "val_macro_f1")) -> DataFrame:
-    """Clean runs (last row attack = 'none') that have trained rounds and the required metrics."""
+# Metrics a run log needs to enter the benchmark (balanced accuracy, macro-F1 of the
+# trained rounds, validation macro-F1 for best-round selection).
+BENCH_REQUIRED = ("balanced_accuracy", "macro_f1", "val_macro_f1")
+
+
+def eligible_runs(rounds: DataFrame, required: Sequence[str] = BENCH_REQUIRED) -> DataFrame:
+    """Clean runs (last row attack = 'none') that have trained rounds and the required metrics.
+
+    A required column absent from the log's schema makes every run ineligible.
+    """
     last = final_round(rounds, ["attack"])
+    if any(c not in rounds.columns for c in required):
+        return last.where(F.lit(False)).select(RUN, F.col("round").alias("last_round"))
     trained = rounds.where(F.col("round") > 0).groupBy(RUN).agg(
         *[F.count(c).alias(f"_n_{c}") for c in required])
     ok = F.lit(True)
@@ -174,19 +184,31 @@ def model_name(aggregation: Column, clients: Column, partition_alpha: Column, ro
     return F.format_string("Federated logistic_sgd (%s, %s clients, %s, %d rounds)", aggregation, n, dist, rounds)
 
 
+def alpha_text(df: DataFrame, col: str = "partition_alpha", max_values: int = 10_000) -> Column | None:
+    """Python ``%g`` text of every distinct positive alpha (``1.0`` -> ``1``, ``1e-05``), as a
+    lookup expression. Spark's casts and Java's ``%g`` print these differently, so the few
+    distinct values (at most ``max_values``, checked) are formatted on the driver."""
+    vals = [r[0] for r in df.where(F.col(col) > 0).select(col).distinct().limit(max_values + 1).collect()]
+    if not vals or len(vals) > max_values:
+        return None
+    m = F.create_map(*[x for v in vals for x in (F.lit(float(v)), F.lit(f"{float(v):g}"))])
+    return F.try_element_at(m, F.col(col).cast("double"))
+
+
 BENCH_COLS = ("Model", "Source", "Split", "Selection", "Round", "Accuracy", "Balanced Accuracy", "Macro F1",
               "Weighted F1")
 
 
-def benchmark_rows(rounds: DataFrame, source: str = "federated") -> DataFrame:
+def benchmark_rows(rounds: DataFrame, source: str = "federated", required: Sequence[str] = BENCH_REQUIRED) -> DataFrame:
     """Final and best-by-validation test rows of every eligible clean run, in the fixed 9-column layout."""
     metric_map = {"Accuracy": "accuracy", "Balanced Accuracy": "balanced_accuracy", "Macro F1": "macro_f1",
                   "Weighted F1": "weighted_f1"}
     present = [c for c in metric_map.values() if c in rounds.columns]
-    elig = eligible_runs(rounds)
+    elig = eligible_runs(rounds, required)
     r = backfill_clients(rounds).join(elig.select(RUN), RUN, "left_semi")
     alpha = F.col("partition_alpha") if "partition_alpha" in r.columns else F.lit(None).cast("double")
     r = r.withColumn("_alpha", alpha)
+    text = alpha_text(r, "_alpha") if "partition_alpha" in rounds.columns else None
     fin = final_round(r, ["aggregation", "clients", "_alpha", *present]).withColumn("Selection", F.lit("final"))
     best = best_round(r, ["aggregation", "clients", "_alpha", *present]).withColumn("Selection", F.lit("best_val_macro_f1"))
     last = final_round(r, ["aggregation", "clients", "_alpha"]).select(RUN, F.col("round").alias("_last"))
@@ -194,7 +216,8 @@ def benchmark_rows(rounds: DataFrame, source: str = "federated") -> DataFrame:
     def shape(df: DataFrame) -> DataFrame:
         d = df.join(last, RUN)
         return d.select(
-            model_name(F.col("aggregation"), F.col("clients"), F.col("_alpha"), F.col("_last")).alias("Model"),
+            model_name(F.col("aggregation"), F.col("clients"), F.col("_alpha"), F.col("_last"),
+                       text).alias("Model"),
             F.lit(source).alias("Source"), F.lit("test").alias("Split"), "Selection",
             F.col("round").cast("int").alias("Round"),
             *[(F.col(v) if v in present else F.lit(None).cast("double")).alias(k) for k, v in metric_map.items()])

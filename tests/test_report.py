@@ -61,3 +61,21 @@ def test_summary_of_a_training_run_log(spark):
     assert s["accuracy"] == 0.7 and s["loss"] == 0.3 and s["rounds"] == 2
     assert s["rounds_to_95pct_final_f1"] == 2 and abs(s["mean_agg_time_ms"] - 10.0) < 1e-9
     assert abs(s["total_comm_MB"] - 4 * 800 / 1e6) < 1e-12 and s["malicious_kept"] == 1.0
+
+
+def test_benchmark_names_format_alpha_like_python(spark):
+    """Clean runs with partition alpha 1.0 and 1e-05: names read 'a=1' and 'a=1e-05'."""
+    from rampart.operators import report as RP
+
+    rows = []
+    for run, alpha in (("p", 1.0), ("q", 1e-05), ("r", 0.0)):
+        for rnd in range(3):
+            rows.append((run, "fedavg", "none", alpha, rnd, None if rnd == 0 else 5, 0.9, 0.8, 0.7, 0.6,
+                         0.1 * rnd))
+    df = spark.createDataFrame(rows, "run_name string, aggregation string, attack string, partition_alpha double, "
+                               "round int, clients int, accuracy double, balanced_accuracy double, macro_f1 double, "
+                               "weighted_f1 double, val_macro_f1 double")
+    names = {r["Model"] for r in RP.benchmark_rows(df).collect()}
+    assert names == {"Federated logistic_sgd (fedavg, 5 clients, non-IID a=1, 2 rounds)",
+                     "Federated logistic_sgd (fedavg, 5 clients, non-IID a=1e-05, 2 rounds)",
+                     "Federated logistic_sgd (fedavg, 5 clients, IID, 2 rounds)"}

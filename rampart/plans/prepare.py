@@ -53,8 +53,7 @@ def prepare_from_splits(spark: SparkSession, directory: str, out: str | None = N
     dup = Q.duplicate_vectors(df, feats).head().asDict()
     lmap = FE.label_map(df, IO.LABEL)
     lmap = small_table(lmap) or lmap      # one row per class: computed once, then local
-    if label_mode == "multiclass":
-        FE.require_benign(lmap)
+    FE.require_benign(lmap)               # class 0 must be BENIGN in either label mode
     unseen = [r[IO.LABEL] for r in Q.unseen_labels(df, IO.LABEL).collect()]
     enc = FE.encode_labels(df, lmap, IO.LABEL, label_mode)
     scaled, kept, stats = FE.prepare_features(enc, feats, mode=transform)

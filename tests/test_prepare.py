@@ -56,3 +56,16 @@ def test_leaky_ids_raise(spark):
 def test_missing_split_raises(spark):
     with pytest.raises(FileNotFoundError):
         prepare_from_splits(spark, tempfile.mkdtemp(prefix="rampart-empty-"))
+
+
+def test_no_benign_raises_in_both_modes(spark):
+    d = tempfile.mkdtemp(prefix="rampart-nobenign-")
+    for name in ("train", "validation", "test"):
+        with open(os.path.join(d, f"{name}_group_aware.csv"), "w") as fh:
+            fh.write("Row_ID,a,Label\n")
+            base = {"train": 0, "validation": 100, "test": 200}[name]
+            for i in range(base, base + 10):
+                fh.write(f"{i},{i * 0.5},{'DoS' if i % 2 else 'PortScan'}\n")
+    for mode in ("multiclass", "binary"):
+        with pytest.raises(ValueError, match="BENIGN"):
+            prepare_from_splits(spark, d, label_mode=mode)

@@ -96,7 +96,7 @@ def q_forest(spark, sf):
 
 def q_gbt(spark, sf):
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
-    return CZ.gbt_baseline(tr, va, te, max_iter=10)
+    return CZ.gbt_baseline(tr, va, te, nc, max_iter=10)
 
 
 def q_aligned_average(spark, sf):

@@ -155,13 +155,28 @@ def class_aligned_average(local: DataFrame, sizes: DataFrame, n_classes: int, n_
 
 
 def local_fit_average(train: DataFrame, n_features: int, n_classes: int, steps: int = 20, eta0: float = 0.01,
-                      alpha: float = 1e-4) -> LinearModel:
-    """One-shot: every silo trains to the step budget from zero, then a size-weighted average."""
-    cw = class_weights_of(train, n_classes)
-    silos = [int(r["silo_id"]) for r in train.select("silo_id").distinct().collect()]
+                      alpha: float = 1e-4, balanced: bool = False) -> LinearModel:
+    """One-shot: every silo trains to the step budget from zero, then a size-weighted average.
+
+    Class alignment: a silo's coefficient and intercept rows for classes it never saw count
+    as 0 in the average (its local model has no such class). Local models are unweighted
+    unless ``balanced``. The (silo, class) presence table has at most silos x classes rows.
+    """
+    present: dict[int, set[int]] = {}
+    for r in train.select("silo_id", "label_id").distinct().collect():
+        present.setdefault(int(r["silo_id"]), set()).add(int(r["label_id"]))
+    silos = sorted(present)
+    cw = class_weights_of(train, n_classes) if balanced else None
     tr = train.withColumn("train_label", F.col("label_id"))
     models, stats = train_local(tr, {s: LinearModel.zeros(n_features, n_classes) for s in silos}, n_features,
                                 steps, eta0, alpha, class_weights=cw)
+
+    def aligned(m: LinearModel, s: int) -> LinearModel:
+        if m.binary:
+            return m
+        seen = np.array([c in present[s] for c in range(n_classes)], dtype=np.float64)
+        return LinearModel(m.coef * seen[:, None], m.intercept * seen, n_classes)
+
     tot = sum(stats[s][0] for s in silos if s in stats)
-    flat = sum(models[s].flat() * stats[s][0] for s in silos if s in stats) / tot
+    flat = sum(aligned(models[s], s).flat() * stats[s][0] for s in silos if s in stats) / tot
     return LinearModel.from_flat(np.asarray(flat), n_features, n_classes)

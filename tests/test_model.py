@@ -69,3 +69,22 @@ def test_alpha_sweep_rows(spark, data):
     out = alpha_sweep(tr, va, te, 4, 3, alphas=(1e-4, 1e-3), epochs=2).collect()
     assert len(out) == 4
     assert all(("alpha=0.0001" in r["model"]) or ("alpha=0.001" in r["model"]) for r in out)
+
+
+def test_one_shot_average_zeroes_unseen_classes(spark):
+    """Silo 1 never sees class 2: its class-2 row counts as 0 in the size-weighted average."""
+    import numpy as np
+
+    from rampart.plans.centralized import local_fit_average
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        silo = i % 2
+        label = (i // 2) % 3 if silo == 0 else (i // 2) % 2
+        rows.append((i, silo, label, [float(v) for v in rng.normal(size=2) + label]))
+    df = spark.createDataFrame(rows, "row_id long, silo_id int, label_id int, features array<double>")
+    both = local_fit_average(df, 2, 3, steps=3)
+    only0 = local_fit_average(df.where("silo_id = 0"), 2, 3, steps=3)
+    # silo sizes are equal, so class 2 of the average is half of silo 0's class-2 row
+    assert np.allclose(both.coef[2], only0.coef[2] / 2) and np.isclose(both.intercept[2], only0.intercept[2] / 2)

@@ -56,3 +56,25 @@ def test_entry_runs(spark):
 def test_every_query_has_unique_name():
     names = list(entry.queries())
     assert len(names) == len(set(names)) and len(names) >= 90
+
+
+def test_python_workers_import_the_package_from_any_directory(tmp_path):
+    """A driver started elsewhere (repo only on its own sys.path) still runs Arrow-partial queries."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.queries()['model_gradient_step'](spark, %r).count())\n" % (repo, SF_SMALL)
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "ROWS" in out.stdout

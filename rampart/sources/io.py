@@ -43,9 +43,51 @@ def _list_files(spark: SparkSession, directory: str, glob: str) -> list[str]:
 
 
 # ------------------------------------------------------------------ raw flow CSVs (S1-S3)
+def _first_lines(batches, encoding: str):
+    """Executor side: the first line of every file in the batch (``pyarrow`` file systems:
+    local, S3, GCS, HDFS), reading at most until the first newline. None when the scheme is
+    not readable from Python."""
+    import pandas as pd
+    import pyarrow.fs as pafs
+
+    for pdf in batches:
+        out = []
+        for path in pdf["path"]:
+            try:
+                fs, inner = pafs.FileSystem.from_uri(path)
+                buf = b""
+                with fs.open_input_stream(inner) as fh:
+                    while b"\n" not in buf:
+                        chunk = fh.read(1 << 16)
+                        if not chunk:
+                            break
+                        buf += chunk
+                out.append(buf.split(b"\n", 1)[0].rstrip(b"\r").decode(encoding))
+            except Exception:  # noqa: BLE001 - e.g. a scheme pyarrow cannot open: the driver falls back
+                out.append(None)
+        yield pd.DataFrame({"path": pdf["path"], "header": out})
+
+
+def header_columns_many(spark: SparkSession, paths: Sequence[str], encoding: str = "ISO-8859-1") -> dict[str, list[str]]:
+    """Raw header names of many CSV files in ONE distributed job: the executors read only each
+    file's first line (no header handling, so names keep their spaces and duplicates are not
+    renamed). Files whose store Python cannot open are peeked with a one-line Spark read."""
+    import csv
+
+    if not paths:
+        return {}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    n = max(1, min(len(paths), spark.sparkContext.defaultParallelism))
+    rows = df.repartition(n).mapInPandas(lambda it: _first_lines(it, encoding), "path string, header string").collect()
+    out = {r["path"]: (next(csv.reader([r["header"]])) if r["header"] else []) for r in rows if r["header"] is not None}
+    for p in paths:
+        if p not in out:
+            out[p] = header_columns(spark, p, encoding)
+    return out
+
+
 def header_columns(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> list[str]:
-    """Raw header names of one CSV file: its first line read as a data row (no header
-    handling, so names keep their spaces and duplicates are not renamed). Only the first
+    """Raw header names of one CSV file: its first line read as a data row. Only the first
     line of the first split is parsed."""
     row = (spark.read.option("header", False).option("encoding", encoding).option("inferSchema", False)
            .csv(path).limit(1).collect())
@@ -88,15 +130,17 @@ def read_flow_csvs(spark: SparkSession, directory: str, encoding: str = "ISO-885
 
     A multi-file CSV read aligns columns by position, so files are grouped by identical
     raw header and each group is one parallel read; groups are unioned by name (missing
-    columns become NULL). Thousands of day files with a handful of layouts stay a handful
-    of scans.
+    columns become NULL). The headers of all files are peeked in one distributed job, so
+    thousands of day files with a handful of layouts cost one small job plus a handful of
+    scans.
     """
     files = _list_files(spark, directory, "*.csv")
     if not files:
         raise FileNotFoundError(f"no CSV files in {directory}")
+    headers = header_columns_many(spark, files, encoding)
     groups: dict[tuple[str, ...], list[str]] = {}
     for f in files:
-        groups.setdefault(tuple(header_columns(spark, f, encoding)), []).append(f)
+        groups.setdefault(tuple(headers[f]), []).append(f)
     out = None
     for raw, paths in groups.items():
         d = _read_with_header(spark, paths, list(raw), encoding)

@@ -89,7 +89,7 @@ def q_flatten(spark, sf):
 
 
 def attack_study(updates: DataFrame, clients: DataFrame, gparams: DataFrame, fractions, scale: float,
-                 spark: SparkSession) -> DataFrame:
+                 spark: SparkSession, write_inputs: bool = True) -> DataFrame:
     """Every aggregation rule under model poisoning at every malicious fraction, in one job.
 
     The fractions are a literal array: every client / update / parameter row is expanded
@@ -100,8 +100,9 @@ def attack_study(updates: DataFrame, clients: DataFrame, gparams: DataFrame, fra
     # the three inputs are small derived tables (clients x params); write them once to the
     # shared checkpoint folder so the 25 configurations below do not rescan the source for
     # every branch (computed once, unlike an RDD checkpoint, and safe from executor loss)
-    updates, clients, gparams = (materialize(updates, "study-updates"), materialize(clients, "study-clients"),
-                                 materialize(gparams, "study-global"))
+    if write_inputs:
+        updates, clients, gparams = (materialize(updates, "study-updates"), materialize(clients, "study-clients"),
+                                     materialize(gparams, "study-global"))
     fr = [float(x) for x in fractions]
     n = clients.agg(F.count(F.lit(1)).alias("_n"))
     cl = with_scalars(expand_values(clients, "malicious_fraction", fr, "double"), n)
@@ -128,8 +129,10 @@ def attack_study(updates: DataFrame, clients: DataFrame, gparams: DataFrame, fra
 
 
 def q_attack_study(spark, sf):
-    s = attack_study(_u(spark, sf), T.client_info(spark, sf).drop("malicious"), T.global_params(spark, sf),
-                     STUDY_FRACTIONS, T.POISON_SCALE, spark)
+    # one pass over the embeddings, written once; updates, clients and global parameters derive from it
+    st = materialize(T.client_stats(spark, sf), "study-client-stats")
+    s = attack_study(T.updates_of(st), T.client_info_of(st), T.global_params_of(st),
+                     STUDY_FRACTIONS, T.POISON_SCALE, spark, write_inputs=False)
     return s.select("aggregation", "malicious_fraction", r6("err").alias("err"))
 
 

@@ -129,6 +129,43 @@ def client_info(spark: SparkSession, sf_dir: str, fraction: float = UPDATE_FRACT
     )
 
 
+def client_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-updates in ONE pass over the embeddings: per client (label) the coordinate sums, the row
+    count and the train-loss stand-in. Updates, client info and the global parameters all derive
+    from these few rows (global mean = sum of client sums / sum of counts)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    w = wide(spark, sf_dir)
+    return w.groupBy(F.col("label_id").alias("client_id")).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("features"))).alias("sums"),
+        F.count(F.lit(1)).alias("num_examples"),
+        F.avg(F.aggregate("features", F.lit(0.0), lambda acc, x: acc + F.abs(x)) / F.lit(float(N_WIDE))).alias(
+            "train_loss"),
+    )
+
+
+def updates_of(stats: DataFrame) -> DataFrame:
+    """``(client_id, pos, value)``: per-client coordinate means from ``client_stats``."""
+    means = F.transform("sums", lambda v: v / F.col("num_examples"))
+    return stats.select("client_id", F.posexplode(means).alias("pos", "value"))
+
+
+def client_info_of(stats: DataFrame) -> DataFrame:
+    """``(client_id, num_examples, train_loss)`` from ``client_stats``."""
+    return stats.select("client_id", "num_examples", "train_loss")
+
+
+def global_params_of(stats: DataFrame) -> DataFrame:
+    """``(pos, value)``: coordinate means over all rows = sum of client sums / sum of counts."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    tot = stats.agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("_s"),
+                    F.sum("num_examples").alias("_n"))
+    return tot.select(F.posexplode(F.transform("_s", lambda v: v / F.col("_n"))).alias("pos", "value"))
+
+
 def global_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global parameter vector: mean over all rows per coordinate."""
     return _vector_means(wide(spark, sf_dir), [])

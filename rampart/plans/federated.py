@@ -141,8 +141,13 @@ def evaluate(model: LinearModel, test: DataFrame, val: DataFrame | None) -> dict
 def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame | None,
                   n_features: int, n_classes: int, cfg: RunConfig, log_dir: str | None = None) -> DataFrame:
     """Train one run; returns its round log (round 0 = the zero model) and appends it to ``log_dir``."""
+    if cfg.weight not in ("examples", "raw"):
+        raise ValueError(f"weight must be 'examples' or 'raw', got {cfg.weight!r}")
     rows = prepare_silo_rows(train, cfg, n_classes, spark)
     local_rows = rows.where(F.col("part") == "train")
+    # FedAvg weight per silo: post-oversampling examples (the reference) or raw local rows
+    raw = ({int(r["silo_id"]): float(r["count"]) for r in local_rows.groupBy("silo_id").count().collect()}
+           if cfg.weight == "raw" else None)
     cw = class_weights_of(train, n_classes) if "weights" in cfg.rebalance else None
     silos = list(range(cfg.n_silos))
     glob = LinearModel.zeros(n_features, n_classes)
@@ -161,8 +166,9 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
         n_mal = int(round(cfg.malicious_fraction * cfg.n_silos)) if cfg.attack != "none" else 0
         upd_rows = [(s, p, float(v)) for s in present for p, v in enumerate(local[s].flat())]
         updates = spark.createDataFrame(upd_rows, "client_id int, pos int, value double")
+        n_ex = {s: (raw.get(s, 0.0) if raw is not None else float(stats[s][0])) for s in present}
         clients = spark.createDataFrame(
-            [(s, float(stats[s][0]), float(stats[s][1]), int(s < n_mal)) for s in present],
+            [(s, n_ex[s], float(stats[s][1]), int(s < n_mal)) for s in present],
             "client_id int, num_examples double, train_loss double, malicious int")
         if cfg.attack == "model_poison":
             g = spark.createDataFrame([(p, float(v)) for p, v in enumerate(glob.flat())], "pos int, value double")
@@ -187,11 +193,11 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
         for r in agg:
             flat[int(r["pos"])] = float(r["value"])
         glob = LinearModel.from_flat(flat, n_features, n_classes)
-        wsum = sum(stats[s][0] for s in present)
+        wsum = sum(n_ex[s] for s in present)
         log.append({**info, "round": rnd, **evaluate(glob, test, val),
                     "elapsed_s": time.perf_counter() - t0, "clients": n, "malicious_in_round": min(n_mal, n),
                     "kept_clients": kept, "malicious_kept": mal_kept, "agg_time_s": agg_time,
-                    "train_loss": sum(stats[s][1] * stats[s][0] for s in present) / wsum if wsum else 0.0,
+                    "train_loss": sum(stats[s][1] * n_ex[s] for s in present) / wsum if wsum else 0.0,
                     "bytes_up": n * n_params * 8, "bytes_down": n * n_params * 8})
     out = spark.createDataFrame([tuple(r.get(f.name) for f in ROUND_SCHEMA.fields) for r in log], ROUND_SCHEMA)
     if log_dir:

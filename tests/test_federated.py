@@ -47,3 +47,16 @@ def test_label_flip_changes_training_labels(spark, sets):
     flipped = rows.where("malicious = 1").where(F.col("train_label") == F.lit(nc - 1) - F.col("label_id")).count()
     assert flipped == rows.where("malicious = 1").count() > 0
     assert rows.where("malicious = 0 AND train_label <> label_id").count() == 0
+
+
+def test_raw_weight_equals_examples_without_rebalancing(spark, sets):
+    """Without oversampling the post-oversampling count is the raw count: identical logs."""
+    tr, va, te, nf, nc = sets
+    base = dict(rounds=1, rebalance="none", partition_alpha=0.5)
+    a = FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(**base, run_name="ex")).collect()
+    b = FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(**base, weight="raw", run_name="raw")).collect()
+    for x, y in zip(a, b):
+        assert x["accuracy"] == y["accuracy"] and x["loss"] == pytest.approx(y["loss"], rel=1e-12)
+        assert (x["train_loss"] is None and y["train_loss"] is None) or x["train_loss"] == pytest.approx(y["train_loss"])
+    with pytest.raises(ValueError):
+        FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, weight="rows"))

@@ -28,6 +28,10 @@ from rampart.operators.model import LinearModel, score, train_local, true_class_
 from rampart.session import scratch_path
 
 
+# Rebalancing modes (oversampling as weights and/or balanced class weights).
+REBALANCE = ("oversample+weights", "weights", "oversample", "none")
+
+
 @dataclass
 class RunConfig:
     # Defaults of a run.
@@ -141,6 +145,12 @@ def evaluate(model: LinearModel, test: DataFrame, val: DataFrame | None) -> dict
 def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame | None,
                   n_features: int, n_classes: int, cfg: RunConfig, log_dir: str | None = None) -> DataFrame:
     """Train one run; returns its round log (round 0 = the zero model) and appends it to ``log_dir``."""
+    if cfg.aggregation not in R.METHODS:
+        raise ValueError(f"aggregation must be one of {R.METHODS}, got {cfg.aggregation!r}")
+    if cfg.attack not in R.ATTACKS:
+        raise ValueError(f"attack must be one of {R.ATTACKS}, got {cfg.attack!r}")
+    if cfg.rebalance not in REBALANCE:
+        raise ValueError(f"rebalance must be one of {REBALANCE}, got {cfg.rebalance!r}")
     if cfg.weight not in ("examples", "raw"):
         raise ValueError(f"weight must be 'examples' or 'raw', got {cfg.weight!r}")
     rows = prepare_silo_rows(train, cfg, n_classes, spark)

@@ -60,3 +60,10 @@ def test_raw_weight_equals_examples_without_rebalancing(spark, sets):
         assert (x["train_loss"] is None and y["train_loss"] is None) or x["train_loss"] == pytest.approx(y["train_loss"])
     with pytest.raises(ValueError):
         FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, weight="rows"))
+
+
+def test_unknown_run_options_raise_before_any_job(spark, sets):
+    tr, va, te, nf, nc = sets
+    for bad in (dict(aggregation="mean"), dict(attack="noise"), dict(rebalance="smote")):
+        with pytest.raises(ValueError):
+            FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, **bad))

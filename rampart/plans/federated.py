@@ -160,10 +160,13 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
            if cfg.weight == "raw" else None)
     cw = class_weights_of(train, n_classes) if "weights" in cfg.rebalance else None
     silos = list(range(cfg.n_silos))
+    # a clean run has no attackers: its malicious fraction (logged, and the default defence
+    # fraction) is 0 whatever was configured
+    mal_frac = float(cfg.malicious_fraction) if cfg.attack != "none" else 0.0
     glob = LinearModel.zeros(n_features, n_classes)
     n_params = glob.flat().size
     info = {"run_name": cfg.name(), "aggregation": cfg.aggregation, "attack": cfg.attack,
-            "malicious_fraction": float(cfg.malicious_fraction), "partition_alpha": float(cfg.partition_alpha),
+            "malicious_fraction": mal_frac, "partition_alpha": float(cfg.partition_alpha),
             "model_alpha": float(cfg.model_alpha), "local_epochs": int(cfg.local_epochs), "seed": int(cfg.seed)}
     t0 = time.perf_counter()
     log = [{**info, "round": 0, **evaluate(glob, test, val), "elapsed_s": 0.0}]
@@ -173,7 +176,7 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
                                    weight="w_row" if "oversample" in cfg.rebalance else None)
         present = [s for s in silos if s in stats]
         n = len(present)
-        n_mal = int(round(cfg.malicious_fraction * cfg.n_silos)) if cfg.attack != "none" else 0
+        n_mal = int(round(mal_frac * cfg.n_silos))
         upd_rows = [(s, p, float(v)) for s in present for p, v in enumerate(local[s].flat())]
         updates = spark.createDataFrame(upd_rows, "client_id int, pos int, value double")
         n_ex = {s: (raw.get(s, 0.0) if raw is not None else float(stats[s][0])) for s in present}
@@ -183,7 +186,7 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
         if cfg.attack == "model_poison":
             g = spark.createDataFrame([(p, float(v)) for p, v in enumerate(glob.flat())], "pos int, value double")
             updates = R.poison_updates(updates, g, clients, cfg.poison_scale)
-        f = int(round((cfg.defense_fraction if cfg.defense_fraction >= 0 else cfg.malicious_fraction) * n))
+        f = int(round((cfg.defense_fraction if cfg.defense_fraction >= 0 else mal_frac) * n))
         trim = cfg.trim_ratio if cfg.trim_ratio >= 0 else (f / n if n else 0.0)
         ta = time.perf_counter()
         kept = mal_kept = None

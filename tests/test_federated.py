@@ -67,3 +67,12 @@ def test_unknown_run_options_raise_before_any_job(spark, sets):
     for bad in (dict(aggregation="mean"), dict(attack="noise"), dict(rebalance="smote")):
         with pytest.raises(ValueError):
             FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, **bad))
+
+
+def test_clean_run_ignores_configured_malicious_fraction(spark, sets):
+    """attack='none': logged fraction 0 and defence f = 0, so Multi-Krum keeps every client."""
+    tr, va, te, nf, nc = sets
+    cfg = FD.RunConfig(rounds=1, aggregation="multikrum", attack="none", malicious_fraction=0.4, run_name="c")
+    log = FD.run_federated(spark, tr, te, va, nf, nc, cfg).collect()
+    assert all(r["malicious_fraction"] == 0.0 for r in log)
+    assert log[1]["kept_clients"] == 5 and log[1]["malicious_in_round"] == 0

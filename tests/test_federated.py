@@ -76,3 +76,12 @@ def test_clean_run_ignores_configured_malicious_fraction(spark, sets):
     log = FD.run_federated(spark, tr, te, va, nf, nc, cfg).collect()
     assert all(r["malicious_fraction"] == 0.0 for r in log)
     assert log[1]["kept_clients"] == 5 and log[1]["malicious_in_round"] == 0
+
+
+def test_grid_presets_and_names():
+    g = FD.grid_configs(**FD.PRESETS["stage2"])
+    assert len(g) == 5 * (1 + 2 * 3)
+    assert g[0].name() == "fedavg_none_0.00_c10_s42" and g[1].name() == "fedavg_label_flip_0.10_c10_s42"
+    assert len(FD.grid_configs(**FD.PRESETS["stage1"])) == 2
+    assert len(FD.grid_configs(**FD.PRESETS["stage2"], clean_reference=False)) == 5 * 6
+    assert FD.RunConfig(partition_alpha=0.5).name() == "fedavg_none_0.00_c5_s42_a0.5"

@@ -103,8 +103,12 @@ def run_summary(rounds: DataFrame) -> DataFrame:
     )
 
 
-def group_report(summary: DataFrame, keys: Sequence[str] = ("clients", "aggregation")) -> DataFrame:
-    """Mean and sample std of f1/fpr/recall plus mean convergence, aggregation ms and MB per group."""
+def group_report(summary: DataFrame, keys: Sequence[str] = ("clients", "aggregation"),
+                 clean_only: bool = True) -> DataFrame:
+    """Mean and sample std of f1/fpr/recall plus mean convergence, aggregation ms and MB per group
+    (over the runs without attackers, unless ``clean_only`` is off)."""
+    if clean_only:
+        summary = summary.where(F.col("attack") == "none")
     aggs = []
     for m in ("f1", "fpr", "recall"):
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std")]
@@ -122,7 +126,11 @@ def fraction_pivot(summary: DataFrame, attack: str, metric: str, clients: int,
     return p.withColumn("malicious", percent_label("malicious_fraction"))
 
 
-def attack_curve(summary: DataFrame, metrics: Sequence[str] = ("f1", "recall", "fpr")) -> DataFrame:
+def attack_curve(summary: DataFrame, attack: str, clients: int,
+                 metrics: Sequence[str] = ("f1", "recall", "fpr")) -> DataFrame:
+    """Per rule and attacker fraction: mean and sample std (0 for a single run) of each metric, over
+    the runs of one silo count under ``attack`` plus the clean runs (the 0 % point)."""
+    summary = summary.where((F.col("clients") == clients) & F.col("attack").isin("none", attack))
     aggs = []
     for m in metrics:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std")]
@@ -134,13 +142,17 @@ def convergence_curve(rounds: DataFrame, metric: str = "f1") -> DataFrame:
     return clean.groupBy("aggregation", "clients", "round").agg(F.avg(metric).alias(f"{metric}_mean"))
 
 
-def overhead(summary: DataFrame) -> DataFrame:
+def overhead(summary: DataFrame, clean_only: bool = True) -> DataFrame:
+    """Mean aggregation time and communication per rule (runs without attackers)."""
+    if clean_only:
+        summary = summary.where(F.col("attack") == "none")
     return summary.groupBy("aggregation").agg(F.avg("mean_agg_time_ms").alias("agg_ms_mean"),
                                               F.avg("total_comm_MB").alias("comm_MB_mean"))
 
 
-def attackers_admitted(summary: DataFrame) -> DataFrame:
-    k = summary.where(F.col("aggregation").isin(*KRUM_FAMILY))
+def attackers_admitted(summary: DataFrame, attack: str) -> DataFrame:
+    """Attackers per round and attackers admitted by the Krum family, per rule and fraction, under ``attack``."""
+    k = summary.where(F.col("aggregation").isin(*KRUM_FAMILY) & (F.col("attack") == attack))
     return k.groupBy("aggregation", "malicious_fraction").agg(
         F.avg("malicious_in_round").alias("malicious_in_round"), F.avg("malicious_kept").alias("malicious_kept"))
 

@@ -58,7 +58,7 @@ def q_pivot(spark, sf):
 
 
 def q_attack_curve(spark, sf):
-    return _round_doubles(RP.attack_curve(_summary(spark, sf)), keep=("malicious_fraction",))
+    return _round_doubles(RP.attack_curve(_summary(spark, sf), "label_flip", 10), keep=("malicious_fraction",))
 
 
 def q_convergence(spark, sf):
@@ -70,7 +70,7 @@ def q_overhead(spark, sf):
 
 
 def q_admitted(spark, sf):
-    return _round_doubles(RP.attackers_admitted(_summary(spark, sf)), keep=("malicious_fraction",))
+    return _round_doubles(RP.attackers_admitted(_summary(spark, sf), "label_flip"), keep=("malicious_fraction",))
 
 
 def q_select_best(spark, sf):
@@ -184,7 +184,7 @@ SELECT clients, aggregation,
        round(avg(rounds_to_95pct_final_f1), 6) AS rounds_to_95_mean,
        round(avg(mean_agg_time_ms), 6) AS agg_ms_mean, round(avg(total_comm_MB), 6) AS comm_MB_mean,
        count(*) AS runs
-FROM summ GROUP BY clients, aggregation""", _S),
+FROM summ WHERE attack = 'none' GROUP BY clients, aggregation""", _S),
     "report_fraction_pivot": with_fixtures("rounds", """
 SELECT malicious_fraction,
        round(avg(f1) FILTER (WHERE aggregation = 'fedavg'), 6) AS fedavg,
@@ -196,17 +196,19 @@ SELECT malicious_fraction,
 FROM summ WHERE clients = 10 AND attack IN ('none', 'label_flip') GROUP BY malicious_fraction""", _S),
     "report_attack_curve": with_fixtures("rounds", "SELECT aggregation, malicious_fraction, " + ", ".join(
         f"round(avg({m}), 6) AS {m}_mean, round(coalesce(stddev_samp({m}), 0.0e0), 6) AS {m}_std"
-        for m in ("f1", "recall", "fpr")) + " FROM summ GROUP BY aggregation, malicious_fraction", _S),
+        for m in ("f1", "recall", "fpr")) + " FROM summ WHERE clients = 10 AND attack IN ('none', 'label_flip')"
+        " GROUP BY aggregation, malicious_fraction", _S),
     "report_convergence": with_fixtures("rounds", """
 SELECT aggregation, clients_b AS clients, round, round(avg(f1), 6) AS f1_mean FROM rb WHERE attack = 'none'
 GROUP BY aggregation, clients_b, round""", [_RB]),
     "report_overhead": with_fixtures("rounds", """
 SELECT aggregation, round(avg(mean_agg_time_ms), 6) AS agg_ms_mean, round(avg(total_comm_MB), 6) AS comm_MB_mean
-FROM summ GROUP BY aggregation""", _S),
+FROM summ WHERE attack = 'none' GROUP BY aggregation""", _S),
     "report_attackers_admitted": with_fixtures("rounds", """
 SELECT aggregation, malicious_fraction, round(avg(malicious_in_round), 6) AS malicious_in_round,
        round(avg(malicious_kept), 6) AS malicious_kept
-FROM summ WHERE aggregation IN ('krum', 'multikrum') GROUP BY aggregation, malicious_fraction""", _S),
+FROM summ WHERE aggregation IN ('krum', 'multikrum') AND attack = 'label_flip'
+GROUP BY aggregation, malicious_fraction""", _S),
     "report_select_best": with_fixtures("rounds", """
 SELECT attack, aggregation, round(val_macro_f1, 6) AS val_macro_f1 FROM (
   SELECT *, row_number() OVER (PARTITION BY attack ORDER BY val_macro_f1 DESC, aggregation) AS rk FROM (

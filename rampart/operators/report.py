@@ -120,9 +120,14 @@ def group_report(summary: DataFrame, keys: Sequence[str] = ("clients", "aggregat
 
 def fraction_pivot(summary: DataFrame, attack: str, metric: str, clients: int,
                    methods: Sequence[str] = METHODS) -> DataFrame:
-    """malicious fraction x aggregation table of a metric's mean (clean runs + one attack, one client count)."""
+    """malicious fraction x aggregation table of a metric (clean runs + one attack, one client count):
+    per rule the mean over runs (column named after the rule) and its sample std (``<rule>_std``,
+    NULL for a single run); ``mean_std_text`` renders the pair as the report text."""
     sub = summary.where((F.col("clients") == clients) & F.col("attack").isin("none", attack))
-    p = sub.groupBy("malicious_fraction").pivot("aggregation", list(methods)).agg(F.avg(metric))
+    p = sub.groupBy("malicious_fraction").pivot("aggregation", list(methods)).agg(
+        F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"))
+    p = p.select("malicious_fraction", *[F.col(f"{m}_mean").alias(m) for m in methods],
+                 *[F.col(f"{m}_std") for m in methods])
     return p.withColumn("malicious", percent_label("malicious_fraction"))
 
 

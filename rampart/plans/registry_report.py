@@ -192,6 +192,11 @@ SELECT malicious_fraction,
        round(avg(f1) FILTER (WHERE aggregation = 'trimmed_mean'), 6) AS trimmed_mean,
        round(avg(f1) FILTER (WHERE aggregation = 'krum'), 6) AS krum,
        round(avg(f1) FILTER (WHERE aggregation = 'multikrum'), 6) AS multikrum,
+       round(stddev_samp(f1) FILTER (WHERE aggregation = 'fedavg'), 6) AS fedavg_std,
+       round(stddev_samp(f1) FILTER (WHERE aggregation = 'median'), 6) AS median_std,
+       round(stddev_samp(f1) FILTER (WHERE aggregation = 'trimmed_mean'), 6) AS trimmed_mean_std,
+       round(stddev_samp(f1) FILTER (WHERE aggregation = 'krum'), 6) AS krum_std,
+       round(stddev_samp(f1) FILTER (WHERE aggregation = 'multikrum'), 6) AS multikrum_std,
        CAST(CAST(round_even(malicious_fraction * 100, 0) AS INTEGER) AS VARCHAR) || '%' AS malicious
 FROM summ WHERE clients = 10 AND attack IN ('none', 'label_flip') GROUP BY malicious_fraction""", _S),
     "report_attack_curve": with_fixtures("rounds", "SELECT aggregation, malicious_fraction, " + ", ".join(

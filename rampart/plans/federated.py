@@ -235,7 +235,7 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
         glob = LinearModel.from_flat(flat, n_features, n_classes)
         wsum = sum(n_ex[s] for s in present)
         log.append({**info, "round": rnd, **evaluate(glob, test, val),
-                    "elapsed_s": time.perf_counter() - t0, "clients": n, "malicious_in_round": min(n_mal, n),
+                    "elapsed_s": time.perf_counter() - t0, "clients": n, "malicious_in_round": sum(1 for s in present if s < n_mal),
                     "kept_clients": kept, "malicious_kept": mal_kept, "agg_time_s": agg_time,
                     "train_loss": sum(stats[s][1] * n_ex[s] for s in present) / wsum if wsum else 0.0,
                     "bytes_up": n * n_params * 8, "bytes_down": n * n_params * 8})

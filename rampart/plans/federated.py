@@ -26,6 +26,7 @@ from rampart.operators import robust as R
 from rampart.operators import sampling as S
 from rampart.operators.model import LinearModel, score, train_local, true_class_proba
 from rampart.session import scratch_path
+from rampart.sources import io as IO
 
 
 # Rebalancing modes (oversampling as weights and/or balanced class weights).
@@ -241,7 +242,23 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
                     "bytes_up": n * n_params * 8, "bytes_down": n * n_params * 8})
     out = spark.createDataFrame([tuple(r.get(f.name) for f in ROUND_SCHEMA.fields) for r in log], ROUND_SCHEMA)
     if log_dir:
-        out.write.mode("append").partitionBy("run_name").parquet(log_dir)
+        IO.write_run_log(out, log_dir)
+    return out
+
+
+def run_grid(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame | None, n_features: int,
+             n_classes: int, configs: list[RunConfig], log_dir: str, force: bool = False) -> list[tuple[str, str]]:
+    """Run every configuration (fewest silos first) into ``log_dir``; runs whose log already
+    reaches their last round are skipped unless ``force``. Returns ``(run name, 'done' | 'skipped')``."""
+    done = set() if force else IO.finished_runs(spark, log_dir, 0)
+    out = []
+    for cfg in sorted(configs, key=lambda c: c.n_silos):
+        name = cfg.name()
+        if not force and name in done and name in IO.finished_runs(spark, log_dir, cfg.rounds):
+            out.append((name, "skipped"))
+            continue
+        run_federated(spark, train, test, val, n_features, n_classes, cfg, log_dir)
+        out.append((name, "done"))
     return out
 
 

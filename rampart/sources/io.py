@@ -211,6 +211,21 @@ def append_round_log(df: DataFrame, directory: str) -> None:
     df.write.mode("append").partitionBy("run_name").parquet(directory)
 
 
+def write_run_log(df: DataFrame, directory: str) -> None:
+    """A finished run's whole log, replacing only that run's folder (dynamic partition overwrite):
+    re-running a run never duplicates its rows, other runs' logs are untouched."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(directory)
+
+
+def finished_runs(spark: SparkSession, directory: str, rounds: int) -> set[str]:
+    """Runs whose log reaches round ``rounds`` (one aggregate over the logs; empty when none exist)."""
+    if not _exists(spark, directory):
+        return set()
+    logs = spark.read.schema("run_name string, round int").parquet(directory)
+    g = logs.groupBy("run_name").agg(F.max("round").alias("_last"))
+    return {r["run_name"] for r in g.where(F.col("_last") >= rounds).collect()}
+
+
 def scan_round_logs(spark: SparkSession, directory: str, schema: T.StructType | None = None,
                     min_rows: int = 2) -> DataFrame:
     """All runs' logs; runs with fewer than ``min_rows`` rows are skipped."""

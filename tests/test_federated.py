@@ -85,3 +85,17 @@ def test_grid_presets_and_names():
     assert len(FD.grid_configs(**FD.PRESETS["stage1"])) == 2
     assert len(FD.grid_configs(**FD.PRESETS["stage2"], clean_reference=False)) == 5 * 6
     assert FD.RunConfig(partition_alpha=0.5).name() == "fedavg_none_0.00_c5_s42_a0.5"
+
+
+def test_grid_skips_finished_runs_and_logs_stay_whole(spark, sets):
+    tr, va, te, nf, nc = sets
+    d = tempfile.mkdtemp(prefix="rampart-grid-")
+    cfgs = FD.grid_configs(clients=[3], aggregations=["median"], attacks=["model_poison"], fractions=[0.3],
+                           rounds=1, local_epochs=1)
+    first = FD.run_grid(spark, tr, te, va, nf, nc, cfgs, d)
+    again = FD.run_grid(spark, tr, te, va, nf, nc, cfgs, d)
+    forced = FD.run_grid(spark, tr, te, va, nf, nc, cfgs[:1], d, force=True)
+    assert [s for _, s in first] == ["done", "done"] and [s for _, s in again] == ["skipped", "skipped"]
+    assert forced == [(cfgs[0].name(), "done")]
+    logs = spark.read.parquet(d)
+    assert logs.count() == 2 * 2 and logs.select("run_name", "round").distinct().count() == 4

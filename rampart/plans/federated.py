@@ -250,11 +250,11 @@ def run_grid(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFr
              n_classes: int, configs: list[RunConfig], log_dir: str, force: bool = False) -> list[tuple[str, str]]:
     """Run every configuration (fewest silos first) into ``log_dir``; runs whose log already
     reaches their last round are skipped unless ``force``. Returns ``(run name, 'done' | 'skipped')``."""
-    done = set() if force else IO.finished_runs(spark, log_dir, 0)
+    last = {} if force else IO.last_rounds(spark, log_dir)
     out = []
     for cfg in sorted(configs, key=lambda c: c.n_silos):
         name = cfg.name()
-        if not force and name in done and name in IO.finished_runs(spark, log_dir, cfg.rounds):
+        if last.get(name, -1) >= cfg.rounds:
             out.append((name, "skipped"))
             continue
         run_federated(spark, train, test, val, n_features, n_classes, cfg, log_dir)

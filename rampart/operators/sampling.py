@@ -245,15 +245,17 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
                       seed: str | int = "42:over", chunk: int = 65536) -> DataFrame:
     """Materialised oversampling: each local class raised to the silo's largest class count.
 
-    Originals are kept (``copy = 0``); extras are drawn with replacement by hash. The
-    extra picks are generated in two levels (chunks, then rows in a chunk) so a class
-    needing millions of copies is spread across tasks, counted per picked source row
-    (partial aggregation), joined back by (silo, class, rank) and expanded; the
-    ``copy`` column numbers the copies of one source row 1..k.
+    Originals are kept (``copy = 0``); extras are drawn with replacement by hash. The rank and
+    the draws run over the narrow ``(id, silo, class)`` keys only: the extra picks are generated
+    in two levels (chunks, then rows in a chunk) so a class needing millions of copies is spread
+    across tasks, counted per picked source row (partial aggregation) and joined back by
+    (silo, class, rank) to the source id; the wide rows are then joined once on the unique id
+    and expanded, ``copy`` numbering the copies of one source row 1..k.
     """
-    # the ranked rows feed three branches (sizes, originals, join-back): write them once to
-    # the shared checkpoint folder instead of recomputing the rank and its input three times
-    ranked = materialize(hash_rank(df, id_col, seed, [silo_col, label_id], size_col="_cnt"), "oversample-ranked")
+    keys = df.select(id_col, silo_col, label_id)
+    # the ranked keys feed three branches (sizes, picks, join-back): written once to the shared
+    # checkpoint folder instead of recomputing the rank three times
+    ranked = materialize(hash_rank(keys, id_col, seed, [silo_col, label_id], size_col="_cnt"), "oversample-ranked")
     # class sizes come with the rank (stratum sizes): no separate counting pass over the rows
     sizes = ranked.select(silo_col, label_id, F.col("_cnt").alias("cnt")).distinct()
     target = F.max("cnt").over(Window.partitionBy(silo_col))
@@ -273,7 +275,9 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
     # millions of times becomes one row per distinct source row before the shuffle
     per_row = picks.select(silo_col, label_id, pick).groupBy(silo_col, label_id, "rank").agg(
         F.count(F.lit(1)).alias("_k"))
-    extras = per_row.join(ranked.drop("_cnt"), on=[silo_col, label_id, "rank"], how="inner").select(
-        "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k"))).alias("copy")).drop("rank", "_k")
-    originals = ranked.drop("rank", "_cnt").withColumn("copy", F.lit(0).cast("bigint"))
+    picked = per_row.join(ranked.select(silo_col, label_id, "rank", id_col), on=[silo_col, label_id, "rank"],
+                          how="inner").select(id_col, "_k")
+    extras = df.join(picked, on=id_col, how="inner").select(
+        "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k"))).alias("copy")).drop("_k")
+    originals = df.withColumn("copy", F.lit(0).cast("bigint"))
     return originals.unionByName(extras)

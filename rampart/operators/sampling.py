@@ -28,9 +28,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import BooleanType, IntegerType, NumericType, StringType
 
-from rampart.functions.attach import lookup_join, with_scalars
+from rampart.functions.attach import MAX_LOOKUP_ROWS, lookup_join, small_table, with_scalars
 from rampart.functions.scalar import hash_key, hash_unit
 from rampart.session import materialize
 
@@ -81,32 +81,138 @@ def hash_rank(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str]
     return out.drop("_key", "_bkt", "_off", *sk)
 
 
+def _typed_lit(v, t) -> Column:
+    return F.lit(v).cast(t)
+
+
+def _key_struct(cols: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c).alias(c) for c in cols])
+
+
+def _lit_struct(values, cols: Sequence[str], types: dict) -> Column:
+    return F.struct(*[_typed_lit(v, types[c]).alias(c) for v, c in zip(values, cols)])
+
+
+def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str], targets, out_col: str,
+             bucket_hex: int = BUCKET_HEX, max_targets: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """``out_col`` = the smallest tag whose target rank is >= the row's rank in its stratum (rank in
+    ``md5(id:seed), id`` order, exactly as ``hash_rank``); NULL when no target is that high.
+
+    ``targets(sizes)`` receives one row per stratum (the strata columns, their internal key
+    columns and ``_size``) and returns those rows expanded with ``_tag`` and ``_r`` (a 1-based
+    target rank; keep every input column). "rank <= n" is one tag; silo cuts are one tag per silo.
+
+    No row is ranked: bucket counts (map-side partial aggregate) locate each target's md5
+    bucket; only those few buckets are sorted to find the (key, id) sitting at each target
+    rank; the cutoffs (strata x tags, bounded and checked) are compared on every row as
+    literals. The wide rows are read once and never shuffled. Ids must be unique per stratum.
+    Beyond ``max_targets`` targets the exact per-row rank (``hash_rank``) is used instead.
+    """
+    st = list(strata)
+    keyed, sk = _stratum_keys(df, st)
+    types = {f.name: f.dataType for f in keyed.schema.fields}
+    keyed = keyed.withColumn("_key", hash_key(id_col, seed)).withColumn("_bkt", F.substring("_key", 1, bucket_hex))
+    counts = keyed.groupBy(*sk, *st, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*sk).orderBy("_bkt")
+    offsets = counts.select(
+        *sk, *st, "_bkt", "_cnt",
+        (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt")).alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy(*sk)).alias("_size"),
+    )
+    sizes = offsets.select(*sk, *st, "_size").distinct()
+    # a target past the stratum's end means the whole stratum: clamp it to the last rank
+    tg = small_table(targets(sizes).select(*sk, "_tag", F.least(F.col("_r"), F.col("_size")).cast("bigint").alias("_r")),
+                     max_targets)
+    if tg is None:                                           # exact path for very many targets
+        ranked = hash_rank(df, id_col, seed, st, bucket_hex, rank_col="_rank", size_col=None)
+        ranked, rk = _stratum_keys(ranked, st)
+        tga = targets(sizes).groupBy(*sk).agg(
+            F.collect_list(F.struct(F.col("_r").cast("bigint").alias("r"), F.col("_tag").alias("t"))).alias("_ts"))
+        j = ranked.join(tga, on=sk, how="left")
+        tag = F.array_min(F.transform(F.filter("_ts", lambda x: x["r"] >= F.col("_rank")), lambda x: x["t"]))
+        return j.withColumn(out_col, tag).drop("_ts", "_rank", *sk)
+    tg_rows = tg.collect()
+    ttype = tg.schema["_tag"].dataType
+
+    def per_stratum(rows, value, element: str):
+        """Literal lookup from the stratum key to an array of structs built by ``value(row)``
+        (``element``: the struct type, for an empty lookup)."""
+        empty = F.array().cast(f"array<{element}>")
+        groups: dict[tuple, list] = {}
+        for r in rows:
+            groups.setdefault(tuple(r[c] for c in sk), []).append(value(r))
+        if not sk:
+            vs = groups.get((), [])
+            return F.array(*vs) if vs else empty
+        pairs = []
+        for k, vs in groups.items():
+            pairs += [_lit_struct(k, sk, types), F.array(*vs)]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), _key_struct(sk)), empty) if pairs else empty
+
+    # 1. the bucket holding each target rank and the rank inside that bucket
+    tgt = per_stratum(tg_rows, lambda r: F.struct(F.lit(int(r["_r"])).cast("bigint").alias("r"),
+                                                 _typed_lit(r["_tag"], ttype).alias("t")),
+                      f"struct<r:bigint,t:{ttype.simpleString()}>")
+    loc = offsets.select(*sk, "_bkt", F.explode(F.filter(tgt, lambda x: (x["r"] > F.col("_off")) & (
+        x["r"] <= F.col("_off") + F.col("_cnt")))).alias("_x"), "_off").select(
+        *sk, "_bkt", F.col("_x.t").alias("_tag"), (F.col("_x.r") - F.col("_off")).alias("_ri")).collect()
+    # 2. sort only those buckets' keys to find the (key, id) at each target rank
+    bcols = [*sk, "_bkt"]
+    btypes = {**types, "_bkt": StringType()}
+    need = {tuple(r[c] for c in bcols) for r in loc}
+    cuts = []
+    if need:
+        want = F.create_map(*[x for k in need for x in (_lit_struct(k, bcols, btypes), F.lit(True))])
+        cand = keyed.select(*bcols, "_key", id_col).where(F.try_element_at(want, _key_struct(bcols)).isNotNull())
+        cand = cand.withColumn("_ri", F.row_number().over(Window.partitionBy(*bcols).orderBy("_key", id_col)))
+        pcols = [*bcols, "_ri"]
+        ptypes = {**btypes, "_ri": IntegerType()}
+        # several tags can end at the same rank (an empty silo): the smallest one decides
+        first: dict[tuple, object] = {}
+        for r in loc:
+            k = (*[r[c] for c in bcols], int(r["_ri"]))
+            first[k] = r["_tag"] if k not in first else min(first[k], r["_tag"])
+        at = F.create_map(*[x for k, t in first.items() for x in (_lit_struct(list(k), pcols, ptypes),
+                                                                   _typed_lit(t, ttype))])
+        hit = cand.select(*sk, "_key", id_col, F.try_element_at(at, _key_struct(pcols)).alias("_t")).where(
+            F.col("_t").isNotNull())
+        cuts = [{**{c: r[c] for c in sk}, "k": r["_key"], "i": r[id_col], "t": r["_t"]} for r in hit.collect()]
+    # 3. every row: the smallest tag whose cutoff (key, id) is at or after the row's (key, id)
+    itype = types[id_col]
+    arr = per_stratum(cuts, lambda c: F.struct(F.lit(c["k"]).alias("k"), _typed_lit(c["i"], itype).alias("i"),
+                                               _typed_lit(c["t"], ttype).alias("t")),
+                      f"struct<k:string,i:{itype.simpleString()},t:{ttype.simpleString()}>")
+    me = F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i"))
+    tag = F.array_min(F.transform(F.filter(arr, lambda c: F.struct(c["k"].alias("k"), c["i"].alias("i")) >= me),
+                                  lambda c: c["t"]))
+    return keyed.withColumn(out_col, tag).drop("_key", "_bkt", *sk)
+
+
+def first_n(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str], n_of_size) -> DataFrame:
+    """Rows whose rank in their stratum is <= ``n_of_size(_size)`` (a Column expression of the
+    stratum size): samples and splits without ranking or shuffling the rows."""
+    def targets(sizes):
+        return sizes.select("*", F.lit(0).alias("_tag"), n_of_size(F.col("_size")).alias("_r"))
+    return rank_tag(df, id_col, seed, strata, targets, "_first").where(F.col("_first").isNotNull()).drop("_first")
+
+
 # ------------------------------------------------------------------ stratified samples
 def stratified_sample_min(df: DataFrame, id_col: str, label: str, frac: float, min_rows: int = 20,
                           seed: str | int = 42) -> DataFrame:
     """Per label keep ``min(len, max(round(len*frac), min_rows))`` rows (half-even round)."""
-    r = hash_rank(df, id_col, seed, [label])
-    n = F.least(F.col("stratum_size"), F.greatest(F.bround(F.col("stratum_size") * frac, 0), F.lit(min_rows)))
-    return r.where(F.col("rank") <= n).drop("rank", "stratum_size")
+    return first_n(df, id_col, seed, [label],
+                   lambda size: F.least(size, F.greatest(F.bround(size * frac, 0), F.lit(min_rows))))
 
 
 def stratified_sample_frac(df: DataFrame, id_col: str, label: str, frac: float, seed: str | int = 42,
                            strata: Sequence[str] = ()) -> DataFrame:
     """Per label (and extra strata, e.g. split) keep ``max(1, round(len*frac))`` rows."""
-    r = hash_rank(df, id_col, seed, list(strata) + [label])
-    n = F.greatest(F.lit(1), F.bround(F.col("stratum_size") * frac, 0))
-    return r.where(F.col("rank") <= n).drop("rank", "stratum_size")
+    return first_n(df, id_col, seed, list(strata) + [label], lambda size: F.greatest(F.lit(1), F.bround(size * frac, 0)))
 
 
 def uniform_sample(df: DataFrame, id_col: str, n: int, seed: str | int = 42) -> DataFrame:
-    """Fixed-size uniform sample: the n rows first in hash order (distributed rank, no single-task sort).
-
-    The rank runs over the id column only; the <= n chosen ids are semi-joined to the rows,
-    broadcast within the checked lookup bound, so for sample sizes up to that bound the wide
-    rows are never shuffled (ids are unique).
-    """
-    chosen = hash_rank(df.select(id_col), id_col, seed, size_col=None).where(F.col("rank") <= n).select(id_col)
-    return lookup_join(df, chosen, id_col, how="left_semi")
+    """Fixed-size uniform sample: the n rows first in hash order (one cutoff, no rank, no shuffle)."""
+    return first_n(df, id_col, seed, [], lambda size: F.lit(int(n)))
 
 
 # ------------------------------------------------------------------ splits
@@ -121,9 +227,10 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     j = with_scalars(df, min_count)
     j = j.withColumn("_stratum", F.when(F.col("_minc") >= 2, F.col(label).cast("string"))
                      .otherwise(F.col(attack_col).cast("string"))).drop("_minc")
-    r = hash_rank(j, id_col, seed, ["_stratum"])
-    is_test = F.col("rank") <= F.bround(F.col("stratum_size") * test_size, 0)
-    return r.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("rank", "stratum_size", "_stratum")
+    tagged = rank_tag(j, id_col, seed, ["_stratum"], lambda sizes: sizes.select(
+        "*", F.lit(0).alias("_tag"), F.bround(F.col("_size") * test_size, 0).alias("_r")), "_test")
+    return tagged.withColumn("split", F.when(F.col("_test").isNotNull(), "test").otherwise("train")).drop(
+        "_test", "_stratum")
 
 
 def group_aware_split(df: DataFrame, content: Column | str, train: float = 0.6, val: float = 0.2,
@@ -147,24 +254,28 @@ def undersample_benign(df: DataFrame, id_col: str, label_id: str = "label_id", r
     if ratio <= 0:
         return df
     attacks = df.where(F.col(label_id) != 0).agg(F.count(F.lit(1)).alias("_att"))
-    benign = hash_rank(df.where(F.col(label_id) == 0), id_col, seed, size_col=None)
-    keep = with_scalars(benign, attacks).where(
-        F.col("rank") <= F.floor(F.lit(float(ratio)) * F.col("_att"))).drop("rank", "_att")
+    keep = rank_tag(df.where(F.col(label_id) == 0), id_col, seed, [], lambda sizes: with_scalars(sizes, attacks).select(
+        "*", F.lit(0).alias("_tag"), F.floor(F.lit(float(ratio)) * F.col("_att")).alias("_r")), "_keep")
+    keep = keep.where(F.col("_keep").isNotNull()).drop("_keep")
     return df.where(F.col(label_id) != 0).unionByName(keep)
 
 
 # ------------------------------------------------------------------ silo partitions
 def iid_partition(df: DataFrame, id_col: str, n_silos: int, seed: str | int = 42,
                   silo_col: str = "silo_id") -> DataFrame:
-    """Shuffle by hash and cut into ``n_silos`` contiguous parts whose sizes differ by <= 1, larger first."""
-    r = hash_rank(df, id_col, seed)
-    n = F.col("stratum_size")
-    q = F.floor(n / n_silos)
-    rem = n - q * n_silos
-    r0 = F.col("rank") - 1
-    big = rem * (q + 1)
-    silo = F.when(r0 < big, F.floor(r0 / (q + 1))).otherwise(rem + F.floor((r0 - big) / q))
-    return r.withColumn(silo_col, silo.cast("int")).drop("rank", "stratum_size")
+    """Shuffle by hash and cut into ``n_silos`` contiguous parts whose sizes differ by <= 1, larger first.
+
+    Silo s ends at rank ``(s+1)*q + min(s+1, rem)`` (q, rem: size divided by the silo count); a
+    row's silo is the first whose end is at or after its rank (cutoffs, no rank per row).
+    """
+    def targets(sizes):
+        q = F.floor(F.col("_size") / n_silos)
+        rem = F.col("_size") - q * n_silos
+        ends = F.array(*[F.struct(F.lit(s).alias("t"), ((s + 1) * q + F.least(F.lit(s + 1), rem)).alias("r"))
+                         for s in range(n_silos)])
+        return sizes.select("*", F.explode(ends).alias("_x")).select("*", F.col("_x.t").alias("_tag"),
+                                                                    F.col("_x.r").alias("_r")).drop("_x")
+    return rank_tag(df, id_col, seed, [], targets, silo_col).withColumn(silo_col, F.col(silo_col).cast("int"))
 
 
 def dirichlet_proportions(n_classes: int, n_silos: int, alpha: float, seed: int = 42,
@@ -214,26 +325,30 @@ def dirichlet_partition(df: DataFrame, id_col: str, proportions: list[tuple[int,
                         label_id: str = "label_id", seed: str | int = 42, silo_col: str = "silo_id") -> DataFrame:
     """Non-IID partition: per class, rows in hash order are cut at ``floor(cumsum(p) * n_class)``.
 
-    The cut table has classes x silos rows (literal, broadcast); the join is a range
-    condition inside a broadcast equi-join on the class.
+    Silo s of a class ends at rank ``floor(cum_s * n)`` (the last silo at n); the cut table has
+    classes x silos rows (literal, broadcast by construction) and meets the per-class sizes
+    only. A row's silo is the first whose end is at or after its rank; rows of a class
+    without cuts get none and are dropped.
     """
     spark = df.sparkSession
-    cuts = dirichlet_cuts(spark, proportions).withColumnRenamed("label_id", "_cls").withColumnRenamed(
-        "silo_id", silo_col)
-    r = hash_rank(df, id_col, seed, [label_id])
-    n = F.col("stratum_size")
-    lo = F.when(F.col(silo_col) == 0, F.lit(0)).otherwise(F.floor(F.col("cum_lo") * n))
-    hi = F.when(F.col(silo_col) == F.col("last_silo"), n).otherwise(F.floor(F.col("cum_hi") * n))
-    j = r.join(F.broadcast(cuts), (F.col(label_id) == F.col("_cls")) & (F.col("rank") > lo) & (F.col("rank") <= hi))
-    return j.drop("_cls", "cum_lo", "cum_hi", "last_silo", "rank", "stratum_size")
+    cuts = dirichlet_cuts(spark, proportions).withColumnRenamed("label_id", "_cls")
+
+    def targets(sizes):
+        j = sizes.join(F.broadcast(cuts), sizes[label_id] == F.col("_cls"))
+        hi = F.when(F.col("silo_id") == F.col("last_silo"), F.col("_size")).otherwise(
+            F.floor(F.col("cum_hi") * F.col("_size")))
+        return j.select("*", F.col("silo_id").alias("_tag"), hi.alias("_r"))
+    out = rank_tag(df, id_col, seed, [label_id], targets, silo_col)
+    return out.where(F.col(silo_col).isNotNull()).withColumn(silo_col, F.col(silo_col).cast("int"))
 
 
 def silo_validation_split(df: DataFrame, id_col: str, silo_col: str = "silo_id", val_fraction: float = 0.2,
                           seed: str | int = "42:val") -> DataFrame:
     """Per silo the first ``max(1, int(n * val_fraction))`` rows in hash order are validation."""
-    r = hash_rank(df, id_col, seed, [silo_col])
-    n_val = F.greatest(F.lit(1), F.floor(F.col("stratum_size") * F.lit(float(val_fraction))))
-    return r.withColumn("part", F.when(F.col("rank") <= n_val, "val").otherwise("train")).drop("rank", "stratum_size")
+    tagged = rank_tag(df, id_col, seed, [silo_col], lambda sizes: sizes.select(
+        "*", F.lit(0).alias("_tag"), F.greatest(F.lit(1), F.floor(F.col("_size") * F.lit(float(val_fraction)))).alias("_r")),
+        "_val")
+    return tagged.withColumn("part", F.when(F.col("_val").isNotNull(), "val").otherwise("train")).drop("_val")
 
 
 def oversample_weights(df: DataFrame, silo_col: str = "silo_id", label_id: str = "label_id") -> DataFrame:

@@ -101,3 +101,37 @@ def test_rank_keeps_null_strata(spark):
         "row_id", F.row_number().over(w).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("n")
     ).collect()}
     assert got == want and len(got) == 500
+
+
+@pytest.mark.parametrize("bucket_hex", [1, 5])
+def test_rank_cutoffs_equal_exact_ranks(spark, bucket_hex):
+    """rank_tag (cutoffs, no per-row rank) equals the exact rank: NULL strata, several tags per
+    stratum, coarse buckets holding many targets, no strata, and a target past the stratum's end."""
+    rows = [(i, None if i % 7 == 0 else f"c{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id long, label string")
+
+    def quarters(sizes):
+        ends = F.array(*[F.struct(F.lit(s).alias("t"), F.ceil(F.col("_size") * (s + 1) / 4).alias("r")) for s in range(4)])
+        return sizes.select("*", F.explode(ends).alias("_x")).select(
+            "*", F.col("_x.t").alias("_tag"), F.col("_x.r").alias("_r")).drop("_x")
+
+    got = {r["row_id"]: r["q"] for r in S.rank_tag(df, "row_id", 42, ["label"], quarters, "q", bucket_hex).collect()}
+    ref = S.hash_rank(df, "row_id", 42, ["label"]).collect()
+    want = {r["row_id"]: min(s for s in range(4) if r["rank"] <= -(-r["stratum_size"] * (s + 1) // 4)) for r in ref}
+    assert got == want
+    every = S.first_n(df, "row_id", 42, ["label"], lambda size: size + 5)
+    assert every.count() == 2000
+    top = {r["row_id"] for r in S.first_n(df, "row_id", 9, [], lambda size: F.lit(37)).collect()}
+    exact = {r["row_id"] for r in S.hash_rank(df, "row_id", 9).where("rank <= 37").collect()}
+    assert top == exact and len(top) == 37
+
+
+def test_dirichlet_with_empty_silos_matches_rank_rule(spark):
+    """Zero proportions give several silos the same cut rank: rows still land in the unique silo
+    whose (previous cut, cut] range holds their rank."""
+    df = spark.createDataFrame([(i, i % 3) for i in range(600)], "row_id long, label_id int")
+    props = [(c, s, p) for c in range(3) for s, p in enumerate([0.5, 0.0, 0.0, 0.5])]
+    got = {r["row_id"]: r["silo_id"] for r in S.dirichlet_partition(df, "row_id", props, seed=3).collect()}
+    ranked = S.hash_rank(df, "row_id", 3, ["label_id"]).collect()
+    want = {r["row_id"]: (0 if r["rank"] <= r["stratum_size"] // 2 else 3) for r in ranked}
+    assert got == want

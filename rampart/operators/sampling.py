@@ -19,6 +19,14 @@ flow rows (100 TB) make ~10^5 rows per bucket window, while the offsets table st
 most strata x 2^20 narrow rows (its running sum per stratum sorts <= 2^20 small rows).
 Below ~10^6 rows nearly every row is its own bucket and the offsets table is as small as
 the input's key columns (AQE broadcasts it).
+
+Samples, splits, undersampling and silo partitions never need every row's rank, only
+"rank <= a few per-stratum boundaries". ``rank_tag`` finds the (key, id) at each boundary
+rank from the bucket counts and a sort of just the buckets holding a boundary, then tags
+every row by comparing its (key, id) with those literal cutoffs: the wide rows are read
+once and never shuffled. ``hash_rank`` (the per-row rank) remains for the rank query itself,
+for materialised oversampling (which maps drawn ranks back to rows) and as the exact
+fallback when the boundaries exceed the lookup bound.
 """
 
 from __future__ import annotations

@@ -117,32 +117,29 @@ def class_weights_of(train: DataFrame, n_classes: int) -> np.ndarray:
 def prepare_silo_rows(train: DataFrame, cfg: RunConfig, n_classes: int, spark: SparkSession) -> DataFrame:
     """Partition, per-silo validation flag, oversampling weight and attacked label, written once.
 
-    Both hash ranks (silo partition, then per-silo validation split) run over the narrow
-    ``(row_id, label_id)`` keys; the finished assignment is joined back to the wide rows
-    (feature arrays) on the unique row id, so the wide rows are shuffled once, not once per rank.
+    The silo partition and the per-silo validation split are rank cutoffs (see
+    ``sampling.rank_tag``): the rows are scanned and tagged in place, never shuffled; the
+    oversampling weights are a (silo, class) table broadcast behind its size check.
     """
-    keys = train.select("row_id", "label_id")
     if cfg.partition_alpha <= 0:
-        part = S.iid_partition(keys, "row_id", cfg.n_silos, cfg.seed)
+        part = S.iid_partition(train, "row_id", cfg.n_silos, cfg.seed)
     else:
-        counts = {int(r["label_id"]): int(r["count"]) for r in keys.groupBy("label_id").count().collect()}
+        counts = {int(r["label_id"]): int(r["count"]) for r in train.groupBy("label_id").count().collect()}
         props = S.dirichlet_proportions(n_classes, cfg.n_silos, cfg.partition_alpha, cfg.seed, counts)
-        part = S.dirichlet_partition(keys, "row_id", props, seed=cfg.seed)
+        part = S.dirichlet_partition(train, "row_id", props, seed=cfg.seed)
     part = S.silo_validation_split(part, "row_id", val_fraction=cfg.val_fraction, seed=f"{cfg.seed}:val")
     tr = part.where(F.col("part") == "train")
     if "oversample" in cfg.rebalance:
         w = S.oversample_weights(tr).select("silo_id", "label_id", F.col("weight").alias("w_row"))
-        assign = lookup_join(part, w, ["silo_id", "label_id"], how="left").fillna({"w_row": 1.0})
+        rows = lookup_join(part, w, ["silo_id", "label_id"], how="left").fillna({"w_row": 1.0})
     else:
-        assign = part.withColumn("w_row", F.lit(1.0))
+        rows = part.withColumn("w_row", F.lit(1.0))
     n_mal = int(round(cfg.malicious_fraction * cfg.n_silos)) if cfg.attack != "none" else 0
-    assign = assign.withColumn("malicious", (F.col("silo_id") < n_mal).cast("int"))
+    rows = rows.withColumn("malicious", (F.col("silo_id") < n_mal).cast("int"))
     if cfg.attack == "label_flip":
-        assign = R.flip_labels(assign, n_classes)
+        rows = R.flip_labels(rows, n_classes)
     else:
-        assign = assign.withColumn("train_label", F.col("label_id"))
-    rows = train.select("row_id", "features").join(
-        assign.select("row_id", "silo_id", "part", "label_id", "train_label", "w_row", "malicious"), "row_id")
+        rows = rows.withColumn("train_label", F.col("label_id"))
     path = scratch_path(spark, f"silo-rows-{uuid.uuid4().hex}")
     rows.select("row_id", "silo_id", "part", "label_id", "train_label", "w_row", "malicious", "features") \
         .write.mode("overwrite").parquet(path)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, NumericType, StringType
 
-from rampart.functions.attach import MAX_LOOKUP_ROWS, lookup_join, small_table, with_scalars
+from rampart.functions.attach import MAX_LOOKUP_ROWS, with_scalars
 from rampart.functions.scalar import hash_key, hash_unit
 from rampart.session import materialize
 
@@ -129,18 +129,24 @@ def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str],
     )
     sizes = offsets.select(*sk, *st, "_size").distinct()
     # a target past the stratum's end means the whole stratum: clamp it to the last rank
-    tg = small_table(targets(sizes).select(*sk, "_tag", F.least(F.col("_r"), F.col("_size")).cast("bigint").alias("_r")),
-                     max_targets)
-    if tg is None:                                           # exact path for very many targets
+    tgts = targets(sizes).select(*sk, F.struct(F.least(F.col("_r"), F.col("_size")).cast("bigint").alias("r"),
+                                               F.col("_tag").alias("t")).alias("_x"))
+    tga = tgts.groupBy(*sk).agg(F.collect_list("_x").alias("_ts"))     # one row per stratum: its targets
+    # 1. the bucket holding each target rank and the rank inside it, in ONE job (bounded: one row
+    #    per target, checked); the per-stratum target lists meet the bucket offsets by an
+    #    equi-join on the stratum (or as a scalar subquery without strata)
+    off_t = offsets.join(tga, on=sk, how="inner") if sk else with_scalars(offsets, tga)
+    loc_df = off_t.select(*sk, "_bkt", "_off", F.explode(F.filter("_ts", lambda x: (x["r"] > F.col("_off")) & (
+        x["r"] <= F.col("_off") + F.col("_cnt")))).alias("_x")).select(
+        *sk, "_bkt", F.col("_x.t").alias("_tag"), (F.col("_x.r") - F.col("_off")).alias("_ri"))
+    loc = loc_df.limit(max_targets + 1).collect()
+    if len(loc) > max_targets:                               # exact path for very many targets
         ranked = hash_rank(df, id_col, seed, st, bucket_hex, rank_col="_rank", size_col=None)
         ranked, rk = _stratum_keys(ranked, st)
-        tga = targets(sizes).groupBy(*sk).agg(
-            F.collect_list(F.struct(F.col("_r").cast("bigint").alias("r"), F.col("_tag").alias("t"))).alias("_ts"))
-        j = ranked.join(tga, on=sk, how="left")
+        j = ranked.join(tga, on=sk, how="left") if sk else with_scalars(ranked, tga)
         tag = F.array_min(F.transform(F.filter("_ts", lambda x: x["r"] >= F.col("_rank")), lambda x: x["t"]))
         return j.withColumn(out_col, tag).drop("_ts", "_rank", *sk)
-    tg_rows = tg.collect()
-    ttype = tg.schema["_tag"].dataType
+    ttype = tga.schema["_ts"].dataType.elementType["t"].dataType
 
     def per_stratum(rows, value, element: str):
         """Literal lookup from the stratum key to an array of structs built by ``value(row)``
@@ -157,13 +163,6 @@ def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str],
             pairs += [_lit_struct(k, sk, types), F.array(*vs)]
         return F.coalesce(F.try_element_at(F.create_map(*pairs), _key_struct(sk)), empty) if pairs else empty
 
-    # 1. the bucket holding each target rank and the rank inside that bucket
-    tgt = per_stratum(tg_rows, lambda r: F.struct(F.lit(int(r["_r"])).cast("bigint").alias("r"),
-                                                 _typed_lit(r["_tag"], ttype).alias("t")),
-                      f"struct<r:bigint,t:{ttype.simpleString()}>")
-    loc = offsets.select(*sk, "_bkt", F.explode(F.filter(tgt, lambda x: (x["r"] > F.col("_off")) & (
-        x["r"] <= F.col("_off") + F.col("_cnt")))).alias("_x"), "_off").select(
-        *sk, "_bkt", F.col("_x.t").alias("_tag"), (F.col("_x.r") - F.col("_off")).alias("_ri")).collect()
     # 2. sort only those buckets' keys to find the (key, id) at each target rank
     bcols = [*sk, "_bkt"]
     btypes = {**types, "_bkt": StringType()}

@@ -103,8 +103,8 @@ def test_rank_keeps_null_strata(spark):
     assert got == want and len(got) == 500
 
 
-@pytest.mark.parametrize("bucket_hex", [1, 5])
-def test_rank_cutoffs_equal_exact_ranks(spark, bucket_hex):
+@pytest.mark.parametrize("bucket_hex,max_targets", [(1, 100_000), (5, 100_000), (5, 1)])
+def test_rank_cutoffs_equal_exact_ranks(spark, bucket_hex, max_targets):
     """rank_tag (cutoffs, no per-row rank) equals the exact rank: NULL strata, several tags per
     stratum, coarse buckets holding many targets, no strata, and a target past the stratum's end."""
     rows = [(i, None if i % 7 == 0 else f"c{i % 3}") for i in range(2000)]
@@ -115,7 +115,8 @@ def test_rank_cutoffs_equal_exact_ranks(spark, bucket_hex):
         return sizes.select("*", F.explode(ends).alias("_x")).select(
             "*", F.col("_x.t").alias("_tag"), F.col("_x.r").alias("_r")).drop("_x")
 
-    got = {r["row_id"]: r["q"] for r in S.rank_tag(df, "row_id", 42, ["label"], quarters, "q", bucket_hex).collect()}
+    got = {r["row_id"]: r["q"] for r in S.rank_tag(df, "row_id", 42, ["label"], quarters, "q", bucket_hex,
+                                                   max_targets=max_targets).collect()}
     ref = S.hash_rank(df, "row_id", 42, ["label"]).collect()
     want = {r["row_id"]: min(s for s in range(4) if r["rank"] <= -(-r["stratum_size"] * (s + 1) // 4)) for r in ref}
     assert got == want

@@ -33,3 +33,19 @@ def test_no_cross_products_or_row_udfs(plans):
 def test_scans_are_pruned(plans, name, absent):
     schemas = re.findall(r"ReadSchema: (struct<[^\n]*?>)(?:,|\s|$)", plans[name])
     assert schemas and all(absent not in s for s in schemas)
+
+
+SHUFFLE = re.compile(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobinPartitioning)")
+
+
+@pytest.mark.parametrize("name", ["sampling_stratified_min", "sampling_stratified_frac", "sampling_uniform",
+                                  "sampling_stratified_split", "sampling_undersample", "silo_iid_partition",
+                                  "silo_dirichlet_partition", "silo_validation_split"])
+def test_samples_and_partitions_never_shuffle_the_rows(plans, name):
+    """Rank cutoffs: the rows are scanned and tagged in place (bounded lookups broadcast at most);
+    the only shuffles allowed are of partial aggregates (e.g. a class count in a scalar subquery)."""
+    lines = plans[name].splitlines()
+    for i, line in enumerate(lines):
+        if SHUFFLE.search(line):
+            child = next((x for x in lines[i + 1:] if x.strip()), "")
+            assert "HashAggregate" in child, (line.strip(), child.strip())

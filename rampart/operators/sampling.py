@@ -114,7 +114,9 @@ def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str],
     bucket; only those few buckets are sorted to find the (key, id) sitting at each target
     rank; the cutoffs (strata x tags, bounded and checked) are compared on every row as
     literals. The wide rows are read once and never shuffled. Ids must be unique per stratum.
-    Beyond ``max_targets`` targets the exact per-row rank (``hash_rank``) is used instead.
+    Per row the work is one comparison per boundary of its stratum (1 for samples and splits,
+    one per silo for partitions). Beyond ``max_targets`` targets the exact per-row rank
+    (``hash_rank``) is used instead.
     """
     st = list(strata)
     keyed, sk = _stratum_keys(df, st)

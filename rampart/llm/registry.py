@@ -3,10 +3,14 @@ express them)."""
 
 from __future__ import annotations
 
+from rampart.llm.minhash_dedup import op9_minhash_dedup
 from rampart.llm.substring_dedup import op2_substring_dedup
+from rampart.llm.suffix_dedup import op6_suffix_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 ORACLE: dict[str, str] = {}

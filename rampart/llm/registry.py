@@ -4,13 +4,17 @@ express them)."""
 from __future__ import annotations
 
 from rampart.llm.minhash_dedup import op9_minhash_dedup
+from rampart.llm.packing import op1_sum_of_squares_packing
 from rampart.llm.substring_dedup import op2_substring_dedup
 from rampart.llm.suffix_dedup import op6_suffix_dedup
+from rampart.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE: dict[str, str] = {}

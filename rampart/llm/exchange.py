@@ -27,13 +27,18 @@ class Layout:
 
     parts: int
     bucket_bits: int
+    text_bytes: int = 0
+
+    def bits_for(self, bucket_bytes: int) -> int:
+        """Bucket bits when about as many bytes as the text are dealt out."""
+        return max(0, self.text_bytes // bucket_bytes).bit_length()
 
 
 def layout(docs: DataFrame, keys_per_byte: float, text: str = "text", part_bytes: int = PART_BYTES) -> Layout:
     """One scan for the total text size; parts and buckets grow with it."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, int(total * keys_per_byte) // BUCKET_BYTES)
-    return Layout(max(1, -(-total // part_bytes)), (buckets - 1).bit_length())
+    return Layout(max(1, -(-total // part_bytes)), (buckets - 1).bit_length(), total)
 
 
 def parted(docs: DataFrame, lay: Layout, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

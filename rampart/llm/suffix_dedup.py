@@ -28,6 +28,7 @@ GRAM = 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NO_DOC = np.iinfo(np.int64).max  # null ids sort after every other id
 _BLOCK = 1 << 19
+SHARD_BYTES = 1 << 20  # tile bytes of a shard on average: an induced sort holds about 100 times that
 
 
 def span_hash(t: np.ndarray, start: np.ndarray, size, base: int) -> np.ndarray:
@@ -87,7 +88,7 @@ def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Tiles:
     """The distinct tiles of a part with shared keys, each with the smallest doc_id holding it."""
 
-    def __init__(self, buf, offs, ids, masks: pa.Table, window: int, gram: int, bits: int):
+    def __init__(self, buf, offs, ids, masks: pa.Table, window: int, gram: int, bits: int, shard_bits: int):
         start, n, key, doc = key_runs(buf, offs, window, gram)
         keys = KeySet(key, group=doc)
         live = keys.shared(masks, bits)[keys.inverse]
@@ -112,7 +113,7 @@ class Tiles:
         self.tile[order] = np.cumsum(new) - 1
         self.rep = order[new]  # of each distinct tile, its occurrence in the smallest doc_id
         self.key = key[self.rep]
-        self.bits = bits
+        self.bits = shard_bits
 
     def slices(self):
         if not len(self.rep):
@@ -157,6 +158,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
     lay = layout(docs, 8 * 2 / (window - gram + 2), text, part_bytes)
     d = parted(docs, lay, doc_id, text)
     bits = lay.bucket_bits
+    shard_bits = lay.bits_for(SHARD_BYTES)  # tiles add up to about the text's size
 
     def emit_keys(t: pa.Table) -> pa.Table:
         start, n, key, doc = key_runs(*text_bytes(t.column("text")), window, gram)
@@ -164,7 +166,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
 
     def tiles_of(t: pa.Table, masks: pa.Table):
         buf, offs = text_bytes(t.column("text"))
-        return buf, offs, Tiles(buf, offs, _ids(t), masks, window, gram, bits)
+        return buf, offs, Tiles(buf, offs, _ids(t), masks, window, gram, bits, shard_bits)
 
     def emit_tiles(t: pa.Table, masks: pa.Table) -> pa.Table:
         rows = []

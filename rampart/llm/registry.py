@@ -3,16 +3,24 @@ express them)."""
 
 from __future__ import annotations
 
+from rampart.llm.ann import op4_projected_neighbours
+from rampart.llm.decontaminate import op8_simhash_decontamination
+from rampart.llm.langid import op5_language_id
 from rampart.llm.minhash_dedup import op9_minhash_dedup
 from rampart.llm.packing import op1_sum_of_squares_packing
 from rampart.llm.substring_dedup import op2_substring_dedup
 from rampart.llm.suffix_dedup import op6_suffix_dedup
 from rampart.llm.token_files import op10_token_files
+from rampart.llm.warc import op7_warc_histories
 
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_projected_neighbours": op4_projected_neighbours,
+    "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_warc_histories": op7_warc_histories,
+    "op8_simhash_decontamination": op8_simhash_decontamination,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_token_files": op10_token_files,
 }

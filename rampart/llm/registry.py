@@ -6,6 +6,8 @@ from __future__ import annotations
 from rampart.llm.ann import op4_projected_neighbours
 from rampart.llm.decontaminate import op8_simhash_decontamination
 from rampart.llm.langid import op5_language_id
+from rampart.llm.line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
+from rampart.llm.line_dedup import op3_line_dedup
 from rampart.llm.minhash_dedup import op9_minhash_dedup
 from rampart.llm.packing import op1_sum_of_squares_packing
 from rampart.llm.substring_dedup import op2_substring_dedup
@@ -16,6 +18,7 @@ from rampart.llm.warc import op7_warc_histories
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_projected_neighbours": op4_projected_neighbours,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -25,4 +28,4 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}

@@ -3,6 +3,7 @@ express them)."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rampart.llm.ann import op4_projected_neighbours
 from rampart.llm.decontaminate import op8_simhash_decontamination
 from rampart.llm.langid import op5_language_id
@@ -26,6 +27,9 @@ QUERIES = {
     "op8_simhash_decontamination": op8_simhash_decontamination,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

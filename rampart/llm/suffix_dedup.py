@@ -144,7 +144,7 @@ def window_minima(t: np.ndarray, size: np.ndarray, docs: np.ndarray, window: int
 
 
 def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
-                 part_bytes: int = 4 << 20, hot_parts: int = 4096) -> DataFrame:
+                 part_bytes: int = 2 << 20, hot_parts: int = 4096) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that also starts in a document
     with a smaller doc_id (texts as UTF-8, judged on the input).
 

@@ -29,10 +29,10 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2^64 for i < n (kept per process, grown by doubling)."""
+    """``base ** i`` modulo 2^64 for i < n (kept per process, in steps of 2^18)."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(1, -(-n // (1 << 18))) << 18
         p = np.full(size, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         p[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(p)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rampart.llm.textkit import batches_of
-from rampart.llm.tokens import encoder
+from rampart.llm.tokens import encoder, with_end
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_tokens long")
@@ -130,13 +130,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
     def run(batches):
         enc = encoder(tokenizer_path)
         packer = Packer(window, TaskContext.get().partitionId() << 36)
-        end = np.array([end_id], "<u4").tobytes()
-        rows: list[tuple] = []
         for t in batches_of(batches, 1 << 20, "text"):
-            for doc, raw in zip(t.column("doc_id").to_pylist(), enc.encode(t.column("text").to_pylist())):
-                rows += packer.put(doc, np.frombuffer(raw + end, "<u4"))
+            ids, offs = with_end(*enc.encode(t.column("text")), end_id)
+            rows: list[tuple] = []
+            for doc, a, b in zip(t.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
+                rows += packer.put(doc, ids[a:b])
             yield _table(rows)
-            rows = []
         yield _table(packer.close())
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 
 # words are maximal runs of bytes outside the ASCII blanks 0x09-0x0D and 0x20
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so powers are invertible modulo 2^64
@@ -67,7 +67,7 @@ class Words:
         self.buf, self.offs = buf, offs
         n_docs = len(offs) - 1
         word = np.zeros(len(buf) + 1, dtype=bool)
-        np.logical_not(_BLANK[buf], out=word[:-1])
+        np.logical_not(BLANK[buf], out=word[:-1])
         starts = word.copy()
         starts[1:] &= ~word[:-1]
         ends = ~word

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rampart.llm.context_coder import decode_block, encode_block, lanes_for
 from rampart.llm.shared_files import Publish, new_folder, open_file
 from rampart.llm.textkit import batches_of
-from rampart.llm.tokens import encoder
+from rampart.llm.tokens import encoder, with_end
 from rampart.session import materialize
 
 MAGIC = b"RMPTOK1\n"
@@ -129,13 +129,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer_path)
         to = Publish(folder, f"part-{part:06d}.rtok")
         with to as out:
             w = TokenWriter(out, enc.vocab_size)
             for t in batches_of(batches, 1 << 20, "text"):
-                for doc, raw in zip(t.column("doc_id").to_pylist(), enc.encode(t.column("text").to_pylist())):
-                    w.add(doc, raw + end)
+                ids, offs = with_end(*enc.encode(t.column("text")), end_id)
+                for doc, a, b in zip(t.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
+                    w.add(doc, ids[a:b].tobytes())
             w.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "uri": [to.uri], "docs": [len(w.docs)], "ids": [w.ids]})
 

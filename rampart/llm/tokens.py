@@ -1,10 +1,13 @@
-"""Token ids of whole texts by a public tokenizer file, with an exact cache of encoded words.
+"""Token ids of whole texts by a public tokenizer file, with a cache of encoded pieces.
 
 The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. Two kinds of file
 allow a text to be cut without changing its ids, so that a word is encoded once and reused:
 byte-level BPE with its standard split pattern (cut before a space that stands between two
 non-blanks), and BPE whose normaliser drops white space (cut at ASCII blanks). Texts for any
 other file are encoded whole.
+
+Pieces of a batch are found, hashed and looked up as arrays; only pieces not seen before pass
+through the tokenizer. A cached piece is known by two 64-bit numbers, its hash and its ends.
 """
 
 from __future__ import annotations
@@ -12,16 +15,22 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from rampart.llm.textkit import BLANK, mix64, powers, text_bytes
 
-_LONE_SPACE = re.compile(r" (?<=\S )(?=\S)")
 # Latin letters, then sentence marks: every split pattern supported here cuts between the two
 _MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)").fullmatch
+# the same around a single line break
+_BROKEN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_ODD_BLANK = re.compile("[\x1c-\x1f]").search  # blank to Python, not to the tokenizers
-_GENERATION = 250_000  # cached pieces per generation; two are held
+_GENERATION = 150_000  # pieces per generation of the tokenizer's own cache; two are held
+_SLOTS_BITS = 22  # slots of the piece table, filled to a half at most
+_BASE = 0xD6E8FEB86659FD93
+_LOOKUP = 1 << 18  # pieces looked up at once
+_BLOCK = 1 << 18  # bytes handled at once
 
 _KEPT: dict[str, "Encoder"] = {}
 
@@ -33,6 +42,16 @@ def encoder(path: str) -> "Encoder":
     return _KEPT[path]
 
 
+def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets with ``end_id`` after every text."""
+    n = len(offs) - 1
+    out = np.full(len(ids) + n, end_id, "<u4")
+    keep = np.ones(len(out), bool)
+    keep[offs[1:] + np.arange(n)] = False
+    out[keep] = ids
+    return out, offs + np.arange(n + 1)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,72 +62,224 @@ class Encoder:
         self.kind = _kind(json.load(open(path, encoding="utf-8")))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.table = PieceTable()
 
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that open (or close) a word
+        one = self.tok.encode("\n", add_special_tokens=False).ids if self.kind == "spaced" else []
+        self.line_break = one[0] if len(one) == 1 else -1
         for token, i in vocab.items():
             self.edge[i] = token.startswith("\u0120") if self.kind == "spaced" else token.endswith("</w>")
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces that are encoded alone; in "spaced" files a leading NUL marks a piece that
-        has no space before it."""
-        if self.kind == "words":
-            return [text] if _ODD_BLANK(text) else text.split()
-        if "\0" in text:
-            return ["\0" + text]
-        first, *rest = _LONE_SPACE.split(text)
-        return ["\0" + first, *rest]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text; null is empty."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32-bit) of all texts end to end, and n + 1 offsets; null is empty."""
         if self.kind == "whole":
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        need = set(chain.from_iterable(pieces))
-        if len(self.new) + len(need) > _GENERATION:
+            got = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *(np.array(x, "<u4") for x in got)]), np.append(0, np.cumsum([len(x) for x in got])).astype(np.int64)
+        buf, offs = text_bytes(texts)
+        out, sizes = [np.zeros(0, np.uint32)], []
+        first = 0
+        while first < len(offs) - 1:  # whole texts of about a block; a long text is a block alone
+            last = max(first + 1, int(np.searchsorted(offs, offs[first] + _BLOCK, side="right")) - 1)
+            ids, n = self._block(buf[offs[first]:offs[last]], offs[first:last + 1] - offs[first])
+            out.append(ids)
+            sizes.append(n)
+            first = last
+        return np.concatenate(out), np.append(0, np.cumsum(np.concatenate(sizes) if sizes else [])).astype(np.int64)
+
+    def _block(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, end, lone = (_spaced if self.kind == "spaced" else _blank_cut)(buf, offs)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        key, ends = _identity(buf, start, end, lone)
+        parts, counts = [], []
+        for a in range(0, len(start), _LOOKUP):  # fewer than the table holds, so all fit at once
+            k = slice(a, a + _LOOKUP)
+            at = self.table.find(key[k], ends[k])
+            while len(new := np.flatnonzero(at < 0)):
+                fresh = a + new[np.unique(key[k][new], return_index=True)[1]]
+                self._remember(buf, key[fresh], ends[fresh], start[fresh], end[fresh], lone[fresh])
+                at = self.table.find(key[k], ends[k])
+            lo = self.table.off[at]
+            n = self.table.off[at + 1] - lo
+            parts.append(self.table.ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+            counts.append(n)
+        doc = np.searchsorted(offs, start, side="right") - 1
+        total = np.bincount(doc, np.concatenate(counts), minlength=len(offs) - 1).astype(np.int64)
+        return np.concatenate(parts), total
+
+    def _remember(self, buf, key, ends, start, end, lone) -> None:
+        raw = buf.tobytes()
+        pieces = [("\0" if x else "") + raw[a:b].decode() for a, b, x in zip(start.tolist(), end.tolist(), lone.tolist())]
+        if len(self.new) + len(pieces) > _GENERATION:
             self.old, self.new = self.new, {}
-        need.difference_update(self.new)
+        need = {p for p in pieces if p not in self.new}
         if need:
             self._learn(need)
-        get = self.new.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        if self.table.entries + len(pieces) > 1 << (_SLOTS_BITS - 1):
+            self.table.clear()
+        self.table.add(key, ends, [self.new[p] for p in pieces])
 
     def _learn(self, need: set[str]) -> None:
-        """Cache the ids of new pieces; a word with sentence marks is the word, then the marks."""
+        """Cache the ids of new pieces (in "spaced" files a leading NUL marks a piece that has no
+        space before it). Words, sentence marks and a line break between them are
+        encoded apart; plain words are encoded many at a time."""
         new, old = self.new, self.old
+        spaced = self.kind == "spaced"
+        bare = "\0" if spaced else ""
         split, todo = [], set()
         for p in need:
             if (got := old.get(p)) is not None:
                 new[p] = got
-            elif m := _MARKED(p):
-                word, marks = m[1], ("\0" + m[2] if self.kind == "spaced" else m[2])
-                split.append((p, word, marks))
-                todo.add(word)
-                todo.add(marks)
+                continue
+            if m := _MARKED(p):
+                parts = (m[1], bare + m[2])
+            elif spaced and (m := _BROKEN(p)):
+                parts = (m[1], *(["\0" + m[2]] if m[2] else []), "\0\n", "\0" + m[3], *(["\0" + m[4]] if m[4] else []))
             else:
                 todo.add(p)
+                continue
+            split.append((p, parts))
+            todo.update(parts)
         for p in [p for p in todo if p in new or p in old]:
             if p not in new:
                 new[p] = old[p]
             todo.discard(p)
         words = [p for p in todo if _LETTERS(p)]
-        rest = [p for p in todo if not _LETTERS(p)]
+        starts = [p for p in todo if p[:1] == "\0" and _LETTERS(p, 1)] if spaced else []
+        known = {*words, *starts}
+        rest = [p for p in todo if p not in known]
+        edges = self.edge
         for i in range(0, len(words), 2048):
             some = words[i:i + 2048]
             ids = np.array(self.tok.encode("".join([" " + w for w in some]), add_special_tokens=False).ids, "<u4")
-            mark = np.flatnonzero(self.edge[ids])
-            cut = np.append(mark, len(ids)) if self.kind == "spaced" else np.append(0, mark + 1)
-            if len(cut) != len(some) + 1 or cut[0] != 0 or cut[-1] != len(ids):
-                rest += some  # not one edge a word: encode each alone
-                continue
-            raw, cut = ids.tobytes(), (4 * cut).tolist()
-            new.update(zip(some, [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]))
-        plain = [(p[1:] if p[:1] == "\0" else " " + p) if self.kind == "spaced" else p for p in rest]
+            mark = np.flatnonzero(edges[ids])
+            cut = np.append(mark, len(ids)) if spaced else np.append(0, mark + 1)
+            rest += self._cut(some, ids, cut, 0)
+        for i in range(0, len(starts), 2048):  # words without a space before them: one a line
+            some = starts[i:i + 2048]
+            ids = np.array(self.tok.encode("".join([p[1:] + "\n" for p in some]), add_special_tokens=False).ids, "<u4")
+            rest += self._cut(some, ids, np.append(0, np.flatnonzero(ids == self.line_break) + 1), 1)
+        plain = [(p[1:] if p[:1] == "\0" else " " + p) if spaced else p for p in rest]
         for i in range(0, len(rest), 4096):
             for p, e in zip(rest[i:i + 4096], self.tok.encode_batch_fast(plain[i:i + 4096], add_special_tokens=False)):
                 new[p] = np.array(e.ids, "<u4").tobytes()
-        for p, word, marks in split:
-            new[p] = new[word] + new[marks]
+        for p, parts in split:
+            new[p] = b"".join([new[x] for x in parts])
+
+    def _cut(self, some: list[str], ids: np.ndarray, cut: np.ndarray, drop: int) -> list[str]:
+        """Cache the stretches between ``cut`` (less ``drop`` ids at their ends); returns the
+        pieces to encode one by one if there is not one stretch a piece."""
+        if len(cut) != len(some) + 1 or cut[0] != 0 or cut[-1] != len(ids):
+            return some
+        raw, cut = ids.tobytes(), (4 * cut).tolist()
+        self.new.update(zip(some, [raw[a:b - 4 * drop] for a, b in zip(cut[:-1], cut[1:])]))
+        return []
+
+
+class PieceTable:
+    """Piece -> ids: an open-addressing table over arrays. When half full it starts anew."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << _SLOTS_BITS
+        self.key, self.ends, self.value = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+        self.entries = 0
+        self.off, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def _probe(self, key: np.ndarray, step: int) -> np.ndarray:
+        return ((key >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64) + step) & ((1 << _SLOTS_BITS) - 1)
+
+    def find(self, key: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entry of each piece, -1 if unknown."""
+        slot = self._probe(key, 0)
+        out = self.value[slot]
+        live = np.flatnonzero((out >= 0) & ((self.key[slot] != key) | (self.ends[slot] != ends)))
+        step = 1
+        while len(live):
+            slot = self._probe(key[live], step)
+            got = self.value[slot]
+            out[live] = got
+            live = live[(got >= 0) & ((self.key[slot] != key[live]) | (self.ends[slot] != ends[live]))]
+            step += 1
+        return out
+
+    def add(self, key: np.ndarray, ends: np.ndarray, raw: list[bytes]) -> None:
+        """Pieces that are not in the table, each once."""
+        n = len(key)
+        sizes = np.array([len(r) // 4 for r in raw], np.int64)
+        while len(self.off) < self.entries + n + 1:
+            self.off = np.append(self.off, np.zeros_like(self.off))
+        have = int(self.off[self.entries])
+        while len(self.ids) < have + int(sizes.sum()):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[have:have + int(sizes.sum())] = np.frombuffer(b"".join(raw), "<u4")
+        self.off[self.entries + 1:self.entries + n + 1] = have + np.cumsum(sizes)
+        value = np.arange(self.entries, self.entries + n, dtype=np.int32)
+        self.entries += n
+        live, step = np.arange(n), 0
+        while len(live):
+            slot = self._probe(key[live], step)
+            free = self.value[slot] < 0
+            self.value[slot[free]] = value[live[free]]  # of pieces that meet in a slot one stays
+            won = self.value[slot] == value[live]
+            self.key[slot[won]], self.ends[slot[won]] = key[live[won]], ends[live[won]]
+            live, step = live[~won], step + 1
+
+
+def _blank_cut(buf: np.ndarray, offs: np.ndarray):
+    """Pieces between ASCII blanks."""
+    word = np.append(~BLANK[buf], False)
+    starts, ends = word.copy(), ~word
+    starts[1:] &= ~word[:-1]
+    ends[0] = False
+    ends[1:] &= word[:-1]
+    cut = offs[1:-1]
+    cut = cut[(cut > 0) & (cut < len(buf))]
+    inner = cut[word[cut] & word[cut - 1]]
+    starts[inner] = ends[inner] = True
+    start = np.flatnonzero(starts)
+    return start, np.flatnonzero(ends), np.zeros(len(start), bool)
+
+
+def _spaced(buf: np.ndarray, offs: np.ndarray):
+    """Pieces cut at spaces that stand between two characters that are surely not blank; the
+    first piece of a text has no space before it (lone). Characters of more than one byte that
+    could be blank (by their first byte) make no cut."""
+    n = len(buf)
+    sp = np.flatnonzero(buf == 0x20)
+    sp = sp[(sp > 0) & (sp < n - 1)]
+    before, after = buf[sp - 1], buf[sp + 1]
+    two, three = buf[np.maximum(sp - 2, 0)], buf[np.maximum(sp - 3, 0)]
+    wide = (before >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3)))
+    ok = ~BLANK[before] & ~BLANK[after] & ~wide & (after != 0xC2) & ((after < 0xE1) | (after > 0xE3))
+    sp = sp[ok]
+    doc = np.searchsorted(offs, sp, side="right") - 1
+    sp = sp[(sp > offs[doc]) & (sp < offs[doc + 1] - 1)]
+    heads = offs[:-1][np.diff(offs) > 0]
+    start = np.sort(np.concatenate([heads, sp + 1]))
+    lone = np.ones(len(start), bool)
+    lone[np.searchsorted(start, sp + 1)] = False
+    stops = np.sort(np.concatenate([offs[1:][np.diff(offs) > 0], sp]))
+    return start, stops, lone
+
+
+def _identity(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lone: np.ndarray):
+    """Two 64-bit numbers of each piece: a polynomial hash, and its length and end bytes."""
+    p = powers(_BASE, len(buf))
+    pre = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p, out=pre[1:])
+    inv = powers(pow(_BASE, -1, 1 << 64), len(buf))
+    key = mix64((pre[end] - pre[start]) * inv[start], 9)
+    size = end - start
+    ends = size.astype(np.uint64) << np.uint64(33)
+    for k in range(2):
+        ends |= buf[np.minimum(start + k, end - 1)].astype(np.uint64) << np.uint64(8 * k)
+        ends |= buf[np.maximum(end - 1 - k, start)].astype(np.uint64) << np.uint64(16 + 8 * k)
+    ends |= lone.astype(np.uint64) << np.uint64(32)
+    return key ^ (lone.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), ends
 
 
 def _kind(spec: dict) -> str:

@@ -22,14 +22,24 @@ def hash_key(id_col, seed: str | int) -> Column:
     return F.md5(F.concat(_c(id_col).cast("string"), F.lit(f":{seed}")))
 
 
+def _leading_bits(md5_hex: Column) -> Column:
+    """The first 60 bits of a hex digest as a number."""
+    return F.conv(F.substring(md5_hex, 1, 15), 16, 10).cast("bigint")
+
+
+def unit_of_hex(md5_hex: Column) -> Column:
+    """Uniform value in [0, 1) from the first 60 bits of a hex digest."""
+    return _leading_bits(md5_hex).cast("double") / F.lit(float(2**60))
+
+
 def hash_unit(id_col, seed: str | int) -> Column:
-    """Uniform value in [0, 1) from the first 32 bits of the md5 key."""
-    return F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    """Uniform value in [0, 1) from the first 60 bits of the md5 key."""
+    return unit_of_hex(hash_key(id_col, seed))
 
 
 def hash_int(key: Column, modulo: Column) -> Column:
-    """Non-negative ``int(first 32 bits of md5(key)) mod modulo``."""
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), modulo.cast("bigint"))
+    """Non-negative ``int(first 60 bits of md5(key)) mod modulo``."""
+    return F.pmod(_leading_bits(F.md5(key)), modulo.cast("bigint"))
 
 
 # ----------------------------------------------------------------- cleaning

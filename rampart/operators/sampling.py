@@ -1,33 +1,4 @@
-"""Seeded sampling, splitting and silo partitioning by hash order.
-
-Every random choice is the order of ``md5(id ':' seed)``. A global (or per-stratum)
-rank over that order is computed in two phases so no window ever holds a whole table:
-
-1. bucket = first ``bucket_hex`` hex digits of the key; count rows per (stratum, bucket);
-   a running sum over those counts (at most min(rows, strata x 16**bucket_hex) entries)
-   gives each bucket's offset;
-2. ``row_number`` inside (stratum, bucket), plus the offset, is the exact rank.
-
-The offsets join is not forced to broadcast: with few strata AQE broadcasts it after
-measuring it; with many strata (e.g. silo x class) it becomes a shuffle join on exactly
-the window's keys, so the rows are still shuffled only once.
-
-Bucket windows hold ~n / 16**bucket_hex rows each and run in parallel; since the md5
-prefix is uniform, a stratum holding a third of all rows is still cut into the same
-number of even buckets (no hot task). Five hex digits give 1,048,576 buckets: ~10^11
-flow rows (100 TB) make ~10^5 rows per bucket window, while the offsets table stays at
-most strata x 2^20 narrow rows (its running sum per stratum sorts <= 2^20 small rows).
-Below ~10^6 rows nearly every row is its own bucket and the offsets table is as small as
-the input's key columns (AQE broadcasts it).
-
-Samples, splits, undersampling and silo partitions never need every row's rank, only
-"rank <= a few per-stratum boundaries". ``rank_tag`` finds the (key, id) at each boundary
-rank from the bucket counts and a sort of just the buckets holding a boundary, then tags
-every row by comparing its (key, id) with those literal cutoffs: the wide rows are read
-once and never shuffled. ``hash_rank`` (the per-row rank) remains for the rank query itself,
-for materialised oversampling (which maps drawn ranks back to rows) and as the exact
-fallback when the boundaries exceed the lookup bound.
-"""
+"""Seeded sampling, splitting and silo partitioning by hash order (``operators/rank.py``)."""
 
 from __future__ import annotations
 
@@ -36,174 +7,12 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, NumericType, StringType
 
-from rampart.functions.attach import MAX_LOOKUP_ROWS, with_scalars
-from rampart.functions.scalar import hash_key, hash_unit
+from rampart.functions.attach import with_scalars
+from rampart.functions.scalar import hash_int, hash_unit, unit_of_hex
+from rampart.operators.rank import first_n, hash_rank, rank_tag
 from rampart.session import materialize
 
-BUCKET_HEX = 5
-
-
-def _stratum_keys(df: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Per stratum column a non-null pair (value or a typed default, is-null flag).
-
-    Plain equality on the pair is null-safe equality on the column, so the counts, the
-    offsets join and the bucket window all group by the same plain columns: a NULL
-    stratum is its own stratum (as in a window) and the rows are shuffled once.
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cols: dict[str, Column] = {}
-    for i, c in enumerate(strata):
-        t = types[c]
-        if isinstance(t, NumericType):
-            v = F.coalesce(F.col(c), F.lit(0).cast(t))
-        elif isinstance(t, BooleanType):
-            v = F.coalesce(F.col(c), F.lit(False))
-        else:
-            v = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        cols[f"_sv{i}"] = v
-        cols[f"_sn{i}"] = F.col(c).isNull()
-    return df.withColumns(cols), list(cols)
-
-
-def hash_rank(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str] = (),
-              bucket_hex: int = BUCKET_HEX, rank_col: str = "rank", size_col: str | None = "stratum_size") -> DataFrame:
-    """Exact 1-based rank of each row in ``md5(id:seed), id`` order within its stratum."""
-    keyed, sk = _stratum_keys(df, list(strata))
-    keyed = keyed.withColumn("_key", hash_key(id_col, seed)).withColumn("_bkt", F.substring("_key", 1, bucket_hex))
-    counts = keyed.groupBy(*sk, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*sk).orderBy("_bkt")
-    offsets = counts.select(
-        *sk, "_bkt",
-        (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt")).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*sk)).alias("_size"),
-    )
-    j = keyed.join(offsets, on=sk + ["_bkt"], how="inner")
-    inner = Window.partitionBy(*sk, "_bkt").orderBy("_key", id_col)
-    out = j.withColumn(rank_col, (F.row_number().over(inner) + F.col("_off")).cast("bigint"))
-    if size_col:
-        out = out.withColumnRenamed("_size", size_col)
-    else:
-        out = out.drop("_size")
-    return out.drop("_key", "_bkt", "_off", *sk)
-
-
-def _typed_lit(v, t) -> Column:
-    return F.lit(v).cast(t)
-
-
-def _key_struct(cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(c) for c in cols])
-
-
-def _lit_struct(values, cols: Sequence[str], types: dict) -> Column:
-    return F.struct(*[_typed_lit(v, types[c]).alias(c) for v, c in zip(values, cols)])
-
-
-def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str], targets, out_col: str,
-             bucket_hex: int = BUCKET_HEX, max_targets: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """``out_col`` = the smallest tag whose target rank is >= the row's rank in its stratum (rank in
-    ``md5(id:seed), id`` order, exactly as ``hash_rank``); NULL when no target is that high.
-
-    ``targets(sizes)`` receives one row per stratum (the strata columns, their internal key
-    columns and ``_size``) and returns those rows expanded with ``_tag`` and ``_r`` (a 1-based
-    target rank; keep every input column). "rank <= n" is one tag; silo cuts are one tag per silo.
-
-    No row is ranked: bucket counts (map-side partial aggregate) locate each target's md5
-    bucket; only those few buckets are sorted to find the (key, id) sitting at each target
-    rank; the cutoffs (strata x tags, bounded and checked) are compared on every row as
-    literals. The wide rows are read once and never shuffled. Ids must be unique per stratum.
-    Per row the work is one comparison per boundary of its stratum (1 for samples and splits,
-    one per silo for partitions). Beyond ``max_targets`` targets the exact per-row rank
-    (``hash_rank``) is used instead.
-    """
-    st = list(strata)
-    keyed, sk = _stratum_keys(df, st)
-    types = {f.name: f.dataType for f in keyed.schema.fields}
-    keyed = keyed.withColumn("_key", hash_key(id_col, seed)).withColumn("_bkt", F.substring("_key", 1, bucket_hex))
-    counts = keyed.groupBy(*sk, *st, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*sk).orderBy("_bkt")
-    offsets = counts.select(
-        *sk, *st, "_bkt", "_cnt",
-        (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt")).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*sk)).alias("_size"),
-    )
-    sizes = offsets.select(*sk, *st, "_size").distinct()
-    # a target past the stratum's end means the whole stratum: clamp it to the last rank
-    tgts = targets(sizes).select(*sk, F.struct(F.least(F.col("_r"), F.col("_size")).cast("bigint").alias("r"),
-                                               F.col("_tag").alias("t")).alias("_x"))
-    tga = tgts.groupBy(*sk).agg(F.collect_list("_x").alias("_ts"))     # one row per stratum: its targets
-    # 1. the bucket holding each target rank and the rank inside it, in ONE job (bounded: one row
-    #    per target, checked); the per-stratum target lists meet the bucket offsets by an
-    #    equi-join on the stratum (or as a scalar subquery without strata)
-    off_t = offsets.join(tga, on=sk, how="inner") if sk else with_scalars(offsets, tga)
-    loc_df = off_t.select(*sk, "_bkt", "_off", F.explode(F.filter("_ts", lambda x: (x["r"] > F.col("_off")) & (
-        x["r"] <= F.col("_off") + F.col("_cnt")))).alias("_x")).select(
-        *sk, "_bkt", F.col("_x.t").alias("_tag"), (F.col("_x.r") - F.col("_off")).alias("_ri"))
-    loc = loc_df.limit(max_targets + 1).collect()
-    if len(loc) > max_targets:                               # exact path for very many targets
-        ranked = hash_rank(df, id_col, seed, st, bucket_hex, rank_col="_rank", size_col=None)
-        ranked, rk = _stratum_keys(ranked, st)
-        j = ranked.join(tga, on=sk, how="left") if sk else with_scalars(ranked, tga)
-        tag = F.array_min(F.transform(F.filter("_ts", lambda x: x["r"] >= F.col("_rank")), lambda x: x["t"]))
-        return j.withColumn(out_col, tag).drop("_ts", "_rank", *sk)
-    ttype = tga.schema["_ts"].dataType.elementType["t"].dataType
-
-    def per_stratum(rows, value, element: str):
-        """Literal lookup from the stratum key to an array of structs built by ``value(row)``
-        (``element``: the struct type, for an empty lookup)."""
-        empty = F.array().cast(f"array<{element}>")
-        groups: dict[tuple, list] = {}
-        for r in rows:
-            groups.setdefault(tuple(r[c] for c in sk), []).append(value(r))
-        if not sk:
-            vs = groups.get((), [])
-            return F.array(*vs) if vs else empty
-        pairs = []
-        for k, vs in groups.items():
-            pairs += [_lit_struct(k, sk, types), F.array(*vs)]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), _key_struct(sk)), empty) if pairs else empty
-
-    # 2. sort only those buckets' keys to find the (key, id) at each target rank
-    bcols = [*sk, "_bkt"]
-    btypes = {**types, "_bkt": StringType()}
-    need = {tuple(r[c] for c in bcols) for r in loc}
-    cuts = []
-    if need:
-        want = F.create_map(*[x for k in need for x in (_lit_struct(k, bcols, btypes), F.lit(True))])
-        cand = keyed.select(*bcols, "_key", id_col).where(F.try_element_at(want, _key_struct(bcols)).isNotNull())
-        cand = cand.withColumn("_ri", F.row_number().over(Window.partitionBy(*bcols).orderBy("_key", id_col)))
-        pcols = [*bcols, "_ri"]
-        ptypes = {**btypes, "_ri": IntegerType()}
-        # several tags can end at the same rank (an empty silo): the smallest one decides
-        first: dict[tuple, object] = {}
-        for r in loc:
-            k = (*[r[c] for c in bcols], int(r["_ri"]))
-            first[k] = r["_tag"] if k not in first else min(first[k], r["_tag"])
-        at = F.create_map(*[x for k, t in first.items() for x in (_lit_struct(list(k), pcols, ptypes),
-                                                                   _typed_lit(t, ttype))])
-        hit = cand.select(*sk, "_key", id_col, F.try_element_at(at, _key_struct(pcols)).alias("_t")).where(
-            F.col("_t").isNotNull())
-        cuts = [{**{c: r[c] for c in sk}, "k": r["_key"], "i": r[id_col], "t": r["_t"]} for r in hit.collect()]
-    # 3. every row: the smallest tag whose cutoff (key, id) is at or after the row's (key, id)
-    itype = types[id_col]
-    arr = per_stratum(cuts, lambda c: F.struct(F.lit(c["k"]).alias("k"), _typed_lit(c["i"], itype).alias("i"),
-                                               _typed_lit(c["t"], ttype).alias("t")),
-                      f"struct<k:string,i:{itype.simpleString()},t:{ttype.simpleString()}>")
-    me = F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i"))
-    tag = F.array_min(F.transform(F.filter(arr, lambda c: F.struct(c["k"].alias("k"), c["i"].alias("i")) >= me),
-                                  lambda c: c["t"]))
-    return keyed.withColumn(out_col, tag).drop("_key", "_bkt", *sk)
-
-
-def first_n(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str], n_of_size) -> DataFrame:
-    """Rows whose rank in their stratum is <= ``n_of_size(_size)`` (a Column expression of the
-    stratum size): samples and splits without ranking or shuffling the rows."""
-    def targets(sizes):
-        return sizes.select("*", F.lit(0).alias("_tag"), n_of_size(F.col("_size")).alias("_r"))
-    return rank_tag(df, id_col, seed, strata, targets, "_first").where(F.col("_first").isNotNull()).drop("_first")
-
 
 # ------------------------------------------------------------------ stratified samples
 def stratified_sample_min(df: DataFrame, id_col: str, label: str, frac: float, min_rows: int = 20,
@@ -247,7 +56,7 @@ def group_aware_split(df: DataFrame, content: Column | str, train: float = 0.6,
     """Split by a hash of the row *content*: identical feature vectors always share a split."""
     c = F.col(content) if isinstance(content, str) else content
     key = c if seed is None else F.concat(c, F.lit(f":{seed}"))
-    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    u = unit_of_hex(F.md5(key))
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
 
 
@@ -259,14 +68,19 @@ def hash_split(df: DataFrame, id_col: str, seed: str | int, train: float = 0.75,
 
 def undersample_benign(df: DataFrame, id_col: str, label_id: str = "label_id", ratio: float = 3.0,
                        seed: str | int = 42) -> DataFrame:
-    """Keep all attack rows and ``min(benign, int(ratio * attacks))`` benign rows; ratio <= 0 keeps all."""
+    """Keep all attack rows and ``min(benign, int(ratio * attacks))`` benign rows; ratio <= 0 keeps
+    all. Rows with a NULL label are neither and stay. One pass tags the rows in place."""
     if ratio <= 0:
         return df
-    attacks = df.where(F.col(label_id) != 0).agg(F.count(F.lit(1)).alias("_att"))
-    keep = rank_tag(df.where(F.col(label_id) == 0), id_col, seed, [], lambda sizes: with_scalars(sizes, attacks).select(
-        "*", F.lit(0).alias("_tag"), F.floor(F.lit(float(ratio)) * F.col("_att")).alias("_r")), "_keep")
-    keep = keep.where(F.col("_keep").isNotNull()).drop("_keep")
-    return df.where(F.col(label_id) != 0).unionByName(keep)
+    kind = F.when(F.col(label_id) == 0, 0).when(F.col(label_id).isNotNull(), 1).otherwise(2)
+
+    def targets(sizes):
+        attacks = sizes.where("_kind = 1").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_att"))
+        cap = F.floor(F.lit(float(ratio)) * F.col("_att"))
+        return with_scalars(sizes, attacks).select("*", F.lit(0).alias("_tag"), F.when(F.col("_kind") == 0, cap).otherwise(F.col("_size")).alias("_r"))
+
+    out = rank_tag(df.withColumn("_kind", kind), id_col, seed, ["_kind"], targets, "_keep")
+    return out.where(F.col("_keep").isNotNull()).drop("_keep", "_kind")
 
 
 # ------------------------------------------------------------------ silo partitions
@@ -280,35 +94,35 @@ def iid_partition(df: DataFrame, id_col: str, n_silos: int, seed: str | int = 42
     def targets(sizes):
         q = F.floor(F.col("_size") / n_silos)
         rem = F.col("_size") - q * n_silos
-        ends = F.array(*[F.struct(F.lit(s).alias("t"), ((s + 1) * q + F.least(F.lit(s + 1), rem)).alias("r"))
-                         for s in range(n_silos)])
-        return sizes.select("*", F.explode(ends).alias("_x")).select("*", F.col("_x.t").alias("_tag"),
-                                                                    F.col("_x.r").alias("_r")).drop("_x")
+        s = F.col("_tag")
+        return sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_silos - 1))).alias("_tag")).select(
+            "*", ((s + 1) * q + F.least(s + 1, rem)).alias("_r"))
     return rank_tag(df, id_col, seed, [], targets, silo_col).withColumn(silo_col, F.col(silo_col).cast("int"))
 
 
 def dirichlet_proportions(n_classes: int, n_silos: int, alpha: float, seed: int = 42,
                           class_counts: dict[int, int] | None = None, min_rows: int = 100,
                           tries: int = 50) -> list[tuple[int, int, float]]:
-    """Per class a Dirichlet(alpha) draw over silos (driver side, from class counts only).
+    """(class, silo, share): one Dirichlet(alpha) row over silos per class, from class counts only.
 
-    With ``class_counts`` the draw is repeated (<= ``tries``) until every silo gets at
-    least ``min_rows`` rows; the last draw is kept otherwise. Returns (class, silo, p).
+    With ``class_counts`` the matrix is drawn anew (up to ``tries`` times, the last one stands)
+    while some silo would get fewer than ``min_rows`` rows.
     """
     rng = np.random.default_rng(seed)
-    props = None
-    for _ in range(max(1, tries)):
-        props = [rng.dirichlet(np.full(n_silos, alpha)) for _ in range(n_classes)]
-        if not class_counts:
-            break
-        sizes = np.zeros(n_silos)
-        for c, p in enumerate(props):
-            n_c = class_counts.get(c, 0)
-            cuts = np.concatenate(([0], (np.cumsum(p) * n_c).astype(int)[:-1], [n_c]))
-            sizes += np.diff(cuts)
-        if sizes.min() >= min_rows:
-            break
-    return [(c, s, float(props[c][s])) for c in range(n_classes) for s in range(n_silos)]
+    draws = (rng.dirichlet(np.full(n_silos, alpha), size=n_classes) for _ in range(max(1, tries)))
+    share = next(draws)
+    if class_counts:
+        n = np.array([class_counts.get(c, 0) for c in range(n_classes)])
+        while _smallest_silo(share, n) < min_rows and (another := next(draws, None)) is not None:
+            share = another
+    return [(c, s, float(share[c, s])) for c, s in np.ndindex(n_classes, n_silos)]
+
+
+def _smallest_silo(share: np.ndarray, n: np.ndarray) -> int:
+    """Rows of the smallest silo when class c of n[c] rows is cut at floor(cumulative share * n[c])."""
+    ends = np.floor(np.cumsum(share, axis=1) * n[:, None]).astype(np.int64)
+    ends[:, -1] = n
+    return int(np.diff(ends, axis=1, prepend=0).sum(axis=0).min())
 
 
 def dirichlet_cuts(spark: SparkSession, proportions: list[tuple[int, int, float]]) -> DataFrame:
@@ -335,20 +149,21 @@ def dirichlet_partition(df: DataFrame, id_col: str, proportions: list[tuple[int,
     """Non-IID partition: per class, rows in hash order are cut at ``floor(cumsum(p) * n_class)``.
 
     Silo s of a class ends at rank ``floor(cum_s * n)`` (the last silo at n); the cut table has
-    classes x silos rows (literal, broadcast by construction) and meets the per-class sizes
-    only. A row's silo is the first whose end is at or after its rank; rows of a class
-    without cuts get none and are dropped.
+    classes x silos rows (a local table) and meets the per-class sizes
+    only. A row's silo is the first whose end is at or after its rank. A row whose class has
+    no cuts is an error (it would silently vanish from every silo).
     """
     spark = df.sparkSession
     cuts = dirichlet_cuts(spark, proportions).withColumnRenamed("label_id", "_cls")
 
     def targets(sizes):
-        j = sizes.join(F.broadcast(cuts), sizes[label_id] == F.col("_cls"))
+        j = sizes.join(cuts, sizes[label_id] == F.col("_cls"))
         hi = F.when(F.col("silo_id") == F.col("last_silo"), F.col("_size")).otherwise(
             F.floor(F.col("cum_hi") * F.col("_size")))
         return j.select("*", F.col("silo_id").alias("_tag"), hi.alias("_r"))
     out = rank_tag(df, id_col, seed, [label_id], targets, silo_col)
-    return out.where(F.col(silo_col).isNotNull()).withColumn(silo_col, F.col(silo_col).cast("int"))
+    missing = F.raise_error(F.concat(F.lit("no silo proportions for class "), F.coalesce(F.col(label_id).cast("string"), F.lit("NULL")))).cast("int")
+    return out.withColumn(silo_col, F.coalesce(F.col(silo_col).cast("int"), missing))
 
 
 def silo_validation_split(df: DataFrame, id_col: str, silo_col: str = "silo_id", val_fraction: float = 0.2,
@@ -375,19 +190,16 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
                       seed: str | int = "42:over", chunk: int = 65536) -> DataFrame:
     """Materialised oversampling: each local class raised to the silo's largest class count.
 
-    Originals are kept (``copy = 0``); extras are drawn with replacement by hash. The rank and
-    the draws run over the narrow ``(id, silo, class)`` keys only: the extra picks are generated
-    in two levels (chunks, then rows in a chunk) so a class needing millions of copies is spread
-    across tasks, counted per picked source row (partial aggregation) and joined back by
-    (silo, class, rank) to the source id; the wide rows are then joined once on the unique id
-    and expanded, ``copy`` numbering the copies of one source row 1..k.
+    Originals are kept (``copy = 0``); extras are drawn with replacement by hash. Ranks and
+    draws run over narrow ``(id, silo, class)`` keys: picks are generated in chunks spread over
+    tasks and counted per source row before the shuffle. A row picked k times is cut into
+    pieces of at most ``chunk`` copies before it meets the wide rows, so its copies are made
+    by several tasks; ``copy`` numbers the copies of one source row 1..k.
     """
     keys = df.select(id_col, silo_col, label_id)
-    # the ranked keys feed three branches (sizes, picks, join-back): written once to the shared
-    # checkpoint folder instead of recomputing the rank three times
+    # the ranked keys feed the sizes and the join-back: written once
     ranked = materialize(hash_rank(keys, id_col, seed, [silo_col, label_id], size_col="_cnt"), "oversample-ranked")
-    # class sizes come with the rank (stratum sizes): no separate counting pass over the rows
-    sizes = ranked.select(silo_col, label_id, F.col("_cnt").alias("cnt")).distinct()
+    sizes = ranked.groupBy(silo_col, label_id).agg(F.max("_cnt").alias("cnt"))
     target = F.max("cnt").over(Window.partitionBy(silo_col))
     need = sizes.withColumn("target", target).where(F.col("target") > F.col("cnt")).select(
         silo_col, label_id, "cnt", (F.col("target") - F.col("cnt")).alias("_extra"))
@@ -400,14 +212,13 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
                              F.least(F.col("_extra"), (F.col("_chunk") + 1) * chunk))).alias("copy"))
     key = F.concat_ws(":", F.col(silo_col).cast("string"), F.col(label_id).cast("string"),
                       F.col("copy").cast("string"), F.lit(str(seed)))
-    pick = (F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.col("cnt")) + 1).alias("rank")
-    # picks of the same source row are counted map-side first: a tiny class replicated
-    # millions of times becomes one row per distinct source row before the shuffle
+    pick = (hash_int(key, F.col("cnt")) + 1).alias("rank")
     per_row = picks.select(silo_col, label_id, pick).groupBy(silo_col, label_id, "rank").agg(
         F.count(F.lit(1)).alias("_k"))
     picked = per_row.join(ranked.select(silo_col, label_id, "rank", id_col), on=[silo_col, label_id, "rank"],
                           how="inner").select(id_col, "_k")
-    extras = df.join(picked, on=id_col, how="inner").select(
-        "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k"))).alias("copy")).drop("_k")
+    pieces = picked.select(id_col, "_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_k") - 1) / chunk).cast("bigint"))).alias("_piece"))
+    extras = df.join(pieces, on=id_col, how="inner").select(
+        "*", F.explode(F.sequence(F.col("_piece") * chunk + 1, F.least(F.col("_k"), (F.col("_piece") + 1) * chunk))).alias("copy")).drop("_k", "_piece")
     originals = df.withColumn("copy", F.lit(0).cast("bigint"))
     return originals.unionByName(extras)

@@ -196,6 +196,6 @@ FROM pk JOIN rk USING (silo_id, label_id, rank)""",
                                                   "FROM need WHERE extra > 0"), (
                                          "pk", "SELECT silo_id, label_id, rank, count(*) AS k FROM (SELECT silo_id, label_id, "
                                                "(CAST(('0x' || substr(md5(concat_ws(':', "
-                                               f"silo_id, label_id, copy, '{SEED}:over')), 1, 8)) AS BIGINT) % cnt) + 1 AS rank "
+                                               f"silo_id, label_id, copy, '{SEED}:over')), 1, 15)) AS BIGINT) % cnt) + 1 AS rank "
                                                "FROM picks) x GROUP BY 1, 2, 3")]),
 }

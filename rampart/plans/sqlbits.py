@@ -9,8 +9,8 @@ def key(id_expr: str, seed) -> str:
 
 
 def unit_of(md5_expr: str) -> str:
-    """Uniform [0, 1) value from the first 32 bits of a hex md5."""
-    return f"(CAST(('0x' || substr({md5_expr}, 1, 8)) AS BIGINT) / 4294967296.0)"
+    """Uniform [0, 1) value from the first 60 bits of a hex md5."""
+    return f"(CAST(CAST(('0x' || substr({md5_expr}, 1, 15)) AS BIGINT) AS DOUBLE) / 1152921504606846976.0e0)"
 
 
 # label map + encoded flows, shared by several families

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rampart.functions.scalar import hash_key
+from rampart.operators import rank as R
 from rampart.operators import sampling as S
 
 
@@ -103,10 +104,11 @@ def test_rank_keeps_null_strata(spark):
     assert got == want and len(got) == 500
 
 
-@pytest.mark.parametrize("bucket_hex,max_targets", [(1, 100_000), (5, 100_000), (5, 1)])
-def test_rank_cutoffs_equal_exact_ranks(spark, bucket_hex, max_targets):
+@pytest.mark.parametrize("leaf", [16_384, 100, 3])
+def test_rank_cutoffs_equal_exact_ranks(spark, monkeypatch, leaf):
     """rank_tag (cutoffs, no per-row rank) equals the exact rank: NULL strata, several tags per
     stratum, coarse buckets holding many targets, no strata, and a target past the stratum's end."""
+    monkeypatch.setattr(R, "LEAF_ROWS", leaf)  # how far the buckets are refined changes no result
     rows = [(i, None if i % 7 == 0 else f"c{i % 3}") for i in range(2000)]
     df = spark.createDataFrame(rows, "row_id long, label string")
 
@@ -115,8 +117,7 @@ def test_rank_cutoffs_equal_exact_ranks(spark, bucket_hex, max_targets):
         return sizes.select("*", F.explode(ends).alias("_x")).select(
             "*", F.col("_x.t").alias("_tag"), F.col("_x.r").alias("_r")).drop("_x")
 
-    got = {r["row_id"]: r["q"] for r in S.rank_tag(df, "row_id", 42, ["label"], quarters, "q", bucket_hex,
-                                                   max_targets=max_targets).collect()}
+    got = {r["row_id"]: r["q"] for r in S.rank_tag(df, "row_id", 42, ["label"], quarters, "q").collect()}
     ref = S.hash_rank(df, "row_id", 42, ["label"]).collect()
     want = {r["row_id"]: min(s for s in range(4) if r["rank"] <= -(-r["stratum_size"] * (s + 1) // 4)) for r in ref}
     assert got == want
@@ -136,3 +137,52 @@ def test_dirichlet_with_empty_silos_matches_rank_rule(spark):
     ranked = S.hash_rank(df, "row_id", 3, ["label_id"]).collect()
     want = {r["row_id"]: (0 if r["rank"] <= r["stratum_size"] // 2 else 3) for r in ranked}
     assert got == want
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows with NULL ids are ranked; rows that repeat an id are told apart by their content, so
+    a sample has its exact size; nothing depends on how far buckets are refined."""
+    rows = [(i // 50, i) for i in range(100)] + [(None, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, x long")
+    assert S.uniform_sample(df, "row_id", 10).count() == 10
+    assert S.uniform_sample(df, "row_id", 77).count() == 77
+    assert sorted(r["rank"] for r in S.hash_rank(df, "row_id", 1).collect()) == list(range(1, 131))
+    top = {(r.row_id, r.x) for r in S.uniform_sample(df, "row_id", 60, 1).collect()}
+    assert top == {(r.row_id, r.x) for r in S.hash_rank(df, "row_id", 1).where("rank <= 60").collect()}
+
+
+def test_identical_rows_stay_together(spark):
+    df = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 50, "row_id long, x string")
+    assert S.uniform_sample(df, "row_id", 10).count() == 50
+
+
+def test_undersample_keeps_null_labels(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "row_id long, label_id int")
+    assert S.undersample_benign(df, "row_id", ratio=5.0).count() == 3
+    assert {r.row_id for r in S.undersample_benign(df, "row_id", ratio=0.1).collect()} == {2, 3}
+
+
+def test_dirichlet_class_without_cuts_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1)], "row_id long, label_id int")
+    with pytest.raises(Exception, match="no silo proportions"):
+        S.dirichlet_partition(df, "row_id", [(0, 0, 1.0)]).collect()
+
+
+def test_oversample_spreads_the_copies_of_one_row(spark):
+    """One source row picked many times: its copies come from several tasks."""
+    df = spark.createDataFrame([(0, 1, 0)] + [(i, 0, 0) for i in range(1, 2001)], "row_id long, label_id int, silo_id int")
+    over = S.random_oversample(df, "row_id", chunk=100)
+    one = over.where("row_id = 0")
+    assert sorted(r.copy for r in one.collect()) == list(range(2000))
+
+
+def test_many_silos_cost_little_more_than_few(spark):
+    import time
+
+    df = spark.range(20_000).withColumnRenamed("id", "row_id")
+    seconds = {}
+    for n in (5, 1000, 5, 1000):
+        t = time.time()
+        assert S.iid_partition(df, "row_id", n).select("silo_id").distinct().count() == n
+        seconds[n] = time.time() - t
+    assert seconds[1000] < 4 * seconds[5] + 2  # 2x when the machine is idle

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampart.functions.attach import expand_values, scalar_row, with_scalars
+from rampart.functions.attach import expand_values, scalar_row
 from rampart.functions.scalar import finite_or_null, finite_or_zero, is_finite, non_negative, repair_label, to_double
 from rampart.session import materialize
 
@@ -66,7 +66,6 @@ def top_values(df: DataFrame, col: str, n: int = 5) -> DataFrame:
 
 def per_file_distribution(df: DataFrame, label: str = "label", file_col: str = "source_file") -> DataFrame:
     """Rows per source file and label, with the file's total."""
-    from pyspark.sql import Window
 
     g = df.groupBy(file_col, label).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("file_rows", F.sum("n").over(Window.partitionBy(file_col)))
@@ -84,9 +83,9 @@ def cleaning_funnel(df: DataFrame, cols: Sequence[str], dedup_cols: Sequence[str
         bad = bad | ~is_finite(c)
     raw = df.agg(F.count(F.lit(1)).alias("rows_raw"), F.count_if(bad).alias("rows_bad"))
     after = drop_incomplete(strict_clean(df, cols), cols)
-    dd = after.select(*dedup_cols).distinct().agg(F.count(F.lit(1)).alias("rows_dedup"))
-    kept = after.agg(F.count(F.lit(1)).alias("rows_after_dropna"))
-    return scalar_row(raw, kept, dd)
+    one = after.groupBy(*dedup_cols).agg(F.count(F.lit(1)).alias("_n"))
+    kept = one.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_after_dropna"), F.count(F.lit(1)).alias("rows_dedup"))
+    return scalar_row(raw, kept)
 
 
 def missing_infinite_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -102,11 +101,11 @@ def missing_infinite_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """Count and percent of total per label, count-descending (ties by label).
 
-    The total is a window over the grouped rows (one row per label).
+    The total is a window over the grouped rows (one row per label): one pass over the rows.
     """
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    tot = df.agg(F.count(F.lit(1)).alias("_tot"))
-    return with_scalars(g, tot).select(label, "n", (F.col("n") * 100.0 / F.col("_tot")).alias("pct")).orderBy(
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return g.select(label, "n", (F.col("n") * 100.0 / total).alias("pct")).orderBy(
         F.desc("n"), label)
 
 
@@ -124,22 +123,23 @@ def zero_duration_profile(df: DataFrame, duration: str, rate_cols: Sequence[str]
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows, distinct rows and duplicates (NaN equals NaN, -0 equals 0)."""
     sel = df.select(*(cols or df.columns))
-    a = sel.agg(F.count(F.lit(1)).alias("n_rows"))
-    b = sel.distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
-    return scalar_row(a, b).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
+    one = sel.groupBy(*sel.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return one.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct")) \
+        .withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, max per column (quartiles: see ``exact_quantiles``)."""
     aggs = []
     for c in cols:
-        aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
-                 F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
+        x = F.when(~F.isnan(c), F.col(c))  # NaN is a missing value, as NULL is
+        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     return _stack(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"], ["count", "mean", "std", "min", "max"])
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    buckets: int = 256, max_sort_rows: int = 1_000_000, max_levels: int = 5) -> DataFrame:
+                    buckets: int = 256, max_sort_rows: int = 1_000_000, max_levels: int = 64) -> DataFrame:
     """Exact linear-interpolated quantiles per column, never gathering a column in one task.
 
     Level 1: approximate cut points (``percentile_approx``, ``buckets`` per column) put every
@@ -148,16 +148,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     ``max_sort_rows``, only that bucket's rows are cut again the same way (each level
     divides the candidates by ~``buckets``). Finally the target buckets are reduced to
     ``(value, count)`` pairs and a running count picks the value at each needed rank, so
-    heavy ties cost no more than distinct values. Returns ``(column, prob, value)``.
+    heavy ties cost no more than distinct values. Returns ``(column, prob, value)``; the value
+    of a column without values is NULL.
     """
     from pyspark.ml.feature import Bucketizer
-    from pyspark.sql import Window
 
     cuts_p = [i / buckets for i in range(1, buckets)]
     inf = float("inf")
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts_p, 10 * buckets).alias(c) for c in cols]).head()
-    splits = [[-inf] + sorted({x for x in (row[c] or []) if x is not None and x == x and abs(x) != inf}) + [inf]
-              for c in cols]
+    inner = [sorted({x for x in (row[c] or []) if x is not None and x == x and abs(x) != inf}) for c in cols]
+    splits = [[-inf, *(x or [0.0]), inf] for x in inner]  # a column without values still needs one cut
     bz = Bucketizer(splitsArray=splits, inputCols=list(cols), outputCols=[f"{c}__b" for c in cols],
                     handleInvalid="keep")
     wide = bz.transform(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
@@ -218,4 +218,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
         F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("vlo"),
         F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("vhi"))
     frac = F.col("h") - F.floor("h")
-    return piv.select("column", "prob", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * frac).alias("value"))
+    got = piv.select("column", "prob", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * frac).alias("value"))
+    asked = df.sparkSession.createDataFrame([(c, float(p)) for c in cols for p in probs], "column string, prob double")
+    return asked.join(got, ["column", "prob"], "left")

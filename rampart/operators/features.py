@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampart.functions.attach import lookup_join
@@ -27,13 +27,17 @@ TRANSFORMS = ("signedlog", "standard")
 
 # ------------------------------------------------------------------ labels
 def label_map(df: DataFrame, label: str = "label") -> DataFrame:
-    """``(label, label_id)``: BENIGN (case-insensitive) is 0, other labels 1..k in sorted order.
+    """``(label, label_id)``: every spelling of BENIGN (case-insensitive) is 0, other labels follow
+    in sorted order (from 1; from 0 when there is no BENIGN).
 
     The window runs over the distinct labels only (one row per class).
     """
     d = df.select(F.trim(F.col(label).cast("string")).alias("label")).distinct()
-    order = Window.orderBy((F.upper("label") != F.lit(BENIGN)), "label")
-    return d.select("label", (F.row_number().over(order) - 1).cast("int").alias("label_id"))
+    benign = F.coalesce(F.upper("label") == F.lit(BENIGN), F.lit(False))
+    order = Window.orderBy(~benign, "label")
+    n_benign = F.count_if(benign).over(Window.partitionBy(F.lit(1)))
+    other = F.row_number().over(order) - n_benign - (n_benign == 0).cast("int")
+    return d.select("label", F.when(benign, F.lit(0)).otherwise(other).cast("int").alias("label_id"))
 
 
 def require_benign(lmap: DataFrame) -> None:
@@ -143,20 +147,25 @@ def correlation_matrix(df: DataFrame, features_col: str = "features") -> DataFra
 
 
 def correlated_drop(corr: DataFrame, threshold: float = CORR_THRESHOLD) -> DataFrame:
-    """Drop j if any earlier column i < j has |r| > threshold (non-greedy)."""
-    return corr.where((F.col("i") < F.col("j")) & (F.abs("r") > threshold)).select(F.col("j").alias("feature")).distinct()
+    """Drop j if any earlier column i < j has |r| > threshold (non-greedy); a constant column has no r."""
+    return corr.where((F.col("i") < F.col("j")) & (F.abs("r") > threshold) & ~F.isnan("r")).select(F.col("j").alias("feature")).distinct()
 
 
 def label_correlation(long: DataFrame, y: str = "y_bin") -> DataFrame:
-    """``|corr(x_pos, y)|`` per feature position from long-form ``(pos, value)`` rows."""
-    return long.groupBy("pos").agg(F.abs(F.corr("value", F.col(y).cast("double"))).alias("abs_corr"))
+    """``|corr(x_pos, y)|`` per feature position from long-form ``(pos, value)`` rows; NULL for a
+    constant feature or label."""
+    return long.groupBy("pos").agg(_abs_corr(F.col("value"), F.col(y).cast("double")).alias("abs_corr"))
+
+
+def _abs_corr(x: Column, y: Column) -> Column:
+    return F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def label_correlation_wide(df: DataFrame, n_features: int, y: str = "y_bin", features: str = "features") -> DataFrame:
     """``|corr(x_j, y)|`` for every array element in one aggregate pass (no explode):
     ``n_features`` correlation aggregates side by side, then the one-row result is unpivoted."""
     yy = F.col(y).cast("double")
-    row = df.agg(*[F.abs(F.corr(F.element_at(features, j + 1), yy)).alias(f"c{j}") for j in range(n_features)])
+    row = df.agg(*[_abs_corr(F.element_at(features, j + 1), yy).alias(f"c{j}") for j in range(n_features)])
     parts = ", ".join(f"{j}, c{j}" for j in range(n_features))
     return row.selectExpr(f"stack({n_features}, {parts}) AS (pos, abs_corr)")
 
@@ -172,10 +181,9 @@ def top_importances(imp: DataFrame, k: int, score: str = "importance", pos: str
     return top_k(imp, k, score, pos).orderBy(pos)
 
 
-def bottom_importances(imp: DataFrame, k: int = 20, score: str = "importance", pos: str = "pos") -> DataFrame:
-    """The k least important features (ascending)."""
-    w = Window.orderBy(F.asc(score), pos)
-    return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def most_important(imp: DataFrame, k: int = 20, score: str = "importance", pos: str = "pos") -> DataFrame:
+    """The k most important features, least important of them first (the order of a bar chart)."""
+    return top_k(imp, k, score, pos).orderBy(F.desc("rank"))
 
 
 def forest_importances(df: DataFrame, features_col: str = "features", label: str = "label_id",

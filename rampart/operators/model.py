@@ -90,14 +90,15 @@ def score(df: DataFrame, model: LinearModel, features: str = "features") -> Data
         out = out.withColumn("_t", F.aggregate("_s", F.lit(0.0), lambda a, v: a + v))
         out = out.withColumn("proba", F.when(F.col("_t") > 0, F.transform("_s", lambda p: p / F.col("_t")))
                              .otherwise(F.array_repeat(F.lit(1.0 / k), k)))
-        # first index holding the maximum score
-        out = out.withColumn("prediction", (F.array_position("_z", F.array_max("_z")) - 1).cast("int"))
+        # first class of the largest normalised probability: saturated sigmoids tie
+        out = out.withColumn("prediction", (F.array_position("proba", F.array_max("proba")) - 1).cast("int"))
     out = out.withColumn("p_max", F.array_max("proba"))
     return out.drop("_z", "_s", "_t")
 
 
 def prediction_expr(model: LinearModel, features: str = "features") -> Column:
-    """Hard prediction of ``model`` as one expression (same rule as ``score``)."""
+    """Hard prediction of ``model`` by the largest score (``score`` goes by the probabilities, which
+    tie once sigmoids saturate)."""
     z = decision_array(model, features)
     if model.binary:
         return F.when(F.element_at(z, 1) > 0, F.lit(1)).otherwise(F.lit(0))

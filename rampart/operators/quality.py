@@ -35,24 +35,25 @@ def assert_no_leak(overlap: DataFrame) -> None:
 
 
 def fingerprint(cols: Sequence[str]) -> list[Column]:
-    """128-bit content fingerprint (two independent 64-bit hashes) of the given columns."""
-    return [F.xxhash64(*cols).alias("_fp1"), F.xxhash64(F.lit("rampart"), *cols).alias("_fp2")]
+    """128-bit content fingerprint (two independent 64-bit hashes) of the given columns; an is-null
+    flag next to each value keeps NULLs of different positions apart."""
+    flagged = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*flagged).alias("_fp1"), F.xxhash64(F.lit("rampart"), *flagged).alias("_fp2")]
 
 
 def duplicate_vectors(df: DataFrame, feature_cols: Sequence[str], split_col: str = "split",
                       probe: str = "test", base: str = "train") -> DataFrame:
     """Rows of ``probe`` whose feature vector also occurs in ``base``: ``(n_probe, n_dup, share)``.
 
-    Both sides are first reduced to one row per 128-bit fingerprint (map-side partial
-    aggregation), so a vector copied into a third of all rows is a single row by the time
-    it is shuffled; the semi-join then moves 16 bytes plus a count per distinct vector.
+    One pass: rows are reduced to one per 128-bit fingerprint (map-side partial aggregation, so
+    a vector copied into a third of all rows is a single row by the time it is shuffled)
+    holding its count in ``probe`` and whether ``base`` has it.
     """
     fp = df.select(split_col, *fingerprint(feature_cols))
-    b = fp.where(F.col(split_col) == base).select("_fp1", "_fp2").distinct()
-    p = fp.where(F.col(split_col) == probe).groupBy("_fp1", "_fp2").agg(F.count(F.lit(1)).alias("_c"))
-    dup = p.join(b, on=["_fp1", "_fp2"], how="left_semi").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_dup"))
-    tot = p.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_probe"))
-    return scalar_row(tot, dup).withColumn(
+    one = fp.groupBy("_fp1", "_fp2").agg(F.count_if(F.col(split_col) == probe).alias("_c"),
+                                         F.max(F.coalesce(F.col(split_col) == base, F.lit(False))).alias("_in"))
+    return one.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_probe"),
+                   F.coalesce(F.sum(F.when(F.col("_in"), F.col("_c"))), F.lit(0)).alias("n_dup")).withColumn(
         "share", F.coalesce(F.try_divide(F.col("n_dup").cast("double"), F.col("n_probe")), F.lit(0.0)))
 
 

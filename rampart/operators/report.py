@@ -192,26 +192,29 @@ def eligible_runs(rounds: DataFrame, required: Sequence[str] = BENCH_REQUIRED) -
     return last.where(F.col("attack") == "none").join(trained, RUN).where(ok).select(RUN, F.col("round").alias("last_round"))
 
 
-def model_name(aggregation: Column, clients: Column, partition_alpha: Column, rounds: Column,
-               alpha_text: Column | None = None) -> Column:
+def model_name(aggregation: Column, clients: Column, partition_alpha: Column, rounds: Column) -> Column:
     """``Federated logistic_sgd (<agg>, <n> clients, IID|non-IID a=<alpha>, <r> rounds)``; '?' for unknown n."""
     n = F.coalesce(clients.cast("string"), F.lit("?"))
     dist = F.when(F.coalesce(partition_alpha, F.lit(0.0)) <= 0, F.lit("IID")).otherwise(
-        F.concat(F.lit("non-IID a="), alpha_text if alpha_text is not None else partition_alpha.cast("string")))
+        F.concat(F.lit("non-IID a="), alpha_text(partition_alpha)))
     return F.format_string("Federated logistic_sgd (%s, %s clients, %s, %d rounds)", aggregation, n, dist, rounds)
 
 
-def alpha_text(df: DataFrame, col: str = "partition_alpha", max_values: int = 10_000) -> Column | None:
-    """Python ``%g`` text of every distinct positive alpha (``1.0`` -> ``1``, ``1e-05``), as a
-    lookup expression. Spark's casts and Java's ``%g`` print these differently, so the few
-    distinct values (at most ``max_values``, checked) are formatted on the driver."""
-    vals = [r[0] for r in df.where(F.col(col) > 0).select(col).distinct().limit(max_values + 1).collect()]
-    if not vals or len(vals) > max_values:
-        return None
-    m = F.create_map(*[x for v in vals for x in (F.lit(float(v)), F.lit(f"{float(v):g}"))])
-    return F.try_element_at(m, F.col(col).cast("double"))
+def alpha_text(x: Column) -> Column:
+    """Six significant digits without trailing zeros, in plain or exponent form as Python's ``g``
+    (``1.0`` -> ``1``, ``1e-05``), from the digits and exponent of the scientific form."""
+    sci = F.format_string("%.5e", x.cast("double"))
+    exp = F.split_part(sci, F.lit("e"), F.lit(2)).cast("int")
+    digits = F.replace(F.split_part(sci, F.lit("e"), F.lit(1)), F.lit("."), F.lit(""))
+    strip = lambda c: F.regexp_replace(c, r"\.?0*$", "")
+    large = F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2), F.lit("0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    power = F.concat(strip(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))), F.lit("e"),
+                     F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    return F.when((exp >= -4) & (exp < 0), strip(small)).when((exp >= 0) & (exp < 6), strip(large)).otherwise(power)
 
 
+# fixed values
 BENCH_COLS = ("Model", "Source", "Split", "Selection", "Round", "Accuracy", "Balanced Accuracy", "Macro F1",
               "Weighted F1")
 
@@ -225,7 +228,6 @@ def benchmark_rows(rounds: DataFrame, source: str = "federated", required: Seque
     r = backfill_clients(rounds).join(elig.select(RUN), RUN, "left_semi")
     alpha = F.col("partition_alpha") if "partition_alpha" in r.columns else F.lit(None).cast("double")
     r = r.withColumn("_alpha", alpha)
-    text = alpha_text(r, "_alpha") if "partition_alpha" in rounds.columns else None
     fin = final_round(r, ["aggregation", "clients", "_alpha", *present]).withColumn("Selection", F.lit("final"))
     best = best_round(r, ["aggregation", "clients", "_alpha", *present]).withColumn("Selection", F.lit("best_val_macro_f1"))
     last = final_round(r, ["aggregation", "clients", "_alpha"]).select(RUN, F.col("round").alias("_last"))
@@ -233,8 +235,7 @@ def benchmark_rows(rounds: DataFrame, source: str = "federated", required: Seque
     def shape(df: DataFrame) -> DataFrame:
         d = df.join(last, RUN)
         return d.select(
-            model_name(F.col("aggregation"), F.col("clients"), F.col("_alpha"), F.col("_last"),
-                       text).alias("Model"),
+            model_name(F.col("aggregation"), F.col("clients"), F.col("_alpha"), F.col("_last")).alias("Model"),
             F.lit(source).alias("Source"), F.lit("test").alias("Split"), "Selection",
             F.col("round").cast("int").alias("Round"),
             *[(F.col(v) if v in present else F.lit(None).cast("double")).alias(k) for k, v in metric_map.items()])
@@ -250,12 +251,13 @@ def union_benchmarks(frames: Sequence[DataFrame]) -> DataFrame:
     return out.select(*BENCH_COLS)
 
 
-def baseline_overlay(summary: DataFrame, baseline: DataFrame, metric: str = "f1") -> DataFrame:
-    """Every run's final metric next to the best baseline row (a one-row aggregate, attached as scalars)."""
-    best = baseline.agg(F.max_by(F.struct(RUN, metric), F.col(metric)).alias("_b")).select(
-        F.col(f"_b.{RUN}").alias("baseline_run"), F.col(f"_b.{metric}").alias(f"baseline_{metric}"))
-    return with_scalars(summary, best).withColumn(
-        f"delta_{metric}", F.col(metric) - F.col(f"baseline_{metric}"))
+def baseline_overlay(summary: DataFrame, baseline: DataFrame, metrics: Sequence[str] = ("f1",), by: str = "f1") -> DataFrame:
+    """Every run's final metrics next to those of the best baseline test row: the one with the
+    largest ``by``, whatever metric is shown (a one-row aggregate, attached as scalars)."""
+    test = baseline.where(F.col("split") == "test") if "split" in baseline.columns else baseline
+    best = test.where(F.col(by).isNotNull()).agg(F.max_by(F.struct(RUN, *metrics), F.struct(by, RUN)).alias("_b")).select(
+        F.col(f"_b.{RUN}").alias("baseline_run"), *[F.col(f"_b.{m}").alias(f"baseline_{m}") for m in metrics])
+    return with_scalars(summary, best).withColumns({f"delta_{m}": F.col(m) - F.col(f"baseline_{m}") for m in metrics})
 
 
 def join_round_stats(metrics: DataFrame, stats: DataFrame) -> DataFrame:

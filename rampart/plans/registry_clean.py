@@ -49,6 +49,19 @@ def q_summary(spark, sf):
     return s.select("column", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
 
 
+def q_summary_dirty(spark, sf):
+    """NaN and NULL cells are missing values; infinities stay."""
+    s = C.numeric_summary(T.dirty_flows(spark, sf), NUM_COLS)
+    return s.select("column", "count", r6("min").alias("min"), r6("max").alias("max"))
+
+
+def q_quantiles_dirty(spark, sf):
+    """A column with NaN and NULL cells, and one without any value."""
+    d = T.dirty_flows(spark, sf).withColumn("nothing", F.lit(None).cast("double"))
+    q = C.exact_quantiles(d, ["flow_duration", "nothing"])
+    return q.select("column", "prob", r6("value").alias("value"))
+
+
 def q_quantiles(spark, sf):
     q = C.exact_quantiles(T.flows(spark, sf), SUMMARY_COLS)
     return q.select("column", "prob", r6("value").alias("value"))
@@ -79,6 +92,8 @@ QUERIES = {
     "profile_missing_inf": q_missing,
     "profile_numeric_summary": q_summary,
     "profile_quantiles": q_quantiles,
+    "profile_numeric_summary_dirty": q_summary_dirty,
+    "profile_quantiles_dirty": q_quantiles_dirty,
     "profile_label_distribution": q_label_dist,
     "profile_zero_duration": q_zero_duration,
     "profile_duplicates": q_duplicates,
@@ -117,6 +132,13 @@ FROM dirty"""),
     "profile_numeric_summary": with_fixtures("flows", " UNION ALL ".join(
         f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
         f"round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM flows" for c in SUMMARY_COLS)),
+    "profile_numeric_summary_dirty": with_fixtures("dirty", " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count(x) AS count, round(min(x), 6) AS min, round(max(x), 6) AS max "
+        f"FROM (SELECT CASE WHEN NOT isnan({c}) THEN {c} END AS x FROM dirty) t" for c in NUM_COLS)),
+    "profile_quantiles_dirty": with_fixtures("dirty", " UNION ALL ".join(
+        f"SELECT 'flow_duration' AS column, {p}e0 AS prob, round(quantile_cont(x, {p}), 6) AS value "
+        "FROM (SELECT CASE WHEN NOT isnan(flow_duration) THEN flow_duration END AS x FROM dirty) t "
+        f"UNION ALL SELECT 'nothing', {p}e0, CAST(NULL AS DOUBLE)" for p in ("0.25", "0.5", "0.75"))),
     "profile_quantiles": with_fixtures("flows", " UNION ALL ".join(
         f"SELECT '{c}' AS column, {p}e0 AS prob, round(quantile_cont({c}, {p}), 6) AS value FROM flows"
         for c in SUMMARY_COLS for p in ("0.25", "0.5", "0.75"))),

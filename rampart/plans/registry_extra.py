@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -42,9 +43,10 @@ def q_top_values(spark, sf):
 def q_per_file(spark, sf):
     d = T.dirty_flows(spark, sf).select(F.col("row_id").cast("string"), "label").toDF("Row ID", "Label")
     path = scratch_path(spark, f"perfile-{uuid.uuid4().hex}")
-    d.repartition(3).write.option("header", True).csv(path)
-    back = IO.read_flow_csvs(spark, path)
-    return C.per_file_distribution(back, "Label")
+    # (the CSV writer drops outer blanks) a fixed assignment of rows to three day folders, each written by as many tasks as hold its rows
+    d.withColumn("day", F.pmod(F.col("Row ID").cast("bigint"), F.lit(3))).write.partitionBy("day").option("header", True).csv(path)
+    days = [IO.read_flow_csvs(spark, f"{path}/day={k}").withColumn("source_file", F.lit(f"day{k}")) for k in range(3)]
+    return C.per_file_distribution(functools.reduce(lambda a, b: a.unionByName(b), days), "Label")
 
 
 def q_one_shot(spark, sf):
@@ -60,10 +62,15 @@ def q_one_shot(spark, sf):
 
 
 def q_top_importances(spark, sf):
-    imp = FE.forest_importances(T.wide(spark, sf), num_trees=20, max_depth=5)
+    imp = FE.forest_importances(T.wide(spark, sf), num_trees=60)
     return FE.top_importances(imp, 6)
 
 
+def q_most_important(spark, sf):
+    imp = FE.forest_importances(T.wide(spark, sf), num_trees=60)
+    return FE.most_important(imp, 20).select("rank", "pos", "importance")
+
+
 def q_stream_score(spark, sf):
     model = RM.class_mean_model(spark, sf)
     src = T.table(spark, sf, "embeddings")
@@ -100,6 +107,7 @@ QUERIES = {
     "profile_per_file": q_per_file,
     "model_one_shot_average": q_one_shot,
     "features_top_importances": q_top_importances,
+    "features_most_important": q_most_important,
     "streaming_score": q_stream_score,
     "streaming_confusion": q_stream_confusion,
 }
@@ -115,6 +123,10 @@ SELECT row_id, label, flow_bytes_s FROM dirty WHERE flow_bytes_s IS NOT NULL AND
 ORDER BY row_id LIMIT 20"""),
     "profile_top_values": with_fixtures("dirty", """
 SELECT raw_text, count(*) AS n FROM dirty GROUP BY raw_text ORDER BY n DESC, raw_text ASC NULLS FIRST LIMIT 5"""),
+    "profile_per_file": with_fixtures("dirty", """
+SELECT 'day' || (row_id % 3) AS source_file, trim(label) AS "Label", count(*) AS n,
+       CAST(sum(count(*)) OVER (PARTITION BY row_id % 3) AS BIGINT) AS file_rows
+FROM dirty GROUP BY row_id % 3, trim(label)"""),
     "streaming_score": RM.ORACLE["model_score"],
     "streaming_confusion": with_fixtures("updates", """
 SELECT CAST(label_id AS INTEGER) AS y, CAST(cls AS INTEGER) AS p, count(*) AS cnt FROM pn WHERE rk = 1

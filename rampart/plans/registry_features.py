@@ -83,8 +83,25 @@ def q_label_corr(spark, sf):
     return t.select(F.col("rank").cast("int").alias("rank"), "pos", r6("abs_corr").alias("abs_corr"))
 
 
+def planted_wide(spark, sf):
+    """F-wide with a linear copy of feature 0, a noisy copy of feature 1 and a constant."""
+    x = F.col("features")
+    noisy = x[1] + F.lit(0.02) * x[2]
+    return T.wide(spark, sf).withColumn("features", F.concat(x, F.array(x[0] * 2 + 1, noisy, F.lit(5.0))))
+
+
+def q_corr_drop_planted(spark, sf):
+    return FE.correlated_drop(FE.correlation_matrix(planted_wide(spark, sf)))
+
+
+def q_label_corr_constant(spark, sf):
+    w = planted_wide(spark, sf).withColumn("y_bin", (F.col("label_id") != 0).cast("int"))
+    c = FE.label_correlation_wide(w, T.N_WIDE + 3)
+    return c.select("pos", r6("abs_corr").alias("abs_corr"))
+
+
 def q_forest(spark, sf):
-    return FE.forest_importances(T.wide(spark, sf), num_trees=20, max_depth=5)
+    return FE.forest_importances(T.wide(spark, sf), num_trees=60)
 
 
 QUERIES = {
@@ -98,6 +115,8 @@ QUERIES = {
     "features_class_histogram": q_histogram,
     "features_corr_matrix": q_corr,
     "features_corr_drop": q_corr_drop,
+    "features_corr_drop_planted": q_corr_drop_planted,
+    "features_label_corr_constant": q_label_corr_constant,
     "features_label_corr_top": q_label_corr,
     "features_forest_importance": q_forest,
 }
@@ -126,6 +145,13 @@ def _scaled_sql(mode: str) -> str:
 
 _WIDTH = repr(10.0 / 60)
 
+_PLANTED = ("planted", """
+SELECT row_id, label_id, CAST(pos AS INTEGER) AS pos, value FROM wide_long
+UNION ALL SELECT row_id, label_id, 64, 2 * value + 1 FROM wide_long WHERE pos = 0
+UNION ALL SELECT a.row_id, a.label_id, 65, a.value + 0.02e0 * b.value
+FROM wide_long a JOIN wide_long b ON a.row_id = b.row_id WHERE a.pos = 1 AND b.pos = 2
+UNION ALL SELECT row_id, label_id, 66, 5.0e0 FROM wide_long WHERE pos = 0""")
+
 ORACLE = {
     "features_label_map": with_fixtures("flows", "SELECT * FROM lm", [LABEL_MAP]),
     "features_encoded": with_fixtures("flows", """
@@ -154,6 +180,14 @@ SELECT DISTINCT j AS feature FROM (
   SELECT a.pos AS i, b.pos AS j, corr(a.value, b.value) AS r
   FROM wide_long a JOIN wide_long b ON a.row_id = b.row_id AND a.pos < b.pos GROUP BY a.pos, b.pos) c
 WHERE abs(r) > 0.95e0"""),
+    "features_corr_drop_planted": with_fixtures("wide_long", """
+SELECT DISTINCT j AS feature FROM (
+  SELECT a.pos AS i, b.pos AS j, corr(a.value, b.value) AS r
+  FROM planted a JOIN planted b ON a.row_id = b.row_id AND a.pos < b.pos WHERE b.pos < 66 GROUP BY a.pos, b.pos) c
+WHERE abs(r) > 0.95e0""", [_PLANTED]),
+    "features_label_corr_constant": with_fixtures("wide_long", """
+SELECT pos, CASE WHEN max(value) > min(value) THEN round(abs(corr(value, CAST(label_id <> 0 AS DOUBLE))), 6) END AS abs_corr
+FROM planted GROUP BY pos""", [_PLANTED]),
     "features_label_corr_top": with_fixtures("wide_long", f"""
 SELECT CAST(rank AS INTEGER) AS rank, pos, round(abs_corr, 6) AS abs_corr FROM (
   SELECT pos, abs_corr, row_number() OVER (ORDER BY abs_corr DESC, pos) AS rank FROM (

@@ -16,6 +16,30 @@ def q_id_overlap(spark, sf):
     return Q.id_overlap(T.splits(spark, sf))
 
 
+def q_id_overlap_planted(spark, sf):
+    """Every 17th training row also occurs in val, every 34th in test as well."""
+    s = T.splits(spark, sf)
+    more = s.where((F.col("split") == "train") & (F.col("row_id") % 17 == 0))
+    both = s.unionByName(more.withColumn("split", F.lit("val"))).unionByName(
+        more.where(F.col("row_id") % 34 == 0).withColumn("split", F.lit("test")))
+    return Q.id_overlap(both)
+
+
+def q_unseen_planted(spark, sf):
+    s = T.splits(spark, sf)
+    lab = F.when(F.col("row_id") % 100 == 7, "rare").when(F.col("row_id") % 100 == 9, "new").otherwise(F.col("label"))
+    return Q.unseen_labels(s.withColumn("label", lab))
+
+
+def q_dup_nulls(spark, sf):
+    """Two columns with NULLs in changing positions: (NULL, 1) and (1, NULL) differ."""
+    s, i = T.splits(spark, sf), F.col("row_id")
+    m = F.floor(i / 10)
+    pair = s.select("row_id", "split", F.when(m % 3 != 0, m % 4).alias("a"), F.when(m % 5 != 0, m % 7).alias("b"))
+    d = Q.duplicate_vectors(pair.where((F.col("split") != "train") | (F.col("row_id") % 4 == 0)), ["a", "b"])
+    return d.select("n_probe", "n_dup", F.round("share", 6).alias("share"))
+
+
 def q_dup_plain(spark, sf):
     d = Q.duplicate_vectors(T.splits(spark, sf), ["feats"])
     return d.select("n_probe", "n_dup", F.round("share", 6).alias("share"))
@@ -50,6 +74,9 @@ def q_label_union(spark, sf):
 
 QUERIES = {
     "quality_id_overlap": q_id_overlap,
+    "quality_id_overlap_planted": q_id_overlap_planted,
+    "quality_unseen_labels_planted": q_unseen_planted,
+    "quality_dup_vectors_nulls": q_dup_nulls,
     "quality_dup_vectors_plain": q_dup_plain,
     "quality_dup_vectors_group_aware": q_dup_group,
     "quality_unseen_labels": q_unseen,
@@ -75,6 +102,26 @@ SELECT a.s AS split_a, b.s AS split_b,
                               INTERSECT SELECT row_id FROM splits WHERE split = b.s) x) AS n_shared
 FROM (VALUES ('train', 1), ('val', 2), ('test', 3)) a(s, o), (VALUES ('train', 1), ('val', 2), ('test', 3)) b(s, o)
 WHERE a.o < b.o"""),
+    "quality_id_overlap_planted": with_fixtures("splits", """
+SELECT a.s AS split_a, b.s AS split_b,
+       (SELECT count(*) FROM (SELECT row_id FROM more WHERE split = a.s
+                              INTERSECT SELECT row_id FROM more WHERE split = b.s) x) AS n_shared
+FROM (VALUES ('train', 1), ('val', 2), ('test', 3)) a(s, o), (VALUES ('train', 1), ('val', 2), ('test', 3)) b(s, o)
+WHERE a.o < b.o""", [("more", """SELECT row_id, split FROM splits
+UNION ALL SELECT row_id, 'val' FROM splits WHERE split = 'train' AND row_id % 17 = 0
+UNION ALL SELECT row_id, 'test' FROM splits WHERE split = 'train' AND row_id % 34 = 0""")]),
+    "quality_unseen_labels_planted": with_fixtures("splits", """
+SELECT DISTINCT label FROM lab WHERE split <> 'train'
+EXCEPT SELECT DISTINCT label FROM lab WHERE split = 'train'""", [("lab", """
+SELECT split, CASE WHEN row_id % 100 = 7 THEN 'rare' WHEN row_id % 100 = 9 THEN 'new' ELSE label END AS label FROM splits""")]),
+    "quality_dup_vectors_nulls": with_fixtures("splits", """
+SELECT count(*) AS n_probe, count(*) FILTER (WHERE hit) AS n_dup,
+       round(coalesce(CAST(count(*) FILTER (WHERE hit) AS DOUBLE) / nullif(count(*), 0), 0.0e0), 6) AS share
+FROM (SELECT EXISTS (SELECT 1 FROM ab t WHERE t.split = 'train' AND t.row_id % 4 = 0
+                     AND t.a IS NOT DISTINCT FROM p.a AND t.b IS NOT DISTINCT FROM p.b) AS hit
+      FROM ab p WHERE p.split = 'test') x""", [("ab", """
+SELECT row_id, split, CASE WHEN (row_id // 10) % 3 <> 0 THEN (row_id // 10) % 4 END AS a,
+       CASE WHEN (row_id // 10) % 5 <> 0 THEN (row_id // 10) % 7 END AS b FROM splits""")]),
     "quality_dup_vectors_plain": with_fixtures("splits", _DUP.format(src="splits")),
     "quality_dup_vectors_group_aware": with_fixtures("splits", _DUP.format(src="ga"), [_GA]),
     "quality_unseen_labels": with_fixtures("splits", """

@@ -106,6 +106,14 @@ def q_overlay(spark, sf):
     return _round_doubles(o)
 
 
+def q_overlay_metrics(spark, sf):
+    """All overlaid metrics come from the baseline test row of the best f1."""
+    s = _summary(spark, sf).select("run_name", "f1", "attack", (F.lit(1.0) - F.col("f1") / 2).alias("fpr"))
+    base = s.where(F.col("attack") == "none").drop("attack")
+    base = base.withColumn("split", F.lit("test")).unionByName(base.withColumn("split", F.lit("val")).withColumn("f1", F.col("f1") + 1))
+    return _round_doubles(RP.baseline_overlay(s.drop("attack"), base, ("f1", "fpr")))
+
+
 QUERIES = {
     "report_final_round": q_final,
     "report_best_round": q_best,
@@ -124,6 +132,7 @@ QUERIES = {
     "report_benchmark_union": q_benchmark,
     "report_round_stats_join": q_round_join,
     "report_baseline_overlay": q_overlay,
+    "report_baseline_overlay_metrics": q_overlay_metrics,
 }
 
 _RB = ("rb", """SELECT *, max(clients) OVER (PARTITION BY run_name) AS clients_b,
@@ -238,8 +247,12 @@ SELECT 'Federated mean over runs (' || aggregation || ')', 'summary', 'test', NU
     "report_round_stats_join": with_fixtures("rounds", """
 SELECT m.run_name, m.round, round(m.f1, 6) AS f1, s.clients, round(s.agg_time_s, 6) AS agg_time_s, s.bytes_up
 FROM rounds m LEFT JOIN (SELECT * FROM rounds WHERE round > 0) s ON m.run_name = s.run_name AND m.round = s.round"""),
+    "report_baseline_overlay_metrics": with_fixtures("rounds", """
+SELECT s.run_name, round(s.f1, 6) AS f1, round(1 - s.f1 / 2, 6) AS fpr, b.run_name AS baseline_run, round(b.f1, 6) AS baseline_f1,
+       round(1 - b.f1 / 2, 6) AS baseline_fpr, round(s.f1 - b.f1, 6) AS delta_f1, round(b.f1 / 2 - s.f1 / 2, 6) AS delta_fpr
+FROM summ s, (SELECT run_name, f1 FROM summ WHERE attack = 'none' ORDER BY f1 DESC, run_name DESC LIMIT 1) b""", _S),
     "report_baseline_overlay": with_fixtures("rounds", """
 SELECT s.run_name, round(s.f1, 6) AS f1, b.run_name AS baseline_run, round(b.f1, 6) AS baseline_f1,
        round(s.f1 - b.f1, 6) AS delta_f1
-FROM summ s, (SELECT run_name, f1 FROM summ WHERE attack = 'none' ORDER BY f1 DESC LIMIT 1) b""", _S),
+FROM summ s, (SELECT run_name, f1 FROM summ WHERE attack = 'none' ORDER BY f1 DESC, run_name DESC LIMIT 1) b""", _S),
 }

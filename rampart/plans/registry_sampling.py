@@ -49,6 +49,12 @@ def q_uniform(spark, sf):
     return S.uniform_sample(T.flows(spark, sf), "row_id", 1000, SEED).select("row_id")
 
 
+def q_uniform_repeated(spark, sf):
+    """Ids that 50 rows share: 20 whole ids make the sample."""
+    d = T.flows(spark, sf).withColumn("id", F.floor(F.col("row_id") / 50))
+    return S.uniform_sample(d.select("id", "row_id"), "id", 1000, SEED)
+
+
 def q_strat_split(spark, sf):
     fl = T.flows(spark, sf).withColumn("is_attack", FE.is_attack_label("label"))
     return S.stratified_split(fl, "row_id", "label", 0.2, SEED).select("row_id", "split")
@@ -93,6 +99,7 @@ QUERIES = {
     "sampling_stratified_min": q_strat_min,
     "sampling_stratified_frac": q_strat_frac,
     "sampling_uniform": q_uniform,
+    "sampling_uniform_repeated_ids": q_uniform_repeated,
     "sampling_stratified_split": q_strat_split,
     "sampling_group_aware_split": q_group_split,
     "sampling_undersample": q_undersample,
@@ -155,6 +162,11 @@ SELECT row_id, split, label FROM (SELECT row_id, split, label, {_rank_sql('split
 WHERE rk <= greatest(1, round_even(n * 0.3e0, 0))"""),
     "sampling_uniform": with_fixtures("flows", f"""
 SELECT row_id FROM (SELECT row_id, {_rank_sql('flows', SEED)} AS rk FROM flows) r WHERE rk <= 1000"""),
+    "sampling_uniform_repeated_ids": with_fixtures("flows", f"""
+SELECT f.row_id // 50 AS id, f.row_id FROM flows f JOIN (
+  SELECT id, coalesce(sum(n) OVER (ORDER BY {key('id', SEED)}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT row_id // 50 AS id, count(*) AS n FROM flows GROUP BY 1) c) r ON r.id = f.row_id // 50
+WHERE r.before < 1000"""),
     "sampling_stratified_split": with_fixtures("flows", f"""
 SELECT row_id, CASE WHEN rk <= round_even(n * 0.2e0, 0) THEN 'test' ELSE 'train' END AS split
 FROM (SELECT row_id, {_rank_sql('flows', SEED, 'label')} AS rk, count(*) OVER (PARTITION BY label) AS n FROM flows) r"""),

@@ -28,7 +28,7 @@ def q_flow_csv(spark, sf):
                    F.col("flow_packets_s").cast("string"), F.col("flow_duration").cast("string"),
                    F.lit("-999").alias("dup1"), F.lit("-998").alias("dup2"), "raw_text").toDF(*RAW_HEADER)
     path = scratch_path(spark, f"flowcsv-{uuid.uuid4().hex}")
-    out.repartition(2).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    out.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     back = IO.read_flow_csvs(spark, path)
     back = C.clean_labels(back, "Label")
     back = C.coerce_numeric(back, ["Flow Bytes/s", "Flow Packets/s", "Flow Duration"])

@@ -14,6 +14,8 @@ def unit_of(md5_expr: str) -> str:
 
 
 # label map + encoded flows, shared by several families
-LABEL_MAP = ("lm", """SELECT label, CAST(row_number() OVER (ORDER BY upper(label) <> 'BENIGN', label) - 1 AS INTEGER) AS label_id
+LABEL_MAP = ("lm", """SELECT label, CAST(CASE WHEN upper(label) = 'BENIGN' THEN 0 ELSE row_number() OVER (ORDER BY upper(label) <> 'BENIGN', label)
+  - count(*) FILTER (WHERE upper(label) = 'BENIGN') OVER ()
+  - CASE WHEN count(*) FILTER (WHERE upper(label) = 'BENIGN') OVER () = 0 THEN 1 ELSE 0 END END AS INTEGER) AS label_id
 FROM (SELECT DISTINCT trim(label) AS label FROM flows) d""")
 FLOWS_ENC = ("fl", """SELECT f.*, lm.label_id FROM flows f JOIN lm ON trim(f.label) = lm.label""")

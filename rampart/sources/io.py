@@ -252,10 +252,10 @@ def read_results_csv(spark: SparkSession, path: str, schema: T.StructType = LEGA
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """Report tables (a few rows per run) as one CSV file; pass ``single_file=False`` for row data."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV files; ``single_file`` gathers report tables (a few rows per run) in one."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str, single_file: bool = True) -> None:
+def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").json(path)

@@ -174,15 +174,3 @@ def test_oversample_spreads_the_copies_of_one_row(spark):
     over = S.random_oversample(df, "row_id", chunk=100)
     one = over.where("row_id = 0")
     assert sorted(r.copy for r in one.collect()) == list(range(2000))
-
-
-def test_many_silos_cost_little_more_than_few(spark):
-    import time
-
-    df = spark.range(20_000).withColumnRenamed("id", "row_id")
-    seconds = {}
-    for n in (5, 1000, 5, 1000):
-        t = time.time()
-        assert S.iid_partition(df, "row_id", n).select("silo_id").distinct().count() == n
-        seconds[n] = time.time() - t
-    assert seconds[1000] < 4 * seconds[5] + 2  # 2x when the machine is idle

@@ -126,7 +126,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, num: i
     return work.groupBy("c", "chunk").applyInArrow(check, "a long, c long")
 
 
-def minhash_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, rows: int = 2,
+def minhash_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, rows: int = 3,
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Near-duplicate groups: documents are linked when ``den * intersection >= num * union`` of
     their distinct ``shingle``-word sets; groups are the connected components of the links.
@@ -146,10 +146,12 @@ def minhash_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     # equal sets are one class, represented by its smallest doc_id
     classes = materialize(some.groupBy("f1", "f2", "n_shingles")
                           .agg(F.min("doc_id").alias("rep"), *[F.first(h).alias(h) for h in hashes]), "minhash-classes")
-    keyed = classes.select("rep", F.explode(F.array(*[
+    # sets that are linked differ in size by less than num / den: neighbouring size classes
+    size_class = F.floor(F.log("n_shingles") / F.lit(math.log(den / num)) + 1e-9).cast("int") if num < den else F.col("n_shingles").cast("int")
+    keyed = classes.select("rep", size_class.alias("cls"), F.explode(F.array(*[
         F.xxhash64(F.lit(i * bands + j), f"h{i}", f"h{bands + j}") for i in range(bands) for j in range(bands)])).alias("key"))
     met = keyed.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("top")).where("c < top").select("key", "c")
-    meets = materialize(keyed.join(met, "key"), "minhash-keys")  # (key, rep, c), keys with two reps or more
+    meets = materialize(keyed.join(met, "key"), "minhash-keys")  # (key, rep, cls, c), keys with two reps or more
     sizes = some.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
     star = materialize(meets.where("rep <> c").select(F.col("rep").alias("a"), "c").distinct(), "minhash-pairs")
     links = materialize(verified(star, src, sizes, shingle, num, den).distinct(), "minhash-links")
@@ -167,15 +169,17 @@ def minhash_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def _between(meets: DataFrame, comp: DataFrame, done: DataFrame) -> DataFrame:
-    """Candidate pairs (a, c) of one key that lie in different components and are not in ``done``."""
-    at = meets.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("key", "rep", F.coalesce("label", "rep").alias("comp"))
+    """Candidate pairs (a, c) of one key and of neighbouring size classes that lie in different
+    components and are not in ``done``."""
+    at = meets.select("key", "rep", "cls").join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
+        .select("key", "rep", "cls", F.coalesce("label", "rep").alias("comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     at = materialize(at.join(mixed, "key"), "minhash-mixed")
-    groups = at.select("key", "comp").distinct()
-    two = groups.withColumnRenamed("comp", "comp1").join(groups.withColumnRenamed("comp", "comp2"), "key").where("comp1 < comp2")
-    pairs = (two.join(at.select("key", F.col("comp").alias("comp1"), F.col("rep").alias("x")), ["key", "comp1"])
-             .join(at.select("key", F.col("comp").alias("comp2"), F.col("rep").alias("y")), ["key", "comp2"])
+    groups = at.select("key", "comp", "cls").distinct()
+    near = groups.select("key", F.col("comp").alias("comp2"), F.col("cls").alias("cls2"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls1"))
+    two = groups.select("key", F.col("comp").alias("comp1"), F.col("cls").alias("cls1")).join(near, ["key", "cls1"]).where("comp1 < comp2")
+    pairs = (two.join(at.select("key", F.col("comp").alias("comp1"), F.col("cls").alias("cls1"), F.col("rep").alias("x")), ["key", "comp1", "cls1"])
+             .join(at.select("key", F.col("comp").alias("comp2"), F.col("cls").alias("cls2"), F.col("rep").alias("y")), ["key", "comp2", "cls2"])
              .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("c")).distinct())
     return pairs.join(done, ["a", "c"], "left_anti")
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from rampart.functions.attach import with_scalars
 from rampart.functions.scalar import percent_label
+from rampart.operators.robust import METHODS
 
-METHODS = ("fedavg", "median", "trimmed_mean", "krum", "multikrum")
 KRUM_FAMILY = ("krum", "multikrum")
 RUN = "run_name"
 

@@ -192,7 +192,7 @@ def aggregate(method: str, updates: DataFrame, clients: DataFrame | None = None,
         "multikrum": lambda: krum(updates, f, True, keys),
     }
     if method not in rules:
-        raise ValueError(f"Unknown aggregation '{method}'. Choose from {METHODS}.")
+        raise ValueError(f"no rule named {method!r}; known: {', '.join(METHODS)}")
     if method == "fedavg" and clients is None:
         raise ValueError("fedavg needs the clients table (example counts)")
     return rules[method]()

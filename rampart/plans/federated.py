@@ -55,36 +55,16 @@ class RunConfig:
     run_name: str | None = None
     extra: dict = field(default_factory=dict)
 
-    def name(self) -> str:
+    def label(self) -> str:
+        """Name of the run in its log: ``run_name``, or the settings that tell runs apart."""
         if self.run_name:
             return self.run_name
-        frac = self.malicious_fraction if self.attack != "none" else 0.0
-        out = f"{self.aggregation}_{self.attack}_{frac:.2f}_c{self.n_silos}_s{self.seed}"
-        return out + (f"_a{self.partition_alpha:g}" if self.partition_alpha > 0 else "")
-
-
-# The two experiment presets (silo counts, rules, attacks, attacker fractions).
-PRESETS = {
-    "stage1": dict(clients=[3, 5], aggregations=["fedavg"], attacks=["none"], fractions=[0.0]),
-    "stage2": dict(clients=[10], aggregations=["fedavg", "median", "trimmed_mean", "krum", "multikrum"],
-                   attacks=["label_flip", "model_poison"], fractions=[0.1, 0.2, 0.3]),
-}
-
-
-def grid_configs(clients, aggregations, attacks=("none",), fractions=(0.0,), seeds=(42,),
-                 clean_reference: bool = True, **common) -> list[RunConfig]:
-    """Run grid: per (silo count, rule, seed) a clean reference run (unless disabled while
-    attacks are requested), then every attack x positive fraction. ``common`` sets the
-    other run arguments (rounds, local_epochs, partition_alpha, ...)."""
-    runs = []
-    for n in clients:
-        for agg in aggregations:
-            for seed in seeds:
-                combos = [("none", 0.0)] if clean_reference or list(attacks) == ["none"] else []
-                combos += [(a, float(f)) for a in attacks if a != "none" for f in fractions if f > 0]
-                runs += [RunConfig(n_silos=int(n), aggregation=agg, seed=int(seed), attack=a, malicious_fraction=f,
-                                   **common) for a, f in combos]
-    return runs
+        told = {"rule": self.aggregation, "attack": self.attack, "silos": self.n_silos, "seed": self.seed}
+        if self.attack != "none":
+            told["fraction"] = f"{self.malicious_fraction:g}"
+        if self.partition_alpha > 0:
+            told["alpha"] = f"{self.partition_alpha:g}"
+        return " ".join(f"{k}={v}" for k, v in told.items())
 
 
 ROUND_SCHEMA = T.StructType([
@@ -177,9 +157,11 @@ def evaluate(model: LinearModel, test: DataFrame, val: DataFrame | None) -> dict
 
 def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame | None,
                   n_features: int, n_classes: int, cfg: RunConfig, log_dir: str | None = None) -> DataFrame:
-    """Train one run; returns its round log (round 0 = the zero model) and appends it to ``log_dir``."""
+    """Train one run; returns its round log (round 0 = the zero model). With ``log_dir`` every round
+    is written when it ends (round 0 replaces an earlier log of the same run), so a run that
+    stops leaves the rounds it finished."""
     if cfg.aggregation not in R.METHODS:
-        raise ValueError(f"aggregation must be one of {R.METHODS}, got {cfg.aggregation!r}")
+        raise ValueError(f"unknown rule {cfg.aggregation!r}; known: {', '.join(R.METHODS)}")
     if cfg.attack not in R.ATTACKS:
         raise ValueError(f"attack must be one of {R.ATTACKS}, got {cfg.attack!r}")
     if cfg.rebalance not in REBALANCE:
@@ -198,11 +180,19 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
     mal_frac = float(cfg.malicious_fraction) if cfg.attack != "none" else 0.0
     glob = LinearModel.zeros(n_features, n_classes)
     n_params = glob.flat().size
-    info = {"run_name": cfg.name(), "aggregation": cfg.aggregation, "attack": cfg.attack,
+    info = {"run_name": cfg.label(), "aggregation": cfg.aggregation, "attack": cfg.attack,
             "malicious_fraction": mal_frac, "partition_alpha": float(cfg.partition_alpha),
             "model_alpha": float(cfg.model_alpha), "local_epochs": int(cfg.local_epochs), "seed": int(cfg.seed)}
     t0 = time.perf_counter()
-    log = [{**info, "round": 0, **evaluate(glob, test, val), "elapsed_s": 0.0}]
+    log: list[dict] = []
+
+    def record(row: dict) -> None:
+        log.append(row)
+        if log_dir:
+            one = spark.createDataFrame([tuple(row.get(f.name) for f in ROUND_SCHEMA.fields)], ROUND_SCHEMA)
+            (IO.append_round_log if len(log) > 1 else IO.write_run_log)(one, log_dir)
+
+    record({**info, "round": 0, **evaluate(glob, test, val), "elapsed_s": 0.0})
     for rnd in range(1, cfg.rounds + 1):
         local, stats = train_local(local_rows, {s: glob for s in silos}, n_features, cfg.local_epochs,
                                    cfg.learning_rate, cfg.model_alpha, class_weights=cw,
@@ -240,31 +230,12 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
             flat[int(r["pos"])] = float(r["value"])
         glob = LinearModel.from_flat(flat, n_features, n_classes)
         wsum = sum(n_ex[s] for s in present)
-        log.append({**info, "round": rnd, **evaluate(glob, test, val),
+        record({**info, "round": rnd, **evaluate(glob, test, val),
                     "elapsed_s": time.perf_counter() - t0, "clients": n, "malicious_in_round": sum(1 for s in present if s < n_mal),
                     "kept_clients": kept, "malicious_kept": mal_kept, "agg_time_s": agg_time,
                     "train_loss": sum(stats[s][1] * n_ex[s] for s in present) / wsum if wsum else 0.0,
                     "bytes_up": n * n_params * 8, "bytes_down": n * n_params * 8})
-    out = spark.createDataFrame([tuple(r.get(f.name) for f in ROUND_SCHEMA.fields) for r in log], ROUND_SCHEMA)
-    if log_dir:
-        IO.write_run_log(out, log_dir)
-    return out
-
-
-def run_grid(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame | None, n_features: int,
-             n_classes: int, configs: list[RunConfig], log_dir: str, force: bool = False) -> list[tuple[str, str]]:
-    """Run every configuration (fewest silos first) into ``log_dir``; runs whose log already
-    reaches their last round are skipped unless ``force``. Returns ``(run name, 'done' | 'skipped')``."""
-    last = {} if force else IO.last_rounds(spark, log_dir)
-    out = []
-    for cfg in sorted(configs, key=lambda c: c.n_silos):
-        name = cfg.name()
-        if last.get(name, -1) >= cfg.rounds:
-            out.append((name, "skipped"))
-            continue
-        run_federated(spark, train, test, val, n_features, n_classes, cfg, log_dir)
-        out.append((name, "done"))
-    return out
+    return spark.createDataFrame([tuple(r.get(f.name) for f in ROUND_SCHEMA.fields) for r in log], ROUND_SCHEMA)
 
 
 def config_dict(cfg: RunConfig) -> dict:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,6 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running on a cluster")
         path = tempfile.mkdtemp(prefix="rampart-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)  # goes with the process that made it
         spark.conf.set(CHECKPOINT_CONF, path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -52,9 +55,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A sub-folder of the application's own part of the shared checkpoint folder."""
+    return f"{_scratch_root(spark)}/{name}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/rampart-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table this application has written. Results that still read
+    one become unreadable, so call it when they have been consumed or written elsewhere."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df, name: str, partition_by: list[str] | None = None):

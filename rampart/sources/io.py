@@ -217,19 +217,6 @@ def write_run_log(df: DataFrame, directory: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(directory)
 
 
-def last_rounds(spark: SparkSession, directory: str) -> dict[str, int]:
-    """Last logged round of every run (one aggregate over the logs, one row per run)."""
-    if not _exists(spark, directory):
-        return {}
-    logs = spark.read.schema("run_name string, round int").parquet(directory)
-    return {r["run_name"]: int(r["_last"]) for r in logs.groupBy("run_name").agg(F.max("round").alias("_last")).collect()}
-
-
-def finished_runs(spark: SparkSession, directory: str, rounds: int) -> set[str]:
-    """Runs whose log reaches round ``rounds``."""
-    return {n for n, last in last_rounds(spark, directory).items() if last >= rounds}
-
-
 def scan_round_logs(spark: SparkSession, directory: str, schema: T.StructType | None = None,
                     min_rows: int = 2) -> DataFrame:
     """All runs' logs; runs with fewer than ``min_rows`` rows are skipped."""

@@ -78,24 +78,30 @@ def test_clean_run_ignores_configured_malicious_fraction(spark, sets):
     assert log[1]["kept_clients"] == 5 and log[1]["malicious_in_round"] == 0
 
 
-def test_grid_presets_and_names():
-    g = FD.grid_configs(**FD.PRESETS["stage2"])
-    assert len(g) == 5 * (1 + 2 * 3)
-    assert g[0].name() == "fedavg_none_0.00_c10_s42" and g[1].name() == "fedavg_label_flip_0.10_c10_s42"
-    assert len(FD.grid_configs(**FD.PRESETS["stage1"])) == 2
-    assert len(FD.grid_configs(**FD.PRESETS["stage2"], clean_reference=False)) == 5 * 6
-    assert FD.RunConfig(partition_alpha=0.5).name() == "fedavg_none_0.00_c5_s42_a0.5"
+def test_run_labels_tell_runs_apart():
+    names = {FD.RunConfig(aggregation=a, attack=t, malicious_fraction=f, seed=s, partition_alpha=p).label()
+             for a in ("fedavg", "krum") for t, f in (("none", 0.0), ("label_flip", 0.1), ("label_flip", 0.2)) for s in (1, 2) for p in (0.0, 0.5)}
+    assert len(names) == 24 and FD.RunConfig(run_name="x").label() == "x"
 
 
-def test_grid_skips_finished_runs_and_logs_stay_whole(spark, sets):
+def test_log_holds_the_rounds_of_a_run_that_stops(spark, sets, monkeypatch):
+    """Each round is written when it ends; a rerun replaces the log of its own run only."""
     tr, va, te, nf, nc = sets
-    d = tempfile.mkdtemp(prefix="rampart-grid-")
-    cfgs = FD.grid_configs(clients=[3], aggregations=["median"], attacks=["model_poison"], fractions=[0.3],
-                           rounds=1, local_epochs=1)
-    first = FD.run_grid(spark, tr, te, va, nf, nc, cfgs, d)
-    again = FD.run_grid(spark, tr, te, va, nf, nc, cfgs, d)
-    forced = FD.run_grid(spark, tr, te, va, nf, nc, cfgs[:1], d, force=True)
-    assert [s for _, s in first] == ["done", "done"] and [s for _, s in again] == ["skipped", "skipped"]
-    assert forced == [(cfgs[0].name(), "done")]
-    logs = spark.read.parquet(d)
-    assert logs.count() == 2 * 2 and logs.select("run_name", "round").distinct().count() == 4
+    d = tempfile.mkdtemp(prefix="rampart-log-")
+    cfg = FD.RunConfig(rounds=3, local_epochs=1, n_silos=3, run_name="a")
+    train, calls = FD.train_local, []
+
+    def failing(*args, **kw):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return train(*args, **kw)
+
+    monkeypatch.setattr(FD, "train_local", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        FD.run_federated(spark, tr, te, va, nf, nc, cfg, d)
+    assert sorted(r["round"] for r in spark.read.parquet(d).collect()) == [0, 1, 2]
+    monkeypatch.setattr(FD, "train_local", train)
+    FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, local_epochs=1, n_silos=3, run_name="a"), d)
+    FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, local_epochs=1, n_silos=3, run_name="b"), d)
+    assert sorted((r["run_name"], r["round"]) for r in spark.read.parquet(d).collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]

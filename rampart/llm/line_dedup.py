@@ -16,67 +16,78 @@ from rampart.session import materialize
 
 # moduli of the position-weighted word hashes: primes near 2^31 (fixed values)
 _P, _Q = 2147483647, 2147483629
-_ORD = "struct<n:boolean,d:bigint,l:int,r:bigint>"
+_LAST = 2**63 - 1  # null ids come after all others
+#: documents (ids of 8 bytes) that a broadcast may carry, counted first; beyond, a shuffle join
+BROADCAST_DOCS = 1_000_000
 
 
 def line_words(line: Column) -> Column:
     """Words of a line: runs outside ASCII blanks."""
-    return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda x: x != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place ``ord`` in the corpus (null ids last) and its words."""
-    at = docs.select("doc_id", "rh", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("line_no").alias("l"), F.col("rh").alias("r"))
-    return at.select(place.alias("ord"), line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
+def _hashes(w: Column) -> list[Column]:
+    """A 128-bit hash of a line's words."""
+    return [F.xxhash64(w), F.xxhash64(F.lit(1), w)]
 
 
-def _halves(n: Column, min_words: int) -> Column:
+def _halves(n: Column, min_words: int) -> list[Column]:
     """Keys of the first and last p words, for p half the words of the line or of a line one
     word shorter: one edit leaves the same half of both lines whole."""
-    def key(p: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(0), p, F.slice("w", 1, p)), F.xxhash64(F.lit(1), p, F.slice("w", n - p + 1, p))]
+    def key(side: int, p: Column) -> Column:
+        return F.xxhash64(F.lit(side), p, F.slice("w", 1, p) if side == 0 else F.slice("w", n - p + 1, p))
 
     p, q = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.when(n >= min_words, F.when(p == q, F.array(*key(p))).otherwise(F.array(*key(p), *key(q))))
+    return [F.when((n >= min_words) & only, key(side, half)) for half, only in ((p, F.lit(True)), (q, p != q)) for side in (0, 1)]
 
 
 def distinct_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row a distinct line: a 128-bit hash (h1, h2), its earliest place, words, half keys."""
-    n = F.size("w")
-    one = _lines(docs).select("ord", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), n.alias("n"), _halves(n, min_words).alias("k"))
-    keys = [F.get("k", F.lit(i)).alias(f"k{i}") for i in range(4)]
-    return one.select("ord", "h1", "h2", "n", *keys).groupBy("h1", "h2") \
-        .agg(F.min("ord").alias("ord"), F.min("n").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    """One row a distinct line with a word: its hash (h1, h2), the first document d that has it,
+    and its half keys k0 .. k3 (of first and last words; null if absent)."""
+    w = docs.select("d", F.explode(F.split("text", "\n", -1)).alias("line")).select("d", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    h1, h2 = _hashes(F.col("w"))
+    one = w.select("d", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(F.size("w"), min_words))])
+    return one.groupBy("h1", "h2").agg(F.min("d").alias("d"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """Lines that share a half with another distinct line; no other line can have a partner."""
-    keyed = distinct.where("k0 is not null").select("h1", "h2", "ord", F.explode(F.filter(F.array("k0", "k1", "k2", "k3"), lambda x: x.isNotNull())).alias("key"))
+    """Lines that share a half with another distinct line (no other line can have a partner),
+    with the sides they share: an edit then lies on the other side."""
+    sides = F.array(*[F.struct(F.lit(i % 2).alias("side"), F.col(f"k{i}").alias("key")) for i in range(4)])
+    keyed = distinct.where("k0 is not null").select("h1", "h2", "d", F.explode(F.filter(sides, lambda x: x["key"].isNotNull())).alias("x")) \
+        .select("h1", "h2", "d", "x.side", "x.key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return keyed.join(shared, "key", "left_semi").select("h1", "h2", "ord").distinct()
+    return keyed.join(shared, "key", "left_semi").groupBy("h1", "h2", "d") \
+        .agg(F.max(F.col("side") == 0).alias("first"), F.max(F.col("side") == 1).alias("last"))
 
 
 def _with_words(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """The words of the given lines, read at their earliest place."""
-    by_doc = lines.select("h1", "h2", "ord", F.col("ord.d").alias("d"), F.col("ord.n").alias("nul"), F.col("ord.r").alias("rh")) \
-        .groupBy("d", "nul", "rh").agg(F.collect_list(F.struct("h1", "h2", "ord")).alias("lines"))
-    text = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("nul"), "rh", "text").dropDuplicates(["d", "nul", "rh"])
-    got = by_doc.join(text, ["d", "nul", "rh"]).select(F.split("text", "\n", -1).alias("all"), "lines")
-    one = got.select("all", F.explode("lines").alias("x")).select("x.*", F.get("all", F.col("x.ord.l")).alias("line"))
-    return one.select("h1", "h2", "ord", line_words(F.col("line")).alias("w"))
+    """The words of the given lines and their place (d, line number, text hash), read from the
+    document that has them first."""
+    ids = materialize(lines.select("d").distinct(), "line-docs")
+    # only documents that hold a candidate are read: few ids are sent to the tasks, many are joined
+    few = ids.count() <= BROADCAST_DOCS
+    some = docs.join(F.broadcast(ids) if few else ids, "d", "left_semi")
+    at = some.select("d", F.xxhash64("text").alias("r"), F.posexplode(F.split("text", "\n", -1)).alias("l", "line")) \
+        .select("d", "l", "r", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    h1, h2 = _hashes(F.col("w"))
+    got = at.withColumns({"h1": h1, "h2": h2}).join(lines, ["h1", "h2", "d"])
+    return got.groupBy("h1", "h2", "first", "last").agg(F.min(F.struct("d", "l", "r")).alias("ord"), F.first("w").alias("w"))
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """(key, kind, h1, h2, ord, i): kind 0 the whole line, 1 the line without word i, 2 the line
-    with word i blanked. Keys are word-hash sums and position-weighted sums, so a deletion's
-    key follows from running sums: linear in the words, however long the line."""
-    words = lines.select("h1", "h2", "ord", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")) \
-        .select("h1", "h2", "ord", "n", "i", F.pmod(F.xxhash64("word"), F.lit(_P)).alias("x"), F.pmod(F.xxhash64(F.lit(1), "word"), F.lit(_Q)).alias("y"))
+    """(key, kind, h1, h2): kind 0 the whole line, 1 the line without one word, 2 the line with
+    one word blanked, for the words where an edit can lie. Keys are word-hash sums and
+    position-weighted sums, so a deletion's key follows from running sums: linear in the
+    words, however long the line. Lines are dealt out before their words are."""
+    words = lines.repartition("h1", "h2").select("h1", "h2", "first", "last", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")) \
+        .select("h1", "h2", "first", "last", "n", "i", F.pmod(F.xxhash64("word"), F.lit(_P)).alias("x"), F.pmod(F.xxhash64(F.lit(1), "word"), F.lit(_Q)).alias("y"))
     line = Window.partitionBy("h1", "h2")
-    sums = words.select("*", *[f(c).over(line).alias(a + c) for c in ("x", "y") for a, f in (("s", F.sum),)],
+    run = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = words.select("*", F.sum("x").over(line).alias("sx"), F.sum("y").over(line).alias("sy"),
                         F.sum(F.pmod(F.col("i") * F.col("x"), F.lit(_P))).over(line).alias("tx"), F.sum(F.pmod(F.col("i") * F.col("y"), F.lit(_Q))).over(line).alias("ty"),
-                        F.sum("x").over(line.orderBy("i")).alias("px"), F.sum("y").over(line.orderBy("i")).alias("py"))
+                        F.sum("x").over(run).alias("px"), F.sum("y").over(run).alias("py"))
+
     def key(tag: int, n: Column, x: Column, y: Column, tx: Column, ty: Column, *more: Column) -> Column:
         return F.xxhash64(F.lit(tag), n, x, y, F.pmod(tx, F.lit(_P)), F.pmod(ty, F.lit(_Q)), *more)
 
@@ -85,21 +96,24 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
     whole = F.struct(key(0, n, sx, sy, tx, ty).alias("key"), F.lit(0).alias("kind"))
     shorter = F.struct(key(0, n - 1, sx - x, sy - y, tx - ix - (sx - px), ty - iy - (sy - py)).alias("key"), F.lit(1).alias("kind"))
     blanked = F.struct(key(1, n, sx - x, sy - y, tx - ix, ty - iy, i).alias("key"), F.lit(2).alias("kind"))
-    emitted = F.when(i == 0, F.array(whole, shorter, blanked)).otherwise(F.array(shorter, blanked))
-    return sums.select("h1", "h2", "ord", "i", F.explode(emitted).alias("v")).select("v.key", "v.kind", "h1", "h2", "ord", "i")
+    # a shared first half leaves edits in the rest, and the other way round
+    open_ = (F.col("first") & (i >= F.floor((n - 1) / 2))) | (F.col("last") & (i < n - F.floor((n - 1) / 2)))
+    emitted = F.concat(F.when(i == 0, F.array(whole)).otherwise(F.array().cast("array<struct<key:bigint,kind:int>>")),
+                       F.when(open_, F.array(shorter, blanked)).otherwise(F.array().cast("array<struct<key:bigint,kind:int>>")))
+    return sums.select("h1", "h2", F.explode(emitted).alias("v")).select("v.key", "v.kind", "h1", "h2")
 
 
 def near_duplicates(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that have an earlier line one word edit away, with that partner
-    checked word by word. ``lines``: h1, h2, ord, w."""
+    checked word by word. ``lines``: h1, h2, first, last, ord, w."""
     v = _neighbourhood(lines)
+    met = v.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    v = materialize(v.join(met, "key", "left_semi"), "line-variants").join(lines.select("h1", "h2", "ord"), ["h1", "h2"])
     # of a key: the earliest whole line, shortened line, blanked line
-    mins = v.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("ord"))).alias(f"m{k}") for k in range(3)],
-                                F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").drop("lo", "hi")
-    met = v.join(mins, "key")
+    mins = v.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("ord"))).alias(f"m{k}") for k in range(3)])
     partner = F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2"))
-    claims = met.withColumn("partner", partner).where("partner < ord") \
-        .groupBy("h1", "h2").agg(F.min(F.struct("partner", "kind")).alias("p")).select("h1", "h2", "p.partner")
+    claims = v.join(mins, "key").withColumn("partner", partner).where("partner < ord") \
+        .groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
     mine = lines.select("h1", "h2", F.col("w").alias("a"))
     theirs = lines.select(F.col("ord").alias("partner"), F.col("w").alias("b"))
     both = claims.join(mine, ["h1", "h2"]).join(theirs, "partner")
@@ -125,26 +139,33 @@ def line_dedup(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text
     ``min_words`` words (earlier lines count even if they go themselves). All columns of
     ``docs`` are returned, the text without the lines that go, and n_lines, n_removed
     (replacing columns of those names). Lines without a word always stay. A null text stays
-    null with 0 lines. Null doc_ids come last in the order, ties of doc_id by a hash of the
-    text; rows equal in both are one document and get the same result. An empty table gives no
-    rows.
+    null with 0 lines. Null doc_ids come last. Rows that share a doc_id (or have none) are one
+    document: a line that this document has first stays once in each of its rows; near
+    duplicates among them go by line number, then by a hash of the text. An empty table gives
+    no rows.
     """
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rh", F.xxhash64("text"))
-    src = src.where("text is not null")
+    d = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
+    src = docs.select(d.alias("d"), F.col(text).cast("string").alias("text")).where("text is not null")
     distinct = materialize(distinct_lines(src, min_words), "line-distinct")
     near = materialize(_with_words(_candidates(distinct), src), "line-near")
-    gone = near_duplicates(near)
-    kept = distinct.select("h1", "h2", "ord").join(gone, ["h1", "h2"], "left_anti") \
-        .groupBy(F.col("ord.n").alias("__n"), F.col("ord.d").alias("__d"), F.col("ord.r").alias("__r")).agg(F.collect_list("ord.l").alias("__keep"))
+    kept = distinct.select("h1", "h2", "d").join(near_duplicates(near), ["h1", "h2"], "left_anti") \
+        .groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("h1", "h2")).alias("__keep"))
     rest = docs.drop("n_lines", "n_removed")
-    keyed = rest.select("*", F.col(doc_id).isNull().alias("__n"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("__d"), F.xxhash64(F.col(text).cast("string")).alias("__r"))
-    # only kept lines are listed: of the others, those without a word stay
     lines = F.split(F.col(text).cast("string"), "\n", -1)
-    stay = F.filter(F.transform(lines, lambda x, i: F.when((F.size(line_words(x)) == 0) | F.array_contains(F.coalesce("__keep", F.array().cast("array<int>")), i), x)), lambda x: x.isNotNull())
-    out = keyed.join(kept, ["__n", "__d", "__r"], "left").withColumn("__stay", stay)
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
+
+    def identity(x: Column) -> Column:
+        w = line_words(x)
+        h1, h2 = _hashes(w)
+        return F.when(F.size(w) > 0, F.struct(h1.alias("h1"), h2.alias("h2")))
+
+    # a line stays if this document keeps it and it stands here for the first time
+    out = rest.withColumn("__d", d).join(kept, "__d", "left").withColumn("__lines", lines).withColumn("__id", F.transform("__lines", identity))
+    ids = F.coalesce("__keep", F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
+    stands = F.transform("__id", lambda x, i: x.isNull() | (F.array_contains(ids, x) & (F.array_position("__id", x) == i + 1)))
+    out = out.withColumn("__stay", F.transform(F.filter(F.arrays_zip("__lines", stands.alias("ok")), lambda z: z["ok"]), lambda z: z["__lines"]))
+    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__lines"))
     return out.select(*[F.array_join("__stay", "\n").alias(c) if c == text else F.col(c) for c in rest.columns],
-                      n.cast("long").alias("n_lines"), F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__stay")).cast("long").alias("n_removed"))
+                      n.cast("long").alias("n_lines"), F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__stay")).cast("long").alias("n_removed"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

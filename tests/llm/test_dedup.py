@@ -213,7 +213,18 @@ def test_line_dedup_repeated_rows_and_nulls(spark):
     got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup(frame(spark, rows)).collect()]
     same = (1, "one line here\nsecond", 0)
     assert got.count(same) == 2 and (2, "", 1) in got
-    assert sum(r[1].count("third") for r in got if r[0] is None) == 1  # ties of null ids: by text hash
+    # rows without an id are one document, after all others; each of its rows has its lines once
+    assert sorted(r[1:] for r in got if r[0] is None) == [("third", 0), ("third", 1)]
+
+
+def test_line_dedup_within_a_document_and_by_shuffle(spark, monkeypatch):
+    import rampart.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_DOCS", 0)
+    line = "a b c d e f g h i j"
+    rows = [(1, f"{line}\nx\n{line}\n{line} k\nx"), (0, "y"), (2, line.replace("d", "D"))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(frame(spark, rows)).collect()}
+    assert got == {1: (f"{line}\nx", 3), 0: ("y", 0), 2: ("", 1)}
 
 
 def test_line_dedup_stays_native(spark):

@@ -210,7 +210,7 @@ def alpha_text(x: Column) -> Column:
     large = F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2), F.lit("0"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     power = F.concat(strip(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))), F.lit("e"),
-                     F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
+                     F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.abs(exp) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exp).cast("string"))
     return F.when((exp >= -4) & (exp < 0), strip(small)).when((exp >= 0) & (exp < 6), strip(large)).otherwise(power)
 
 

@@ -40,8 +40,7 @@ def test_rounds_to_95(spark):
 
 def test_unknown_clients_show_question_mark(spark):
     from pyspark.sql import functions as F
-    v = spark.range(1).select(RP.model_name(F.lit("krum"), F.lit(None).cast("int"), F.lit(0.5), F.lit(3),
-                                            F.lit("0.5")).alias("m")).head()["m"]
+    v = spark.range(1).select(RP.model_name(F.lit("krum"), F.lit(None).cast("int"), F.lit(0.5), F.lit(3)).alias("m")).head()["m"]
     assert v == "Federated logistic_sgd (krum, ? clients, non-IID a=0.5, 3 rounds)"
 
 
@@ -79,3 +78,9 @@ def test_benchmark_names_format_alpha_like_python(spark):
     assert names == {"Federated logistic_sgd (fedavg, 5 clients, non-IID a=1, 2 rounds)",
                      "Federated logistic_sgd (fedavg, 5 clients, non-IID a=1e-05, 2 rounds)",
                      "Federated logistic_sgd (fedavg, 5 clients, IID, 2 rounds)"}
+
+
+def test_alpha_text_is_six_significant_digits(spark):
+    values = [1.0, 0.5, 10.0, 100000.0, 1000000.0, 1e-05, 0.0001, 0.00012345, 123456.0, 1234567.0, 0.1, 2.50, 1e300, 3.14159265, 99.9999, 1e-10]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(RP.alpha_text(df.x)).collect()] == [f"{v:g}" for v in values]

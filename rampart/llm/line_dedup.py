@@ -26,16 +26,26 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
-def _hashes(w: Column) -> list[Column]:
-    """A 128-bit hash of a line's words."""
-    return [F.xxhash64(w), F.xxhash64(F.lit(1), w)]
+def plain_line(line: Column) -> Column:
+    """The words of a line joined by single spaces; most lines are that already and need no
+    cutting into words."""
+    blanks = [F.contains(line, F.lit(x)) for x in ("\t", "\x0b", "\x0c", "\r", "  ")]
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for x in blanks:
+        odd = odd | x
+    return F.when(odd, F.array_join(line_words(line), " ")).otherwise(line)
+
+
+def _hashes(plain: Column) -> list[Column]:
+    """A 128-bit hash of a line."""
+    return [F.xxhash64(plain), F.xxhash64(F.lit(1), plain)]
 
 
 def _halves(n: Column, min_words: int) -> list[Column]:
     """Keys of the first and last p words, for p half the words of the line or of a line one
     word shorter: one edit leaves the same half of both lines whole."""
     def key(side: int, p: Column) -> Column:
-        return F.xxhash64(F.lit(side), p, F.slice("w", 1, p) if side == 0 else F.slice("w", n - p + 1, p))
+        return F.xxhash64(F.lit(side), p, F.call_function("substring_index", F.col("c"), F.lit(" "), p if side == 0 else -p))
 
     p, q = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     return [F.when((n >= min_words) & only, key(side, half)) for half, only in ((p, F.lit(True)), (q, p != q)) for side in (0, 1)]
@@ -44,9 +54,10 @@ def _halves(n: Column, min_words: int) -> list[Column]:
 def distinct_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """One row a distinct line with a word: its hash (h1, h2), the first document d that has it,
     and its half keys k0 .. k3 (of first and last words; null if absent)."""
-    w = docs.select("d", F.explode(F.split("text", "\n", -1)).alias("line")).select("d", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    h1, h2 = _hashes(F.col("w"))
-    one = w.select("d", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(F.size("w"), min_words))])
+    c = docs.select("d", F.explode(F.split("text", "\n", -1)).alias("line")).select("d", plain_line(F.col("line")).alias("c")).where("c <> ''")
+    c = c.withColumn("n", F.octet_length("c") - F.octet_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1)
+    h1, h2 = _hashes(F.col("c"))
+    one = c.select("d", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(F.col("n"), min_words))])
     return one.groupBy("h1", "h2").agg(F.min("d").alias("d"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
 
 
@@ -69,10 +80,11 @@ def _with_words(lines: DataFrame, docs: DataFrame) -> DataFrame:
     few = ids.count() <= BROADCAST_DOCS
     some = docs.join(F.broadcast(ids) if few else ids, "d", "left_semi")
     at = some.select("d", F.xxhash64("text").alias("r"), F.posexplode(F.split("text", "\n", -1)).alias("l", "line")) \
-        .select("d", "l", "r", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    h1, h2 = _hashes(F.col("w"))
+        .select("d", "l", "r", plain_line(F.col("line")).alias("c")).where("c <> ''")
+    h1, h2 = _hashes(F.col("c"))
     got = at.withColumns({"h1": h1, "h2": h2}).join(lines, ["h1", "h2", "d"])
-    return got.groupBy("h1", "h2", "first", "last").agg(F.min(F.struct("d", "l", "r")).alias("ord"), F.first("w").alias("w"))
+    one = got.groupBy("h1", "h2", "first", "last").agg(F.min(F.struct("d", "l", "r")).alias("ord"), F.first("c").alias("c"))
+    return one.select("h1", "h2", "first", "last", "ord", F.split("c", " ").alias("w"))
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -154,9 +166,9 @@ def line_dedup(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text
     lines = F.split(F.col(text).cast("string"), "\n", -1)
 
     def identity(x: Column) -> Column:
-        w = line_words(x)
-        h1, h2 = _hashes(w)
-        return F.when(F.size(w) > 0, F.struct(h1.alias("h1"), h2.alias("h2")))
+        c = plain_line(x)
+        h1, h2 = _hashes(c)
+        return F.when(c != "", F.struct(h1.alias("h1"), h2.alias("h2")))
 
     # a line stays if this document keeps it and it stands here for the first time
     out = rest.withColumn("__d", d).join(kept, "__d", "left").withColumn("__lines", lines).withColumn("__id", F.transform("__lines", identity))

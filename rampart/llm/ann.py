@@ -142,10 +142,18 @@ class Leaves:
         self.hi = np.array([p[order[a:b]].max(axis=0) for a, b in spans])
 
 
+def _best(ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best ids, each with its best score, best first, ties to the smaller id."""
+    o = np.lexsort((ids, -score))
+    first = np.unique(ids[o], return_index=True)[1]
+    o = o[np.sort(first)[:k]]
+    return ids[o], score[o]
+
+
 def search_cell(ids: np.ndarray, x: np.ndarray, p: np.ndarray, leaves: Leaves, q_id: int, q: np.ndarray, qp: np.ndarray,
                 norm: float, k: int, stop: float, known: float):
-    """The k best (vec_id, inner product) of one cell. ``known``: the k-th best inner product
-    seen elsewhere (-inf: none); worse ones need not be returned."""
+    """The k best (vec_id, inner product) of one cell, an id once. ``known``: the k-th best
+    inner product seen elsewhere (-inf: none); worse ones need not be returned."""
     gap = np.maximum(np.maximum(leaves.lo - qp, qp - leaves.hi), 0)
     near = (gap * gap).sum(axis=1)
     way = np.argsort(near, kind="stable")
@@ -166,28 +174,28 @@ def search_cell(ids: np.ndarray, x: np.ndarray, p: np.ndarray, leaves: Leaves, q
         best_ids = np.concatenate([best_ids, ids[rows]])
         best = np.concatenate([best, (x[rows] * q).sum(axis=1)])
         if len(best) >= k:
-            o = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[o], best[o]
-            kth = max(known, float(best[-1]))
-    o = np.lexsort((best_ids, -best))[:k]
-    return best_ids[o], best[o]
+            best_ids, best = _best(best_ids, best, k)
+            if len(best) == k:
+                kth = max(known, float(best[-1]))
+    return _best(best_ids, best, k)
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", column: str = "embedding",
                        confidence: float = 0.98, cell_rows: int = 20_000, sample_rows: int = 8192,
                        block_queries: int = 20_000, max_cells: int = 4096) -> DataFrame:
-    """For every row that satisfies the SQL condition ``is_query`` (over vec_id): its ``k``
-    nearest other rows by inner product, found with the given confidence.
+    """For every vec_id that satisfies the SQL condition ``is_query`` (over vec_id): its ``k``
+    nearest other vec_ids by inner product, found with the given confidence.
 
     Returns query_id, rank (from 1), vec_id, score (inner product in double precision), nearest
     first, ties to the smaller vec_id; all candidates if there are fewer. The tree's cuts come
     from a sample of ``sample_rows`` rows; every row is indexed. Vectors that are null, zero,
     or hold null or non-finite components take no part, nor do null ids and vectors whose
     length is not the commonest one. A row is never its own neighbour, nor are rows that
-    repeat its id. Other columns are ignored; an empty table gives no rows.
+    repeat its id. A vec_id counts once: its equal rows are one row, and if its rows hold several
+    vectors, each is searched for and found, and a pair of ids has its best inner product. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    clean = materialize(clean_vectors(vectors, vec_id, column), "ann-vectors")
+    clean = materialize(clean_vectors(vectors, vec_id, column).distinct(), "ann-vectors")
     stats = clean.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("m")).orderBy(F.desc("n"), "dim").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if stats is None:
@@ -261,11 +269,16 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20, vec_id: s
         return pts.groupBy("cell", "sub", "block").cogroup(to.groupBy("to_cell", "to_sub", "to_block")).applyInArrow(answer, HITS)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = materialize(ask(queries.mapInArrow(home, routed)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ann-first")
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        """The k best ids of a query; an id found by several rows counts once, before any is cut."""
+        once = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    first = materialize(ranked(ask(queries.mapInArrow(home, routed))), "ann-first")
     known = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("known"))
     rest = ask(queries.join(known, "query_id", "left").select("query_id", "q", "q_norm2", "block", "known").mapInArrow(others, routed))
-    hits = first.drop("rank").unionByName(rest).distinct()
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(first.drop("rank").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_projected_neighbours(spark, sf_dir: str) -> DataFrame:

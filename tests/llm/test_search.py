@@ -65,6 +65,29 @@ def test_neighbours_few_and_none(spark):
     assert nearest_neighbours(vec_frame(spark, [(1, None)]), "true").collect() == []
 
 
+@pytest.mark.parametrize("cell_rows", [40, 20_000])
+def test_neighbours_of_repeated_rows(spark, cell_rows):
+    """Every row, queries too, occurs three times: the same k neighbours as without copies."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6) * rng.uniform(0.5, 2)) for i in range(300)]
+    got = answers(nearest_neighbours(vec_frame(spark, rows * 3), "vec_id % 10 = 0", k=20, confidence=0.999999, cell_rows=cell_rows))
+    want = brute.neighbours(rows, lambda i: i % 10 == 0, 20)
+    assert {q: [i for i, _ in got[q]] for q in got} == {q: [i for i, _ in want[q]] for q in want}
+
+
+def test_neighbours_of_ids_with_several_vectors(spark):
+    """100 ids with three vectors each: 20 ids, each once, with the best product of the pair."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 100, rng.normal(size=6) * rng.uniform(0.5, 2)) for i in range(300)]
+    got = answers(nearest_neighbours(vec_frame(spark, rows), "vec_id % 10 = 0", k=20, confidence=0.999999, cell_rows=40))
+    assert set(got) == set(range(0, 100, 10))
+    for q, found in got.items():
+        score = {c: max(float(a @ b) for i, a in rows if i == q for j, b in rows if j == c) for c in range(100) if c != q}
+        want = sorted(score, key=lambda c: (-score[c], c))[:20]
+        assert [i for i, _ in found] == want
+        assert np.allclose([s for _, s in found], [score[c] for c in want], rtol=0, atol=1e-12)
+
+
 def test_cells_and_leaves_hold_every_point():
     rng = np.random.default_rng(3)
     s = Space(5, 30.0)

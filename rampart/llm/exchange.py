@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOBS = "bucket long, part long, keys binary, multi binary"
+WEIGHTED_BLOBS = f"{BLOBS}, weights binary"
 MASKS = "part long, bucket long, shared binary, hot binary"
 #: text bytes of a part, and key bytes a bucket receives on average
 PART_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
@@ -86,10 +87,15 @@ class KeySet:
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(b)]):
             yield int(b[lo]), lo, hi
 
-    def blobs(self, part: int, bits: int) -> pa.Table:
+    def blobs(self, part: int, bits: int, weight: np.ndarray | None = None, base: int = 0) -> pa.Table:
+        """``weight``: bytes behind each key of the set; those above ``base`` are sent along."""
         rows = [(b, part, b"".join(k[lo:hi].tobytes() for k in self.keys), np.packbits(self.multi[lo:hi]).tobytes())
                 for b, lo, hi in self.slices(bits)]
-        return blob_table(rows)
+        if weight is None:
+            return blob_table(rows)
+        above = [lo + np.flatnonzero(weight[lo:hi] > base) for _, lo, hi in self.slices(bits)]
+        pairs = [np.stack([at - lo, weight[at]]).astype(np.int64).tobytes() for at, (_, lo, _) in zip(above, self.slices(bits))]
+        return blob_table(rows).append_column("weights", pa.array(pairs, pa.binary()))
 
     def shared(self, masks: pa.Table, bits: int, column: str = "shared") -> np.ndarray:
         """The answered bits, in the order of this set."""
@@ -107,9 +113,10 @@ def blob_table(rows: list[tuple]) -> pa.Table:
                      "keys": pa.array(cols[2], pa.binary()), "multi": pa.array(cols[3], pa.binary())})
 
 
-def answer(blobs: DataFrame, key_words: int, hot_parts: int = 4096) -> DataFrame:
+def answer(blobs: DataFrame, key_words: int, hot_parts: int = 4096, hot_bytes: int = 0, base: int = 0) -> DataFrame:
     """Per (part, bucket): a bit per key, set when the key occurs twice in its part or in
-    another part; ``hot`` marks keys held by more than ``hot_parts`` parts."""
+    another part; ``hot`` marks keys held by more than ``hot_parts`` parts and, where weights were
+    sent, keys of more than ``hot_bytes`` over all parts (``base`` for a part that sent none)."""
 
     def reduce(t: pa.Table) -> pa.Table:
         parts = t.column("part").to_pylist()
@@ -126,9 +133,16 @@ def answer(blobs: DataFrame, key_words: int, hot_parts: int = 4096) -> DataFrame
         ids = np.cumsum(new) - 1
         shared, hot = np.empty(len(order), bool), np.empty(len(order), bool)
         shared[order] = dup[ids]
-        hot[order] = (count > hot_parts)[ids]
         ends = np.cumsum(lens).tolist()
         spans = list(zip([0, *ends], ends))
+        many = count > hot_parts
+        if "weights" in t.column_names:
+            load = np.full(len(order), base, np.int64)
+            for (a, _), w in zip(spans, t.column("weights").to_pylist()):
+                at, size = np.frombuffer(w, np.int64).reshape(2, -1)
+                load[a + at] = size
+            many |= np.add.reduceat(load[order], first) > hot_bytes
+        hot[order] = many[ids]
         return pa.table({"part": pa.array(parts, pa.int64()), "bucket": t.column("bucket"),
                          "shared": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in spans], pa.binary()),
                          "hot": pa.array([np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else None for a, b in spans], pa.binary())})

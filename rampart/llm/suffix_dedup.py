@@ -4,7 +4,9 @@ Every 50-byte window has a key: the smallest hash among the grams it contains. E
 have equal keys, so a run of windows with one key (a tile) can be judged in the shard of that
 key alone. Keys held by one document only need no further work; tiles of shared keys are sent
 to their shards, where distinct tiles are laid end to end, their suffix array is induced and
-the permuted common prefixes delimit the classes of equal windows. A class keeps the smallest
+the permuted common prefixes delimit the classes of equal windows. The tiles of a frequent phrase
+differ by their contexts, so a key of many tile bytes is cut into its windows, each with a key
+of its own. A class keeps the smallest
 doc_id, and a window is removed where its document's id is larger.
 """
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.exchange import BLOBS, MASKS, KeySet, answer, layout, parted
+from rampart.llm.exchange import MASKS, WEIGHTED_BLOBS, KeySet, answer, layout, parted
 from rampart.llm.suffix_array import permuted_lcp, suffix_array
 from rampart.llm.textkit import mix64, powers, text_bytes
 
@@ -29,6 +31,8 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NO_DOC = np.iinfo(np.int64).max  # null ids sort after every other id
 _BLOCK = 1 << 19
 SHARD_BYTES = 1 << 20  # tile bytes of a shard on average: an induced sort holds about 100 times that
+HOT_BYTES = 2 << 20  # distinct tile bytes of one key beyond which its windows go to shards of their own
+_HOT_BITS = 3  # a window sent alone takes ``window`` bytes, so cut keys are dealt to more shards
 
 
 def span_hash(t: np.ndarray, start: np.ndarray, size, base: int) -> np.ndarray:
@@ -85,6 +89,43 @@ def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return buf[np.arange(total) + shift]
 
 
+def _distinct(buf, start, size, *keys):
+    """Spans in order of ``keys``, then content, and where a new (keys, content) begins; equal
+    content is told by 128-bit hashes. The last key only orders equal spans."""
+    *by, last = keys
+    h1, h2 = (span_hash(buf, start, size, b) for b in _BASES) if len(start) else (size, size)
+    order = np.lexsort((last, size, h2, h1, *by[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (*by, h1, h2, size)])
+    return order, new
+
+
+def tile_base(window: int, gram: int) -> int:
+    """Bytes of the longest tile around one gram: what a key counts whose part names no more."""
+    return 2 * window - gram
+
+
+def tile_bytes(buf, start, n, keys: KeySet, window: int, gram: int) -> np.ndarray:
+    """Of each key of a part, the bytes of its distinct tiles (exact above ``tile_base``)."""
+    size = n + window - 1
+    out = np.bincount(keys.inverse, size, len(keys.keys[0])).astype(np.int64)
+    own = np.flatnonzero(out[keys.inverse] > tile_base(window, gram))
+    if len(own):
+        k, size = keys.inverse[own], size[own]
+        order, new = _distinct(buf, start[own], size, k, k)
+        rep = order[new]
+        some = np.bincount(k[rep], size[rep], len(out)).astype(np.int64)
+        out = np.where(some > 0, some, out)
+    return out
+
+
+def key_blobs(buf, offs, ids, part: int, window: int, gram: int, bits: int) -> pa.Table:
+    """A part's keys for the first exchange, with the tile bytes behind them."""
+    start, n, key, doc = key_runs(buf, offs, window, gram)
+    keys = KeySet(key, group=ids[doc])
+    return keys.blobs(part, bits, tile_bytes(buf, start, n, keys, window, gram), tile_base(window, gram))
+
+
 class Tiles:
     """The distinct tiles of a part with shared keys, each with the smallest doc_id holding it."""
 
@@ -93,36 +134,38 @@ class Tiles:
         keys = KeySet(key, group=doc)
         live = keys.shared(masks, bits)[keys.inverse]
         hot = keys.shared(masks, bits, "hot")[keys.inverse] & live
-        if hot.any():  # keys held by very many parts: one tile and one shard key per window
+        if hot.any():  # keys of very many parts or tile bytes: one tile and one shard key per window
             s1 = np.repeat(start[hot], n[hot]) + _ranges(n[hot])
             d1 = np.repeat(doc[hot], n[hot])
             cold = live & ~hot
             start, n, doc, key = (np.concatenate(x) for x in (
                 (start[cold], s1), (n[cold], np.ones(len(s1), np.int64)), (doc[cold], d1),
                 (key[cold], mix64(span_hash(buf, s1, window, _BASES[1]), 5))))
+            alone = np.arange(len(start)) >= int(cold.sum())
         else:
             start, n, key, doc = start[live], n[live], key[live], doc[live]
+            alone = np.zeros(len(start), bool)
         self.start, self.n, self.doc_id = start, n, ids[doc]
         size = n + window - 1
-        h1, h2 = (span_hash(buf, start, size, b) for b in _BASES) if len(start) else (key, key)
-        order = np.lexsort((self.doc_id, size, h2, h1, key))
-        cols = [c[order] for c in (key, h1, h2, size)]
-        new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        order, new = _distinct(buf, start, size, alone, key, self.doc_id)
         self.tile = np.empty(len(order), np.int64)
         self.tile[order] = np.cumsum(new) - 1
         self.rep = order[new]  # of each distinct tile, its occurrence in the smallest doc_id
-        self.key = key[self.rep]
-        self.bits = shard_bits
+        wide = (1 << shard_bits) + _shard_of(key[self.rep], shard_bits + _HOT_BITS)
+        self.shard = np.where(alone[self.rep], wide, _shard_of(key[self.rep], shard_bits))
 
     def slices(self):
         if not len(self.rep):
             return
-        b = (self.key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(self.key), np.int64)
+        b = self.shard
         cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         yield from zip(b[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(b)])
 
 
+def _shard_of(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+
+
 def _ranges(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
@@ -144,7 +187,7 @@ def window_minima(t: np.ndarray, size: np.ndarray, docs: np.ndarray, window: int
 
 
 def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
-                 part_bytes: int = 2 << 20, hot_parts: int = 4096) -> DataFrame:
+                 part_bytes: int = 2 << 20, hot_parts: int = 4096, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that also starts in a document
     with a smaller doc_id (texts as UTF-8, judged on the input).
 
@@ -152,7 +195,9 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
     kept_sha256 and kept_bytes (the remaining bytes end to end; a cut can split a character).
     Null and empty texts have 0 bytes. Texts shorter than the window lose nothing. Rows with
     the same doc_id never remove each other; a null doc_id counts as larger than all others
-    and removes nothing. Other columns are ignored; an empty table gives no rows.
+    and removes nothing. Other columns are ignored; an empty table gives no rows. Keys of more
+    than ``hot_parts`` parts or ``hot_bytes`` tile bytes are handled window by window, which
+    changes no result.
     """
     gram = min(gram, window)
     lay = layout(docs, 8 * 2 / (window - gram + 2), text, part_bytes)
@@ -161,8 +206,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
     shard_bits = lay.bits_for(SHARD_BYTES)  # tiles add up to about the text's size
 
     def emit_keys(t: pa.Table) -> pa.Table:
-        start, n, key, doc = key_runs(*text_bytes(t.column("text")), window, gram)
-        return KeySet(key, group=_ids(t)[doc]).blobs(t.column("part")[0].as_py(), bits)
+        return key_blobs(*text_bytes(t.column("text")), _ids(t), t.column("part")[0].as_py(), window, gram, bits)
 
     def tiles_of(t: pa.Table, masks: pa.Table):
         buf, offs = text_bytes(t.column("text"))
@@ -188,14 +232,11 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
         buf, size, doc = np.concatenate(text_), np.concatenate(sizes), np.concatenate(ids)
         start = np.cumsum(size) - size
         # equal tiles of several parts are one tile of the shard, with the smallest doc_id
-        h1, h2 = (span_hash(buf, start, size, b) for b in _BASES)
-        order = np.lexsort((doc, size, h2, h1))
-        new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (h1, h2, size)])
+        order, new = _distinct(buf, start, size, doc)
         tile = np.empty(len(order), np.int64)
         tile[order] = np.cumsum(new) - 1
         rep = order[new]
-        del h1, h2, text_
+        del text_
         low = window_minima(gather(buf, start[rep], size[rep]), size[rep], doc[rep], window)
         n = size[rep] - window + 1
         at = np.cumsum(n) - n
@@ -246,7 +287,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
                          "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                          "kept_bytes": pa.array(kept, pa.binary())})
 
-    m1 = answer(d.groupBy("part").applyInArrow(emit_keys, BLOBS), 1, hot_parts)
+    m1 = answer(d.groupBy("part").applyInArrow(emit_keys, WEIGHTED_BLOBS), 1, hot_parts, hot_bytes, tile_base(window, gram))
     tiles = d.groupBy("part").cogroup(m1.groupBy("part")).applyInArrow(emit_tiles, TILES)
     m2 = tiles.groupBy("bucket").applyInArrow(shard, ANSWERS)
     both = (m1.select("part", "bucket", "shared", "hot", F.lit(1).alias("step"))

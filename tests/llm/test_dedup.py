@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rampart.llm.components import components
@@ -11,7 +12,8 @@ from rampart.llm.line_dedup import line_dedup
 from rampart.llm.minhash_dedup import band_count, minhash_groups
 from rampart.llm.substring_dedup import COVERS, cover_period, substring_dedup
 from rampart.llm.suffix_array import _by_doubling, permuted_lcp, suffix_array
-from rampart.llm.suffix_dedup import suffix_dedup
+from rampart.llm.suffix_dedup import Tiles, key_blobs, suffix_dedup, tile_base
+from rampart.llm.textkit import text_bytes
 
 from . import brute
 
@@ -65,6 +67,39 @@ def test_suffix_dedup(spark, window, hot):
     assert multiset([tuple(r)[:5] for r in got.collect()]) == multiset(brute.suffix_dedup(rows, window))
 
 
+def phrase_docs(n=480):
+    """A 40-byte phrase in a third of the texts, each time in another context."""
+    rng = random.Random(8)
+    noise = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k))
+    phrase = "all rights reserved, see terms of use 40"
+    rows = [(i, noise(60) + (phrase if i % 3 == 0 else "") + noise(60)) for i in range(n)]
+    return rows + [(n + i, rows[9 * i][1]) for i in range(20)]
+
+
+def test_suffix_dedup_of_a_frequent_phrase(spark):
+    rows = phrase_docs()
+    got = suffix_dedup(frame(spark, rows), part_bytes=8000, hot_bytes=1000)
+    assert multiset([tuple(r)[:5] for r in got.collect()]) == multiset(brute.suffix_dedup(rows, 50))
+
+
+def test_frequent_phrase_is_cut_in_few_parts(spark):
+    """12 parts, far below hot_parts: no shard gets the tiles of all contexts of the phrase."""
+    rows, window, gram, bits = phrase_docs(), 50, 20, 6
+    parts = [(*text_bytes(pa.chunked_array([[t for _, t in rows[p::12]]], pa.string())), np.array([i for i, _ in rows[p::12]])) for p in range(12)]
+    blobs = spark.createDataFrame([r for p, x in enumerate(parts) for r in key_blobs(*x, p, window, gram, 0).to_pylist()],
+                                  "bucket long, part long, keys binary, multi binary, weights binary")
+
+    def largest(hot_bytes):
+        masks, load = answer(blobs, 1, 4096, hot_bytes, tile_base(window, gram)).toArrow(), {}
+        for p, x in enumerate(parts):
+            t = Tiles(*x, masks.filter(pc_equal(masks, p)), window, gram, 0, bits)
+            for b, lo, hi in t.slices():
+                load[b] = load.get(b, 0) + int((t.n[t.rep[lo:hi]] + window - 1).sum())
+        return max(load.values())
+
+    assert largest(1 << 30) > 5000 > 2 * largest(1500)
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     for op in (substring_dedup, suffix_dedup, minhash_groups, line_dedup):

@@ -16,6 +16,7 @@ coefficients only. Probabilities: per-class sigmoid, normalised over classes (bi
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -241,6 +242,80 @@ def train_local(df: DataFrame, models: dict[int, LinearModel], n_features: int,
     return models, stats
 
 
+class _Descent:
+    """L-BFGS of one group, fed one gradient at a time: ``at`` is the point to look at next.
+
+    The objective is convex, so the slope along the search line alone tells too short steps
+    from too long ones.
+    """
+
+    def __init__(self, x: np.ndarray, memory: int = 10):
+        self.at, self.x, self.g, self.memory, self.pairs, self.iterations = x, None, None, memory, [], 0
+
+    def take(self, g: np.ndarray, tol: float) -> bool:
+        """The gradient at ``at``; True when it is within ``tol`` of zero everywhere."""
+        if np.abs(g).max() <= tol:
+            return True
+        if self.x is not None:
+            slope = float(self.d @ g)
+            if slope > -0.5 * self.slope:
+                self.hi = self.t
+            elif slope < 0.9 * self.slope:
+                self.lo = self.t
+            if (slope > -0.5 * self.slope or slope < 0.9 * self.slope) and self.hi - self.lo > 1e-12 * self.t:
+                self.t = 2 * self.t if self.hi == np.inf else (self.lo + self.hi) / 2
+                self.at = self.x + self.t * self.d
+                return False
+            s, y = self.at - self.x, g - self.g
+            if s @ y > 0:
+                self.pairs = [*self.pairs[1 - self.memory:], (s, y)]
+            self.iterations += 1
+        self.x, self.g = self.at, g
+        q, back = g.copy(), []
+        for s, y in reversed(self.pairs):
+            back.append((s @ q) / (s @ y))
+            q -= back[-1] * y
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y), a in zip(self.pairs, reversed(back)):
+            q += (a - (y @ q) / (s @ y)) * s
+        self.d = -q if q @ g > 0 else -g
+        self.slope, self.t, self.lo, self.hi = float(self.d @ g), 1.0, 0.0, np.inf
+        self.at = self.x + self.d
+        return False
+
+
+def train_to_convergence(df: DataFrame, models: dict[int, LinearModel], n_features: int, alpha: float, tol: float = 1e-4,
+                         max_iter: int = 100, seen: dict[int, np.ndarray] | None = None, **kw):
+    """Full-batch fits of every group until no component of its gradient exceeds ``tol``.
+
+    One Spark job looks at one point of every unfinished group. ``seen``: per group the classes
+    to fit (the rows of others stay as given). A group that has not converged after
+    ``max_iter`` L-BFGS iterations keeps its model, with a warning. Returns like ``train_local``.
+    """
+    fits = {k: _Descent(m.flat()) for k, m in models.items()}
+    stats: dict[int, tuple[float, float]] = {}
+    todo = set(fits)
+    while todo:
+        now = {k: LinearModel.from_flat(fits[k].at, n_features, models[k].n_classes) for k in sorted(todo)}
+        g = gradients(df, now, n_features, **kw)
+        todo &= set(g)
+        for k in sorted(todo):
+            n, loss, grad = g[k]
+            models, stats = {**models, k: now[k]}, {**stats, k: (n, loss / n if n else 0.0)}
+            free = np.ones_like(grad)
+            if seen is not None and not now[k].binary:
+                free = np.concatenate([np.repeat(seen[k], n_features), seen[k]]).astype(np.float64)
+            slope = (grad / max(n, 1e-300) + alpha * np.concatenate([now[k].coef.ravel(), np.zeros(len(now[k].intercept))])) * free
+            if fits[k].take(slope, tol):
+                todo.discard(k)
+            elif fits[k].iterations >= max_iter:
+                warnings.warn(f"group {k}: not converged after {max_iter} iterations, gradient {np.abs(slope).max():g}", stacklevel=2)
+                todo.discard(k)
+    return models, stats
+
+
 # ------------------------------------------------------------------ pure-SQL gradient (reference path)
 def gradient_sql(df: DataFrame, model: LinearModel, class_weights: Sequence[float] | None = None,
                  features: str = "features", label: str = "train_label", group: str = "silo_id") -> DataFrame:

@@ -16,7 +16,7 @@ from rampart.functions.attach import lookup_join, with_scalars
 from rampart.operators import features as FE
 from rampart.operators import metrics as M
 from rampart.operators import sampling as S
-from rampart.operators.model import LinearModel, confusion_of_models, train_local
+from rampart.operators.model import LinearModel, confusion_of_models, train_local, train_to_convergence
 from rampart.plans.federated import class_weights_of
 from rampart.session import materialize
 from rampart.sources import tables as T
@@ -154,9 +154,10 @@ def class_aligned_average(local: DataFrame, sizes: DataFrame, n_classes: int, n_
     return j.select("label_id", "pos", (F.coalesce("_num", F.lit(0.0)) / F.col("_den")).alias("value"))
 
 
-def local_fit_average(train: DataFrame, n_features: int, n_classes: int, steps: int = 20, eta0: float = 0.01,
-                      alpha: float = 1e-4, balanced: bool = False) -> LinearModel:
-    """One-shot: every silo trains to the step budget from zero, then a size-weighted average.
+def local_fit_average(train: DataFrame, n_features: int, n_classes: int, steps: int | None = None, eta0: float = 0.01,
+                      alpha: float = 1e-4, balanced: bool = False, tol: float = 1e-4) -> LinearModel:
+    """One-shot: every silo trains from zero to convergence (no component of its mean gradient
+    beyond ``tol``), or for ``steps`` steps if given, then a size-weighted average.
 
     Class alignment: a silo's coefficient and intercept rows for classes it never saw count
     as 0 in the average (its local model has no such class). Local models are unweighted
@@ -168,8 +169,12 @@ def local_fit_average(train: DataFrame, n_features: int, n_classes: int, steps:
     silos = sorted(present)
     cw = class_weights_of(train, n_classes) if balanced else None
     tr = train.withColumn("train_label", F.col("label_id"))
-    models, stats = train_local(tr, {s: LinearModel.zeros(n_features, n_classes) for s in silos}, n_features,
-                                steps, eta0, alpha, class_weights=cw)
+    zero = {s: LinearModel.zeros(n_features, n_classes) for s in silos}
+    if steps is None:
+        seen_in = {s: np.array([c in present[s] for c in range(n_classes)]) for s in silos}
+        models, stats = train_to_convergence(tr, zero, n_features, alpha, tol, seen=seen_in, class_weights=cw)
+    else:
+        models, stats = train_local(tr, zero, n_features, steps, eta0, alpha, class_weights=cw)
 
     def aligned(m: LinearModel, s: int) -> LinearModel:
         if m.binary:

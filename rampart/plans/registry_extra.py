@@ -54,7 +54,7 @@ def q_one_shot(spark, sf):
 
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
     part = S.iid_partition(tr, "row_id", 5, 42)
-    m = CZ.local_fit_average(part, nf, nc, steps=5)
+    m = CZ.local_fit_average(part, nf, nc)
     from rampart.plans.federated import evaluate
 
     met = evaluate(m, te, va)

@@ -73,13 +73,13 @@ def q_gradient_sql(spark, sf):
 
 def q_federated(spark, sf):
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
-    cfg = FD.RunConfig(rounds=3, aggregation="fedavg", run_name="fedavg_iid")
+    cfg = FD.RunConfig(rounds=20, aggregation="fedavg", run_name="fedavg_iid")
     return FD.run_federated(spark, tr, te, va, nf, nc, cfg)
 
 
 def q_federated_attack(spark, sf):
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
-    cfg = FD.RunConfig(rounds=3, aggregation="multikrum", attack="label_flip", malicious_fraction=0.2,
+    cfg = FD.RunConfig(rounds=20, aggregation="multikrum", attack="label_flip", malicious_fraction=0.2,
                        partition_alpha=0.5, run_name="multikrum_flip")
     return FD.run_federated(spark, tr, te, va, nf, nc, cfg)
 
@@ -91,12 +91,12 @@ def q_sweep(spark, sf):
 
 def q_forest(spark, sf):
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
-    return CZ.forest_baseline(tr, va, te, nc, num_trees=20)
+    return CZ.forest_baseline(tr, va, te, nc, num_trees=100, max_depth=30)  # MLlib's deepest
 
 
 def q_gbt(spark, sf):
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
-    return CZ.gbt_baseline(tr, va, te, nc, max_iter=10)
+    return CZ.gbt_baseline(tr, va, te, nc, max_iter=100)
 
 
 def q_aligned_average(spark, sf):

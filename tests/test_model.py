@@ -88,3 +88,52 @@ def test_one_shot_average_zeroes_unseen_classes(spark):
     only0 = local_fit_average(df.where("silo_id = 0"), 2, 3, steps=3)
     # silo sizes are equal, so class 2 of the average is half of silo 0's class-2 row
     assert np.allclose(both.coef[2], only0.coef[2] / 2) and np.isclose(both.intercept[2], only0.intercept[2] / 2)
+
+
+def test_one_shot_fits_converge(spark):
+    """Each silo's fit ends where no component of its mean gradient exceeds the tolerance."""
+    import numpy as np
+
+    from rampart.operators.model import gradients
+    from rampart.plans.centralized import local_fit_average
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 2, (i // 2) % (3 - i % 2), [float(v) for v in rng.normal(size=2) * (1, 5) + (i // 2) % (3 - i % 2)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, silo_id int, label_id int, features array<double>")
+    fits = []
+    for silo, classes in ((0, 3), (1, 2)):
+        own = df.where(f"silo_id = {silo}")
+        m = local_fit_average(own, 2, 3)
+        n, _, grad = gradients(own.withColumn("train_label", own.label_id), {silo: m}, 2)[silo]
+        full = grad / n + 1e-4 * np.concatenate([m.coef.ravel(), np.zeros(3)])
+        assert np.abs(full.reshape(-1)[:2 * classes]).max() <= 1e-4 and np.abs(full[6:6 + classes]).max() <= 1e-4
+        fits.append(m)
+    both = local_fit_average(df, 2, 3)
+    assert np.allclose(both.flat(), (fits[0].flat() + fits[1].flat()) / 2)
+
+
+def test_registered_training_is_full_length(monkeypatch):
+    """The reference's counts: 20 rounds, 100 trees without a depth limit of our own, 100 boosting
+    iterations, one-shot fits to convergence."""
+    import rampart.plans.registry_extra as RX
+    import rampart.plans.registry_model as RM
+
+    got = {}
+    monkeypatch.setattr(RM.CZ, "flow_training_sets", lambda *a: (None, None, None, 3, 4))
+    monkeypatch.setattr(RM.FD, "run_federated", lambda *a: got.setdefault("rounds", []).append(a[6].rounds))
+    monkeypatch.setattr(RM.CZ, "forest_baseline", lambda *a, **kw: got.update(forest=kw))
+    monkeypatch.setattr(RM.CZ, "gbt_baseline", lambda *a, **kw: got.update(gbt=kw))
+    monkeypatch.setattr("rampart.operators.sampling.iid_partition", lambda *a: None)
+
+    def fit(*a, **kw):
+        got.update(one_shot=kw)
+        raise StopIteration
+
+    monkeypatch.setattr(RX.CZ, "local_fit_average", fit)
+    for q in (RM.q_federated, RM.q_federated_attack, RM.q_forest, RM.q_gbt):
+        q(None, None)
+    try:
+        RX.q_one_shot(None, None)
+    except StopIteration:
+        pass
+    assert got == {"rounds": [20, 20], "forest": {"num_trees": 100, "max_depth": 30}, "gbt": {"max_iter": 100}, "one_shot": {}}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -66,8 +67,11 @@ def _scratch_root(spark: SparkSession) -> str:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table this application has written. Results that still read
     one become unreadable, so call it when they have been consumed or written elsewhere."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, _scratch_root(spark))
+
+
+#: folders written by ``materialize`` inside an open ``scratch_scope``
+_SCOPES: list[list[str]] = []
 
 
 def materialize(df, name: str, partition_by: list[str] | None = None):
@@ -84,7 +88,47 @@ def materialize(df, name: str, partition_by: list[str] | None = None):
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables made by ``materialize`` that nothing will read again (their successor has
+    been written), so a long job holds a few of them at a time."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block are deleted at its end, so write what
+    must stay with ``keep``: ``with scratch_scope(spark) as keep: out = keep(df, name)``. Shuffle
+    files of the block's frames go too, as soon as the driver has collected them."""
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df, name: str):
+        out = materialize(df, name)
+        kept.add(out._scratch_path)
+        return out
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+        spark.sparkContext._jvm.System.gc()  # Spark removes the shuffles of frames that are gone
 
 
 _SHIPPED: set[str] = set()

@@ -37,8 +37,8 @@ class _Model:
         self.counts = np.zeros(vocab, np.int64)
         self.seen = self.fresh_n = 0
         self.fresh: list[np.ndarray] = []
-        self.t2 = np.zeros(1 << _HASH_BITS, np.int64)
-        self.t1 = np.zeros(vocab, np.int64)
+        self.t2 = np.zeros(1 << _HASH_BITS, np.int32)
+        self.t1 = np.zeros(vocab, np.int32)
         self.rate2 = np.zeros(32, np.int64)  # misses and hits by confidence
         self.rate1 = np.zeros(33, np.int64)
         self.c1 = np.zeros(lanes, np.int64)
@@ -55,13 +55,14 @@ class _Model:
         given = room * self.seen // (self.seen + int(np.count_nonzero(self.counts)) + 1)
         f = self.counts * given // max(self.seen, 1) + max(1, ((1 << _BITS0) - given) // self.v)
         f[np.argmax(f)] += (1 << _BITS0) - int(f.sum())
-        self.cum = np.append(0, np.cumsum(f))
+        self.cum = np.append(0, np.cumsum(f)).astype(np.int32)
         self.slot = None
 
     def symbols(self) -> np.ndarray:
         """Order-0 slot -> id, for decoding."""
         if self.slot is None:
-            self.slot = np.repeat(np.arange(self.v), np.diff(self.cum))
+            kind = np.uint16 if self.v <= 1 << 16 else np.uint32  # small enough to stay in a core's cache
+            self.slot = np.repeat(np.arange(self.v, dtype=kind), np.diff(self.cum))
         return self.slot
 
     def predict(self):
@@ -81,9 +82,11 @@ class _Model:
         """Start and size of the slots of ids ``s``."""
         self.hit2, self.hit1 = s == self.p2, s == self.p1
         a = (w0 * self.cum[s]) >> _BITS0
-        b = (w0 * self.cum[s + 1]) >> _BITS0
-        start = np.where(self.hit2, 0, np.where(self.hit1, w2, w12 + a))
-        size = np.where(self.hit2, w2, np.where(self.hit1, w12 - w2, b - a))
+        start, size = w12 + a, ((w0 * self.cum[s + 1]) >> _BITS0) - a
+        at = np.flatnonzero(self.hit1)
+        start[at], size[at] = w2[at], w12[at] - w2[at]
+        at = np.flatnonzero(self.hit2)
+        start[at], size[at] = 0, w2[at]
         return start.view(np.uint64), size.view(np.uint64)
 
     def update(self, x: np.ndarray) -> None:
@@ -158,8 +161,10 @@ def decode_block(words: np.ndarray, per_lane: np.ndarray, n: int, vocab: int) ->
         rng >>= _S
         v = np.minimum(((code - low) // rng).astype(np.int64), last)
         u = np.maximum(v - w12, 0)
-        s = m.symbols()[np.minimum((((u + 1) << _BITS0) - 1) // w0, (1 << _BITS0) - 1)]
-        s = np.where(v < w2, m.p2, np.where(v < w12, m.p1, s))
+        # below 2^45 over below 2^24: the floating quotient never reaches the next integer
+        slot = ((((u + 1) << _BITS0) - 1) / w0).astype(np.int64)
+        s = m.symbols()[np.minimum(slot, (1 << _BITS0) - 1)]
+        s = np.where(v < w2, m.p2, np.where(v < w12, m.p1, s)).astype(np.int64)
         out[t] = s
         start, size = m.span(s, w2, w12, w0)
         low += start * rng

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rampart.llm.exchange import MASKS, WEIGHTED_BLOBS, KeySet, answer, layout, parted
 from rampart.llm.suffix_array import permuted_lcp, suffix_array
-from rampart.llm.textkit import mix64, powers, text_bytes
+from rampart.llm.textkit import BYTE_MASK, loads8, mix64, powers, text_bytes
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
 TILES = "bucket long, part long, tiles binary, sizes binary, docs binary"
@@ -36,7 +36,7 @@ _HOT_BITS = 3  # a window sent alone takes ``window`` bytes, so cut keys are dea
 
 
 def span_hash(t: np.ndarray, start: np.ndarray, size, base: int) -> np.ndarray:
-    """Polynomial hash of ``t[start:start + size]``."""
+    """Polynomial hash of ``t[start:start + size]``: it deals spans out, their bytes decide."""
     p = powers(base, len(t) + 1)
     pre = np.zeros(len(t) + 1, np.uint64)
     np.cumsum((t.astype(np.uint64) + np.uint64(1)) * p[:len(t)], out=pre[1:])
@@ -89,14 +89,32 @@ def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return buf[np.arange(total) + shift]
 
 
+def _same_bytes(buf, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans at ``a`` and ``b`` hold the same bytes, compared eight at a time."""
+    at, out = loads8(buf), np.ones(len(a), bool)
+    blocks = np.maximum((size + 7) >> 3, 1)
+    ends = np.cumsum(blocks)
+    lo = 0
+    while lo < len(a):  # about a million blocks at once
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20))))
+        n, m = blocks[lo:hi], size[lo:hi]
+        k = np.minimum(8 * _ranges(n), np.repeat(np.maximum(m - 8, 0), n))
+        diff = (at[np.repeat(a[lo:hi], n) + k] ^ at[np.repeat(b[lo:hi], n) + k]) & np.repeat(BYTE_MASK[np.minimum(m, 8)], n)
+        out[lo:hi] = ~np.logical_or.reduceat(diff != 0, np.cumsum(n) - n)
+        lo = hi
+    return out
+
+
 def _distinct(buf, start, size, *keys):
-    """Spans in order of ``keys``, then content, and where a new (keys, content) begins; equal
-    content is told by 128-bit hashes. The last key only orders equal spans."""
+    """Spans in order of ``keys``, then content, and where a new (keys, content) begins: spans of
+    one hash count as equal only if their bytes are. The last key only orders equal spans."""
     *by, last = keys
-    h1, h2 = (span_hash(buf, start, size, b) for b in _BASES) if len(start) else (size, size)
-    order = np.lexsort((last, size, h2, h1, *by[::-1]))
+    h = span_hash(buf, start, size, _BASES[0]) if len(start) else size
+    order = np.lexsort((last, size, h, *by[::-1]))
     new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (*by, h1, h2, size)])
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (*by, h, size)])
+    near = np.flatnonzero(~new)
+    new[near] = ~_same_bytes(buf, start[order[near - 1]], start[order[near]], size[order[near]])
     return order, new
 
 

@@ -3,6 +3,8 @@ hashes of a whole Arrow batch of texts at once (numpy, no per-word Python)."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -11,7 +13,7 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_BASE = 0x9E3779B97F4A7C15 | 1  # odd, so powers are invertible modulo 2^64
+_ODD = np.uint64(0x9E3779B97F4A7C17)  # odd and not 1 modulo 4: (a, b) and (b, a) combine differently
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -39,6 +41,38 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+# of an 8-byte load, the bytes that belong to a span with so many bytes left
+BYTE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LONG = 128  # bytes from which a span is hashed alone
+
+
+def loads8(buf: np.ndarray) -> np.ndarray:
+    """Eight bytes from every position (little-endian, zeros past the end), without a copy."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[:len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
+def byte_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span's bytes: blocks of 8 bytes chained through ``mix64``, so that no
+    algebraic relation between texts makes them collide."""
+    size = end - start
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    at = loads8(buf)
+    h = mix64((at[start] & BYTE_MASK[np.minimum(size, 8)]) ^ (size.astype(np.uint64) << np.uint64(40)), seed)
+    k, live = 8, np.flatnonzero((size > 8) & (size < _LONG))
+    while len(live):
+        left = size[live] - k
+        h[live] = mix64(h[live] * _ODD + (at[start[live] + k] & BYTE_MASK[np.minimum(left, 8)]), seed + k)
+        k += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size >= _LONG).tolist():
+        d = hashlib.blake2b(buf[start[i]:end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(d, "little")
+    return h
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and n + 1 row offsets; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -84,18 +118,9 @@ class Words:
         self.n_words = np.diff(self.doc_off)
         self.doc = np.repeat(np.arange(n_docs, dtype=np.int64), self.n_words)
         self.pos = np.arange(len(self.start), dtype=np.int64) - self.doc_off[self.doc]
-        self.hash = self._hashes(_LOWER[buf] if lower else buf)
-
-    def _hashes(self, b: np.ndarray) -> np.ndarray:
-        """Polynomial hash of the bytes of each word, mixed with its length."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        p = powers(_BASE, len(b))
-        pre = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p, out=pre[1:])
-        inv = powers(pow(_BASE, -1, 1 << 64), len(b))
-        h = (pre[self.end] - pre[self.start]) * inv[self.start]
-        return mix64(h, 1) ^ (self.end - self.start).astype(np.uint64)
+        self._read = _LOWER[buf] if lower else buf
+        self.hash = byte_hashes(self._read, self.start, self.end, 1)
+        self._levels: dict[int, list[np.ndarray]] = {}
 
     def windows(self, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Start indices (into the words) of all n-word windows inside one document, and
@@ -104,17 +129,21 @@ class Words:
         return w, self.window_hash(w, n, seed)
 
     def window_hash(self, w: np.ndarray, n: int, seed: int) -> np.ndarray:
-        """Hash of the n words that start at each index of ``w`` (all within the batch)."""
-        base = (0xA0761D6478BD642F + 2 * seed) | 1
-        if seed not in getattr(self, "_pre", {}):
-            self._pre = getattr(self, "_pre", {})
-            m = len(self.hash)
-            pre = np.zeros(m + 1, np.uint64)
-            np.cumsum((self.hash ^ np.uint64(mix64(np.array([seed], np.uint64))[0])) * powers(base, m), out=pre[1:])
-            self._pre[seed] = pre
-        pre = self._pre[seed]
-        inv = powers(pow(base, -1, 1 << 64), len(self.hash))
-        return mix64((pre[w + n] - pre[w]) * inv[w], seed + n)
+        """Hash of the n words that start at each index of ``w`` (all within the batch). Hashes of
+        1, 2, 4 .. words are chained; even and odd seeds rest on different hashes of the words."""
+        chain = seed & 1
+        levels = self._levels.setdefault(chain, [])
+        if not levels:
+            levels.append(byte_hashes(self._read, self.start, self.end, 2) if chain == 0 else self.hash)
+        while 2 << (len(levels) - 1) <= n:
+            half, step = levels[-1], 1 << (len(levels) - 1)
+            levels.append(mix64(half[:-step] * _ODD + half[step:], len(levels)) if len(half) > step else half[:0])
+        out, done = np.full(len(w), seed, np.uint64), 0
+        for j in range(n.bit_length() - 1, -1, -1):
+            if n >> j & 1:
+                out = mix64(out * _ODD + levels[j][w + done], n + j)
+                done += 1 << j
+        return out
 
 
 def batches_of(rows, max_bytes: int, column: str):

@@ -7,7 +7,8 @@ non-blanks), and BPE whose normaliser drops white space (cut at ASCII blanks). T
 other file are encoded whole.
 
 Pieces of a batch are found, hashed and looked up as arrays; only pieces not seen before pass
-through the tokenizer. A cached piece is known by two 64-bit numbers, its hash and its ends.
+through the tokenizer. A cached piece is known by its bytes: the first and last eight and the
+length of a piece of up to 16 bytes, the number of a longer one in a dictionary.
 """
 
 from __future__ import annotations
@@ -15,20 +16,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
-from rampart.llm.textkit import BLANK, mix64, powers, text_bytes
+from rampart.llm.textkit import BLANK, BYTE_MASK, loads8, mix64, text_bytes
 
-# Latin letters, then sentence marks: every split pattern supported here cuts between the two
-_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)").fullmatch
-# the same around a single line break
-_BROKEN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+_MARKS = ".,;:!?"  # every split pattern supported here cuts between Latin letters and these
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+# letters and marks around a single line break
+_BROKEN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+_JOINED = 512  # words encoded as one text
 _GENERATION = 150_000  # pieces per generation of the tokenizer's own cache; two are held
 _SLOTS_BITS = 22  # slots of the piece table, filled to a half at most
-_BASE = 0xD6E8FEB86659FD93
+_LONG_BYTES = 32 << 20  # bytes of longer pieces kept
 _LOOKUP = 1 << 18  # pieces looked up at once
 _BLOCK = 1 << 18  # bytes handled at once
 
@@ -63,6 +65,8 @@ class Encoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.table = PieceTable()
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
 
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that open (or close) a word
@@ -91,15 +95,21 @@ class Encoder:
         start, end, lone = (_spaced if self.kind == "spaced" else _blank_cut)(buf, offs)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        key, ends = _identity(buf, start, end, lone)
+        if self.long_bytes > _LONG_BYTES:
+            self.table.clear()
+            self.long, self.long_bytes = {}, 0
+        had = len(self.long)
+        who = _identity(buf, start, end, lone, self.long)
+        if len(self.long) > had:
+            self.long_bytes += sum(map(len, islice(self.long, had, None)))
         parts, counts = [], []
         for a in range(0, len(start), _LOOKUP):  # fewer than the table holds, so all fit at once
             k = slice(a, a + _LOOKUP)
-            at = self.table.find(key[k], ends[k])
+            at = self.table.find(who[:, k])
             while len(new := np.flatnonzero(at < 0)):
-                fresh = a + new[np.unique(key[k][new], return_index=True)[1]]
-                self._remember(buf, key[fresh], ends[fresh], start[fresh], end[fresh], lone[fresh])
-                at = self.table.find(key[k], ends[k])
+                fresh = a + new[np.unique(_slot_key(who[:, k][:, new]), return_index=True)[1]]
+                self._remember(buf, who[:, fresh], start[fresh], end[fresh], lone[fresh])
+                at = self.table.find(who[:, k])
             lo = self.table.off[at]
             n = self.table.off[at + 1] - lo
             parts.append(self.table.ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
@@ -108,9 +118,11 @@ class Encoder:
         total = np.bincount(doc, np.concatenate(counts), minlength=len(offs) - 1).astype(np.int64)
         return np.concatenate(parts), total
 
-    def _remember(self, buf, key, ends, start, end, lone) -> None:
+    def _remember(self, buf, who, start, end, lone) -> None:
         raw = buf.tobytes()
-        pieces = [("\0" if x else "") + raw[a:b].decode() for a, b, x in zip(start.tolist(), end.tolist(), lone.tolist())]
+        pieces = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+        for i in np.flatnonzero(lone).tolist():
+            pieces[i] = "\0" + pieces[i]
         if len(self.new) + len(pieces) > _GENERATION:
             self.old, self.new = self.new, {}
         need = {p for p in pieces if p not in self.new}
@@ -118,7 +130,7 @@ class Encoder:
             self._learn(need)
         if self.table.entries + len(pieces) > 1 << (_SLOTS_BITS - 1):
             self.table.clear()
-        self.table.add(key, ends, [self.new[p] for p in pieces])
+        self.table.add(who, [self.new[p] for p in pieces])
 
     def _learn(self, need: set[str]) -> None:
         """Cache the ids of new pieces (in "spaced" files a leading NUL marks a piece that has no
@@ -131,34 +143,35 @@ class Encoder:
         for p in need:
             if (got := old.get(p)) is not None:
                 new[p] = got
-                continue
-            if m := _MARKED(p):
-                parts = (m[1], bare + m[2])
-            elif spaced and (m := _BROKEN(p)):
+            elif p[-1:] in _MARKS and _plain(word := p.rstrip(_MARKS)):
+                marks = bare + p[len(word):]
+                split.append((p, (word, marks)))
+                todo.add(word)
+                todo.add(marks)
+            elif spaced and "\n" in p and (m := _BROKEN(p)):
                 parts = (m[1], *(["\0" + m[2]] if m[2] else []), "\0\n", "\0" + m[3], *(["\0" + m[4]] if m[4] else []))
+                split.append((p, parts))
+                todo.update(parts)
             else:
                 todo.add(p)
+        words, starts, rest = [], [], []
+        for p in todo:
+            if p in new:
                 continue
-            split.append((p, parts))
-            todo.update(parts)
-        for p in [p for p in todo if p in new or p in old]:
-            if p not in new:
-                new[p] = old[p]
-            todo.discard(p)
-        words = [p for p in todo if _LETTERS(p)]
-        starts = [p for p in todo if p[:1] == "\0" and _LETTERS(p, 1)] if spaced else []
-        known = {*words, *starts}
-        rest = [p for p in todo if p not in known]
+            if (got := old.get(p)) is not None:
+                new[p] = got
+            elif _plain(p):
+                words.append(p)
+            elif p[:1] == "\0" and _plain(p[1:]):
+                starts.append(p)
+            else:
+                rest.append(p)
         edges = self.edge
-        for i in range(0, len(words), 2048):
-            some = words[i:i + 2048]
-            ids = np.array(self.tok.encode("".join([" " + w for w in some]), add_special_tokens=False).ids, "<u4")
+        for some, ids in self._joined(words, lambda group: " " + " ".join(group)):
             mark = np.flatnonzero(edges[ids])
-            cut = np.append(mark, len(ids)) if spaced else np.append(0, mark + 1)
-            rest += self._cut(some, ids, cut, 0)
-        for i in range(0, len(starts), 2048):  # words without a space before them: one a line
-            some = starts[i:i + 2048]
-            ids = np.array(self.tok.encode("".join([p[1:] + "\n" for p in some]), add_special_tokens=False).ids, "<u4")
+            rest += self._cut(some, ids, np.append(mark, len(ids)) if spaced else np.append(0, mark + 1), 0)
+        # words without a space before them: one a line
+        for some, ids in self._joined(starts, lambda group: "".join([p[1:] + "\n" for p in group])):
             rest += self._cut(some, ids, np.append(0, np.flatnonzero(ids == self.line_break) + 1), 1)
         plain = [(p[1:] if p[:1] == "\0" else " " + p) if spaced else p for p in rest]
         for i in range(0, len(rest), 4096):
@@ -167,6 +180,13 @@ class Encoder:
         for p, parts in split:
             new[p] = b"".join([new[x] for x in parts])
 
+    def _joined(self, words: list[str], join):
+        """(words, ids) of groups of words that are encoded as one text each."""
+        groups = [words[i:i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for i in range(0, len(groups), 16):
+            for some, e in zip(groups[i:i + 16], self.tok.encode_batch_fast([join(g) for g in groups[i:i + 16]], add_special_tokens=False)):
+                yield some, np.array(e.ids, "<u4")
+
     def _cut(self, some: list[str], ids: np.ndarray, cut: np.ndarray, drop: int) -> list[str]:
         """Cache the stretches between ``cut`` (less ``drop`` ids at their ends); returns the
         pieces to encode one by one if there is not one stretch a piece."""
@@ -177,6 +197,15 @@ class Encoder:
         return []
 
 
+def _slot_key(who: np.ndarray) -> np.ndarray:
+    return mix64(who[0] + mix64(who[1] + mix64(who[2], 3), 4), 5)
+
+
+def _plain(p: str) -> bool:
+    """Latin letters only."""
+    return p.isalpha() and (p.isascii() or _LETTERS(p) is not None)
+
+
 class PieceTable:
     """Piece -> ids: an open-addressing table over arrays. When half full it starts anew."""
 
@@ -184,49 +213,49 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        n = 1 << _SLOTS_BITS
-        self.key, self.ends, self.value = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+        self.value = np.full(1 << _SLOTS_BITS, -1, np.int32)
         self.entries = 0
+        self.who = np.zeros((3, 1 << 16), np.uint64)  # by entry
         self.off, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
     def _probe(self, key: np.ndarray, step: int) -> np.ndarray:
         return ((key >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64) + step) & ((1 << _SLOTS_BITS) - 1)
 
-    def find(self, key: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def find(self, who: np.ndarray) -> np.ndarray:
         """Entry of each piece, -1 if unknown."""
-        slot = self._probe(key, 0)
-        out = self.value[slot]
-        live = np.flatnonzero((out >= 0) & ((self.key[slot] != key) | (self.ends[slot] != ends)))
-        step = 1
-        while len(live):
-            slot = self._probe(key[live], step)
-            got = self.value[slot]
-            out[live] = got
-            live = live[(got >= 0) & ((self.key[slot] != key[live]) | (self.ends[slot] != ends[live]))]
+        key = _slot_key(who)
+        out = self.value[self._probe(key, 0)]
+        live, step = np.arange(len(out)), 0
+        while True:
+            live = live[out[live] >= 0]
+            e = out[live]
+            live = live[(self.who[0][e] != who[0][live]) | (self.who[1][e] != who[1][live]) | (self.who[2][e] != who[2][live])]
+            if not len(live):
+                return out
             step += 1
-        return out
+            out[live] = self.value[self._probe(key[live], step)]
 
-    def add(self, key: np.ndarray, ends: np.ndarray, raw: list[bytes]) -> None:
+    def add(self, who: np.ndarray, raw: list[bytes]) -> None:
         """Pieces that are not in the table, each once."""
-        n = len(key)
+        n = who.shape[1]
         sizes = np.array([len(r) // 4 for r in raw], np.int64)
         while len(self.off) < self.entries + n + 1:
             self.off = np.append(self.off, np.zeros_like(self.off))
+            self.who = np.concatenate([self.who, np.zeros_like(self.who)], axis=1)
         have = int(self.off[self.entries])
         while len(self.ids) < have + int(sizes.sum()):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         self.ids[have:have + int(sizes.sum())] = np.frombuffer(b"".join(raw), "<u4")
         self.off[self.entries + 1:self.entries + n + 1] = have + np.cumsum(sizes)
+        self.who[:, self.entries:self.entries + n] = who
         value = np.arange(self.entries, self.entries + n, dtype=np.int32)
         self.entries += n
-        live, step = np.arange(n), 0
+        key, live, step = _slot_key(who), np.arange(n), 0
         while len(live):
             slot = self._probe(key[live], step)
             free = self.value[slot] < 0
             self.value[slot[free]] = value[live[free]]  # of pieces that meet in a slot one stays
-            won = self.value[slot] == value[live]
-            self.key[slot[won]], self.ends[slot[won]] = key[live[won]], ends[live[won]]
-            live, step = live[~won], step + 1
+            live, step = live[self.value[slot] != value[live]], step + 1
 
 
 def _blank_cut(buf: np.ndarray, offs: np.ndarray):
@@ -266,20 +295,21 @@ def _spaced(buf: np.ndarray, offs: np.ndarray):
     return start, stops, lone
 
 
-def _identity(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lone: np.ndarray):
-    """Two 64-bit numbers of each piece: a polynomial hash, and its length and end bytes."""
-    p = powers(_BASE, len(buf))
-    pre = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p, out=pre[1:])
-    inv = powers(pow(_BASE, -1, 1 << 64), len(buf))
-    key = mix64((pre[end] - pre[start]) * inv[start], 9)
+def _identity(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lone: np.ndarray, long: dict[bytes, int]):
+    """Three 64-bit numbers that tell pieces apart exactly, one a column: the first eight bytes, the last
+    eight, length and ``lone``. Pieces of more than 16 bytes have their number in ``long``."""
     size = end - start
-    ends = size.astype(np.uint64) << np.uint64(33)
-    for k in range(2):
-        ends |= buf[np.minimum(start + k, end - 1)].astype(np.uint64) << np.uint64(8 * k)
-        ends |= buf[np.maximum(end - 1 - k, start)].astype(np.uint64) << np.uint64(16 + 8 * k)
-    ends |= lone.astype(np.uint64) << np.uint64(32)
-    return key ^ (lone.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), ends
+    at = loads8(buf)
+    who = np.empty((3, len(start)), np.uint64)
+    who[0] = at[start] & BYTE_MASK[np.minimum(size, 8)]
+    who[1] = np.where(size > 8, at[np.maximum(end - 8, start)], 0)
+    who[2] = 2 * size + lone
+    wide = np.flatnonzero(size > 16)
+    if len(wide):
+        raw = [buf[a:b].tobytes() for a, b in zip(start[wide].tolist(), end[wide].tolist())]
+        who[0][wide] = [long.setdefault(r, len(long)) for r in raw]
+        who[1][wide] = 0
+    return who
 
 
 def _kind(spec: dict) -> str:

@@ -62,9 +62,11 @@ def test_encoder_small_tables(monkeypatch):
     monkeypatch.setattr(module, "_LOOKUP", 100)
     enc = Encoder(BYTE)
     assert [encoded(enc, [t])[0] for t in some] == want
-    identity = module._identity
-    monkeypatch.setattr(module, "_identity", lambda *a: (identity(*a)[0] | np.uint64(0xFFFFFFFFFFFFFFF0), identity(*a)[1]))
-    assert len(want[-1]) and encoded(Encoder(BYTE), ["one two one"])[0] == np.array(tok.encode("one two one").ids, "<u4").tobytes()
+    key = module._slot_key
+    monkeypatch.setattr(module, "_slot_key", lambda who: key(who) | np.uint64(0xFFFFFFFFFFFFFFF8))
+    monkeypatch.setattr(module, "_LONG_BYTES", 40)
+    enc = Encoder(BYTE)
+    assert len(want[-1]) and [encoded(enc, [t])[0] for t in some] == want
 
 
 def test_sum_of_squares_choice():

@@ -124,7 +124,7 @@ def scratch_scope(spark: SparkSession):
     try:
         yield keep
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.pop()
         for path in made:
             if path not in kept:
                 _delete(spark, path)

@@ -192,6 +192,37 @@ def test_minhash_links_between_key_members(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_minhash_group_just_below_the_threshold(spark):
+    """300 texts made of one by replaced words: most are similar and yet not linked, some are."""
+    from rampart.llm import minhash_dedup as module
+
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([2, 3, 3, 4])):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:  # a partner that only this text has
+            rows.append((1000 + i, " ".join(w[:-1] + [f"y{i}"])))
+    counted = []
+    real = module.verified
+
+    def watch(pairs, *a):
+        counted.append(pairs.count())
+        return real(pairs, *a)
+
+    module.verified = watch
+    try:
+        got = {r.doc_id: r.component_id for r in minhash_groups(frame(spark, rows), shingle=3, num=85, den=100).collect()}
+    finally:
+        module.verified = real
+    want = {i: c for i, (_, c) in brute.minhash_groups(rows, 3, 85, 100).items()}
+    assert got == want and len(set(want.values())) > 100
+    assert counted[1] < 3000  # of 54,000 pairs
+
+
 def test_band_count():
     assert (1 - 0.85**2) ** band_count(0.85, 2) <= 5e-5
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ class LanguageModel:
     langs: list[str]
     params: Params | None = None
     sampled: dict[str, int] = field(default_factory=dict)
+    floor: float = 0.0  # a lower score is that of a text in none of the languages
 
 
 def windows(buf: np.ndarray, offs: np.ndarray):
@@ -37,33 +40,38 @@ def train_language_model(docs: DataFrame, learn: str, docs_per_lang: int = 600,
                          text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Fit the network on a bounded sample: of the rows where the SQL condition ``learn`` holds
     and the label is not null, at most ``docs_per_lang`` documents of each label (lowest hash
-    of ``key``), and at most ``windows_per_doc`` windows spread evenly over each text."""
+    of ``key``), and at most ``windows_per_doc`` windows spread evenly over each text. As many
+    documents more, which the fit does not see, give the model's floor."""
     rows = docs.where(learn).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()) \
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.abs(F.hash(key)).alias("h"))
+        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(2**31)).alias("h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([])
     langs = sorted(counts)
-    share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, 3 * docs_per_lang / counts[k]))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, 6 * docs_per_lang / counts[k]))]), F.col("lang"))
     near = rows.where(F.col("h") <= share * (2**31)).where(F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
 
     def cut(batches):
+        number = count(TaskContext.get().partitionId() << 32)
         for t in batches_of(batches, 1 << 20, "text"):
             buf, offs = text_bytes(t.column("text"))
             start, size, doc = windows(buf, offs)
             first = np.searchsorted(doc, np.arange(len(t) + 1))
-            out = []
+            out, fits = [], t.column("fit").to_pylist()
             for d, name in enumerate(t.column("lang").to_pylist()):
-                n = first[d + 1] - first[d]
+                n, doc = first[d + 1] - first[d], next(number)
                 for k in sorted({int(i * n // windows_per_doc) for i in range(windows_per_doc)} if n else ()):
                     w = first[d] + k
-                    out.append((name, buf[start[w]:start[w] + size[w]].tobytes()))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([a for a, _ in out], pa.string()), "bytes": pa.array([b for _, b in out], pa.binary())})
-
-    got = near.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "text") \
-        .mapInArrow(cut, "lang string, bytes binary").toPandas()
-    got = got.sort_values(["lang", "bytes"], kind="stable")  # the fit does not depend on row order
+                    out.append((name, buf[start[w]:start[w] + size[w]].tobytes(), doc, fits[d], k))
+            cols = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()))],
+                                             names=["lang", "bytes", "doc", "fit", "window"])
+
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= 2 * docs_per_lang) \
+        .select("lang", "text", (F.col("rank") <= docs_per_lang).alias("fit")) \
+        .mapInArrow(cut, "lang string, bytes binary, doc long, fit boolean, window long").toPandas()
+    got = sample[sample["fit"]].sort_values(["lang", "bytes"], kind="stable")  # the fit does not depend on row order
     langs = sorted(set(got["lang"]))
     if not langs:
         return LanguageModel([])
@@ -73,7 +81,21 @@ def train_language_model(docs: DataFrame, learn: str, docs_per_lang: int = 600,
     for i, b in enumerate(got["bytes"]):
         x[i, :len(b)] = np.frombuffer(b, np.uint8)
         mask[i, :len(b)] = 1
-    return LanguageModel(langs, train(x, mask, y, len(langs)), got["lang"].value_counts().to_dict())
+    model = LanguageModel(langs, train(x, mask, y, len(langs)), got["lang"].value_counts().to_dict())
+    unseen = sample[~sample["fit"]]
+    model.floor = _floor(model, unseen if len(unseen) else sample)
+    return model
+
+
+def _floor(model: LanguageModel, sample) -> float:
+    """Halfway between chance and the score that all but one in a thousand labelled texts reach:
+    what lies below looks like none of the languages."""
+    if len(model.langs) < 2:
+        return 0.0
+    texts = [b"".join(x) for _, x in sample.sort_values(["doc", "window"]).groupby("doc")["bytes"]]
+    probs = document_probabilities(model, np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    chance = 1 / len(model.langs)
+    return chance + max(0.0, float(np.quantile(probs.max(axis=1), 0.001, method="lower")) - chance) / 2
 
 
 def document_probabilities(model: LanguageModel, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -95,15 +117,16 @@ def document_probabilities(model: LanguageModel, buf: np.ndarray, offs: np.ndarr
     return total / np.maximum(np.diff(offs), 1)[:, None]
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (replacing columns of those names).
+def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text", pred_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score, or the names given (replacing columns of
+    those names).
 
     The score is the pooled probability of the predicted language, 0 to 1; ties go to the first
     label in order. A null text or one without a letter, or a model that learned no label,
     gives ``und`` and 0. Every byte of a text is labelled, however long; repeated rows get the
     same answer; an empty table gives no rows.
     """
-    src = docs.drop("lang_pred", "score")
+    src = docs.drop(pred_name, score_name)
     names = src.columns
 
     def run(batches):
@@ -118,10 +141,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
             else:
                 score, pred = np.zeros(len(t)), [UNKNOWN] * len(t)
             score = np.where(lettered, score, 0.0)
-            out = pa.table([*t.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            out = pa.table([*t.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, pred_name, score_name])
             yield from out.to_batches()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema), f"`{pred_name}` string", f"`{score_name}` double"])
     return src.mapInArrow(run, schema)
 
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampart.session import materialize
+from rampart.llm.textkit import fresh_name
+from rampart.session import discard, materialize
 
 # moduli of the position-weighted word hashes: primes near 2^31 (fixed values)
 _P, _Q = 2147483647, 2147483629
@@ -51,14 +52,19 @@ def _halves(n: Column, min_words: int) -> list[Column]:
     return [F.when((n >= min_words) & only, key(side, half)) for half, only in ((p, F.lit(True)), (q, p != q)) for side in (0, 1)]
 
 
-def distinct_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row a distinct line with a word: its hash (h1, h2), the first document d that has it,
-    and its half keys k0 .. k3 (of first and last words; null if absent)."""
-    c = docs.select("d", F.explode(F.split("text", "\n", -1)).alias("line")).select("d", plain_line(F.col("line")).alias("c")).where("c <> ''")
+def line_keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row a line: its document d, the hash r of the text it stands in, its number l, its hash
+    (h1, h2; null without a word) and half keys k0 .. k3 (of first and last words; null if absent)."""
+    c = docs.select("d", F.xxhash64("text").alias("r"), F.posexplode(F.split("text", "\n", -1)).alias("l", "line")) \
+        .select("d", "r", "l", plain_line(F.col("line")).alias("c"))
     c = c.withColumn("n", F.octet_length("c") - F.octet_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1)
-    h1, h2 = _hashes(F.col("c"))
-    one = c.select("d", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(F.col("n"), min_words))])
-    return one.groupBy("h1", "h2").agg(F.min("d").alias("d"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    h1, h2 = (F.when(F.col("c") != "", h) for h in _hashes(F.col("c")))
+    return c.select("d", "r", "l", h1.alias("h1"), h2.alias("h2"), *[k.alias(f"k{i}") for i, k in enumerate(_halves(F.col("n"), min_words))])
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """One row a distinct line with a word: h1, h2, the first document d that has it, k0 .. k3."""
+    return lines.where("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("d"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
@@ -150,34 +156,35 @@ def line_dedup(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text
     A line goes if an earlier line equals it, or is one word edit away and both have at least
     ``min_words`` words (earlier lines count even if they go themselves). All columns of
     ``docs`` are returned, the text without the lines that go, and n_lines, n_removed
-    (replacing columns of those names). Lines without a word always stay. A null text stays
-    null with 0 lines. Null doc_ids come last. Rows that share a doc_id (or have none) are one
-    document: a line that this document has first stays once in each of its rows; near
-    duplicates among them go by line number, then by a hash of the text. An empty table gives
-    no rows.
+    (replacing columns of those names; any other name may occur in ``docs``). Lines without a
+    word always stay. A null text stays null with 0 lines. Null doc_ids come last. Rows that
+    share a doc_id (or have none) are one document: a line that this document has first stays
+    once in each of its rows; near duplicates among them go by line number, then by a hash of
+    the text. An empty table gives no rows.
     """
+    rest = docs.drop("n_lines", "n_removed")
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     src = docs.select(d.alias("d"), F.col(text).cast("string").alias("text")).where("text is not null")
-    distinct = materialize(distinct_lines(src, min_words), "line-distinct")
+    lines = materialize(line_keys(src, min_words), "line-keys")
+    distinct = materialize(distinct_lines(lines), "line-distinct")
     near = materialize(_with_words(_candidates(distinct), src), "line-near")
-    kept = distinct.select("h1", "h2", "d").join(near_duplicates(near), ["h1", "h2"], "left_anti") \
-        .groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("h1", "h2")).alias("__keep"))
-    rest = docs.drop("n_lines", "n_removed")
-    lines = F.split(F.col(text).cast("string"), "\n", -1)
-
-    def identity(x: Column) -> Column:
-        c = plain_line(x)
-        h1, h2 = _hashes(c)
-        return F.when(c != "", F.struct(h1.alias("h1"), h2.alias("h2")))
-
-    # a line stays if this document keeps it and it stands here for the first time
-    out = rest.withColumn("__d", d).join(kept, "__d", "left").withColumn("__lines", lines).withColumn("__id", F.transform("__lines", identity))
-    ids = F.coalesce("__keep", F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
-    stands = F.transform("__id", lambda x, i: x.isNull() | (F.array_contains(ids, x) & (F.array_position("__id", x) == i + 1)))
-    out = out.withColumn("__stay", F.transform(F.filter(F.arrays_zip("__lines", stands.alias("ok")), lambda z: z["ok"]), lambda z: z["__lines"]))
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__lines"))
-    return out.select(*[F.array_join("__stay", "\n").alias(c) if c == text else F.col(c) for c in rest.columns],
-                      n.cast("long").alias("n_lines"), F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__stay")).cast("long").alias("n_removed"))
+    kept = distinct.select("h1", "h2", "d").join(near_duplicates(near), ["h1", "h2"], "left_anti")
+    # a line stays where it stands first in a text of the document that keeps it
+    first = lines.join(kept, ["h1", "h2", "d"]).groupBy("d", "r", "h1", "h2").agg(F.min("l").alias("l"))
+    blank = lines.where("h1 is null").select("d", "r", "l").distinct()
+    stay = materialize(first.select("d", "r", "l").unionByName(blank).groupBy("d", "r").agg(F.array_sort(F.collect_list("l")).alias("stay")), "line-stay")
+    discard(lines, distinct, near)
+    mine, there, stays = (fresh_name(x, docs.columns) for x in ("d", "r", "stay"))
+    at = stay.select(F.col("d").alias(mine), F.col("r").alias(there), F.col("stay").alias(stays))
+    whole = F.col(text).cast("string")
+    out = rest.withColumns({mine: d, there: F.xxhash64(whole)}).join(at, [mine, there], "left")
+    n = F.when(whole.isNull(), F.lit(0)).otherwise(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1)
+    gone = F.when(whole.isNull(), F.lit(0)).otherwise(n - F.coalesce(F.size(stays), F.lit(0)))
+    # the lines are cut once a text: they are the outer lambda's variable
+    left = F.element_at(F.transform(F.array(F.split(whole, "\n", -1)), lambda cut: F.array_join(F.transform(
+        F.coalesce(stays, F.array().cast("array<int>")), lambda i: F.get(cut, i)), "\n")), 1)
+    cut = F.when(gone == 0, whole).otherwise(left)
+    return out.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in rest.columns], n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

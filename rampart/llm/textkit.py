@@ -166,3 +166,11 @@ def batches_of(rows, max_bytes: int, column: str):
         size = acc
     if held:
         yield pa.Table.from_batches(held)
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name`` with underscores before it until no taken column (in any case) has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name

@@ -17,7 +17,8 @@ def test_stages(spark, monkeypatch):
     """Each stage on its own input; the whole chain is run()."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(90_001, None, "en", "s", 0), (90_002, "", None, "s", 0), (90_003, "12 34", "en", None, 5), (None, None, None, None, None)], docs.schema)
+    extra = spark.createDataFrame([(90_001, None, "en", "s", 0), (90_002, "", None, "s", 0), (90_003, "12 34", "en", None, 5), (None, None, None, None, None),
+                                   (90_004, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 4, None, "s", 9)], docs.schema)
     docs = materialize(docs.unionByName(extra), "t")
     kept = {}
     steps = dict(corpus_pipeline.STAGES)
@@ -32,9 +33,9 @@ def test_stages(spark, monkeypatch):
             assert last.columns == cols
     # language ID: what the model rejects goes, nothing else
     model = train_language_model(docs, "true")
-    want = {r.doc_id for r in predict_languages(docs, model).collect() if r.lang_pred != "und" and r.score >= corpus_pipeline.MIN_LANGUAGE_SCORE}
-    assert {r[0] for r in kept["language_id"]} == want and len(want) >= docs.count() - 6
-    assert not {90_001, 90_002, 90_003, None} & want
+    want = {r.doc_id for r in predict_languages(docs, model).collect() if r.lang_pred != "und" and r.score >= model.floor}
+    assert {r[0] for r in kept["language_id"]} == want and len(want) >= docs.count() - 7
+    assert not {90_001, 90_002, 90_003, 90_004, None} & want  # 90_004: a script no label taught
     # line dedup
     before = {r[0]: r for r in kept["language_id"]}
     lines = brute.line_dedup([(i, r[1]) for i, r in before.items()], 8)
@@ -60,6 +61,18 @@ def test_stages(spark, monkeypatch):
     assert find_leaks(rows["benchmark_decontamination"], spark.read.parquet(f"{SF}/benchmark.parquet")).isEmpty()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the operators' own come back as they were."""
+    rows = [(i, t, "en", "s", len(t), 0.5, "x", 7, 8, [1], 2.0) for i, t in enumerate(["The cat sat on the mat.\nThe end of it all", "Another text\nThe end of it all", "One more line here"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, "
+                                       "n_lines int, n_removed int, __stay array<int>, r double")
+    for f in dict(corpus_pipeline.STAGES[:4]).values():
+        got = materialize(f(spark, docs, SF), "t")
+        assert got.columns == docs.columns
+        assert all((r.score, r.lang_pred, r.n_lines, r.n_removed, r["__stay"], r.r) == (0.5, "x", 7, 8, [1], 2.0) for r in got.collect())
+        docs = got
+
+
 def test_stages_on_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, f in corpus_pipeline.STAGES:

@@ -99,7 +99,7 @@ class Encoder:
             self.table.clear()
             self.long, self.long_bytes = {}, 0
         had = len(self.long)
-        who = _identity(buf, start, end, lone, self.long)
+        who = identity(buf, start, end, lone, self.long)
         if len(self.long) > had:
             self.long_bytes += sum(map(len, islice(self.long, had, None)))
         parts, counts = [], []
@@ -107,7 +107,7 @@ class Encoder:
             k = slice(a, a + _LOOKUP)
             at = self.table.find(who[:, k])
             while len(new := np.flatnonzero(at < 0)):
-                fresh = a + new[np.unique(_slot_key(who[:, k][:, new]), return_index=True)[1]]
+                fresh = a + new[np.unique(slot_key(who[:, k][:, new]), return_index=True)[1]]
                 self._remember(buf, who[:, fresh], start[fresh], end[fresh], lone[fresh])
                 at = self.table.find(who[:, k])
             lo = self.table.off[at]
@@ -128,9 +128,10 @@ class Encoder:
         need = {p for p in pieces if p not in self.new}
         if need:
             self._learn(need)
-        if self.table.entries + len(pieces) > 1 << (_SLOTS_BITS - 1):
+        if self.table.is_full(len(pieces)):
             self.table.clear()
-        self.table.add(who, [self.new[p] for p in pieces])
+        ids = [self.new[p] for p in pieces]
+        self.table.add(who, np.frombuffer(b"".join(ids), "<u4"), np.array(list(map(len, ids)), np.int64) // 4)
 
     def _learn(self, need: set[str]) -> None:
         """Cache the ids of new pieces (in "spaced" files a leading NUL marks a piece that has no
@@ -197,7 +198,7 @@ class Encoder:
         return []
 
 
-def _slot_key(who: np.ndarray) -> np.ndarray:
+def slot_key(who: np.ndarray) -> np.ndarray:
     return mix64(who[0] + mix64(who[1] + mix64(who[2], 3), 4), 5)
 
 
@@ -218,12 +219,16 @@ class PieceTable:
         self.who = np.zeros((3, 1 << 16), np.uint64)  # by entry
         self.off, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
+    def is_full(self, more: int) -> bool:
+        """Whether ``more`` entries would fill over half of the slots."""
+        return self.entries + more > 1 << (_SLOTS_BITS - 1)
+
     def _probe(self, key: np.ndarray, step: int) -> np.ndarray:
         return ((key >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64) + step) & ((1 << _SLOTS_BITS) - 1)
 
     def find(self, who: np.ndarray) -> np.ndarray:
         """Entry of each piece, -1 if unknown."""
-        key = _slot_key(who)
+        key = slot_key(who)
         out = self.value[self._probe(key, 0)]
         live, step = np.arange(len(out)), 0
         while True:
@@ -235,22 +240,21 @@ class PieceTable:
             step += 1
             out[live] = self.value[self._probe(key[live], step)]
 
-    def add(self, who: np.ndarray, raw: list[bytes]) -> None:
-        """Pieces that are not in the table, each once."""
+    def add(self, who: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Pieces that are not in the table, each once: their ids end to end, and how many each has."""
         n = who.shape[1]
-        sizes = np.array([len(r) // 4 for r in raw], np.int64)
         while len(self.off) < self.entries + n + 1:
             self.off = np.append(self.off, np.zeros_like(self.off))
             self.who = np.concatenate([self.who, np.zeros_like(self.who)], axis=1)
         have = int(self.off[self.entries])
         while len(self.ids) < have + int(sizes.sum()):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[have:have + int(sizes.sum())] = np.frombuffer(b"".join(raw), "<u4")
+        self.ids[have:have + int(sizes.sum())] = ids
         self.off[self.entries + 1:self.entries + n + 1] = have + np.cumsum(sizes)
         self.who[:, self.entries:self.entries + n] = who
         value = np.arange(self.entries, self.entries + n, dtype=np.int32)
         self.entries += n
-        key, live, step = _slot_key(who), np.arange(n), 0
+        key, live, step = slot_key(who), np.arange(n), 0
         while len(live):
             slot = self._probe(key[live], step)
             free = self.value[slot] < 0
@@ -295,7 +299,7 @@ def _spaced(buf: np.ndarray, offs: np.ndarray):
     return start, stops, lone
 
 
-def _identity(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lone: np.ndarray, long: dict[bytes, int]):
+def identity(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lone: np.ndarray, long: dict[bytes, int]):
     """Three 64-bit numbers that tell pieces apart exactly, one a column: the first eight bytes, the last
     eight, length and ``lone``. Pieces of more than 16 bytes have their number in ``long``."""
     size = end - start

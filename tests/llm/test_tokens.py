@@ -62,8 +62,8 @@ def test_encoder_small_tables(monkeypatch):
     monkeypatch.setattr(module, "_LOOKUP", 100)
     enc = Encoder(BYTE)
     assert [encoded(enc, [t])[0] for t in some] == want
-    key = module._slot_key
-    monkeypatch.setattr(module, "_slot_key", lambda who: key(who) | np.uint64(0xFFFFFFFFFFFFFFF8))
+    key = module.slot_key
+    monkeypatch.setattr(module, "slot_key", lambda who: key(who) | np.uint64(0xFFFFFFFFFFFFFFF8))
     monkeypatch.setattr(module, "_LONG_BYTES", 40)
     enc = Encoder(BYTE)
     assert len(want[-1]) and [encoded(enc, [t])[0] for t in some] == want

@@ -84,8 +84,8 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
-    assert "op3_line_dedup" in entry.oracle_sql()
+    assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 14))
+    assert {"op3_line_dedup", "op12_hard_negatives"} <= set(entry.oracle_sql())
 
 
 def test_run(spark):

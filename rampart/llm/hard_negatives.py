@@ -256,10 +256,10 @@ def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 with r as (
   select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-         list_transform(embedding, x -> floor(256 * x::double)) as v
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
   from embeddings
   where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select a.vec_id as aid, b.vec_id as bid, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
       from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
 p as (select aid, bid, score from s where same

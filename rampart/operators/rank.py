@@ -7,6 +7,10 @@ those buckets are counted two digits finer, and so on until a bucket is small; i
 then read to find the boundary itself. Rows meet the boundaries of their own leading two
 digits through a small written table, so a row compares with few boundaries however many
 there are. Nothing is gathered on the driver but one maximum per level.
+
+A boundary can fall inside a group of rows that are equal in every column. Such rows cannot be
+told apart, but they can be counted: the group is cut by quotas and made anew from one of its
+rows, so every boundary holds exactly, however often a row is repeated.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from rampart.session import materialize
 
 BUCKET_HEX = 5
 LEAF_ROWS = 16_384  # a bucket this small is read row by row
+COPY_ROWS = 65_536  # equal rows that one task makes at once
 _STEP = 2  # hex digits per level
 _HEX = 32  # digits of a key
 
@@ -97,9 +102,12 @@ def _boundaries(keyed: DataFrame, sk: list[str], targets: DataFrame) -> tuple[Da
     return active, digits
 
 
-def _cutoffs(df: DataFrame, keyed: DataFrame, sk: list[str], id_col: str, targets: DataFrame) -> DataFrame:
+def _cutoffs(df: DataFrame, keyed: DataFrame, sk: list[str], id_col: str, targets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(strata, _key, id, _tie, _tag): a row is at or before a boundary when its (key, id,
-    content hash) is not greater. _tie is NULL where a boundary falls between different ids."""
+    content hash) is not greater. _tie is NULL where a boundary falls between different ids.
+
+    Also the boundaries inside rows of one content hash, if any: (strata, _key, _tie, _tag, _r,
+    the rows up to the boundary). The cutoff of such a boundary lies before these rows."""
     active, digits = _boundaries(keyed, sk, targets)
     prefix = F.substring("_key", 1, digits) if digits else F.lit("")
     rows = keyed.withColumn("_p", prefix).join(active.select(*sk, "_p").distinct(), on=[*sk, "_p"], how="left_semi")
@@ -111,16 +119,45 @@ def _cutoffs(df: DataFrame, keyed: DataFrame, sk: list[str], id_col: str, target
     parted = cuts.where("_r < _c")
     whole = cuts.where("_r = _c").select(*sk, "_key", id_col, F.lit(None).cast("long").alias("_tie"), "_tag")
     if parted.isEmpty():
-        return whole
-    # a boundary inside the rows of one id: order them by content; identical rows stay together
+        return whole, None
+    # a boundary inside the rows of one id: order them by content
     sid = F.col(id_col)
     at = parted.select(*sk, F.col("_key"), "_tag", "_r").withColumnRenamed("_key", "_at")
     rows = keyed.withColumn("_tie", _content(df)).select(*sk, "_key", sid, "_tie").join(at.select(*sk, F.col("_at").alias("_key")).distinct(), on=[*sk, "_key"], how="left_semi")
     ties = rows.groupBy(*sk, "_key", id_col, "_tie").agg(F.count(F.lit(1)).alias("_c"))
     run = F.sum("_c").over(Window.partitionBy(*sk, "_key", id_col).orderBy("_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ties = ties.select(*sk, F.col("_key").alias("_at"), sid.alias("_id"), "_tie", "_c", (run - F.col("_c")).alias("_off"))
-    fine = at.join(ties, on=[*sk, "_at"]).where("_r > _off and _r <= _off + _c")
-    return whole.unionByName(fine.select(*sk, F.col("_at").alias("_key"), F.col("_id").alias(id_col), "_tie", "_tag"))
+    fine = at.join(ties, on=[*sk, "_at"]).where("_r > _off and _r <= _off + _c") \
+        .select(*sk, F.col("_at").alias("_key"), F.col("_id").alias(id_col), "_tie", "_tag", (F.col("_r") - F.col("_off")).alias("_r"), "_c")
+    fine = materialize(fine, "rank-ties")
+    before = F.when((F.col("_r") < F.col("_c")) & (F.col("_tie") > -2**63), F.col("_tie") - 1).otherwise(F.col("_tie"))
+    return (whole.unionByName(fine.select(*sk, "_key", id_col, before.alias("_tie"), "_tag")),
+            fine.where("_r < _c").select(*sk, "_key", "_tie", "_tag", "_r"))
+
+
+def _by_quota(tagged: DataFrame, sk: list[str], inside: DataFrame, out_col: str, cols: list[str]) -> DataFrame:
+    """``tagged`` (with the internal columns _key and _tie) where the rows of the boundaries
+    ``inside`` are counted by their content and made anew: each boundary's tag for its quota of
+    the rows, in the order of their content, and the tag they have here for the rest."""
+    on = [*sk, "_key", "_tie"]
+    inside = materialize(inside, "rank-inside")
+    rest = tagged.join(inside.select(*on).distinct(), on=on, how="left_anti").select(*cols)
+    whole = F.struct(*[F.col(f"`{c}`") for c in cols])
+    equal = tagged.join(inside.select(*on).distinct(), on=on, how="left_semi").groupBy(*on, F.to_json(whole).alias("_json")) \
+        .agg(F.count(F.lit(1)).alias("_c"), F.first(whole).alias("_row"))
+    upto = F.sum("_c").over(Window.partitionBy(*on).orderBy("_json").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = equal.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+    group = Window.partitionBy(*on).orderBy("_r")
+    spans = inside.select(*on, F.coalesce(F.lag("_r").over(group), F.lit(0)).alias("_lo"), F.col("_r").alias("_hi"), "_tag")
+    last = inside.groupBy(*on).agg(F.max("_r").alias("_lo")).select(*on, "_lo", F.lit(2**62).alias("_hi"), F.lit(None).alias("_tag"))
+    pieces = equal.join(spans.withColumn("_inner", F.lit(True)).unionByName(last.withColumn("_inner", F.lit(False))), on=on) \
+        .withColumn("_n", F.least("_to", "_hi") - F.greatest("_from", "_lo")).where("_n > 0")
+    made = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPY_ROWS).cast("bigint"))).alias("_piece")) \
+        .repartition(*on, "_json", "_hi", "_piece") \
+        .withColumn("_i", F.explode(F.sequence(F.col("_piece") * COPY_ROWS + 1, F.least(F.col("_n"), (F.col("_piece") + 1) * COPY_ROWS))))
+    tag = F.when(F.col("_inner"), F.col("_tag")).otherwise(F.col("_row").getField(out_col))
+    made = made.select(*[(tag if c == out_col else F.col("_row").getField(c)).alias(c) for c in cols])
+    return rest.unionByName(made)
 
 
 def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str], targets, out_col: str) -> DataFrame:
@@ -132,8 +169,8 @@ def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str],
     rank; keep every input column). "rank <= n" is one tag; silo cuts are one tag per silo.
 
     NULL ids take part (one key for all). Rows that repeat an id are told apart by a hash of
-    their content; rows identical in every column stay on one side of a boundary, the one of
-    their first copy. The rows themselves are never ranked or shuffled.
+    their content, and rows equal in every column are cut by count, so every boundary holds
+    exactly. The rows themselves are never ranked or shuffled.
     """
     st = list(strata)
     keyed, sk = stratum_keys(df, st)
@@ -142,7 +179,8 @@ def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str],
     wanted = targets(sizes).select(*sk, "_tag", F.least(F.col("_r"), F.col("_size")).cast("bigint").alias("_r"), "_size").where("_r >= 1")
     # several tags can end at the same rank (an empty silo): the smallest one decides
     wanted = wanted.groupBy(*sk, "_r", "_size").agg(F.min("_tag").alias("_tag"))
-    cuts = materialize(_cutoffs(df, keyed, sk, id_col, wanted), "rank-cutoffs")
+    cuts, inside = _cutoffs(df, keyed, sk, id_col, wanted)
+    cuts = materialize(cuts, "rank-cutoffs")
     ties = not cuts.where("_tie is not null").isEmpty()
     # per stratum and leading digits: the boundaries there, in order, and the tag beyond them
     digits = F.substring("_key", 1, _STEP)
@@ -156,8 +194,11 @@ def rank_tag(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str],
     near = F.filter("_at", lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), x["c"].alias("c")) >= me)
     tag = F.coalesce(F.array_min(F.transform(near, lambda x: x["t"])), F.col("_next"))
     # the written table's file size decides: small ones are broadcast, larger ones are a shuffle join
-    return keyed.withColumn("_p", digits).join(table, on=[*sk, "_p"], how="left").withColumn(out_col, tag) \
-        .select(*[c for c in df.columns if c != out_col], out_col)
+    cols = [*[c for c in df.columns if c != out_col], out_col]
+    tagged = keyed.withColumn("_p", digits).join(table, on=[*sk, "_p"], how="left").withColumn(out_col, tag)
+    if inside is None or inside.isEmpty():
+        return tagged.select(*cols)
+    return _by_quota(tagged.withColumn("_tie", _content(df)), sk, inside, out_col, cols)
 
 
 def first_n(df: DataFrame, id_col: str, seed: str | int, strata: Sequence[str], n_of_size) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rampart.functions.attach import with_scalars
-from rampart.functions.scalar import hash_int, hash_unit, unit_of_hex
+from rampart.functions.attach import lookup_join, with_scalars
+from rampart.functions.scalar import hash_unit, unit_of_hex
 from rampart.operators.rank import first_n, hash_rank, rank_tag
 from rampart.session import materialize
 
@@ -186,39 +186,65 @@ def oversample_weights(df: DataFrame, silo_col: str = "silo_id", label_id: str =
     return c.withColumn("target", t).withColumn("weight", F.col("target") / F.col("cnt"))
 
 
+#: expected copies of a row from which a normal draw stands for the Poisson one (fixed value)
+_NORMAL_FROM = 32.0
+
+
+def _poisson_draw(id_col: str, seed: str) -> Column:
+    """Hash-seeded Poisson number with mean ``_rate`` (its cumulative terms are in ``_cdf``)."""
+    u = F.coalesce(hash_unit(id_col, f"{seed}:k"), F.lit(0.5))
+    v = F.coalesce(hash_unit(id_col, f"{seed}:z"), F.lit(0.25))
+    z = F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-18)))) * F.cos(2.0 * np.pi * v)
+    large = F.greatest(F.lit(0.0), F.floor(F.col("_rate") + F.sqrt("_rate") * z + 0.5))
+    small = F.size(F.filter("_cdf", lambda t: t <= u))
+    return F.when(F.col("_rate") < _NORMAL_FROM, small).otherwise(large).cast("bigint")
+
+
+def _poisson_terms(rate: Column) -> Column:
+    """Cumulative Poisson probabilities of 0 .. 99."""
+    start = F.exp(-rate)
+    step = lambda a, i: F.struct((a["p"] * rate / i).alias("p"), (a["s"] + a["p"] * rate / i).alias("s"),
+                                 F.concat(a["c"], F.array(a["s"] + a["p"] * rate / i)).alias("c"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(99)), F.struct(start.alias("p"), start.alias("s"), F.array(start).alias("c")), step, lambda a: a["c"])
+
+
 def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", label_id: str = "label_id",
                       seed: str | int = "42:over", chunk: int = 65536) -> DataFrame:
     """Materialised oversampling: each local class raised to the silo's largest class count.
 
-    Originals are kept (``copy = 0``); extras are drawn with replacement by hash. Ranks and
-    draws run over narrow ``(id, silo, class)`` keys: picks are generated in chunks spread over
-    tasks and counted per source row before the shuffle. A row picked k times is cut into
-    pieces of at most ``chunk`` copies before it meets the wide rows, so its copies are made
-    by several tasks; ``copy`` numbers the copies of one source row 1..k.
+    Originals are kept (``copy = 0``); E extras are drawn with replacement. Every row of a class
+    decides by the hash of its id how many copies it offers, a Poisson number whose mean is a
+    little above its share of E; of all copies offered, the E first in hash order stay
+    (``rank_tag``). A uniform choice of E among independent Poisson offers is a multinomial
+    draw, so no row needs to know any other: the rows are not ranked, joined on an id or shuffled,
+    and ids may be NULL or repeated (rows that share an id offer alike; rows equal in every
+    column are counted). Should a class offer fewer than E copies, every row offers as many more
+    as that takes. ``copy`` numbers a row's offers from 1, those that do not stay leave gaps.
+    A row that offers more than ``chunk`` copies is dealt out in pieces first, so its copies are
+    made by several tasks. Rows without a silo or class are kept as they are.
     """
-    keys = df.select(id_col, silo_col, label_id)
-    # the ranked keys feed the sizes and the join-back: written once
-    ranked = materialize(hash_rank(keys, id_col, seed, [silo_col, label_id], size_col="_cnt"), "oversample-ranked")
-    sizes = ranked.groupBy(silo_col, label_id).agg(F.max("_cnt").alias("cnt"))
-    target = F.max("cnt").over(Window.partitionBy(silo_col))
-    need = sizes.withColumn("target", target).where(F.col("target") > F.col("cnt")).select(
-        silo_col, label_id, "cnt", (F.col("target") - F.col("cnt")).alias("_extra"))
-    chunks = need.select(
-        "*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_extra") - 1) / chunk).cast("bigint"))).alias("_chunk"))
-    chunks = chunks.repartition(silo_col, label_id, "_chunk")
-    picks = chunks.select(
-        silo_col, label_id, "cnt",
-        F.explode(F.sequence(F.col("_chunk") * chunk + 1,
-                             F.least(F.col("_extra"), (F.col("_chunk") + 1) * chunk))).alias("copy"))
-    key = F.concat_ws(":", F.col(silo_col).cast("string"), F.col(label_id).cast("string"),
-                      F.col("copy").cast("string"), F.lit(str(seed)))
-    pick = (hash_int(key, F.col("cnt")) + 1).alias("rank")
-    per_row = picks.select(silo_col, label_id, pick).groupBy(silo_col, label_id, "rank").agg(
-        F.count(F.lit(1)).alias("_k"))
-    picked = per_row.join(ranked.select(silo_col, label_id, "rank", id_col), on=[silo_col, label_id, "rank"],
-                          how="inner").select(id_col, "_k")
-    pieces = picked.select(id_col, "_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_k") - 1) / chunk).cast("bigint"))).alias("_piece"))
-    extras = df.join(pieces, on=id_col, how="inner").select(
-        "*", F.explode(F.sequence(F.col("_piece") * chunk + 1, F.least(F.col("_k"), (F.col("_piece") + 1) * chunk))).alias("copy")).drop("_k", "_piece")
-    originals = df.withColumn("copy", F.lit(0).cast("bigint"))
-    return originals.unionByName(extras)
+    strata, seed = [silo_col, label_id], str(seed)
+    classed = df.where(F.col(silo_col).isNotNull() & F.col(label_id).isNotNull())
+    sizes = classed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_cnt"))
+    extra = F.max("_cnt").over(Window.partitionBy(silo_col)) - F.col("_cnt")
+    rate = (F.col("_extra") + 6.0 * F.sqrt(F.col("_extra").cast("double")) + 20.0) / F.col("_cnt")
+    need = sizes.withColumn("_extra", extra).where("_extra > 0").withColumn("_rate", rate) \
+        .withColumn("_cdf", F.when(F.col("_rate") < _NORMAL_FROM, _poisson_terms(F.col("_rate"))))
+    need = materialize(need, "oversample-need")
+    offered = lookup_join(classed, need, strata, how="inner").groupBy(*strata).agg(F.sum(_poisson_draw(id_col, seed)).alias("_all"))
+    short = F.greatest(F.lit(0), F.col("_extra") - F.col("_all"))
+    need = materialize(need.join(offered, strata).withColumn("_more", F.ceil(short / F.col("_cnt"))), "oversample-need")
+
+    rows = lookup_join(classed, need.select(*strata, "_rate", "_cdf", "_more"), strata, how="inner") \
+        .withColumn("_k", _poisson_draw(id_col, seed) + F.col("_more")).drop("_rate", "_cdf", "_more").where("_k > 0")
+    few = rows.where(F.col("_k") <= chunk).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k"))))
+    piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_k") - 1) / chunk).cast("bigint")))
+    many = rows.where(F.col("_k") > chunk).withColumn("_piece", piece).repartition(*strata, id_col, "_piece") \
+        .withColumn("copy", F.explode(F.sequence(F.col("_piece") * chunk + 1, F.least(F.col("_k"), (F.col("_piece") + 1) * chunk)))).drop("_piece")
+    offers = few.unionByName(many).drop("_k").withColumn("_pick", F.concat_ws("#", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
+
+    def targets(sizes):
+        return sizes.join(need.select(*strata, "_extra"), strata).select(sizes["*"], F.lit(0).alias("_tag"), F.col("_extra").alias("_r"))
+
+    stay = rank_tag(offers, "_pick", f"{seed}:keep", strata, targets, "_stays").where(F.col("_stays").isNotNull()).drop("_stays", "_pick")
+    return df.withColumn("copy", F.lit(0).cast("bigint")).unionByName(stay)

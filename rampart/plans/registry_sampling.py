@@ -49,6 +49,48 @@ def q_uniform(spark, sf):
     return S.uniform_sample(T.flows(spark, sf), "row_id", 1000, SEED).select("row_id")
 
 
+def equal_rows(spark, sf):
+    """Rows of three columns of few values: most are equal to many others."""
+    d = encoded_flows(spark, sf).select((F.col("row_id") % 7).alias("id"), "label_id", F.lit(0).alias("one"))
+    return d.withColumn("id", F.when(F.col("id") > 0, F.col("id")))  # a seventh has no id
+
+
+def q_equal_uniform(spark, sf):
+    """How many of the equal rows a fixed-size sample keeps: exactly as many as asked."""
+    return S.uniform_sample(equal_rows(spark, sf), "id", 1003, SEED).agg(F.count("*").alias("n"))
+
+
+def q_equal_iid(spark, sf):
+    """Silo sizes over equal rows: they differ by one at most."""
+    return S.iid_partition(equal_rows(spark, sf), "id", N_SILOS, SEED).groupBy("silo_id").agg(F.count("*").alias("n"))
+
+
+def q_equal_undersample(spark, sf):
+    u = S.undersample_benign(equal_rows(spark, sf), "id", ratio=0.37, seed=SEED)
+    return u.groupBy("label_id").agg(F.count("*").alias("n"))
+
+
+def q_equal_val_split(spark, sf):
+    d = S.dirichlet_partition(equal_rows(spark, sf), "id", proportions(), seed=SEED)
+    return S.silo_validation_split(d, "id", seed=f"{SEED}:val").groupBy("silo_id", "part").agg(F.count("*").alias("n"))
+
+
+def _oversampled_counts(rows, id_col):
+    d = S.dirichlet_partition(rows, id_col, proportions(), seed=SEED)
+    o = S.random_oversample(d, id_col, seed=f"{SEED}:over")
+    return o.groupBy("silo_id", "label_id").agg(F.count("*").alias("n"), F.count_if(F.col("copy") == 0).alias("originals"))
+
+
+def q_oversample_repeated(spark, sf):
+    """Ids that 50 rows share."""
+    return _oversampled_counts(encoded_flows(spark, sf).withColumn("id", F.floor(F.col("row_id") / 50)), "id")
+
+
+def q_oversample_null(spark, sf):
+    """A third of the rows has no id, and equal rows abound."""
+    return _oversampled_counts(equal_rows(spark, sf).withColumn("id", F.when(F.col("id") > 2, F.col("id"))), "id")
+
+
 def q_uniform_repeated(spark, sf):
     """Ids that 50 rows share: 20 whole ids make the sample."""
     d = T.flows(spark, sf).withColumn("id", F.floor(F.col("row_id") / 50))
@@ -109,6 +151,12 @@ QUERIES = {
     "silo_validation_split": q_val_split,
     "silo_oversample_weights": q_over_weights,
     "silo_oversample": q_oversample,
+    "silo_oversample_repeated_ids": q_oversample_repeated,
+    "silo_oversample_null_ids": q_oversample_null,
+    "sampling_uniform_equal_rows": q_equal_uniform,
+    "sampling_undersample_equal_rows": q_equal_undersample,
+    "silo_iid_equal_rows": q_equal_iid,
+    "silo_validation_equal_rows": q_equal_val_split,
 }
 
 
@@ -148,6 +196,36 @@ JOIN cuts c ON r.label_id = c.label_id
  AND r.rk > CASE WHEN c.silo_id = 0 THEN 0 ELSE floor(c.cum_lo * r.n) END
  AND r.rk <= CASE WHEN c.silo_id = c.last_silo THEN r.n ELSE floor(c.cum_hi * r.n) END""")
 
+# how many rows of a class each silo gets needs no id: classes are cut at floor(share * n)
+_CUT = ("cut", """
+SELECT c.silo_id, c.label_id
+FROM (SELECT c.silo_id, n.label_id, CAST(CASE WHEN c.silo_id = c.last_silo THEN n ELSE floor(c.cum_hi * n) END AS BIGINT)
+        - CAST(CASE WHEN c.silo_id = 0 THEN 0 ELSE floor(c.cum_lo * n) END AS BIGINT) AS k
+      FROM (SELECT label_id, count(*) AS n FROM fl GROUP BY label_id) n JOIN cuts c USING (label_id)) c,
+     unnest(range(c.k)) u""")
+
+
+def _over_sql(src: str, id_col: str) -> list[tuple[str, str]]:
+    """Poisson offers of every row and the place of each in its class's hash order."""
+    over = f"{SEED}:over"
+    u, v = unit_of(key(id_col, f"{over}:k")), unit_of(key(id_col, f"{over}:z"))
+    return [
+        ("need", f"""SELECT *, (extra + 6.0e0 * sqrt(CAST(extra AS DOUBLE)) + 20.0e0) / cnt AS rate FROM (
+  SELECT silo_id, label_id, cnt, max(cnt) OVER (PARTITION BY silo_id) - cnt AS extra
+  FROM (SELECT silo_id, label_id, count(*) AS cnt FROM {src} GROUP BY 1, 2) a) b WHERE extra > 0"""),
+        ("terms", """SELECT silo_id, label_id, i, sum(exp(-rate + i * ln(rate) - lgamma(i + 1.0e0))) OVER (PARTITION BY silo_id, label_id ORDER BY i) AS cdf
+FROM need, (SELECT unnest(range(100)) AS i) r WHERE rate < 32"""),
+        ("draws", f"""SELECT d.silo_id, d.label_id, d.{id_col}, n.cnt, n.extra, CAST(CASE
+    WHEN n.rate < 32 THEN (SELECT count(*) FROM terms t WHERE t.silo_id = d.silo_id AND t.label_id = d.label_id AND t.cdf <= {u.replace(id_col, 'd.' + id_col)})
+    ELSE greatest(0.0e0, floor(n.rate + sqrt(n.rate) * sqrt(-2.0e0 * ln(greatest({u.replace(id_col, 'd.' + id_col)}, 1e-18))) * cos(2.0e0 * pi() * {v.replace(id_col, 'd.' + id_col)}) + 0.5e0))
+  END AS BIGINT) AS k FROM {src} d JOIN need n USING (silo_id, label_id)"""),
+        ("offers", f"""SELECT silo_id, label_id, {id_col}, extra, unnest(generate_series(1, k + more)) AS copy FROM (
+  SELECT *, CAST(ceil(greatest(0, extra - sum(k) OVER (PARTITION BY silo_id, label_id)) / cnt) AS BIGINT) AS more FROM draws) x"""),
+        ("kept", f"""SELECT *, row_number() OVER (PARTITION BY silo_id, label_id
+  ORDER BY md5({id_col} || '#' || copy || ':{over}:keep'), {id_col} || '#' || copy) AS rk FROM offers"""),
+    ]
+
+
 _ENC = [LABEL_MAP, FLOWS_ENC]
 
 ORACLE = {
@@ -195,19 +273,23 @@ SELECT silo_id, label_id, cnt, target, round(CAST(target AS DOUBLE) / cnt, 6) AS
 FROM (SELECT silo_id, label_id, count(*) AS cnt, max(count(*)) OVER (PARTITION BY silo_id) AS target
       FROM dir GROUP BY silo_id, label_id) c""", _ENC + [_cuts_sql(), _DIR]),
     "silo_oversample": with_fixtures("flows", """
-SELECT silo_id, label_id, row_id, CAST(0 AS BIGINT) AS copy FROM rk
+SELECT silo_id, label_id, row_id, CAST(0 AS BIGINT) AS copy FROM dir
 UNION ALL
-SELECT pk.silo_id, pk.label_id, rk.row_id, CAST(unnest(generate_series(1, pk.k)) AS BIGINT) AS copy
-FROM pk JOIN rk USING (silo_id, label_id, rank)""",
-                                     _ENC + [_cuts_sql(), _DIR, (
-                                         "rk", f"SELECT *, {_rank_sql('dir', f'{SEED}:over', 'silo_id, label_id')} AS rank, "
-                                               "count(*) OVER (PARTITION BY silo_id, label_id) AS cnt FROM dir"), (
-                                         "need", "SELECT silo_id, label_id, cnt, max(cnt) OVER (PARTITION BY silo_id) - cnt AS extra "
-                                                 "FROM (SELECT DISTINCT silo_id, label_id, cnt FROM rk) d"), (
-                                         "picks", "SELECT silo_id, label_id, cnt, unnest(generate_series(1, extra)) AS copy "
-                                                  "FROM need WHERE extra > 0"), (
-                                         "pk", "SELECT silo_id, label_id, rank, count(*) AS k FROM (SELECT silo_id, label_id, "
-                                               "(CAST(('0x' || substr(md5(concat_ws(':', "
-                                               f"silo_id, label_id, copy, '{SEED}:over')), 1, 15)) AS BIGINT) % cnt) + 1 AS rank "
-                                               "FROM picks) x GROUP BY 1, 2, 3")]),
+SELECT silo_id, label_id, row_id, copy FROM kept WHERE rk <= extra""", _ENC + [_cuts_sql(), _DIR, *_over_sql("dir", "row_id")]),
+    # every class of a silo has the count of its largest, whatever the ids
+    **{f"silo_oversample_{k}_ids": with_fixtures("flows", """
+SELECT silo_id, label_id, max(n) OVER (PARTITION BY silo_id) AS n, n AS originals
+FROM (SELECT silo_id, label_id, count(*) AS n FROM cut GROUP BY 1, 2) c""", _ENC + [_cuts_sql(), _CUT]) for k in ("repeated", "null")},
+    "sampling_uniform_equal_rows": with_fixtures("flows", "SELECT least(1003, count(*)) AS n FROM flows"),
+    "sampling_undersample_equal_rows": with_fixtures("flows", """
+SELECT label_id, CASE WHEN label_id = 0 THEN least(n, CAST(floor(0.37e0 * (sum(n) FILTER (WHERE label_id <> 0) OVER ())) AS BIGINT)) ELSE n END AS n
+FROM (SELECT label_id, count(*) AS n FROM fl GROUP BY label_id) c""", _ENC),
+    "silo_iid_equal_rows": with_fixtures("flows", f"""
+SELECT CAST(s AS INTEGER) AS silo_id, n // {N_SILOS} + CASE WHEN s < n % {N_SILOS} THEN 1 ELSE 0 END AS n
+FROM (SELECT count(*) AS n FROM flows) c, (SELECT unnest(range({N_SILOS})) AS s) r"""),
+    "silo_validation_equal_rows": with_fixtures("flows", """
+SELECT silo_id, part, CAST(CASE WHEN part = 'val' THEN v ELSE n - v END AS BIGINT) AS n
+FROM (SELECT silo_id, n, greatest(1, floor(n * 0.2e0)) AS v FROM (SELECT silo_id, count(*) AS n FROM cut GROUP BY 1) c) s,
+     (VALUES ('val'), ('train')) p(part)
+WHERE CASE WHEN part = 'val' THEN v ELSE n - v END > 0""", _ENC + [_cuts_sql(), _CUT]),
 }

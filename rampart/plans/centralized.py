@@ -1,4 +1,4 @@
-"""Centralised baselines: logistic alpha sweep over one scan, MLlib forest and boosted trees,
+"""Centralised baselines: logistic alpha sweep over one scan, random forest and boosted trees,
 and the one-shot class-aligned average of local models."""
 
 from __future__ import annotations
@@ -7,15 +7,14 @@ import time
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.functions.attach import lookup_join, with_scalars
+from rampart.functions.attach import with_scalars
 from rampart.operators import features as FE
 from rampart.operators import metrics as M
 from rampart.operators import sampling as S
+from rampart.operators import trees as TR
 from rampart.operators.model import LinearModel, confusion_of_models, train_local, train_to_convergence
 from rampart.plans.federated import class_weights_of
 from rampart.session import materialize
@@ -84,55 +83,37 @@ def alpha_sweep(train: DataFrame, val: DataFrame, test: DataFrame, n_features: i
     return spark.createDataFrame(rows, schema)
 
 
-def _weighted(train: DataFrame, n_classes: int) -> DataFrame:
-    w = M.balanced_class_weights(train).select("label_id", F.col("weight").alias("w"))
-    return lookup_join(train, w, "label_id", how="inner")
-
-
-def forest_baseline(train: DataFrame, val: DataFrame, test: DataFrame, n_classes: int, num_trees: int = 100,
-                    seed: int = 42, max_depth: int = 10) -> DataFrame:
-    """MLlib random forest with balanced class weights; metrics on validation and test."""
-    spark = train.sparkSession
-    data = _weighted(train, n_classes).select(array_to_vector("features").alias("fv"),
-                                              F.col("label_id").cast("double").alias("y"), "w")
-    t0 = time.perf_counter()
-    model = RandomForestClassifier(featuresCol="fv", labelCol="y", weightCol="w", numTrees=num_trees, seed=seed,
-                                   maxDepth=max_depth).fit(data)
-    fit_s = time.perf_counter() - t0
+def _tree_rows(name: str, spark: SparkSession, fit_s: float, scored: DataFrame) -> DataFrame:
+    """The result rows of one tree model: metrics on validation and test, and the times taken."""
     tp = time.perf_counter()
-    both = _both_sets(val, test, array_to_vector("features").alias("fv"), "label_id")
-    met = _set_metrics(model.transform(both), F.col("label_id"), F.col("prediction").cast("int"))
+    met = _set_metrics(scored, F.col("label_id"), F.col("prediction"))
     predict_s = time.perf_counter() - tp
-    rows = [("Centralized random_forest", split, fit_s, predict_s, *[float(met[split][k]) for k in METRICS])
-            for split in ("validation", "test")]
+    rows = [(name, split, fit_s, predict_s, *[float(met[split][k]) for k in METRICS]) for split in ("validation", "test")]
     return spark.createDataFrame(rows, "model string, split string, train_time_s double, predict_time_s double, "
                                  + ", ".join(f"{k} double" for k in METRICS))
 
 
-def gbt_baseline(train: DataFrame, val: DataFrame, test: DataFrame, n_classes: int, max_iter: int = 20,
-                 seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """MLlib gradient-boosted trees (binned features) on the class labels; metrics on validation and test.
+def forest_baseline(train: DataFrame, val: DataFrame, test: DataFrame, n_features: int, n_classes: int, num_trees: int = 100,
+                    seed: int = 42) -> DataFrame:
+    """Random forest without a depth limit, class weights balanced in every bootstrap
+    (``operators/trees.py``); metrics on validation and test."""
+    t0 = time.perf_counter()
+    edges = TR.bin_edges(train, n_features)
+    forest = TR.fit_forest(TR.binned(train, edges), n_features, n_classes, TR.ForestParams(trees=num_trees, seed=seed))
+    fit_s = time.perf_counter() - t0
+    scored = TR.predict_forest(_both_sets(val, test, "features", "label_id"), forest, edges, n_classes)
+    return _tree_rows("Centralized random_forest", train.sparkSession, fit_s, scored)
+
 
-    MLlib's GBT is binary, so more than two classes train one-vs-rest: one boosted model
-    per class, up to ``parallelism`` of them fitted concurrently (each a distributed job),
-    prediction = class with the highest margin.
-    """
-    spark = train.sparkSession
-    data = train.select(array_to_vector("features").alias("fv"), F.col("label_id").cast("double").alias("y"))
-    gbt = GBTClassifier(featuresCol="fv", labelCol="y", maxIter=max_iter, seed=seed)
-    est = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol="fv", labelCol="y",
-                                               parallelism=max(1, min(parallelism, n_classes)))
+def gbt_baseline(train: DataFrame, val: DataFrame, test: DataFrame, n_features: int, n_classes: int, max_iter: int = 100) -> DataFrame:
+    """Histogram gradient boosting on the softmax loss of all classes (``operators/trees.py``);
+    metrics on validation and test."""
     t0 = time.perf_counter()
-    model = est.fit(data)
+    edges = TR.bin_edges(train, n_features)
+    model = TR.fit_boosted(TR.binned(train, edges), n_features, n_classes, TR.BoostParams(iterations=max_iter))
     fit_s = time.perf_counter() - t0
-    tp = time.perf_counter()
-    both = _both_sets(val, test, array_to_vector("features").alias("fv"), "label_id")
-    met = _set_metrics(model.transform(both), F.col("label_id"), F.col("prediction").cast("int"))
-    predict_s = time.perf_counter() - tp
-    rows = [("Centralized hist_gradient_boosting", split, fit_s, predict_s, *[float(met[split][k]) for k in METRICS])
-            for split in ("validation", "test")]
-    return spark.createDataFrame(rows, "model string, split string, train_time_s double, predict_time_s double, "
-                                 + ", ".join(f"{k} double" for k in METRICS))
+    scored = TR.predict_boosted(_both_sets(val, test, "features", "label_id"), model, edges)
+    return _tree_rows("Centralized hist_gradient_boosting", train.sparkSession, fit_s, scored)
 
 
 def class_aligned_average(local: DataFrame, sizes: DataFrame, n_classes: int, n_features: int,

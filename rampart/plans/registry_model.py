@@ -91,12 +91,12 @@ def q_sweep(spark, sf):
 
 def q_forest(spark, sf):
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
-    return CZ.forest_baseline(tr, va, te, nc, num_trees=100, max_depth=30)  # MLlib's deepest
+    return CZ.forest_baseline(tr, va, te, nf, nc, num_trees=100)
 
 
 def q_gbt(spark, sf):
     tr, va, te, nf, nc = CZ.flow_training_sets(spark, sf)
-    return CZ.gbt_baseline(tr, va, te, nc, max_iter=100)
+    return CZ.gbt_baseline(tr, va, te, nf, nc, max_iter=100)
 
 
 def q_aligned_average(spark, sf):

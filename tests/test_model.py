@@ -136,4 +136,4 @@ def test_registered_training_is_full_length(monkeypatch):
         RX.q_one_shot(None, None)
     except StopIteration:
         pass
-    assert got == {"rounds": [20, 20], "forest": {"num_trees": 100, "max_depth": 30}, "gbt": {"max_iter": 100}, "one_shot": {}}
+    assert got == {"rounds": [20, 20], "forest": {"num_trees": 100}, "gbt": {"max_iter": 100}, "one_shot": {}}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rampart.functions.attach import expand_values, scalar_row
@@ -43,14 +43,37 @@ def repair_negative(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: non_negative(c) for c in cols})
 
 
+def _defects(cols: Sequence[str]) -> list[Column]:
+    """Rows, and missing, infinite and negative cells over all of ``cols``, as aggregates."""
+    def cells(test) -> Column:
+        return F.coalesce(F.sum(sum((F.coalesce(test(c), F.lit(False)).cast("long") for c in cols), F.lit(0).cast("long"))), F.lit(0).cast("long"))
+
+    return [F.count(F.lit(1)).alias("n_rows"), cells(lambda c: F.col(c).isNull() | F.isnan(c)).alias("n_missing"),
+            cells(lambda c: F.abs(F.col(c)) == F.lit(float("inf"))).alias("n_infinite"), cells(lambda c: F.col(c) < 0).alias("n_negative")]
+
+
+def cleaned_with_counts(df: DataFrame, cols: Sequence[str], clean: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    """``clean(df)``, written, and the rows and defective cells of ``cols`` before and after it
+    (``{"before": {n_rows, n_missing, n_infinite, n_negative}, "after": ..}``), observed by the job
+    that writes: one scan."""
+    before, after = Observation("before"), Observation("after")
+    out = materialize(clean(df.observe(before, *_defects(cols))).observe(after, *_defects(cols)), "cleaned")
+    return out, {"before": before.get, "after": after.get}
+
+
 def zero_nonfinite_with_count(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Non-finite cells -> 0 on every column, plus a one-row count of replaced cells.
+    """Non-finite cells -> 0 on every column, plus one row with the cells replaced and the rows
+    used. The counts come from the scan that writes the cleaned rows."""
+    out, counts = cleaned_with_counts(df, cols, lambda d: lenient_clean(d, cols))
+    b = counts["before"]
+    return out, df.sparkSession.createDataFrame([(b["n_missing"] + b["n_infinite"], counts["after"]["n_rows"])], "n_replaced long, rows_used long")
 
-    The count is a separate aggregate over the same input (one extra scan, no driver loop).
-    """
-    n_bad = sum((~is_finite(c)).cast("long") for c in cols) if cols else F.lit(0)
-    count = df.agg(F.sum(n_bad).alias("n_replaced"))
-    return lenient_clean(df, cols), count
+
+def defect_totals(df: DataFrame, cols: Sequence[str], clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Two rows (stage before, after): rows and missing, infinite and negative cells over ``cols``."""
+    _, counts = cleaned_with_counts(df, cols, clean)
+    names = ("n_rows", "n_missing", "n_infinite", "n_negative")
+    return df.sparkSession.createDataFrame([(k, *(counts[k][n] for n in names)) for k in ("before", "after")], "stage string, " + ", ".join(f"{n} long" for n in names))
 
 
 def inspect_rows(df: DataFrame, predicate, cols: Sequence[str], n: int = 20, order_by: str = "row_id") -> DataFrame:
@@ -76,16 +99,23 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
-def cleaning_funnel(df: DataFrame, cols: Sequence[str], dedup_cols: Sequence[str]) -> DataFrame:
-    """Row counts through the cleaning steps: raw, with a non-finite cell, after dropna, after dedup."""
+def cleaning_funnel(df: DataFrame, cols: Sequence[str], dedup_cols: Sequence[str], label: str | None = None,
+                    sample_frac: float = 1.0, min_rows: int = 20) -> DataFrame:
+    """Row counts through the cleaning steps: raw, with a non-finite cell, after dropna, after dedup,
+    and, with ``label`` (one of ``dedup_cols``), the rows that the stratified sample uses."""
     bad = F.lit(False)
     for c in cols:
         bad = bad | ~is_finite(c)
     raw = df.agg(F.count(F.lit(1)).alias("rows_raw"), F.count_if(bad).alias("rows_bad"))
     after = drop_incomplete(strict_clean(df, cols), cols)
     one = after.groupBy(*dedup_cols).agg(F.count(F.lit(1)).alias("_n"))
-    kept = one.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_after_dropna"), F.count(F.lit(1)).alias("rows_dedup"))
-    return scalar_row(raw, kept)
+    if label is None:
+        kept = one.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_after_dropna"), F.count(F.lit(1)).alias("rows_dedup"))
+        return scalar_row(raw, kept)
+    per = one.groupBy(label).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    used = F.col("_d") if sample_frac >= 1 else F.least(F.col("_d"), F.greatest(F.bround(F.col("_d") * sample_frac, 0), F.lit(min_rows))).cast("long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    return scalar_row(raw, per.agg(total("_n").alias("rows_after_dropna"), total("_d").alias("rows_dedup"), total(used).alias("rows_used")))
 
 
 def missing_infinite_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -170,6 +170,18 @@ def label_correlation_wide(df: DataFrame, n_features: int, y: str = "y_bin", fea
     return row.selectExpr(f"stack({n_features}, {parts}) AS (pos, abs_corr)")
 
 
+def top_correlation_matrix(df: DataFrame, n_features: int, k: int = 25, y: str = "y_bin", features: str = "features") -> DataFrame:
+    """``(i, j, r)`` over the ``k`` features that correlate most with ``y``, i and j their positions
+    (two passes: the ranking, then k columns alone). Constant features have no rank."""
+    ranked = top_k(label_correlation_wide(df, n_features, y, features).where("abs_corr is not null"), k).orderBy("rank")
+    at = [r["pos"] for r in ranked.collect()]  # at most k positions
+    if not at:
+        return df.sparkSession.createDataFrame([], "i int, j int, r double")
+    m = correlation_matrix(df.select(F.array(*[F.element_at(features, p + 1) for p in at]).alias(features)), features)
+    where = F.array(*[F.lit(p) for p in at])
+    return m.select(F.element_at(where, F.col("i") + 1).alias("i"), F.element_at(where, F.col("j") + 1).alias("j"), "r")
+
+
 def top_k(scores: DataFrame, k: int, score: str = "abs_corr", tie: str = "pos") -> DataFrame:
     """Top-k rows by score (ties: lower ``tie`` first) with their 1-based rank."""
     w = Window.orderBy(F.desc(score), tie)

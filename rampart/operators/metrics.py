@@ -110,6 +110,18 @@ def log_loss(df: DataFrame, p_true: str = "p_true", keys: Sequence[str] | None =
     return df.groupBy(*(keys or [])).agg(F.avg(-F.log(p)).alias("loss"))
 
 
+def silo_validation(df: DataFrame, silo: str = "silo_id", p_true: str = "p_true", y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    """What each silo reports of its validation rows, and their mean weighted by rows (silo NULL):
+    ``(silo, num_examples, val_loss, val_accuracy, val_f1, val_fpr)``."""
+    own = log_loss(df, p_true, [silo]).join(df.groupBy(silo).agg(F.count(F.lit(1)).alias("num_examples")), silo) \
+        .join(detection_metrics(df, y_true, y_pred, [silo]), silo)
+    named = {"val_loss": "loss", "val_accuracy": "accuracy", "val_f1": "f1", "val_fpr": "fpr"}
+    out = own.select(silo, "num_examples", *[F.col(v).alias(k) for k, v in named.items()])
+    w = F.col("num_examples")
+    mean = out.agg(F.sum(w).alias("num_examples"), *[_div(F.sum(F.col(k) * w), F.sum(F.when(F.col(k).isNotNull(), w))).alias(k) for k in named])
+    return out.unionByName(mean.select(F.lit(None).cast(out.schema[silo].dataType).alias(silo), *mean.columns))
+
+
 def balanced_class_weights(df: DataFrame, label: str = "label_id", keys: Sequence[str] | None = None) -> DataFrame:
     """``n / (k * count_c)`` for classes present (k = number of present classes)."""
     ks = list(keys or [])

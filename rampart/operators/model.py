@@ -16,12 +16,14 @@ coefficients only. Probabilities: per-class sigmoid, normalised over classes (bi
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -135,6 +137,9 @@ def _batch_matrix(col: pa.ChunkedArray | pa.Array, n_features: int) -> np.ndarra
     return vals.reshape(len(arr), n_features)
 
 
+_PARTIAL = "grp long, salt long, n double, loss_sum double, grad array<double>"
+
+
 def _partials(models: dict[int, LinearModel], n_features: int, class_weights: np.ndarray | None,
               shared: bool, features: str, label: str, true_label: str, weight: str | None, group: str):
     """Per-partition function: one (group, n, loss_sum, grad) row per model group seen."""
@@ -185,6 +190,7 @@ def _partials(models: dict[int, LinearModel], n_features: int, class_weights: np
             ks = list(acc)
             yield pa.RecordBatch.from_pydict({
                 "grp": pa.array(ks, pa.int64()),
+                "salt": pa.array([math.isqrt(TaskContext.get().partitionId())] * len(ks), pa.int64()),
                 "n": pa.array([acc[k][0] for k in ks], pa.float64()),
                 "loss_sum": pa.array([acc[k][1] for k in ks], pa.float64()),
                 "grad": pa.array([acc[k][2].tolist() for k in ks], pa.list_(pa.float64())),
@@ -200,17 +206,78 @@ def gradients(df: DataFrame, models: dict[int, LinearModel], n_features: int,
     """One distributed pass: per model group ``(weighted rows, loss sum, gradient sum)``.
 
     ``shared=True`` makes every row count for every model (e.g. an alpha sweep over one scan);
-    otherwise row ``group`` selects the model (one per silo).
+    otherwise row ``group`` selects the model (one per silo). A group's partials are added in two
+    levels: task p's goes to sum number floor(sqrt(p)) first, so no sum takes more than about
+    twice the square root of the number of tasks.
     """
     cols = [features, label, true_label] + ([weight] if weight else []) + ([] if shared else [group])
     fn = _partials(models, n_features, class_weights, shared, features, label, true_label, weight, group)
-    parts = df.select(*dict.fromkeys(cols)).mapInArrow(fn, "grp long, n double, loss_sum double, grad array<double>")
-    agg = parts.groupBy("grp").agg(
-        F.sum("n").alias("n"), F.sum("loss_sum").alias("loss_sum"),
-        vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad"))
+    return _added_up(df.select(*dict.fromkeys(cols)).mapInArrow(fn, _PARTIAL))
+
+
+def _added_up(parts: DataFrame) -> dict[int, tuple[float, float, np.ndarray]]:
+    """The sums of all tasks' partials by group, in two levels."""
+    def added(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("loss_sum").alias("loss_sum"),
+                                       vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad"))
+
+    agg = added(added(parts, "grp", "salt"), "grp")
     return {int(r["grp"]): (float(r["n"]), float(r["loss_sum"]), np.asarray(r["grad"])) for r in agg.collect()}
 
 
+def evaluated_gradients(df: DataFrame, model: LinearModel, groups: Sequence[int], n_features: int, sets: Sequence[str],
+                        class_weights: np.ndarray | None = None, weight: str | None = None, part: str = "part",
+                        train: str = "train", features: str = "features", label: str = "train_label",
+                        true_label: str = "label_id", group: str = "silo_id"):
+    """One pass over training and evaluation rows (told apart by ``part``): the gradients of every
+    group at ``model`` as ``gradients`` gives them, and for each of ``sets`` the model's confusion
+    cells ``[(y, p, count), ..]`` and mean log-loss (as ``score`` and the probabilities give them)."""
+    c = model.n_classes
+    cols = [features, label, true_label, *([weight] if weight else []), group, part]
+    grad_of = _partials({k: model for k in groups}, n_features, class_weights, False, features, label, true_label, weight, group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((len(sets), c * c))
+        loss = np.zeros(len(sets))
+
+        def training() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                where = b.column(part).to_numpy(zero_copy_only=False)
+                for i, name in enumerate(sets):
+                    some = b.filter(pa.array(where == name))
+                    if not some.num_rows:
+                        continue
+                    z = _batch_matrix(some.column(features), n_features) @ model.coef.T + model.intercept
+                    s = 1.0 / (1.0 + np.exp(-z))
+                    y = some.column(true_label).to_numpy(zero_copy_only=False).astype(np.int64)
+                    if model.binary:
+                        prob, best = np.concatenate([1 - s, s], axis=1), (z[:, 0] > 0).astype(np.int64)
+                    else:
+                        tot = s.sum(axis=1, keepdims=True)
+                        prob = np.where(tot > 0, s / np.where(tot > 0, tot, 1.0), 1.0 / c)
+                        best = prob.argmax(axis=1)
+                    cells[i] += np.bincount(y * c + best, minlength=c * c)
+                    loss[i] -= float(np.log(np.clip(prob[np.arange(len(y)), y], EPS, 1 - EPS)).sum())
+                yield b.filter(pa.array(where == train))
+
+        yield from grad_of(training())
+        salt = math.isqrt(TaskContext.get().partitionId())
+        seen = [i for i in range(len(sets)) if cells[i].any()]
+        if seen:  # evaluation sets are groups below zero
+            yield pa.RecordBatch.from_pydict({
+                "grp": pa.array([-1 - i for i in seen], pa.int64()), "salt": pa.array([salt] * len(seen), pa.int64()),
+                "n": pa.array([float(cells[i].sum()) for i in seen]), "loss_sum": pa.array([float(loss[i]) for i in seen]),
+                "grad": pa.array([cells[i].tolist() for i in seen], pa.list_(pa.float64()))})
+
+    got = _added_up(df.select(*dict.fromkeys(cols)).mapInArrow(run, _PARTIAL))
+    told = {}
+    for i, name in enumerate(sets):
+        if -1 - i in got:
+            n, nll, grad = got[-1 - i]
+            told[name] = ([(k // c, k % c, int(v)) for k, v in enumerate(grad) if v], nll / n)
+    return {k: v for k, v in got.items() if k >= 0}, told
+
+
 def sgd_step(model: LinearModel, n: float, grad: np.ndarray, lr: float, alpha: float) -> LinearModel:
     """``w <- w - lr * (grad / n + alpha * w)`` on coefficients; intercept without penalty."""
     if n <= 0:
@@ -227,15 +294,16 @@ def learning_rate(eta0: float, t: int, power: float = 0.5) -> float:
 
 
 def train_local(df: DataFrame, models: dict[int, LinearModel], n_features: int, steps: int, eta0: float,
-                alpha: float, **kw) -> tuple[dict[int, LinearModel], dict[int, tuple[float, float]]]:
+                alpha: float, first: dict | None = None, **kw) -> tuple[dict[int, LinearModel], dict[int, tuple[float, float]]]:
     """``steps`` full-batch steps for every group at once (one Spark job per step).
 
     Returns the updated models and per group ``(weighted rows, mean training loss)`` of the
-    last pass (measured on the true labels, before that step's update).
+    last pass (measured on the true labels, before that step's update). ``first``: the first
+    step's gradients, if a pass has already taken them.
     """
     stats: dict[int, tuple[float, float]] = {}
     for t in range(1, max(1, steps) + 1):
-        g = gradients(df, models, n_features, **kw)
+        g = first if t == 1 and first is not None else gradients(df, models, n_features, **kw)
         lr = learning_rate(eta0, t)
         models = {k: (sgd_step(m, g[k][0], g[k][2], lr, alpha) if k in g else m) for k, m in models.items()}
         stats = {k: (v[0], v[1] / v[0] if v[0] else 0.0) for k, v in g.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampart.functions.attach import scalar_row, with_scalars
+from rampart.session import materialize
 
 SPLITS = ("train", "val", "test")
 
@@ -42,18 +43,33 @@ def fingerprint(cols: Sequence[str]) -> list[Column]:
 
 
 def duplicate_vectors(df: DataFrame, feature_cols: Sequence[str], split_col: str = "split",
-                      probe: str = "test", base: str = "train") -> DataFrame:
+                      probe: str = "test", base: str = "train", fingerprints: Sequence[Column] | None = None) -> DataFrame:
     """Rows of ``probe`` whose feature vector also occurs in ``base``: ``(n_probe, n_dup, share)``.
 
-    One pass: rows are reduced to one per 128-bit fingerprint (map-side partial aggregation, so
-    a vector copied into a third of all rows is a single row by the time it is shuffled)
-    holding its count in ``probe`` and whether ``base`` has it.
+    Rows are reduced to one per 128-bit fingerprint (map-side partial aggregation, so a vector
+    copied into a third of all rows is a single row by the time it is shuffled) holding its count
+    in ``probe`` and whether ``base`` has it. Every group carries a witness of equality, the least
+    and largest value and the number of values of each column; the vectors of a fingerprint that
+    the witness refutes are counted by the columns themselves, so the result is exact. NULL equals
+    NULL and NaN equals NaN, as in the fingerprint.
     """
-    fp = df.select(split_col, *fingerprint(feature_cols))
-    one = fp.groupBy("_fp1", "_fp2").agg(F.count_if(F.col(split_col) == probe).alias("_c"),
-                                         F.max(F.coalesce(F.col(split_col) == base, F.lit(False))).alias("_in"))
-    return one.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_probe"),
-                   F.coalesce(F.sum(F.when(F.col("_in"), F.col("_c"))), F.lit(0)).alias("n_dup")).withColumn(
+    cols = list(feature_cols)
+    marks = list(fingerprints) if fingerprints is not None else fingerprint(cols)
+    fp = df.select(split_col, *marks, *[F.col(c) for c in cols])
+    keys = [c for c in fp.columns if c not in (split_col, *cols)]
+    held = [F.count_if(F.col(split_col) == probe).alias("_c"), F.max(F.coalesce(F.col(split_col) == base, F.lit(False))).alias("_in")]
+    rows = F.count(F.lit(1))
+    differ = F.lit(False)
+    for c in cols:
+        some = F.count(F.col(c))
+        differ = differ | ~F.min(c).eqNullSafe(F.max(c)) | ((some != 0) & (some != rows))
+    one = materialize(fp.groupBy(*keys).agg(*held, differ.alias("_differ")), "vector-prints")
+    mixed = one.where("_differ")
+    exact = one.where("not _differ").select("_c", "_in")
+    if not mixed.isEmpty():
+        exact = exact.unionByName(fp.join(mixed.select(*keys), keys, "left_semi").groupBy(*cols).agg(*held).select("_c", "_in"))
+    return exact.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_probe"),
+                     F.coalesce(F.sum(F.when(F.col("_in"), F.col("_c"))), F.lit(0)).alias("n_dup")).withColumn(
         "share", F.coalesce(F.try_divide(F.col("n_dup").cast("double"), F.col("n_probe")), F.lit(0.0)))
 
 

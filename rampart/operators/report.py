@@ -243,6 +243,22 @@ def benchmark_rows(rounds: DataFrame, source: str = "federated", required: Seque
     return shape(fin).unionByName(shape(best))
 
 
+def legacy_rows(results: DataFrame) -> DataFrame:
+    """Rows of the legacy comparison table (``read_results_csv``) in the fixed layout: test metrics
+    without a selection or round."""
+    named = {"Accuracy": "Test Accuracy", "Balanced Accuracy": "Test Balanced Accuracy", "Macro F1": "Test Macro F1", "Weighted F1": "Test Weighted F1"}
+    return results.select("Model", F.lit("legacy").alias("Source"), F.lit("test").alias("Split"), F.lit(None).cast("string").alias("Selection"),
+                          F.lit(None).cast("int").alias("Round"), *[F.col(f"`{v}`").cast("double").alias(k) for k, v in named.items()])
+
+
+def centralized_rows(results: DataFrame, source: str = "checkpoint3") -> DataFrame:
+    """Rows of a centralised run (``alpha_sweep``, ``forest_baseline``, ``gbt_baseline``) in the fixed
+    layout, its split in lower case."""
+    named = {"Accuracy": "accuracy", "Balanced Accuracy": "balanced_accuracy", "Macro F1": "macro_f1", "Weighted F1": "weighted_f1"}
+    return results.select(F.col("model").alias("Model"), F.lit(source).alias("Source"), F.lower("split").alias("Split"), F.lit(None).cast("string").alias("Selection"),
+                          F.lit(None).cast("int").alias("Round"), *[F.col(v).cast("double").alias(k) for k, v in named.items()])
+
+
 def union_benchmarks(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of benchmark sources into the fixed layout; missing columns become NULL."""
     out = frames[0]

@@ -26,6 +26,7 @@ METHODS = ("fedavg", "median", "trimmed_mean", "krum", "multikrum")
 ATTACKS = ("none", "label_flip", "model_poison")
 
 PAIR_BLOCK = 64   # coordinates per packed block in Krum's pairwise distances
+CLIENT_BUCKET = 128   # clients whose pairs one key of Krum's distances may hold
 
 
 def _keys(keys: Sequence[str] | None) -> list[str]:
@@ -100,26 +101,30 @@ def trimmed_mean(updates: DataFrame, trim_ratio: float | str = 0.0,
 
 
 def pairwise_sq_distances(updates: DataFrame, keys: Sequence[str] | None = None,
-                          block: int = PAIR_BLOCK) -> DataFrame:
+                          block: int = PAIR_BLOCK, bucket: int = CLIENT_BUCKET) -> DataFrame:
     """Squared L2 distance between every pair of clients, both directions, self excluded.
 
     Each client's update is packed into blocks of ``block`` coordinates (one
     ``pos -> value`` map per (keys, client, block), bounded by ``block``), so client pairs
-    are formed once per block rather than once per coordinate: n^2/2 x P/block pair rows,
-    an equi-join on (keys, block). Per-block sums of squared differences (>= 0 by
-    construction, no Gram-matrix cancellation) are summed per pair, partially before the
-    shuffle, then mirrored. A coordinate missing on one side is skipped.
+    are formed once per block rather than once per coordinate. Clients are dealt to buckets of
+    about ``bucket``, whose pairs (a, b) with a <= b are the triangle of all pairs: an equi-join
+    on (keys, block, a, b), where no key holds more than about ``bucket`` squared pairs, however
+    many clients there are. Per-block sums of squared differences (>= 0 by construction, no
+    Gram-matrix cancellation) are summed per pair, partially before the shuffle, then
+    mirrored. A coordinate missing on one side is skipped.
     """
     ks = _keys(keys)
     packed = updates.groupBy(*ks, "client_id", F.floor(F.col("pos") / block).alias("_blk")).agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_m"))
-    a = packed.select(*ks, "_blk", F.col("client_id").alias("c1"), F.col("_m").alias("_m1"))
-    b = packed.select(*ks, "_blk", F.col("client_id").alias("c2"), F.col("_m").alias("_m2"))
+    n_buckets = F.ceil(F.col("n_clients") / bucket).cast("int")
+    dealt = _join(packed, client_count(updates, ks), ks).withColumn("_top", n_buckets - 1).withColumn("_own", F.pmod(F.xxhash64("client_id"), n_buckets).cast("int"))
+    a = dealt.select(*ks, "_blk", F.col("_own").alias("_a"), F.explode(F.sequence("_own", "_top")).alias("_b"), F.col("client_id").alias("c1"), F.col("_m").alias("_m1"))
+    b = dealt.select(*ks, "_blk", F.explode(F.sequence(F.lit(0), "_own")).alias("_a"), F.col("_own").alias("_b"), F.col("client_id").alias("c2"), F.col("_m").alias("_m2"))
     sq = F.map_zip_with("_m1", "_m2", lambda _, x, y: F.coalesce((x - y) * (x - y), F.lit(0.0)))
     part = F.aggregate(F.map_values(sq), F.lit(0.0), lambda acc, v: acc + v)
     half = (
-        a.join(b, on=ks + ["_blk"], how="inner")
-        .where(F.col("c1") < F.col("c2"))
+        a.join(b, on=[*ks, "_blk", "_a", "_b"], how="inner")
+        .where((F.col("_a") < F.col("_b")) | (F.col("c1") < F.col("c2")))
         .groupBy(*ks, "c1", "c2")
         .agg(F.sum(part).alias("d"))
     )

@@ -24,8 +24,8 @@ from rampart.functions.attach import lookup_join
 from rampart.operators import metrics as M
 from rampart.operators import robust as R
 from rampart.operators import sampling as S
-from rampart.operators.model import LinearModel, score, train_local, true_class_proba
-from rampart.session import scratch_path
+from rampart.operators.model import LinearModel, evaluated_gradients, score, train_local, true_class_proba
+from rampart.session import materialize, scratch_path
 from rampart.sources import io as IO
 
 
@@ -140,26 +140,41 @@ def evaluate(model: LinearModel, test: DataFrame, val: DataFrame | None) -> dict
     conf = sc.groupBy("_set", F.col("label_id").alias("y"), F.col("prediction").alias("p")).agg(
         F.count(F.lit(1)).alias("cnt"), F.sum(-F.log(p)).alias("nll"))
     rows = conf.collect()                               # <= 2 * C * C rows
-    met: dict[str, dict] = {}
-    loss: dict[str, list[float]] = {}
+    told = {}
     for part in {r["_set"] for r in rows}:
-        cells = [(int(r["y"]), int(r["p"]), int(r["cnt"])) for r in rows if r["_set"] == part]
-        met[part] = M.metrics_from_confusion_rows(cells)
-        loss[part] = [sum(r["nll"] for r in rows if r["_set"] == part), sum(c[2] for c in cells)]
+        mine = [r for r in rows if r["_set"] == part]
+        told[part] = ([(int(r["y"]), int(r["p"]), int(r["cnt"])) for r in mine], sum(r["nll"] for r in mine) / sum(r["cnt"] for r in mine))
+    return _metric_columns(told)
+
+
+def _metric_columns(told: dict[str, tuple[list, float]]) -> dict[str, float]:
+    """Log columns from each set's confusion cells and mean log-loss."""
     out: dict[str, float] = {}
     names = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "precision", "recall", "f1", "fpr")
     for s, prefix in (("test", ""), ("val", "val_")):
-        if s in met:
-            out[f"{prefix}loss"] = loss[s][0] / loss[s][1]
-            out.update({f"{prefix}{k}": float(met[s][k]) for k in names})
+        if s in told:
+            cells, loss = told[s]
+            met = M.metrics_from_confusion_rows(cells)
+            out[f"{prefix}loss"] = loss
+            out.update({f"{prefix}{k}": float(met[k]) for k in names})
     return out
 
 
+def _with_sets(rows: DataFrame, test: DataFrame, val: DataFrame | None) -> DataFrame:
+    """Training rows of the silos and the evaluation rows in one written table, a folder each."""
+    out = rows.where(F.col("part") == "train")
+    for name, df in (("test", test), ("val", val)):
+        if df is not None:
+            out = out.unionByName(df.select("label_id", "features", F.lit(name).alias("part")), allowMissingColumns=True)
+    return materialize(out.select("silo_id", "label_id", "train_label", "w_row", "features", "part"), "round-rows", ["part"])
+
+
 def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: DataFrame | None,
                   n_features: int, n_classes: int, cfg: RunConfig, log_dir: str | None = None) -> DataFrame:
-    """Train one run; returns its round log (round 0 = the zero model). With ``log_dir`` every round
-    is written when it ends (round 0 replaces an earlier log of the same run), so a run that
-    stops leaves the rounds it finished."""
+    """Train one run; returns its round log (round 0 = the zero model). One pass over training,
+    validation and test rows scores the global model and takes the next round's first local
+    gradients. With ``log_dir`` every round is written when it has been scored (round 0 replaces
+    an earlier log of the same run), so a run that stops leaves the rounds it finished."""
     if cfg.aggregation not in R.METHODS:
         raise ValueError(f"unknown rule {cfg.aggregation!r}; known: {', '.join(R.METHODS)}")
     if cfg.attack not in R.ATTACKS:
@@ -169,7 +184,10 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
     if cfg.weight not in ("examples", "raw"):
         raise ValueError(f"weight must be 'examples' or 'raw', got {cfg.weight!r}")
     rows = prepare_silo_rows(train, cfg, n_classes, spark)
-    local_rows = rows.where(F.col("part") == "train")
+    all_rows = _with_sets(rows, test, val)
+    local_rows = all_rows.where(F.col("part") == "train")
+    sets = ["test"] + (["val"] if val is not None else [])
+    weight = "w_row" if "oversample" in cfg.rebalance else None
     # FedAvg weight per silo: post-oversampling examples (the reference) or raw local rows
     raw = ({int(r["silo_id"]): float(r["count"]) for r in local_rows.groupBy("silo_id").count().collect()}
            if cfg.weight == "raw" else None)
@@ -192,11 +210,12 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
             one = spark.createDataFrame([tuple(row.get(f.name) for f in ROUND_SCHEMA.fields)], ROUND_SCHEMA)
             (IO.append_round_log if len(log) > 1 else IO.write_run_log)(one, log_dir)
 
-    record({**info, "round": 0, **evaluate(glob, test, val), "elapsed_s": 0.0})
+    ended: dict = {**info, "round": 0, "elapsed_s": 0.0}  # a round's row, until its model has been scored
     for rnd in range(1, cfg.rounds + 1):
+        first, told = evaluated_gradients(all_rows, glob, silos, n_features, sets, class_weights=cw, weight=weight)
+        record({**ended, **_metric_columns(told), "elapsed_s": time.perf_counter() - t0 if rnd > 1 else 0.0})
         local, stats = train_local(local_rows, {s: glob for s in silos}, n_features, cfg.local_epochs,
-                                   cfg.learning_rate, cfg.model_alpha, class_weights=cw,
-                                   weight="w_row" if "oversample" in cfg.rebalance else None)
+                                   cfg.learning_rate, cfg.model_alpha, first=first, class_weights=cw, weight=weight)
         present = [s for s in silos if s in stats]
         n = len(present)
         n_mal = int(round(mal_frac * cfg.n_silos))
@@ -230,11 +249,11 @@ def run_federated(spark: SparkSession, train: DataFrame, test: DataFrame, val: D
             flat[int(r["pos"])] = float(r["value"])
         glob = LinearModel.from_flat(flat, n_features, n_classes)
         wsum = sum(n_ex[s] for s in present)
-        record({**info, "round": rnd, **evaluate(glob, test, val),
-                    "elapsed_s": time.perf_counter() - t0, "clients": n, "malicious_in_round": sum(1 for s in present if s < n_mal),
+        ended = {**info, "round": rnd, "clients": n, "malicious_in_round": sum(1 for s in present if s < n_mal),
                     "kept_clients": kept, "malicious_kept": mal_kept, "agg_time_s": agg_time,
                     "train_loss": sum(stats[s][1] * n_ex[s] for s in present) / wsum if wsum else 0.0,
-                    "bytes_up": n * n_params * 8, "bytes_down": n * n_params * 8})
+                    "bytes_up": n * n_params * 8, "bytes_down": n * n_params * 8}
+    record({**ended, **evaluate(glob, test, val), "elapsed_s": time.perf_counter() - t0 if cfg.rounds else 0.0})
     return spark.createDataFrame([tuple(r.get(f.name) for f in ROUND_SCHEMA.fields) for r in log], ROUND_SCHEMA)
 
 

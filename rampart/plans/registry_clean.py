@@ -40,6 +40,26 @@ def q_funnel(spark, sf):
     return C.cleaning_funnel(T.dirty_flows(spark, sf), RATE_COLS, ["label", "raw_text"])
 
 
+def q_funnel_used(spark, sf):
+    """With the rows that a tenth of every label (20 at least) takes."""
+    return C.cleaning_funnel(T.dirty_flows(spark, sf), RATE_COLS, ["label", "raw_text"], "label", 0.1)
+
+
+def q_defects(spark, sf):
+    """Missing, infinite and negative cells before and after cleaning, from one scan."""
+    return C.defect_totals(T.dirty_flows(spark, sf), NUM_COLS, lambda d: C.repair_negative(C.lenient_clean(d, NUM_COLS), NUM_COLS))
+
+
+def q_inspect_null_rate(spark, sf):
+    d = T.dirty_flows(spark, sf)
+    return C.inspect_rows(d, F.col("flow_bytes_s").isNull(), ["label", "flow_bytes_s"])
+
+
+def q_inspect_zero_duration(spark, sf):
+    d = T.dirty_flows(spark, sf)
+    return C.inspect_rows(d, F.col("flow_duration") == 0, ["label", "flow_duration", *RATE_COLS])
+
+
 def q_missing(spark, sf):
     return C.missing_infinite_counts(T.dirty_flows(spark, sf), NUM_COLS)
 
@@ -89,6 +109,10 @@ QUERIES = {
     "clean_numeric_coerce": q_coerce,
     "clean_drop_incomplete": q_drop_incomplete,
     "clean_funnel": q_funnel,
+    "clean_funnel_used": q_funnel_used,
+    "profile_defect_totals": q_defects,
+    "profile_inspect_null_rate": q_inspect_null_rate,
+    "profile_inspect_zero_duration": q_inspect_zero_duration,
     "profile_missing_inf": q_missing,
     "profile_numeric_summary": q_summary,
     "profile_quantiles": q_quantiles,
@@ -107,7 +131,22 @@ def _fin(x):
     return _FIN.format(x=x)
 
 
+_KEPT = f"SELECT * FROM dirty WHERE {_fin('flow_bytes_s')} AND {_fin('flow_packets_s')}"
+_CELLS = {"n_missing": "({c} IS NULL OR isnan({c}))", "n_infinite": "isinf({c})", "n_negative": "{c} < 0"}
+
 ORACLE = {
+    "clean_funnel_used": with_fixtures("dirty", f"""
+SELECT (SELECT count(*) FROM dirty) AS rows_raw, (SELECT count(*) FROM dirty) - (SELECT count(*) FROM ({_KEPT}) k) AS rows_bad,
+       (SELECT count(*) FROM ({_KEPT}) k) AS rows_after_dropna, CAST(sum(n) AS BIGINT) AS rows_dedup,
+       CAST(sum(least(n, greatest(round_even(n * 0.1e0, 0), 20))) AS BIGINT) AS rows_used
+FROM (SELECT label, count(*) AS n FROM (SELECT DISTINCT label, raw_text FROM ({_KEPT}) k) d GROUP BY label) p"""),
+    "profile_defect_totals": with_fixtures("dirty", "SELECT 'before' AS stage, count(*) AS n_rows, " + ", ".join(
+        "CAST(" + " + ".join(f"count(*) FILTER (WHERE {t.format(c=c)})" for c in NUM_COLS) + f" AS BIGINT) AS {k}" for k, t in _CELLS.items())
+        + " FROM dirty UNION ALL SELECT 'after', count(*), 0, 0, 0 FROM dirty"),
+    "profile_inspect_null_rate": with_fixtures("dirty", """
+SELECT row_id, label, flow_bytes_s FROM dirty WHERE flow_bytes_s IS NULL ORDER BY row_id LIMIT 20"""),
+    "profile_inspect_zero_duration": with_fixtures("dirty", """
+SELECT row_id, label, flow_duration, flow_bytes_s, flow_packets_s FROM dirty WHERE flow_duration = 0 ORDER BY row_id LIMIT 20"""),
     "clean_label_repair": with_fixtures("dirty", r"""
 SELECT row_id, trim(regexp_replace(label, '[^\x00-\x7F]+', '-', 'g')) AS label FROM dirty"""),
     "clean_numeric_coerce": with_fixtures("dirty", f"""

@@ -115,7 +115,7 @@ QUERIES = {
 ORACLE = {
     "clean_nonfinite_replaced": with_fixtures("dirty", "SELECT CAST(sum(" + " + ".join(
         f"CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) AND NOT isinf({c}) THEN 0 ELSE 1 END" for c in RATE)
-        + ") AS BIGINT) AS n_replaced FROM dirty"),
+        + ") AS BIGINT) AS n_replaced, count(*) AS rows_used FROM dirty"),
     "profile_inspect_negative_duration": with_fixtures("dirty", """
 SELECT row_id, label, flow_duration FROM dirty WHERE flow_duration < 0 ORDER BY row_id LIMIT 20"""),
     "profile_inspect_infinite_rate": with_fixtures("dirty", """

@@ -83,6 +83,11 @@ def q_label_corr(spark, sf):
     return t.select(F.col("rank").cast("int").alias("rank"), "pos", r6("abs_corr").alias("abs_corr"))
 
 
+def q_top_matrix(spark, sf):
+    w = T.wide(spark, sf).withColumn("y_bin", (F.col("label_id") != 0).cast("int"))
+    return FE.top_correlation_matrix(w, T.N_WIDE, 25).select("i", "j", r6("r").alias("r"))
+
+
 def planted_wide(spark, sf):
     """F-wide with a linear copy of feature 0, a noisy copy of feature 1 and a constant."""
     x = F.col("features")
@@ -118,6 +123,7 @@ QUERIES = {
     "features_corr_drop_planted": q_corr_drop_planted,
     "features_label_corr_constant": q_label_corr_constant,
     "features_label_corr_top": q_label_corr,
+    "features_label_corr_matrix": q_top_matrix,
     "features_forest_importance": q_forest,
 }
 
@@ -193,4 +199,8 @@ SELECT CAST(rank AS INTEGER) AS rank, pos, round(abs_corr, 6) AS abs_corr FROM (
   SELECT pos, abs_corr, row_number() OVER (ORDER BY abs_corr DESC, pos) AS rank FROM (
     SELECT pos, abs(corr(value, CAST(label_id <> 0 AS DOUBLE))) AS abs_corr FROM wide_long GROUP BY pos) c) r
 WHERE rank <= {TOP_K}"""),
+    "features_label_corr_matrix": with_fixtures("wide_long", """
+SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(corr(a.value, b.value), 6) AS r
+FROM wide_long a JOIN top t ON a.pos = t.pos JOIN wide_long b ON a.row_id = b.row_id JOIN top u ON b.pos = u.pos GROUP BY a.pos, b.pos""", [
+        ("top", "SELECT pos FROM (SELECT pos, abs(corr(value, CAST(label_id <> 0 AS DOUBLE))) AS c FROM wide_long GROUP BY pos) x ORDER BY c DESC, pos LIMIT 25")]),
 }

@@ -44,6 +44,12 @@ def q_log_loss(spark, sf):
     return M.log_loss(sc).select(r6("loss").alias("loss"))
 
 
+def q_silo_validation(spark, sf):
+    sc = score(T.wide(spark, sf), class_mean_model(spark, sf)).withColumn("p_true", true_class_proba())
+    v = sc.select((F.col("row_id") % 5).cast("int").alias("silo_id"), "p_true", F.col("label_id").alias("y_true"), F.col("prediction").alias("y_pred"))
+    return M.silo_validation(v).select("silo_id", "num_examples", *[r6(c).alias(c) for c in ("val_loss", "val_accuracy", "val_f1", "val_fpr")])
+
+
 def _step_inputs(spark, sf):
     w = T.wide(spark, sf)
     part = S.iid_partition(w, "row_id", N_SILOS, 42).withColumn("train_label", F.col("label_id"))
@@ -113,6 +119,7 @@ def q_aligned_average(spark, sf):
 QUERIES = {
     "model_score": q_score,
     "metrics_log_loss": q_log_loss,
+    "metrics_silo_validation": q_silo_validation,
     "model_gradient_step": q_gradient_step,
     "model_gradient_step_sql": q_gradient_sql,
     "model_class_aligned_average": q_aligned_average,
@@ -158,6 +165,17 @@ SELECT row_id, CAST(cls AS INTEGER) AS prediction, round(pm, 6) AS p_max FROM (
     "metrics_log_loss": with_fixtures("updates", """
 SELECT round(avg(-ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, proba)))), 6) AS loss
 FROM pn WHERE cls = label_id""", _SCORE),
+    "metrics_silo_validation": with_fixtures("updates", """
+SELECT silo_id, n AS num_examples, round(loss, 6) AS val_loss, round(acc, 6) AS val_accuracy, round(f1, 6) AS val_f1, round(fpr, 6) AS val_fpr FROM sv
+UNION ALL
+SELECT NULL, CAST(sum(n) AS BIGINT), round(sum(loss * n) / sum(n), 6), round(sum(acc * n) / sum(n), 6), round(sum(f1 * n) / sum(n), 6), round(sum(fpr * n) / sum(n), 6) FROM sv""",
+                                            [*_SCORE, ("pv", """
+SELECT row_id, CAST(row_id % 5 AS INTEGER) AS silo_id, label_id AS y, max(cls) FILTER (WHERE rk = 1) AS p, max(proba) FILTER (WHERE cls = label_id) AS pt
+FROM pn GROUP BY row_id, label_id"""), ("sv", """
+SELECT silo_id, count(*) AS n, avg(-ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, pt)))) AS loss, avg(CAST(y = p AS DOUBLE)) AS acc,
+  coalesce(2.0e0 * count(*) FILTER (WHERE y <> 0 AND p <> 0) / nullif(count(*) FILTER (WHERE y <> 0) + count(*) FILTER (WHERE p <> 0), 0), 0) AS f1,
+  coalesce(CAST(count(*) FILTER (WHERE y = 0 AND p <> 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE y = 0), 0), 0) AS fpr
+FROM pv GROUP BY silo_id""")]),
     "model_gradient_step": _STEP,
     "model_gradient_step_sql": _STEP,
     "model_class_aligned_average": with_fixtures("wide_long", """

@@ -8,7 +8,7 @@ from rampart.operators import quality as Q
 from rampart.operators import sampling as S
 from rampart.plans import registry_sampling as RS
 from rampart.plans.oracle_fixtures import with_fixtures
-from rampart.plans.sqlbits import FLOWS_ENC, LABEL_MAP, unit_of
+from rampart.plans.sqlbits import FLOWS_ENC, LABEL_MAP, key, unit_of
 from rampart.sources import tables as T
 
 
@@ -40,6 +40,14 @@ def q_dup_nulls(spark, sf):
     return d.select("n_probe", "n_dup", F.round("share", 6).alias("share"))
 
 
+def q_dup_collisions(spark, sf):
+    """Fingerprints of one bit, so that different vectors share them: the count stays exact."""
+    g = S.hash_split(T.splits(spark, sf).drop("split"), "row_id", "again")
+    d = Q.duplicate_vectors(g.select("split", "feats", "label"), ["feats", "label"],
+                            fingerprints=[F.pmod(F.xxhash64("feats", "label"), F.lit(2)).alias("_fp")])
+    return d.select("n_probe", "n_dup", F.round("share", 6).alias("share"))
+
+
 def q_dup_plain(spark, sf):
     d = Q.duplicate_vectors(T.splits(spark, sf), ["feats"])
     return d.select("n_probe", "n_dup", F.round("share", 6).alias("share"))
@@ -73,6 +81,7 @@ def q_label_union(spark, sf):
 
 
 QUERIES = {
+    "quality_dup_vectors_collisions": q_dup_collisions,
     "quality_id_overlap": q_id_overlap,
     "quality_id_overlap_planted": q_id_overlap_planted,
     "quality_unseen_labels_planted": q_unseen_planted,
@@ -96,6 +105,11 @@ _GA = ("ga", f"""SELECT row_id, feats, label, CASE WHEN {unit_of('md5(feats)')}
  WHEN {unit_of('md5(feats)')} < 0.8e0 THEN 'val' ELSE 'test' END AS split FROM splits""")
 
 ORACLE = {
+    "quality_dup_vectors_collisions": with_fixtures("splits", f"""
+SELECT count(*) AS n_probe, count(*) FILTER (WHERE hit) AS n_dup, round(count(*) FILTER (WHERE hit) / CAST(count(*) AS DOUBLE), 6) AS share
+FROM (SELECT EXISTS (SELECT 1 FROM again t WHERE t.part = 'train' AND t.feats = p.feats AND t.label = p.label) AS hit FROM again p WHERE part = 'test') x""", [
+        ("again", f"""SELECT feats, label, CASE WHEN {unit_of(key('row_id', 'again'))} < 0.75e0 THEN 'train'
+  WHEN {unit_of(key('row_id', 'again'))} < 0.875e0 THEN 'val' ELSE 'test' END AS part FROM splits""")]),
     "quality_id_overlap": with_fixtures("splits", """
 SELECT a.s AS split_a, b.s AS split_b,
        (SELECT count(*) FROM (SELECT row_id FROM splits WHERE split = a.s

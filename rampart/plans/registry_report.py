@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from rampart.operators import report as RP
 from rampart.plans.oracle_fixtures import with_fixtures
+from rampart.session import scratch_path
+from rampart.sources import io as IO
 from rampart.sources import tables as T
 
 
@@ -93,6 +95,22 @@ def q_benchmark(spark, sf):
     return _round_doubles(RP.union_benchmarks([fed, per_method]))
 
 
+def q_benchmark_sources(spark, sf):
+    """Legacy results read back from a CSV, a legacy file that is missing, and centralised rows."""
+    import uuid
+
+    r = _rounds(spark, sf)
+    path = scratch_path(spark, f"legacy-{uuid.uuid4().hex}")
+    best = r.groupBy("run_name").agg(F.max("f1").alias("f"))
+    IO.write_csv(best.select(F.col("run_name").alias("Model"), F.col("f").alias("Test Accuracy"), (F.col("f") / 2).alias("Test Balanced Accuracy"),
+                             (F.col("f") / 4).alias("Test Macro F1"), (F.col("f") / 8).alias("Test Weighted F1")), path, single_file=True)
+    central = r.groupBy(F.col("aggregation").alias("model")).agg(F.avg("f1").alias("accuracy")).select(
+        "model", F.lit("Test").alias("split"), "accuracy", (F.col("accuracy") / 2).alias("balanced_accuracy"), (F.col("accuracy") / 4).alias("macro_f1"),
+        (F.col("accuracy") / 8).alias("weighted_f1"))
+    legacy, missing = (RP.legacy_rows(IO.read_results_csv(spark, p)) for p in (path, f"{path}-missing"))
+    return _round_doubles(RP.union_benchmarks([legacy, missing, RP.centralized_rows(central)]))
+
+
 def q_round_join(spark, sf):
     r = _rounds(spark, sf)
     metrics = r.select("run_name", "round", "f1")
@@ -130,6 +148,7 @@ QUERIES = {
     "report_select_best": q_select_best,
     "report_eligible_runs": q_eligible,
     "report_benchmark_union": q_benchmark,
+    "report_benchmark_sources": q_benchmark_sources,
     "report_round_stats_join": q_round_join,
     "report_baseline_overlay": q_overlay,
     "report_baseline_overlay_metrics": q_overlay_metrics,
@@ -244,6 +263,11 @@ SELECT {_MODEL}, 'federated', 'test', 'best_val_macro_f1', CAST(round AS INTEGER
 UNION ALL
 SELECT 'Federated mean over runs (' || aggregation || ')', 'summary', 'test', NULL, NULL, NULL, NULL,
        round(avg(f1), 6), NULL FROM summ WHERE attack = 'none' GROUP BY aggregation""", _S + [_BENCH]),
+    "report_benchmark_sources": with_fixtures("rounds", """
+SELECT m AS "Model", s AS "Source", 'test' AS "Split", CAST(NULL AS VARCHAR) AS "Selection", CAST(NULL AS INTEGER) AS "Round", round(f, 6) AS "Accuracy",
+       round(f / 2, 6) AS "Balanced Accuracy", round(f / 4, 6) AS "Macro F1", round(f / 8, 6) AS "Weighted F1"
+FROM (SELECT run_name AS m, 'legacy' AS s, max(f1) AS f FROM rounds GROUP BY 1
+      UNION ALL SELECT aggregation, 'checkpoint3', avg(f1) FROM rounds GROUP BY 1) x"""),
     "report_round_stats_join": with_fixtures("rounds", """
 SELECT m.run_name, m.round, round(m.f1, 6) AS f1, s.clients, round(s.agg_time_s, 6) AS agg_time_s, s.bytes_up
 FROM rounds m LEFT JOIN (SELECT * FROM rounds WHERE round > 0) s ON m.run_name = s.run_name AND m.round = s.round"""),

@@ -105,3 +105,27 @@ def test_log_holds_the_rounds_of_a_run_that_stops(spark, sets, monkeypatch):
     FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, local_epochs=1, n_silos=3, run_name="a"), d)
     FD.run_federated(spark, tr, te, va, nf, nc, FD.RunConfig(rounds=1, local_epochs=1, n_silos=3, run_name="b"), d)
     assert sorted((r["run_name"], r["round"]) for r in spark.read.parquet(d).collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
+def test_one_pass_scores_and_takes_gradients(spark, sets):
+    """The fused pass equals the scoring pass and the gradient pass, also for a binary model."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from rampart.operators import model as MD
+
+    tr, va, te, nf, nc = sets
+    rng = np.random.default_rng(3)
+    for classes in (nc, 2):
+        binary = lambda d: d.withColumn("label_id", F.least("label_id", F.lit(classes - 1)))
+        a, b, c = binary(tr), binary(te), binary(va)
+        rows = a.withColumn("silo_id", F.pmod(F.xxhash64("row_id"), F.lit(3)).cast("int")).withColumn("train_label", F.col("label_id")) \
+            .withColumn("w_row", F.lit(1.5)).withColumn("part", F.when(F.rand(1) < 0.9, "train").otherwise("val"))
+        m = MD.LinearModel.zeros(nf, classes)
+        m = MD.LinearModel.from_flat(rng.standard_normal(m.flat().size), nf, classes)
+        both = FD._with_sets(rows, b, c)
+        first, told = MD.evaluated_gradients(both, m, [0, 1, 2], nf, ["test", "val"], weight="w_row")
+        want = MD.gradients(both.where("part = 'train'"), {s: m for s in range(3)}, nf, weight="w_row")
+        assert sorted(first) == [0, 1, 2] and all(np.allclose(first[s][2], want[s][2]) and np.allclose(first[s][:2], want[s][:2]) for s in first)
+        got, one = FD._metric_columns(told), FD.evaluate(m, b, c)
+        assert got.keys() == one.keys() and all(abs(got[k] - one[k]) < 1e-9 for k in one)

@@ -130,3 +130,19 @@ def test_pairwise_distances_across_blocks_match_brute_force(spark):
             keep = [p for p in range(11) if not ({i, j} & {3} and p == 9)]
             want = float(((m[i, keep] - m[j, keep]) ** 2).sum())
             assert got[(i, j)] == pytest.approx(want, rel=1e-12)
+
+
+def test_many_clients_meet_in_buckets(spark):
+    """Distances are those of one bucket, and no key holds all pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((60, 5))
+    up = spark.createDataFrame([(g, c, p, float(v[c, p] + g)) for g in (0, 1) for c in range(60) for p in range(5)], "g int, client_id int, pos int, value double")
+    want = {(g, a, b): float(((v[a] - v[b]) ** 2).sum()) for g in (0, 1) for a in range(60) for b in range(60) if a != b}
+    for bucket in (7, 100):
+        got = {(r.g, r.c1, r.c2): r.d for r in R.pairwise_sq_distances(up, ["g"], block=2, bucket=bucket).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    alone = R.pairwise_sq_distances(up.where("g = 0").drop("g"), bucket=7)
+    assert alone.count() == 60 * 59 and alone.agg(F.sum("d")).first()[0] > 0

@@ -153,7 +153,7 @@ def test_null_and_repeated_ids(spark):
 
 def test_identical_rows_stay_together(spark):
     df = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 50, "row_id long, x string")
-    assert S.uniform_sample(df, "row_id", 10).count() == 50
+    assert S.uniform_sample(df, "row_id", 10).count() == 10
 
 
 def test_undersample_keeps_null_labels(spark):
@@ -175,3 +175,48 @@ def test_oversample_spreads_the_copies_of_one_row(spark):
     one = over.where("row_id = 0")
     copies = [r.copy for r in one.collect()]
     assert len(copies) == len(set(copies)) == 2000
+
+
+def test_boundaries_cut_equal_rows_by_count(spark):
+    """Two distinct rows, 500 times each: samples and silos have their exact sizes."""
+    df = spark.createDataFrame([(1, "a", {"k": 1.5}), (2, None, None)] * 500, "row_id long, label string, m map<string,double>")
+    assert S.uniform_sample(df, "row_id", 10).count() == 10
+    assert sorted(r["count"] for r in S.iid_partition(df, "row_id", 4).groupBy("silo_id").count().collect()) == [250] * 4
+    got = S.iid_partition(df, "row_id", 7).collect()
+    assert sorted(sum(r.silo_id == s for r in got) for s in range(7)) == [142, 143, 143, 143, 143, 143, 143]
+    assert sum(r.row_id == 1 and r.label == "a" and r.m == {"k": 1.5} for r in got) == 500
+    by_label = S.stratified_sample_frac(df, "row_id", "label", 0.1).groupBy("label").count().collect()
+    assert sorted(r["count"] for r in by_label) == [50, 50]
+
+
+def test_boundaries_in_several_pieces(spark, monkeypatch):
+    from rampart.operators import rank
+
+    monkeypatch.setattr(rank, "COPY_ROWS", 7)
+    df = spark.createDataFrame([(None, 1)] * 100 + [(None, 2)] * 23 + [(5, 1)], "row_id long, x int")
+    got = S.iid_partition(df, "row_id", 9).collect()
+    assert sorted(sum(r.silo_id == s for r in got) for s in range(9)) == [13, 13, 14, 14, 14, 14, 14, 14, 14]
+    assert sorted((r.row_id or 0, r.x) for r in got) == sorted([(0, 1)] * 100 + [(0, 2)] * 23 + [(5, 1)])
+
+
+def test_oversample_is_exact_for_any_ids(spark):
+    """Unique, repeated and missing ids, equal rows, rows without a class, one row against many."""
+    rows = [(i, 0, 0, "u") for i in range(300)] + [(i % 5, 1, 0, "r") for i in range(60)] + [(None, 2, 0, "n")] * 40 + [(7, 3, 0, "one")]
+    rows += [(i, 0, 1, "u") for i in range(50)] + [(None, None, 1, "x"), (1, 0, None, "x")]
+    df = spark.createDataFrame(rows, "row_id long, label_id int, silo_id int, tag string")
+    got = S.random_oversample(df, "row_id", chunk=50)
+    counts = {(r.silo_id, r.label_id): r["count"] for r in got.groupBy("silo_id", "label_id").count().collect()}
+    assert counts == {(0, 0): 300, (0, 1): 300, (0, 2): 300, (0, 3): 300, (1, 0): 50, (1, None): 1, (None, 0): 1}
+    assert sorted(map(repr, got.where("copy = 0").drop("copy").collect())) == sorted(map(repr, df.collect()))
+    draws = [r["count"] for r in got.where("tag = 'r' and copy > 0").groupBy("row_id").count().collect()]
+    assert sum(draws) == 240 and max(draws) < 150
+
+
+def test_oversample_draws_like_a_multinomial(spark):
+    """Copies of a row vary as draws with replacement do."""
+    import numpy as np
+
+    df = spark.createDataFrame([(i, int(i >= 1000), 0) for i in range(5000)], "row_id long, label_id int, silo_id int")
+    k = {r.row_id: r["count"] for r in S.random_oversample(df, "row_id").where("copy > 0").groupBy("row_id").count().collect()}
+    k = np.array([k.get(i, 0) for i in range(1000)])
+    assert k.sum() == 3000 and abs(k.var() - 3) < 0.5 and (k == 0).mean() > 0.02

@@ -23,6 +23,8 @@ from rampart.llm.textkit import Words, batches_of, text_bytes
 #: bytes of benchmark text one pass may hand to every task; larger benchmarks take more passes
 ITEM_BYTES = 16 << 20
 RADIUS = 20
+#: (place in a document, item) pairs that are expanded at once
+POSTINGS = 1 << 20
 LEAKS = "doc_id long, item_id long, similarity double, start_word long, window_words long, hamming int"
 
 
@@ -125,11 +127,17 @@ class Items:
         if not len(at):
             return []
         size = self.first[k + 1] - self.first[k]
-        post = np.repeat(self.first[k] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        item, doc = self.item[post], np.repeat(w.doc[at], size)
-        words = np.minimum(self.words[item], w.n_words[doc])
-        start = np.clip(np.repeat(w.pos[at], size) - self.place[post], 0, w.n_words[doc] - words)
-        spans = np.unique(np.stack([doc, start, words], axis=1), axis=0)
+        ends = np.cumsum(size)
+        spans, lo = np.zeros((0, 3), np.int64), 0
+        while lo < len(at):  # a shingle of many items at many places: a slice of its postings at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + POSTINGS)))
+            n, a = size[lo:hi], at[lo:hi]
+            post = np.repeat(self.first[k[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            item, doc = self.item[post], np.repeat(w.doc[a], n)
+            words = np.minimum(self.words[item], w.n_words[doc])
+            start = np.clip(np.repeat(w.pos[a], n) - self.place[post], 0, w.n_words[doc] - words)
+            spans = np.unique(np.concatenate([spans, np.stack([doc, start, words], axis=1)]), axis=0)
+            lo = hi
         doc, start, words = spans.T
         sh, off = shingles_of(w, w.doc_off[doc] + start, words, self.n)
         who, item, dist = self.index.near(simhash(sh, off))

@@ -43,8 +43,9 @@ def layout(docs: DataFrame, keys_per_byte: float, text: str = "text", part_bytes
 
 
 def parted(docs: DataFrame, lay: Layout, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, part); the shuffle by part is planned once and reused by every pass."""
-    part = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(lay.parts)).cast("long")
+    """(doc_id, text, part); the shuffle by part is planned once and reused by every pass. Rows
+    that share a doc_id (or have none) are dealt by their texts."""
+    part = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(lay.parts)).cast("long")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), part.alias("part"))
 
 

@@ -219,10 +219,7 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     runs = materialize(runs, "warc-runs")
     total = runs.count()
     ranges = max(1, -(-total // range_rows))
-    stride = max(1, total // (64 * ranges))  # about 64 samples a range, whatever the input
-    samples = runs.where(F.col("seq") % stride == stride // 2).select(*_NAMES[2:]).collect() if ranges > 1 else []
-    keys = sorted(_order(tuple(s)) for s in samples)
-    cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
+    cuts = sorted(_order(tuple(s)) for s in _cut_rows(runs, total, ranges).collect()) if ranges > 1 else []
 
     def assign(batches):
         for b in batches:
@@ -243,6 +240,21 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return dealt.groupBy("key_range").applyInArrow(merge, CAPTURES + ", key_range long, place long")
 
 
+def _cut_rows(runs: DataFrame, total: int, ranges: int) -> DataFrame:
+    """About one row a range, evenly spaced in the order of the keys: of a sample by hash (about 64
+    rows a range, from runs of any size) that Spark sorts."""
+    cols = _NAMES[2:]
+    some = runs.where(F.pmod(F.xxhash64("run", "seq"), F.lit(max(1, total // (64 * ranges)))) == 0).select(*cols)
+    ordered = materialize(some.orderBy(*cols).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "warc-sample")
+    sizes = {r["p"]: r["count"] for r in ordered.groupBy("p").count().collect()}
+    before = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+    if not sizes:
+        return ordered.select(*cols)
+    offset = F.element_at(F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv]), F.col("p"))
+    step = max(1, sum(sizes.values()) // ranges)
+    return ordered.where(F.pmod(offset + F.col("i"), F.lit(step)) == step - 1).select(*cols)
+
+
 def capture_histories(pages: DataFrame, min_revisit: int = 100, captured: Column | None = None) -> DataFrame:
     """Write ``pages`` to archives in the shared folder, read them back and merge their runs.
 
@@ -259,4 +271,4 @@ def capture_histories(pages: DataFrame, min_revisit: int = 100, captured: Column
 def op7_warc_histories(spark, sf_dir: str) -> DataFrame:
     """Thin query: the whole pages table written, read back and merged."""
     got = capture_histories(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "key_range", "place")

@@ -53,6 +53,20 @@ def test_substring_dedup(spark, window):
     assert multiset([tuple(r)[:4] for r in got.collect()]) == multiset(brute.substring_dedup(rows, window))
 
 
+def test_rows_of_one_id_are_dealt_to_many_parts(spark):
+    """Rows without an id, or with one id, spread over parts and give what brute force gives."""
+    from rampart.llm.exchange import layout, parted
+
+    rows = [(None if i % 3 else 7, t) for i, (_, t) in enumerate(corpus(4))]
+    df = frame(spark, rows)
+    lay = layout(df, 0.1, part_bytes=1500)
+    assert parted(df, lay).select("part").distinct().count() > lay.parts / 2
+    got = substring_dedup(df, window=16, part_bytes=1500)
+    assert multiset([tuple(r)[:4] for r in got.collect()]) == multiset(brute.substring_dedup(rows, 16))
+    got = suffix_dedup(df, window=30, part_bytes=1500).drop("kept_bytes")
+    assert multiset([tuple(r) for r in got.collect()]) == multiset([r[:5] for r in brute.suffix_dedup(rows, 30)])
+
+
 def test_cover_property():
     for v, cover in COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))

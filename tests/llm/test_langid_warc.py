@@ -76,6 +76,42 @@ def test_probabilities_do_not_depend_on_batches():
     assert LANES >= 1
 
 
+def test_document_probabilities_byte_by_byte():
+    """The batched forward pass and pooling against one byte at a time, in plain Python floats."""
+    import math
+
+    from rampart.llm.gru import Params
+    from rampart.llm.langid import STEPS, LanguageModel, document_probabilities
+
+    p = Params.init(3, seed=9)
+    rng = np.random.default_rng(9)
+    p.w = [(m + rng.normal(0, 0.3, m.shape)).astype(np.float32) for m in p.w]
+
+    def states(way, window):
+        h, out = [0.0] * p.hidden, [None] * len(window)
+        for t in range(len(window)) if way == 0 else range(len(window) - 1, -1, -1):
+            inp = [*p.emb[:, window[t]].tolist(), *h, 1.0]
+            g = [sum(a * b for a, b in zip(row, inp)) for row in p.w[way].tolist()]
+            n = p.hidden
+            z, r = ([min(1.0, max(0.0, x + 0.5)) for x in g[a:a + n]] for a in (0, n))
+            cand = [math.tanh(g[2 * n + i] + r[i] * g[3 * n + i]) for i in range(n)]
+            h = [z[i] * h[i] + (1 - z[i]) * cand[i] for i in range(n)]
+            out[t] = h
+        return out
+
+    texts = [b"a", b"", "The quick brown f\u00f6x ".encode() * 9, bytes(range(1, 65)), b"x" * 130]
+    got = document_probabilities(LanguageModel(["a", "b", "c"], p), np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    for i, t in enumerate(texts):
+        total = np.zeros(3)
+        for k in range(0, len(t), STEPS):
+            w = t[k:k + STEPS]
+            for f, b in zip(states(0, w), states(1, w)):
+                x = [sum(a * c for a, c in zip(row, [*f, *b, 1.0])) for row in p.out.tolist()]
+                e = np.exp(np.array(x) - max(x))
+                total += e / e.sum()
+        assert np.allclose(got[i], total / max(1, len(t)), atol=2e-5)
+
+
 def test_held_out_accuracy(spark):
     got = op5_language_id(spark, SF)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
@@ -172,6 +208,21 @@ def test_many_ranges_are_in_global_order(spark):
     assert size == one.length and content.startswith(b"WARC/1.1\r\n")
 
 
+def test_ranges_of_many_small_archives(spark):
+    """Runs of a few captures give range cuts too."""
+    rows = [(i, f"http://h{i * 37 % 50}.com/", f"body {i} " * 5) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    runs = read_runs(write_archives(page_frame(spark, rows), new_folder(spark, "w")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = merge_runs(runs, range_rows=30).collect()
+    assert len({r.run for r in got}) > 20 and len({r.key_range for r in got}) >= 8
+    got.sort(key=lambda r: (r.key_range, r.place))
+    keys = [(r.url_key, r.captured, r.page_id) for r in got]
+    assert keys == sorted(keys) and len(keys) == 300
+
+
 def test_damaged_archive_is_refused():
     import zlib
 

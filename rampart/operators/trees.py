@@ -31,6 +31,8 @@ MAX_BINS = 256
 HISTOGRAM_BYTES = 64 << 20
 #: rows of a node (over its bootstrap) that one task finishes
 LOCAL_ROWS = 20_000
+#: rows below which a node is split by sorting them rather than by a histogram
+SMALL_ROWS = 1_000
 #: bytes of trees a task is handed at once when a forest predicts
 FOREST_BYTES = 64 << 20
 
@@ -127,11 +129,11 @@ def histograms(rows: DataFrame, slots: int, n_features: int, n_stats: int, parts
                 if not len(on):
                     continue
                 seen = True
-                base = slot[on] * n_features
-                for f in range(n_features):
-                    at = (base + f) * MAX_BINS + x[on, f]
-                    for k in range(n_stats):
-                        h[k] += np.bincount(at, stats[on, k], h.shape[1])
+                first, last = int(slot[on].min()), int(slot[on].max()) + 1  # the slots this part fills
+                at = (((slot[on] - first) * n_features)[:, None] + np.arange(n_features)) * MAX_BINS + x[on]
+                a, b_ = (i * n_features * MAX_BINS for i in (first, last))
+                for k in range(n_stats):
+                    h[k, a:b_] += np.bincount(at.ravel(), np.repeat(stats[on, k], n_features), b_ - a)
         if seen:
             part = TaskContext.get().partitionId()
             got = pieces(h.T)
@@ -404,17 +406,45 @@ def node_histogram(x: np.ndarray, y: np.ndarray, w: np.ndarray, n_classes: int)
     return h
 
 
+def sorted_split(x: np.ndarray, shares: np.ndarray, order: np.ndarray, tried: int) -> tuple[int, int] | None:
+    """``gini_split`` of a node of few rows from the rows themselves: ``shares`` holds a row's weight
+    in the column of its class."""
+    best, seen, whole = None, 0, shares.sum(axis=0)
+    for f in order.tolist():
+        o = np.argsort(x[:, f], kind="stable")
+        v = x[o, f]
+        at = np.flatnonzero(v[1:] != v[:-1])
+        if not len(at):
+            continue
+        a = np.cumsum(shares[o], axis=0)[at]
+        b = whole - a
+        score = (a**2).sum(axis=1) / a.sum(axis=1) + (b**2).sum(axis=1) / b.sum(axis=1)
+        i = int(np.argmax(score >= score.max() * (1 - 1e-10)))
+        if best is None or score[i] > best[0] * (1 + 1e-10):
+            best = (float(score[i]), f, int(v[at[i]]))
+        seen += 1
+        if seen == tried:
+            break
+    return best and best[1:]
+
+
 def grow_local(tree: Tree, node: int, path: str, x, y, w, n_classes: int, seed: int, number: int) -> None:
     """Finish the subtree of one node with all its rows."""
     tried = max(1, int(np.sqrt(x.shape[1])))
+    shares = np.zeros((len(y), n_classes))
+    shares[np.arange(len(y)), y] = w
     stack = [(node, path, np.arange(len(y)))]
     while stack:
         node, path, at = stack.pop()
-        share = np.bincount(y[at], w[at], n_classes)
+        share = shares[at].sum(axis=0)
         tree.value[node] = share / share.sum()
         if np.count_nonzero(share) < 2:
             continue
-        got = gini_split(node_histogram(x[at], y[at], w[at], n_classes), feature_order(seed, number, path, x.shape[1]), tried)
+        order = feature_order(seed, number, path, x.shape[1])
+        if len(at) < SMALL_ROWS:
+            got = sorted_split(x[at], shares[at], order, tried)
+        else:
+            got = gini_split(node_histogram(x[at], y[at], w[at], n_classes), order, tried)
         if got is None:
             continue
         low = x[at, got[0]] <= got[1]

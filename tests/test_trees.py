@@ -136,8 +136,9 @@ def plain_forest_tree(x, y, w, classes, seed, number):
     return value
 
 
-@pytest.mark.parametrize("local_rows", [100_000, 40])
-def test_forest_equals_a_plain_version(spark, local_rows):
+@pytest.mark.parametrize("local_rows,small_rows", [(100_000, 50), (40, 1_000)])
+def test_forest_equals_a_plain_version(spark, local_rows, small_rows, monkeypatch):
+    monkeypatch.setattr(TR, "SMALL_ROWS", small_rows)
     _, _, b = data(spark, n=400, seed=2)
     model = TR.fit_forest(b, 4, 3, TR.ForestParams(trees=3, seed=7), local_rows=local_rows)
     x, y, rid = local(b)

@@ -108,8 +108,12 @@ class Encoder:
             at = self.table.find(who[:, k])
             while len(new := np.flatnonzero(at < 0)):
                 fresh = a + new[np.unique(slot_key(who[:, k][:, new]), return_index=True)[1]]
+                times = self.table.cleared
                 self._remember(buf, who[:, fresh], start[fresh], end[fresh], lone[fresh])
-                at = self.table.find(who[:, k])
+                if self.table.cleared == times:  # the entries found before still stand
+                    at[new] = self.table.find(who[:, k][:, new])
+                else:
+                    at = self.table.find(who[:, k])
             lo = self.table.off[at]
             n = self.table.off[at + 1] - lo
             parts.append(self.table.ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
@@ -125,7 +129,7 @@ class Encoder:
             pieces[i] = "\0" + pieces[i]
         if len(self.new) + len(pieces) > _GENERATION:
             self.old, self.new = self.new, {}
-        need = {p for p in pieces if p not in self.new}
+        need = set(pieces).difference(self.new)
         if need:
             self._learn(need)
         if self.table.is_full(len(pieces)):
@@ -211,9 +215,11 @@ class PieceTable:
     """Piece -> ids: an open-addressing table over arrays. When half full it starts anew."""
 
     def __init__(self):
+        self.cleared = 0
         self.clear()
 
     def clear(self) -> None:
+        self.cleared += 1
         self.value = np.full(1 << _SLOTS_BITS, -1, np.int32)
         self.entries = 0
         self.who = np.zeros((3, 1 << 16), np.uint64)  # by entry

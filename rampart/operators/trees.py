@@ -114,6 +114,20 @@ class Tree:
 
 
 # ------------------------------------------------------------------ histograms
+def add_counts(h: np.ndarray, slot: np.ndarray, x: np.ndarray, stats: np.ndarray) -> bool:
+    """Add rows' statistics to [statistics, slots * features * bins]; whether any row has a slot."""
+    on = np.flatnonzero(slot >= 0)
+    if not len(on):
+        return False
+    n = x.shape[1]
+    first, last = int(slot[on].min()), int(slot[on].max()) + 1  # the slots these rows fill
+    at = (((slot[on] - first) * n)[:, None] + np.arange(n)) * MAX_BINS + x[on]
+    a, b = (i * n * MAX_BINS for i in (first, last))
+    for k in range(len(h)):
+        h[k, a:b] += np.bincount(at.ravel(), np.repeat(stats[on, k], n), b - a)
+    return True
+
+
 def histograms(rows: DataFrame, slots: int, n_features: int, n_stats: int, parts: int,
                stats_of: Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> np.ndarray:
     """[slots, features, bins, statistics]: ``stats_of`` gives for a batch any number of (slot of
@@ -125,15 +139,7 @@ def histograms(rows: DataFrame, slots: int, n_features: int, n_stats: int, parts
         seen = False
         for b in batches:
             for slot, x, stats in stats_of(b):
-                on = np.flatnonzero(slot >= 0)
-                if not len(on):
-                    continue
-                seen = True
-                first, last = int(slot[on].min()), int(slot[on].max()) + 1  # the slots this part fills
-                at = (((slot[on] - first) * n_features)[:, None] + np.arange(n_features)) * MAX_BINS + x[on]
-                a, b_ = (i * n_features * MAX_BINS for i in (first, last))
-                for k in range(n_stats):
-                    h[k, a:b_] += np.bincount(at.ravel(), np.repeat(stats[on, k], n_features), b_ - a)
+                seen |= add_counts(h, slot, x, stats)
         if seen:
             part = TaskContext.get().partitionId()
             got = pieces(h.T)
@@ -196,7 +202,8 @@ class Boosted:
 
 
 def fit_boosted(rows: DataFrame, n_features: int, n_classes: int, params: BoostParams = BoostParams(), refresh: int = 10) -> Boosted:
-    """Softmax boosting over ``binned`` rows with label_id; one job a level of all classes' trees.
+    """Softmax boosting over ``binned`` rows with label_id; one job a level of all classes' trees. A table
+    of at most LOCAL_ROWS rows is not worth hundreds of jobs: one task runs all rounds.
 
     Every ``refresh`` rounds the rows' scores so far are written, so a job applies few trees. Rows
     whose label is NULL or outside the classes take no part; no rows give the base model alone.
@@ -211,6 +218,8 @@ def fit_boosted(rows: DataFrame, n_features: int, n_classes: int, params: BoostP
         return model
     stop = n > params.stop_above
     held = F.pmod(F.xxhash64("rid"), F.lit(10)) == 0
+    if n <= LOCAL_ROWS:
+        return _fit_small(known.withColumn("held", held & F.lit(stop)), model, n_features, n_classes, params)
     parts = min(1 + max(r["p"] for r in info), -(-n // 20_000))  # a small table is not worth many tasks
     scored = materialize(_with_scores(known.coalesce(parts).withColumn("held", held & F.lit(stop)), model, 0, n_features), "boost-scores")
     done, losses = 0, []
@@ -221,9 +230,22 @@ def fit_boosted(rows: DataFrame, n_features: int, n_classes: int, params: BoostP
             scored, done = fresh, it
         if stop:
             losses.append(_held_loss(scored, model, done, n_features))
-            if len(losses) > params.patience and min(losses[-params.patience:]) > losses[-params.patience - 1] - params.tolerance:
+            if _stopped(losses, params):
                 break
-        trees = _grow_round(scored.where("not held") if stop else scored, model, done, n_features, n_classes, params, parts)
+        train = scored.where("not held") if stop else scored
+
+        def counted(trees, slot_of, slots, train=train, first=done):
+            def stats(b):
+                x, s, y = _batch_scores(b, model, first, n_features)
+                prob = softmax(s)
+                for k, t in enumerate(trees):
+                    if (slot_of[k] >= 0).any():
+                        g, h = prob[:, k] - (y == k), prob[:, k] * (1 - prob[:, k])
+                        yield slot_of[k][t.node_of(x)], x, np.stack([g, h, np.ones(len(y))], axis=1)
+
+            return histograms(train, slots, n_features, 3, parts, stats)
+
+        trees = _grow_round(counted, n_features, n_classes, params)
         if all(len(t.feature) == 1 for t in trees):
             break
         model.rounds.append(trees)
@@ -269,7 +291,54 @@ def _held_loss(scored: DataFrame, model: Boosted, first: int, n_features: int) -
     return (got[0] or 0.0) / max(got[1] or 0, 1)
 
 
-def _grow_round(scored: DataFrame, model: Boosted, first: int, n_features: int, n_classes: int, p: BoostParams, parts: int) -> list[Tree]:
+def _stopped(losses: list[float], p: BoostParams) -> bool:
+    """Whether none of the last ``patience`` losses is below the one before them."""
+    return len(losses) > p.patience and min(losses[-p.patience:]) > losses[-p.patience - 1] - p.tolerance
+
+
+def _fit_small(rows: DataFrame, model: Boosted, n_features: int, n_classes: int, p: BoostParams) -> Boosted:
+    """All rounds in one task, with the rows as arrays."""
+    import pickle
+
+    def run(batches):
+        x, y, held = np.zeros((0, n_features), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool)
+        parts = [(_matrix(b.column(2), n_features), np.asarray(b.column(0)).astype(np.int64), b.column(1).to_numpy(zero_copy_only=False).astype(bool)) for b in batches]
+        if parts:
+            x, y, held = (np.concatenate(c) for c in zip(*parts))
+        raw, losses, rounds = np.tile(model.base, (len(y), 1)), [], []
+        on = np.flatnonzero(~held)
+        xt, yt = x[on], y[on]
+        for _ in range(p.iterations):
+            prob = softmax(raw)
+            if held.any():
+                losses.append(-float(np.log(np.maximum(prob[held, y[held]], 1e-300)).mean()))
+                if _stopped(losses, p):
+                    break
+            prob = prob[on]
+
+            def counted(trees, slot_of, slots, prob=prob):
+                h = np.zeros((3, slots * n_features * MAX_BINS))
+                for k, t in enumerate(trees):
+                    if (slot_of[k] >= 0).any():
+                        g = prob[:, k] - (yt == k)
+                        add_counts(h, slot_of[k][t.node_of(xt)], xt, np.stack([g, prob[:, k] * (1 - prob[:, k]), np.ones(len(yt))], axis=1))
+                return h.T.reshape(slots, n_features, MAX_BINS, 3)
+
+            trees = _grow_round(counted, n_features, n_classes, p)
+            if all(len(t.feature) == 1 for t in trees):
+                break
+            rounds.append(trees)
+            for k, t in enumerate(trees):
+                raw[:, k] += np.array(t.value)[t.node_of(x)]
+        yield pa.RecordBatch.from_pydict({"rounds": pa.array([pickle.dumps(rounds)], pa.binary())})
+
+    got = rows.select("label_id", "held", "bins").coalesce(1).mapInArrow(run, "rounds binary").first()
+    return Boosted(model.base, pickle.loads(bytes(got["rounds"])))
+
+
+def _grow_round(counted: Callable[[list[Tree], list[np.ndarray], int], np.ndarray], n_features: int, n_classes: int, p: BoostParams) -> list[Tree]:
+    """One tree a class. ``counted`` gives the histograms [slots, features, bins, (g, h, rows)] of the
+    nodes that have a slot."""
     trees = [Tree() for _ in range(n_classes)]
     sums: dict[tuple[int, int], np.ndarray] = {}  # (class, node) -> histogram of an open node
     count = {(k, 0): None for k in range(n_classes)}  # nodes to count, with the sibling that follows
@@ -283,15 +352,7 @@ def _grow_round(scored: DataFrame, model: Boosted, first: int, n_features: int,
             for i, (k, node) in enumerate(some):
                 slot_of[k][node] = i
 
-            def stats(b, slot_of=slot_of):
-                x, s, y = _batch_scores(b, model, first, n_features)
-                prob = softmax(s)
-                for k, t in enumerate(trees):
-                    if (slot_of[k] >= 0).any():
-                        g, h = prob[:, k] - (y == k), prob[:, k] * (1 - prob[:, k])
-                        yield slot_of[k][t.node_of(x)], x, np.stack([g, h, np.ones(len(y))], axis=1)
-
-            got = histograms(scored, len(some), n_features, 3, parts, stats)
+            got = counted(trees, slot_of, len(some))
             for i, key in enumerate(some):
                 sums[key] = got[i]
         for (k, node), sibling in count.items():
@@ -596,6 +657,8 @@ def predict_forest(rows: DataFrame, forest: DataFrame, edges: list[np.ndarray],
     out = rows.withColumn("_votes", F.lit(None).cast("binary"))
     for last, group in ((g is groups[-1], g) for g in groups):
         trees = [pickle.loads(bytes(r["model"])) for r in forest.where(F.col("tree").isin(group)).orderBy("tree").select("model").collect()]
+        for t in trees:
+            t.arrays()  # made once, here
         shared = rows.sparkSession.sparkContext.broadcast([(t, np.array([v for v in t.value])) for t in trees])
 
         def run(batches, shared=shared):

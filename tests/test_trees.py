@@ -68,7 +68,10 @@ def plain_boost_tree(x, g, h, p):
     return value
 
 
-def test_boosting_equals_a_plain_version(spark):
+@pytest.mark.parametrize("local_rows", [20_000, 0])
+def test_boosting_equals_a_plain_version(spark, local_rows, monkeypatch):
+    """In one task, and with a job a level."""
+    monkeypatch.setattr(TR, "LOCAL_ROWS", local_rows)
     _, _, b = data(spark)
     p = TR.BoostParams(iterations=2, max_leaves=6)
     model = TR.fit_boosted(b, 4, 3, p, refresh=1)
@@ -94,7 +97,8 @@ def test_boosting_learns_and_stops(spark, monkeypatch):
     assert 5 < len(model.rounds) < 60  # the held-out tenth stopped it
     got = TR.predict_boosted(df, model, edges)
     assert got.where("prediction = label_id").count() > 0.8 * df.count()
-    # histograms in small batches and summed in two levels change nothing
+    # a job a level, histograms in small batches and summed in two levels change nothing
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 0)
     monkeypatch.setattr(TR, "HISTOGRAM_BYTES", 1 << 17)
     monkeypatch.setattr(VS, "DRIVER_BYTES", 0)
     p = TR.BoostParams(iterations=1)

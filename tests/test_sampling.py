@@ -151,7 +151,7 @@ def test_null_and_repeated_ids(spark):
     assert top == {(r.row_id, r.x) for r in S.hash_rank(df, "row_id", 1).where("rank <= 60").collect()}
 
 
-def test_identical_rows_stay_together(spark):
+def test_identical_rows_are_cut_by_count(spark):
     df = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 50, "row_id long, x string")
     assert S.uniform_sample(df, "row_id", 10).count() == 10
 

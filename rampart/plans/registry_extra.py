@@ -71,10 +71,16 @@ def q_most_important(spark, sf):
     return FE.most_important(imp, 20).select("rank", "pos", "importance")
 
 
+def _embedding_stream(spark, sf):
+    """The embeddings as a stream, whether the table is one file or a folder of files (a plain
+    path, unlike a pattern, may only name a folder)."""
+    schema = T.table(spark, sf, "embeddings").schema
+    return ST.read_flow_stream(spark, f"{sf.rstrip('/')}/[e]mbeddings.parquet", schema, max_files_per_trigger=1)
+
+
 def q_stream_score(spark, sf):
     model = RM.class_mean_model(spark, sf)
-    src = T.table(spark, sf, "embeddings")
-    stream = ST.read_flow_stream(spark, sf, src.schema, max_files_per_trigger=1, file_glob="embeddings.parquet")
+    stream = _embedding_stream(spark, sf)
     rows = stream.select(F.col("vec_id").alias("row_id"),
                          F.transform("embedding", lambda x: x.cast("double")).alias("features"))
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
@@ -88,8 +94,7 @@ def q_stream_confusion(spark, sf):
     """Running (true, predicted) counts of a stream of embedding rows: a stateful streaming
     aggregation whose state is one row per confusion cell."""
     model = RM.class_mean_model(spark, sf)
-    src = T.table(spark, sf, "embeddings")
-    stream = ST.read_flow_stream(spark, sf, src.schema, max_files_per_trigger=1, file_glob="embeddings.parquet")
+    stream = _embedding_stream(spark, sf)
     rows = stream.select(F.col("label").cast("int").alias("label_id"),
                          F.transform("embedding", lambda x: x.cast("double")).alias("features"))
     base = scratch_path(spark, f"stream-conf-{uuid.uuid4().hex}")

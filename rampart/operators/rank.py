@@ -93,11 +93,13 @@ def _boundaries(keyed: DataFrame, sk: list[str], targets: DataFrame) -> tuple[Da
         here, up = digits + _STEP, digits
         rows = keyed.select(*sk, "_key").withColumn("_p", F.substring("_key", 1, up) if up else F.lit(""))
         rows = rows.join(active.select(*sk, "_p").distinct(), on=[*sk, "_p"], how="left_semi")
-        fine = rows.groupBy(*sk, "_p", F.substring("_key", 1, here).alias("_q")).agg(F.count(F.lit(1)).alias("_c"))
+        fine = rows.groupBy(*sk, "_p", F.substring("_key", 1, here).alias("_q")).agg(
+            F.count(F.lit(1)).alias("_c"), (F.min(F.xxhash64("_key")) == F.max(F.xxhash64("_key"))).alias("_one"))
         run = F.sum("_c").over(Window.partitionBy(*sk, "_p").orderBy("_q").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        fine = fine.select(*sk, "_p", "_q", "_c", (run - F.col("_c")).alias("_off"))
+        fine = fine.select(*sk, "_p", "_q", "_c", "_one", (run - F.col("_c")).alias("_off"))
         hit = active.join(fine, on=[*sk, "_p"]).where("_r > _off and _r <= _off + _c")
-        active = materialize(hit.select(*sk, "_tag", (F.col("_r") - F.col("_off")).alias("_r"), F.col("_q").alias("_p"), F.col("_c").alias("_n")), "rank-targets")
+        left = F.when(F.col("_one"), 0).otherwise(F.col("_c"))  # a bucket of one key gets no smaller
+        active = materialize(hit.select(*sk, "_tag", (F.col("_r") - F.col("_off")).alias("_r"), F.col("_q").alias("_p"), left.alias("_n")), "rank-targets")
         digits = here
     return active, digits
 

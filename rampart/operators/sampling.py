@@ -194,10 +194,15 @@ def _poisson_draw(id_col: str, seed: str) -> Column:
     """Hash-seeded Poisson number with mean ``_rate`` (its cumulative terms are in ``_cdf``)."""
     u = F.coalesce(hash_unit(id_col, f"{seed}:k"), F.lit(0.5))
     v = F.coalesce(hash_unit(id_col, f"{seed}:z"), F.lit(0.25))
-    z = F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-18)))) * F.cos(2.0 * np.pi * v)
-    large = F.greatest(F.lit(0.0), F.floor(F.col("_rate") + F.sqrt("_rate") * z + 0.5))
-    small = F.size(F.filter("_cdf", lambda t: t <= u))
-    return F.when(F.col("_rate") < _NORMAL_FROM, small).otherwise(large).cast("bigint")
+
+    def number(x: Column) -> Column:
+        z = F.sqrt(-2.0 * F.log(F.greatest(x["u"], F.lit(1e-18)))) * F.cos(2.0 * np.pi * x["v"])
+        large = F.greatest(F.lit(0.0), F.floor(F.col("_rate") + F.sqrt("_rate") * z + 0.5))
+        small = F.size(F.filter("_cdf", lambda t: t <= x["u"]))
+        return F.when(F.col("_rate") < _NORMAL_FROM, small).otherwise(large).cast("bigint")
+
+    # the hashes as elements of an array: the inner lambda would work them out anew for each term
+    return F.element_at(F.transform(F.array(F.struct(u.alias("u"), v.alias("v"))), number), 1)
 
 
 def _poisson_terms(rate: Column) -> Column:
@@ -246,5 +251,6 @@ def random_oversample(df: DataFrame, id_col: str, silo_col: str = "silo_id", lab
     def targets(sizes):
         return sizes.join(need.select(*strata, "_extra"), strata).select(sizes["*"], F.lit(0).alias("_tag"), F.col("_extra").alias("_r"))
 
+    offers = materialize(offers, "oversample-offers")  # read once a level of the boundary search
     stay = rank_tag(offers, "_pick", f"{seed}:keep", strata, targets, "_stays").where(F.col("_stays").isNotNull()).drop("_stays", "_pick")
     return df.withColumn("copy", F.lit(0).cast("bigint")).unionByName(stay)

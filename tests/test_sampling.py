@@ -220,3 +220,24 @@ def test_oversample_draws_like_a_multinomial(spark):
     k = {r.row_id: r["count"] for r in S.random_oversample(df, "row_id").where("copy > 0").groupBy("row_id").count().collect()}
     k = np.array([k.get(i, 0) for i in range(1000)])
     assert k.sum() == 3000 and abs(k.var() - 3) < 0.5 and (k == 0).mean() > 0.02
+
+
+def test_draws_hash_a_row_once(spark):
+    """The hashes stand outside the filter over the cumulative terms, which would work them out a term."""
+    df = spark.range(10).withColumn("_rate", F.lit(2.0)).withColumn("_cdf", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    plan = df.select(S._poisson_draw("id", "s").alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    body = plan[plan.index("filter("):]
+    assert "md5" in plan and "md5" not in body[:body.index(" <= ") + 80]
+
+
+def test_boundary_search_ends_at_a_bucket_of_one_key(spark, monkeypatch):
+    """Rows without an id share one key, so finer buckets hold as many rows."""
+    monkeypatch.setattr(R, "LEAF_ROWS", 20)
+    df = spark.range(300).select(F.lit(None).cast("long").alias("id"), F.col("id").alias("v"))
+    keyed, sk = R.stratum_keys(df, [])
+    keyed = keyed.withColumn("_key", R._key("id", 7))
+    target = spark.createDataFrame([(0, 100, 300)], "_tag int, _r long, _size long")
+    active, digits = R._boundaries(keyed, sk, target)
+    assert digits == R._STEP and [(r["_tag"], r["_r"]) for r in active.collect()] == [(0, 100)]
+    got = S.uniform_sample(df, "id", 100, 7).count()
+    assert got == 100

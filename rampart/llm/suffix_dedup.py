@@ -58,7 +58,8 @@ def key_runs(buf: np.ndarray, offs: np.ndarray, window: int, gram: int):
     """Runs of neighbouring windows of one document with one key: (start, windows, key, doc).
 
     The text is handled in blocks, so memory does not grow with a document; a run cut at a
-    block's end is two runs, which changes no result.
+    block's end is two runs, which changes no result as long as every pass over a part cuts it
+    alike (``_ordered``).
     """
     out = []
     for lo in range(0, max(1, len(buf)), _BLOCK):
@@ -224,9 +225,10 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
     shard_bits = lay.bits_for(SHARD_BYTES)  # tiles add up to about the text's size
 
     def emit_keys(t: pa.Table) -> pa.Table:
+        t = _ordered(t)
         return key_blobs(*text_bytes(t.column("text")), _ids(t), t.column("part")[0].as_py(), window, gram, bits)
 
-    def tiles_of(t: pa.Table, masks: pa.Table):
+    def tiles_of(t: pa.Table, masks: pa.Table):  # of ordered rows
         buf, offs = text_bytes(t.column("text"))
         return buf, offs, Tiles(buf, offs, _ids(t), masks, window, gram, bits, shard_bits)
 
@@ -234,7 +236,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
         rows = []
         if len(t):
             part = t.column("part")[0].as_py()
-            buf, _, x = tiles_of(t, masks)
+            buf, _, x = tiles_of(_ordered(t), masks)
             for b, lo, hi in x.slices():
                 r = x.rep[lo:hi]
                 size = x.n[r] + window - 1
@@ -270,6 +272,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
                          "step": pa.array([2] * len(out), pa.int32())})
 
     def finish(t: pa.Table, both: pa.Table) -> pa.Table:
+        t = _ordered(t)
         step = np.asarray(both.column("step"))
         first = both.filter(pa.array(step == 1))
         masks = pa.table({"part": first.column("part"), "bucket": first.column("bucket"), "shared": first.column("shared"), "hot": first.column("hot")})
@@ -313,6 +316,12 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
     return d.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(finish, RESULT)
 
 
+def _ordered(t: pa.Table) -> pa.Table:
+    """A part's rows in one order, however the shuffle delivered them: the passes over a part pair
+    their tiles with the shards' answers by place."""
+    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _ids(t: pa.Table) -> np.ndarray:
     return t.column("doc_id").combine_chunks().fill_null(_NO_DOC).to_numpy(zero_copy_only=False)
 

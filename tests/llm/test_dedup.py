@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from rampart.llm import suffix_dedup as SD
 from rampart.llm.components import components
 from rampart.llm.exchange import KeySet, answer
 from rampart.llm.line_dedup import line_dedup
@@ -81,6 +82,23 @@ def test_suffix_dedup(spark, window, hot):
     assert multiset([tuple(r)[:5] for r in got.collect()]) == multiset(brute.suffix_dedup(rows, window))
 
 
+def test_tiles_do_not_depend_on_the_order_of_rows(monkeypatch):
+    """Each pass may get a part's rows in another order and pairs its tiles with the answers by
+    place, so blocks must be cut alike."""
+    monkeypatch.setattr(SD, "_BLOCK", 1000)
+    rows, rng = [r for r in corpus(3) if r[0] is not None], random.Random(2)
+    seen = []
+    for _ in range(3):
+        t = SD._ordered(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([x for _, x in rows], pa.string())}))
+        buf, offs = text_bytes(t.column("text"))
+        start, n, key, doc = SD.key_runs(buf, offs, 50, 20)
+        ids = SD._ids(t)[doc]
+        order, new = SD._distinct(buf, start, n + 49, key, ids)
+        seen.append([(int(key[k]), int(n[k]), int(ids[k])) for k in order[new]])
+        rng.shuffle(rows)
+    assert seen[0] == seen[1] == seen[2]
+
+
 def phrase_docs(n=480):
     """A 40-byte phrase in a third of the texts, each time in another context."""
     rng = random.Random(8)

@@ -31,6 +31,8 @@ MAX_BINS = 256
 HISTOGRAM_BYTES = 64 << 20
 #: rows of a node (over its bootstrap) that one task finishes
 LOCAL_ROWS = 20_000
+#: rows that one task of the last step grows subtrees from, about
+SUBTREE_ROWS = 5_000
 #: rows below which a node is split by sorting them rather than by a histogram
 SMALL_ROWS = 1_000
 #: bytes of trees a task is handed at once when a forest predicts
@@ -103,14 +105,68 @@ class Tree:
 
     def node_of(self, x: np.ndarray) -> np.ndarray:
         """The node each row of bins ends in."""
-        f, cut, left, right = self.arrays()
-        at = np.zeros(len(x), np.int64)
-        live = np.flatnonzero(f[at] >= 0)
-        while len(live):
-            n = at[live]
-            at[live] = np.where(x[live, f[n]] <= cut[n], left[n], right[n])
-            live = live[f[at[live]] >= 0]
-        return at
+        return _walk(x, *self.arrays())
+
+
+def _walk(x: np.ndarray, f: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(x), np.int64)
+    live = np.flatnonzero(f[at] >= 0)
+    while len(live):
+        n = at[live]
+        at[live] = np.where(x[live, f[n]] <= cut[n], left[n], right[n])
+        live = live[f[at[live]] >= 0]
+    return at
+
+
+@dataclass
+class Packed:
+    """A grown tree of distributions as few bytes: nodes as arrays, and of the leaves' distributions
+    (most leaves hold one class) each once. Nodes that are no leaves keep none."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    kind: np.ndarray
+    shares: np.ndarray
+
+    @classmethod
+    def of(cls, t: Tree) -> Packed:
+        f = np.array(t.feature, np.int32)
+        value = np.array(t.value, np.float64).reshape(len(f), -1)
+        value[f >= 0] = 0.0
+        shares, kind = np.unique(value, axis=0, return_inverse=True)
+        return cls(f, np.array(t.cut, np.uint8), np.array(t.left, np.int32), np.array(t.right, np.int32), kind.reshape(-1).astype(np.int32), shares)
+
+    @property
+    def value(self) -> np.ndarray:
+        return self.shares[self.kind]
+
+    def node_of(self, x: np.ndarray) -> np.ndarray:
+        return _walk(x, self.feature, self.cut, self.left, self.right)
+
+    def share_of(self, x: np.ndarray) -> np.ndarray:
+        """The distribution of each row's leaf."""
+        return self.shares[self.kind[self.node_of(x)]]
+
+    def grafted(self, subs: list[tuple[int, Packed]]) -> Packed:
+        """The tree with each subtree in its node's place."""
+        names = ("feature", "cut", "left", "right", "kind")
+        cols = {c: [getattr(self, c).copy()] for c in names}
+        at, seen, shares = len(self.feature), len(self.shares), [self.shares]
+        for node, sub in subs:
+            moved = {"feature": sub.feature, "cut": sub.cut, "kind": sub.kind + np.int32(seen),
+                     # a subtree's node i > 0 becomes i + at - 1
+                     **{c: np.where(getattr(sub, c) < 0, -1, getattr(sub, c) + (at - 1)).astype(np.int32) for c in ("left", "right")}}
+            for c in names:
+                cols[c][0][node] = moved[c][0]
+                cols[c].append(moved[c][1:])
+            at += len(sub.feature) - 1
+            seen += len(sub.shares)
+            shares.append(sub.shares)
+        whole = {c: np.concatenate(v) for c, v in cols.items()}
+        every, kind = np.unique(np.concatenate(shares), axis=0, return_inverse=True)
+        return Packed(**{**whole, "kind": kind.reshape(-1).astype(np.int32)[whole["kind"]]}, shares=every)
 
 
 # ------------------------------------------------------------------ histograms
@@ -608,36 +664,24 @@ def fit_forest(rows: DataFrame, n_features: int, n_classes: int, params: ForestP
         x = _matrix(t.column("bins"), n_features)[order]
         sub = Tree()
         grow_local(sub, 0, small[number, node], x, y, np.asarray(t.column("k"))[order] * weight[number][y], n_classes, seed, number)
-        return pa.table({"tree": pa.array([number], pa.int32()), "node": pa.array([node], pa.int64()), "sub": pa.array([pickle.dumps(sub)], pa.binary())})
+        return pa.table({"tree": pa.array([number], pa.int32()), "node": pa.array([node], pa.int64()), "sub": pa.array([pickle.dumps(Packed.of(sub))], pa.binary())})
 
     def join(t: pa.Table) -> pa.Table:
         number = t.column("tree")[0].as_py()
-        whole = tops[number]
-        for node, raw in sorted(zip(t.column("node").to_pylist(), t.column("sub").to_pylist()), key=lambda r: r[0]):
-            if node >= 0:
-                _graft(whole, node, pickle.loads(raw))
+        subs = sorted(((n, raw) for n, raw in zip(t.column("node").to_pylist(), t.column("sub").to_pylist()) if n >= 0), key=lambda r: r[0])
+        whole = Packed.of(tops[number]).grafted([(n, pickle.loads(raw)) for n, raw in subs])
         raw = pickle.dumps(whole)
         return pa.table({"tree": pa.array([number], pa.int32()), "model": pa.array([raw], pa.binary()), "size": pa.array([len(raw)], pa.int64()),
                          "nodes": pa.array([len(whole.feature)], pa.int64())})
 
-    subs = known.mapInArrow(deal, "tree int, node long, rid long, y int, k int, bins binary").groupBy("tree", "node").applyInArrow(finish, "tree int, node long, sub binary")
+    # a number of tasks by the rows to grow trees from: few bytes of rows are much work
+    tasks = max(1, min(len(small), int(drawn[:, :, 1].sum()) // SUBTREE_ROWS))
+    dealt = known.mapInArrow(deal, "tree int, node long, rid long, y int, k int, bins binary").repartition(tasks, "tree", "node")
+    subs = dealt.groupBy("tree", "node").applyInArrow(finish, "tree int, node long, sub binary")
     every = known.sparkSession.range(params.trees).select(F.col("id").cast("int").alias("tree"), F.lit(-1).cast("long").alias("node"), F.lit(None).cast("binary").alias("sub"))
     return materialize(subs.unionByName(every).groupBy("tree").applyInArrow(join, "tree int, model binary, size long, nodes long"), "forest")
 
 
-def _graft(tree: Tree, node: int, sub: Tree) -> None:
-    """Put a subtree in a node's place."""
-    shift = len(tree.feature) - 1  # the subtree's node i > 0 becomes i + shift
-    move = lambda i: -1 if i < 0 else i + shift
-    tree.feature[node], tree.cut[node], tree.left[node], tree.right[node], tree.value[node] = \
-        sub.feature[0], sub.cut[0], move(sub.left[0]), move(sub.right[0]), sub.value[0]
-    tree.feature += sub.feature[1:]
-    tree.cut += sub.cut[1:]
-    tree.left += [move(i) for i in sub.left[1:]]
-    tree.right += [move(i) for i in sub.right[1:]]
-    tree.value += sub.value[1:]
-
-
 def predict_forest(rows: DataFrame, forest: DataFrame, edges: list[np.ndarray], n_classes: int, features: str = "features") -> DataFrame:
     """All columns of ``rows`` with ``prediction``: the class of the largest mean probability (ties:
     the first). Trees are handed to the tasks in groups of at most about FOREST_BYTES; between
@@ -657,9 +701,7 @@ def predict_forest(rows: DataFrame, forest: DataFrame, edges: list[np.ndarray],
     out = rows.withColumn("_votes", F.lit(None).cast("binary"))
     for last, group in ((g is groups[-1], g) for g in groups):
         trees = [pickle.loads(bytes(r["model"])) for r in forest.where(F.col("tree").isin(group)).orderBy("tree").select("model").collect()]
-        for t in trees:
-            t.arrays()  # made once, here
-        shared = rows.sparkSession.sparkContext.broadcast([(t, np.array([v for v in t.value])) for t in trees])
+        shared = rows.sparkSession.sparkContext.broadcast(trees)
 
         def run(batches, shared=shared):
             for b in batches:
@@ -667,8 +709,8 @@ def predict_forest(rows: DataFrame, forest: DataFrame, edges: list[np.ndarray],
                 bins = np.stack([np.searchsorted(e, np.where(np.isnan(x[:, i]), np.inf, x[:, i])).astype(np.uint8) for i, e in enumerate(edges)], axis=1)
                 old = b.column(len(names)).to_pylist()
                 votes = np.frombuffer(b"".join(old), "<f8").reshape(len(x), n_classes).copy() if old and old[0] is not None else np.zeros((len(x), n_classes))
-                for tree, value in shared.value:
-                    votes += value[tree.node_of(bins)]
+                for tree in shared.value:
+                    votes += tree.share_of(bins)
                 yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], pa.array([v.tobytes() for v in votes], pa.binary())], names=[*names, "_votes"])
 
         types = dict(rows.dtypes)

@@ -202,3 +202,28 @@ def test_vector_sums(spark):
     # a task of the first level reads about the square root of the partials
     plan = VS.sum_vectors(df.withColumn("part", F.col("part")), ["k"], 100)
     assert plan._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 2
+
+
+def test_forest_takes_few_bytes(spark):
+    """A node of a stored forest is a few numbers and most leaves share their distribution; subtrees
+    are grown by as many tasks as their rows ask for, however few bytes these are."""
+    rng = np.random.default_rng(8)
+    rows = [(int(y), [float(v) for v in x]) for x, y in zip(rng.standard_normal((2000, 4)), rng.integers(0, 3, 2000))]
+    df = spark.createDataFrame(rows, "label_id int, features array<double>")
+    edges = TR.bin_edges(df, 4)
+    model = TR.fit_forest(TR.binned(df, edges), 4, 3, TR.ForestParams(trees=3)).collect()
+    assert all(r["nodes"] > 400 and r["size"] < 30 * r["nodes"] + 2000 for r in model)
+
+
+def test_subtrees_in_their_places():
+    tree, subs = TR.Tree(), {}
+    left, right = tree.split(0, 0, 5)
+    for node in (left, right):
+        sub = TR.Tree()
+        a, b = sub.split(0, 1, node)
+        sub.value = [np.zeros(2), np.array([1.0, 0.0]), np.array([0.25, 0.75])]
+        subs[node] = TR.Packed.of(sub)
+    tree.value = [np.zeros(2)] * 3
+    got = TR.Packed.of(tree).grafted(sorted(subs.items()))
+    x = np.array([[5, 1], [5, 2], [6, 2], [6, 3]], np.uint8)
+    assert got.share_of(x).tolist() == [[1.0, 0.0], [0.25, 0.75]] * 2 and len(got.shares) == 3

@@ -108,6 +108,42 @@ def test_boosting_learns_and_stops(spark, monkeypatch):
     assert np.allclose(TR.fit_boosted(b, 4, 3, p).raw(x), a.raw(x)) and np.allclose(a.raw(x), c.raw(x))
 
 
+@pytest.mark.parametrize("refresh", [1, 2, 10])
+def test_boosting_of_blocks(spark, refresh, monkeypatch):
+    """With a held-out tenth, the blocks kept between jobs give the trees of one task, at a job a level and
+    none more for the loss; nothing stays kept."""
+    _, _, b = data(spark, n=1200, seed=6)
+    p = TR.BoostParams(iterations=12, stop_above=1000, patience=3, learning_rate=0.4, max_depth=3)
+    want = TR.fit_boosted(b, 4, 3, p)
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(TR, "BLOCK_BYTES", 2_000)  # 62 rows
+    sc = spark.sparkContext
+    had, group = sc._jsc.getPersistentRDDs().size(), f"boost-{refresh}"
+    sc.setJobGroup(group, group)
+    try:
+        got = TR.fit_boosted(b, 4, 3, p, refresh=refresh)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    x, _, _ = local(b)
+    assert 3 < len(got.rounds) == len(want.rounds) and np.allclose(got.raw(x), want.raw(x))
+    jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    assert jobs <= (3 + 2 / refresh) * (len(got.rounds) + 1) + 8  # writing the scores takes two
+    assert sc._jsc.getPersistentRDDs().size() == had
+
+
+@pytest.mark.parametrize("splits", [0, 1, 30, 63, 64, 120])
+def test_nodes_by_columns(splits):
+    """Trees of up to 64 leaves by tables, larger ones by steps."""
+    rng = np.random.default_rng(splits)
+    tree, leaves = TR.Tree(), [0]
+    x = rng.integers(0, 256, (4, 3000)).astype(np.uint8)
+    for _ in range(splits):
+        leaves += tree.split(leaves.pop(int(rng.integers(len(leaves)))), int(rng.integers(4)), int(rng.integers(256)))
+        if splits == 30:  # a grown tree's tables are made anew
+            assert (tree.node_of_columns(x) == tree.node_of(x.T)).all()
+    assert (tree.node_of_columns(x) == tree.node_of(np.ascontiguousarray(x.T))).all()
+
+
 def plain_forest_tree(x, y, w, classes, seed, number):
     """One tree grown by recursion with every cut tried by itself."""
     def grow(at, path):

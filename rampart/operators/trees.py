@@ -434,7 +434,7 @@ def _block_histograms(blocks: RDD, trees: list[Tree], slot_of: list[np.ndarray],
             yield from ((part, i, bytearray(v)) for i, v in pieces(whole))
 
     size = slots * n_features * MAX_BINS * 3
-    v = total(blocks.mapPartitionsWithIndex(run).toDF("part long, piece long, v binary"), size + 2, parts)
+    v = total(blocks.mapPartitionsWithIndex(run), size + 2, parts)
     return v[:size].reshape(slots, n_features, MAX_BINS, 3), float(v[size] / max(v[size + 1], 1))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +54,16 @@ def sum_vectors(partials: DataFrame, keys: Sequence[str], parts: int) -> DataFra
     return partials.select(*out).groupBy(*keys, "piece").applyInArrow(add, schema)
 
 
-def total(partials: DataFrame, size: int, parts: int) -> np.ndarray:
-    """One vector of ``size`` doubles from partials without keys: a few small partials are added
-    on the driver, others in two levels (the driver then gets the sum alone)."""
-    if parts * size * 8 <= DRIVER_BYTES:
+def total(partials: DataFrame | RDD, size: int, parts: int) -> np.ndarray:
+    """One vector of ``size`` doubles from partials without keys, rows or tuples of (part, piece, v): a few
+    small partials are added on the driver, others in two levels (the driver then gets the sum alone)."""
+    small, plain = parts * size * 8 <= DRIVER_BYTES, isinstance(partials, RDD)
+    if small and plain:
+        rows = [{"piece": piece, "v": v} for _, piece, v in partials.collect()]
+    elif small:
         rows = partials.select("piece", "v").collect()
     else:
-        rows = sum_vectors(partials, [], parts).collect()
+        rows = sum_vectors(partials.toDF("part long, piece long, v binary") if plain else partials, [], parts).collect()
     by: dict[int, list[bytes]] = {}
     for r in rows:
         by.setdefault(r["piece"], []).append(bytes(r["v"]))

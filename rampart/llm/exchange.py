@@ -58,9 +58,7 @@ class KeySet:
 
     def __init__(self, k1: np.ndarray, k2: np.ndarray | None = None, group: np.ndarray | None = None):
         cols = [k1] if k2 is None else [k1, k2]
-        order = np.argsort(k1, kind="stable") if k2 is None else np.lexsort((k2, k1))
-        if group is not None:
-            order = np.lexsort((group, *cols[::-1]))
+        order = np.argsort(k1) if k2 is None else np.lexsort((k2, k1))
         cols = [c[order] for c in cols]
         new = np.ones(len(k1), bool)
         if len(k1):
@@ -76,8 +74,7 @@ class KeySet:
             g = group[order]
             self.multi = np.zeros(len(first), bool)
             if len(k1):
-                twice = np.flatnonzero(~new[1:] & (g[1:] != g[:-1])) + 1
-                self.multi[ids[twice]] = True
+                self.multi = np.minimum.reduceat(g, first) != np.maximum.reduceat(g, first)
 
     def slices(self, bits: int):
         """(bucket, from, to): buckets are the leading bits of the first key, so contiguous."""

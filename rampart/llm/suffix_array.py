@@ -8,24 +8,32 @@ from __future__ import annotations
 
 import numpy as np
 
+from rampart.llm.textkit import loads8
 
-def _dealt(p: np.ndarray, ch: np.ndarray, k: int):
-    """Indices ``p`` stably ordered by symbol, their symbols, counts, and place in the symbol."""
-    if len(p) < 48:  # a short block: plain stable order, no counting over the whole alphabet
-        order = np.argsort(ch, kind="stable")
+
+def _dealt(ch: np.ndarray, k: int):
+    """Order of ``ch`` by symbol (stable), the symbols that occur, and their counts."""
+    order = np.argsort(ch, kind="stable")
+    if len(ch) * 8 < k:  # a short block: no counting over the whole alphabet
         c = ch[order]
         new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        cnt = np.diff(np.append(new, len(c)))
-        return p[order], c, c[new], cnt, np.arange(len(c)) - np.repeat(new, cnt)
-    order = np.argsort(ch, kind="stable")
-    c = ch[order]
+        return order, c[new], np.diff(np.append(new, len(c)))
     cnt = np.bincount(ch, minlength=k)
     sym = np.flatnonzero(cnt)
-    cnt = cnt[sym]
-    return p[order], c, sym, cnt, np.arange(len(c)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+    return order, sym, cnt[sym]
+
+
+def _before(t: np.ndarray, k: int, is_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix, the symbol before it where that opens a larger (a smaller) suffix, else k."""
+    kind = np.uint16 if k < 65536 else np.int32
+    out = np.full((2, len(t)), k, kind)
+    sym, none = t[:-1].astype(kind), kind(k)
+    out[0, 1:] = np.where(is_s[:-1], none, sym)
+    out[1, 1:] = np.where(is_s[:-1], sym, none)
+    return out[0], out[1]
 
 
-def _induce(t: np.ndarray, k: int, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+def _induce(t: np.ndarray, k: int, before: tuple[np.ndarray, np.ndarray], lms: np.ndarray) -> np.ndarray:
     """Sort all suffixes of ``t`` from the order of its leftmost-smaller ones within buckets."""
     n = len(t)
     size = np.bincount(t, minlength=k)
@@ -33,21 +41,25 @@ def _induce(t: np.ndarray, k: int, is_s: np.ndarray, lms: np.ndarray) -> np.ndar
     start = end - size
     sa = np.full(n, -1, np.int32)
     used = np.flatnonzero(size)
+    before_larger, before_smaller = before
     # leftmost-smaller suffixes at the bucket ends, in the given order
     lms_at = end.copy()
     if len(lms):
-        p, c, sym, cnt, within = _dealt(lms, t[lms], k)
+        order, sym, cnt = _dealt(t[lms], k)
         lms_at[sym] -= cnt
-        sa[lms_at[c] + within] = p
+        sa[np.arange(len(lms)) + np.repeat(lms_at[sym] + cnt - np.cumsum(cnt), cnt)] = lms[order]
     head = start.copy()
 
     def push_larger(block: np.ndarray) -> None:
-        p = block - 1
-        p = p[p >= 0]
-        p = p[~is_s[p]]
-        if len(p):
-            p, c, sym, cnt, within = _dealt(p, t[p], k)
-            sa[head[c] + within] = p
+        ch = before_larger.take(block)
+        at = np.flatnonzero(ch != k)
+        if len(at) == 1:
+            c = ch[at[0]]
+            sa[head[c]] = block[at[0]] - 1
+            head[c] += 1
+        elif len(at):
+            order, sym, cnt = _dealt(ch[at], k)
+            sa[np.arange(len(at)) + np.repeat(head[sym] + cnt - np.cumsum(cnt), cnt)] = block[at[order]] - 1
             head[sym] += cnt
 
     first = int(t[n - 1])  # the empty suffix sorts first; its predecessor opens its bucket
@@ -63,12 +75,15 @@ def _induce(t: np.ndarray, k: int, is_s: np.ndarray, lms: np.ndarray) -> np.ndar
     tail = end.copy()
 
     def push_smaller(block: np.ndarray) -> None:
-        p = block - 1
-        p = p[p >= 0]
-        p = p[is_s[p]]
-        if len(p):
-            p, c, sym, cnt, within = _dealt(p, t[p], k)
-            sa[tail[c] - 1 - within] = p
+        ch = before_smaller.take(block)
+        at = np.flatnonzero(ch != k)
+        if len(at) == 1:
+            c = ch[at[0]]
+            tail[c] -= 1
+            sa[tail[c]] = block[at[0]] - 1
+        elif len(at):
+            order, sym, cnt = _dealt(ch[at], k)
+            sa[np.repeat(tail[sym] - 1 + np.cumsum(cnt) - cnt, cnt) - np.arange(len(at))] = block[at[order]] - 1
             tail[sym] -= cnt
 
     for c in used[::-1].tolist():
@@ -84,8 +99,8 @@ def _induce(t: np.ndarray, k: int, is_s: np.ndarray, lms: np.ndarray) -> np.ndar
 def _by_doubling(r: np.ndarray) -> np.ndarray:
     """Suffix array of an integer string by rank doubling over the groups not yet separated."""
     n = len(r)
-    order = np.argsort(r, kind="stable")
-    s = r[order]
+    both = np.sort((r.astype(np.int64) << 32) | np.arange(n))  # symbols and places are 31-bit numbers
+    order, s = both & 0xFFFFFFFF, both >> 32
     new = np.append(True, s[1:] != s[:-1])
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
@@ -100,7 +115,7 @@ def _by_doubling(r: np.ndarray) -> np.ndarray:
         idx = order[live]
         nxt = rank[np.minimum(idx + step, n)]
         key = group[live]
-        o = np.lexsort((nxt, key))
+        o = np.argsort(key * (n + 1) + nxt)  # below 2^62, as places are 32-bit numbers
         idx, nxt, key = idx[o], nxt[o], key[o]
         order[live] = idx  # groups keep their places, members are refined inside them
         brk = np.append(True, (key[1:] != key[:-1]) | (nxt[1:] != nxt[:-1]))
@@ -110,16 +125,6 @@ def _by_doubling(r: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def words8(t: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as a big-endian number (zeros past the end)."""
-    pad = np.concatenate([t, np.zeros(8, np.uint8)])
-    out = np.zeros(len(t), np.uint64)
-    for i in range(8):
-        out <<= np.uint64(8)
-        out |= pad[i:i + len(t)]
-    return out
-
-
 def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
     """Suffix array of ``t`` (symbols 0 .. k - 1): classify suffixes, sort the leftmost-smaller
     substrings by induction, name them, order the named string recursively, induce the rest."""
@@ -133,9 +138,10 @@ def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[1:] = is_s[1:] & ~is_s[:-1]
     lms = np.flatnonzero(is_lms)
+    before = _before(t, k, is_s)
     if not len(lms):
-        return _induce(t, k, is_s, lms)
-    sa = _induce(t, k, is_s, lms)
+        return _induce(t, k, before, lms)
+    sa = _induce(t, k, before, lms)
     by_sub = sa[is_lms[sa]].astype(np.int64)
     m = len(lms)
     length = np.empty(n, np.int32)
@@ -162,7 +168,7 @@ def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
         else:
             order = _by_doubling(r)
         by_sub = lms[order]
-    return _induce(t, k, is_s, by_sub)
+    return _induce(t, k, before, by_sub)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -172,39 +178,28 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
-    phi = np.empty(n, np.int64)
-    phi[sa[0]] = -1
-    phi[sa[1:]] = sa[:-1]
-    left = np.ones(n, bool)
-    i = np.arange(1, n)
-    j = phi[1:]
-    left[1:] = (j <= 0) | (t[i - 1] != t[np.maximum(j - 1, 0)])
-    irr = np.flatnonzero(left)
-    w8 = words8(t)
-    val = np.zeros(len(irr), np.int64)
-    live = np.flatnonzero(phi[irr] >= 0)
-    off = 0
+    left = t[sa - 1]
+    new = np.ones(n, bool)
+    new[1:] = (left[1:] != left[:-1]) | (sa[1:] == 0) | (sa[:-1] == 0)
+    rank = np.flatnonzero(new)[1:]  # the first suffix has no predecessor
+    x, y = sa[rank].astype(np.int64), sa[rank - 1].astype(np.int64)
+    w8 = loads8(t)
+    val = np.zeros(len(rank), np.int64)
+    live, off = np.arange(len(rank)), 0
     while len(live):
-        x, y = irr[live] + off, phi[irr[live]] + off
-        ok = np.maximum(x, y) < n
-        diff = w8[np.minimum(x, n - 1)] ^ w8[np.minimum(y, n - 1)]
-        # equal leading bytes, not past either end
-        lead = np.full(len(live), 8, np.int64)
-        nz = diff != 0
-        lead[nz] = (63 - _top_bit(diff[nz])) // 8
-        lead = np.where(ok, np.minimum(lead, n - np.maximum(x, y)), 0)
+        a, b = x[live] + off, y[live] + off
+        lead = np.minimum(_equal_bytes(w8[a] ^ w8[b]), n - np.maximum(a, b))
         val[live] += lead
-        live = live[ok & (lead == 8)]
+        live = live[lead == 8]
         off += 8
-    at = np.maximum.accumulate(np.where(left, np.arange(n), 0))
-    base = np.zeros(n, np.int64)
-    base[irr] = val
-    return base[at] - (np.arange(n) - at)
-
-
-def _top_bit(x: np.ndarray) -> np.ndarray:
-    """Index of the highest set bit of non-zero 64-bit numbers."""
-    hi = (x >> np.uint64(32)).astype(np.uint64)
-    big = hi != 0
-    part = np.where(big, hi, x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    return np.frexp(part)[1].astype(np.int64) - 1 + np.where(big, 32, 0)
+    # a common prefix never ends before that of the position to the left
+    reach = np.zeros(n, np.int64)
+    reach[sa[0]] = sa[0]
+    reach[x] = val + x
+    return np.maximum.accumulate(reach) - np.arange(n)
+
+
+def _equal_bytes(diff: np.ndarray) -> np.ndarray:
+    """Bytes (of 8, little-endian) below the lowest set bit."""
+    low = (diff & -diff).astype(np.float64)  # a power of two: its exponent is exact
+    return np.where(diff == 0, 8, ((low.view(np.int64) >> 52) - 1023) >> 3)

@@ -54,6 +54,17 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
+def gram_hashes(t: np.ndarray, size: int, base: int) -> np.ndarray:
+    """``span_hash`` of the ``size`` bytes from every position, without the final mix: the leading
+    bits, which order grams, depend on all their bytes but one."""
+    pre = np.zeros(len(t) + 1, np.uint64)
+    np.multiply(t, powers(base, len(t)), out=pre[1:])
+    np.cumsum(pre, out=pre)
+    out = pre[size:] - pre[:-size]
+    out *= powers(pow(base, -1, 1 << 64), len(out))
+    return out
+
+
 def key_runs(buf: np.ndarray, offs: np.ndarray, window: int, gram: int):
     """Runs of neighbouring windows of one document with one key: (start, windows, key, doc).
 
@@ -62,21 +73,20 @@ def key_runs(buf: np.ndarray, offs: np.ndarray, window: int, gram: int):
     alike (``_ordered``).
     """
     out = []
+    edges = np.concatenate([offs, np.maximum(offs[1:] - window + 1, offs[:-1])])  # first windows inside and outside
     for lo in range(0, max(1, len(buf)), _BLOCK):
         part = buf[lo:lo + _BLOCK + window - 1]
         if len(part) < window:
             break
-        grams = span_hash(part, np.arange(len(part) - gram + 1), gram, _BASES[0])
-        low = _sliding_min(grams, window - gram + 1)
-        doc = np.searchsorted(offs, np.arange(lo, lo + len(low)), side="right") - 1
-        inside = np.arange(lo, lo + len(low)) + window <= offs[doc + 1]
-        at = np.flatnonzero(inside)
-        if not len(at):
-            continue
-        v, d = low[at], doc[at]
-        new = np.append(True, (v[1:] != v[:-1]) | (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1))
+        low = _sliding_min(gram_hashes(part, gram, _BASES[0]), window - gram + 1)
+        new = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        new[edges[(edges >= lo) & (edges < lo + len(low))] - lo] = True
         first = np.flatnonzero(new)
-        out.append((at[first] + lo, np.diff(np.append(first, len(at))), mix64(v[first], 3), d[first]))
+        n, start = np.diff(np.append(first, len(low))), first + lo
+        doc = np.searchsorted(offs, start, side="right") - 1
+        inside = start + window <= offs[doc + 1]
+        out.append((start[inside], n[inside], mix64(low[first[inside]], 3), doc[inside]))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), z
@@ -290,10 +300,11 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
         later = np.repeat(x.doc_id > x.doc_id[x.rep][x.tile], x.n)
         said = bits_[np.repeat(at[x.tile], x.n) + _ranges(x.n)]
         hit = win[later | said]
-        cover = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + window, -1)
-        gone = np.cumsum(cover)[:-1] > 0
+        opening = np.zeros(len(buf), bool)
+        opening[hit] = True
+        cover = np.cumsum(opening, dtype=np.int32)
+        gone = cover > 0
+        gone[window:] = cover[window:] != cover[:-window]  # a hit window opens within the last ``window`` bytes
         n_bytes = np.diff(offs)
         doc = np.repeat(np.arange(len(t)), n_bytes)
         opens = gone.copy()

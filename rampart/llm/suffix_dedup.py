@@ -29,19 +29,19 @@ ANSWERS = "part long, bucket long, bits binary, step int"
 GRAM = 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NO_DOC = np.iinfo(np.int64).max  # null ids sort after every other id
-_BLOCK = 1 << 19
-SHARD_BYTES = 1 << 20  # tile bytes of a shard on average: an induced sort holds about 100 times that
+_BLOCK = 1 << 16  # arrays of a block stay in the processor's cache
+SHARD_BYTES = 2 << 20  # tile bytes of a shard on average: the induced sort holds about 100 times those of repeated windows
 HOT_BYTES = 2 << 20  # distinct tile bytes of one key beyond which its windows go to shards of their own
 _HOT_BITS = 3  # a window sent alone takes ``window`` bytes, so cut keys are dealt to more shards
 
 
 def span_hash(t: np.ndarray, start: np.ndarray, size, base: int) -> np.ndarray:
     """Polynomial hash of ``t[start:start + size]``: it deals spans out, their bytes decide."""
-    p = powers(base, len(t) + 1)
     pre = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum((t.astype(np.uint64) + np.uint64(1)) * p[:len(t)], out=pre[1:])
+    np.multiply(t, powers(base, len(t)), out=pre[1:])
+    np.cumsum(pre, out=pre)
     inv = powers(pow(base, -1, 1 << 64), len(t) + 1)
-    return mix64((pre[start + size] - pre[start]) * inv[start], 7)
+    return mix64((pre[start + size] - pre[start]) * inv[start] + np.asarray(size).astype(np.uint64), 7)
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -201,7 +201,46 @@ def _ranges(n: np.ndarray) -> np.ndarray:
 
 def window_minima(t: np.ndarray, size: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
     """For every window of the tiles laid end to end in ``t`` (in text order): the smallest
-    document among the tiles that hold an equal window."""
+    document among the tiles that hold an equal window. A window whose hash occurs once equals
+    no other; the distinct runs of the others are sorted."""
+    n = size - window + 1
+    first = np.cumsum(n) - n
+    at = np.repeat(np.cumsum(size) - size - first, n) + np.arange(int(n.sum()))
+    out = np.repeat(docs, n)
+    again = np.flatnonzero(_repeated(gram_hashes(t, window, _BASES[1])[at]))
+    if not len(again):
+        return out
+    opens = np.zeros(len(at), bool)
+    opens[first] = True
+    new = opens[again]
+    new[0] = True
+    new[1:] |= again[1:] != again[:-1] + 1
+    lead = np.flatnonzero(new)
+    n = np.diff(np.append(lead, len(again)))
+    start, size, docs = at[again[lead]], n + window - 1, out[again[lead]]
+    order, new = _distinct(t, start, size, docs)
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(new) - 1
+    rep = order[new]  # of each distinct run, its occurrence in the smallest document
+    low = sorted_minima(gather(t, start[rep], size[rep]), size[rep], docs[rep], window)
+    first = np.cumsum(n[rep]) - n[rep]
+    out[again] = low[np.repeat(first[run], n) + _ranges(n)]
+    return out
+
+
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Whether each number occurs more than once."""
+    order = np.argsort(h)
+    s = h[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    out = np.empty(len(h), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
+def sorted_minima(t: np.ndarray, size: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """``window_minima`` by the suffix array of all tiles."""
     end = np.repeat(np.cumsum(size), size)
     valid = np.arange(len(t)) + window <= end
     sa = suffix_array(t)
@@ -296,26 +335,29 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, doc_id: st
             m = int(n_rep[lo:hi].sum())
             bits_[at[lo]:at[lo] + m] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=m)
         # a later document of the part loses the whole tile, the first one what the shard said
-        win = np.repeat(x.start, x.n) + _ranges(x.n)
-        later = np.repeat(x.doc_id > x.doc_id[x.rep][x.tile], x.n)
-        said = bits_[np.repeat(at[x.tile], x.n) + _ranges(x.n)]
-        hit = win[later | said]
+        later = x.doc_id > x.doc_id[x.rep][x.tile]
+        some = np.logical_or.reduceat(bits_, at) if len(at) else bits_
+        k = np.flatnonzero(later | some[x.tile])
+        n, within = x.n[k], _ranges(x.n[k])
+        lost = np.repeat(later[k], n) | bits_[np.repeat(at[x.tile[k]], n) + within]
         opening = np.zeros(len(buf), bool)
-        opening[hit] = True
-        cover = np.cumsum(opening, dtype=np.int32)
-        gone = cover > 0
-        gone[window:] = cover[window:] != cover[:-window]  # a hit window opens within the last ``window`` bytes
+        opening[(np.repeat(x.start[k], n) + within)[lost]] = True
+        hit = np.flatnonzero(opening)
+        # hit windows of one document that overlap or touch are one removed span
+        doc = np.searchsorted(offs, hit, side="right") - 1
+        new = np.ones(len(hit), bool)
+        new[1:] = (hit[1:] > hit[:-1] + window) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        start, doc = hit[first], doc[first]
+        end = hit[np.append(first[1:], len(hit)) - 1] + window if len(hit) else hit
         n_bytes = np.diff(offs)
-        doc = np.repeat(np.arange(len(t)), n_bytes)
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        cut = offs[:-1][n_bytes > 0]
-        opens[cut] = gone[cut]  # runs never cross documents
-        raw, keep = buf[~gone].tobytes(), np.append(0, np.cumsum(~gone))[offs]
+        n_removed = np.bincount(doc, end - start, len(t)).astype(np.int64)
+        stay = np.resize(np.array([True, False]), 2 * len(start) + 1).repeat(np.diff(np.concatenate([[0], np.stack([start, end], axis=1).ravel(), [len(buf)]])))
+        raw, keep = buf[stay].tobytes(), np.append(0, np.cumsum(n_bytes - n_removed))
         kept = [raw[a:b] for a, b in zip(keep[:-1].tolist(), keep[1:].tolist())]
         return pa.table({"doc_id": t.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()),
-                         "n_removed": pa.array(np.bincount(doc[gone], minlength=len(t)), pa.int64()),
-                         "n_spans": pa.array(np.bincount(doc[opens], minlength=len(t)), pa.int64()),
+                         "n_removed": pa.array(n_removed, pa.int64()),
+                         "n_spans": pa.array(np.bincount(doc, minlength=len(t)), pa.int64()),
                          "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                          "kept_bytes": pa.array(kept, pa.binary())})
 

@@ -379,3 +379,36 @@ def test_line_dedup_within_a_document_and_by_shuffle(spark, monkeypatch):
 def test_line_dedup_stays_native(spark):
     plan = line_dedup(frame(spark, [(1, "a\nb"), (2, "a")]))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_only_repeated_windows_are_sorted(monkeypatch):
+    """A shard's windows by their bytes: tiles with repeats inside, across and around them; what occurs once is not sorted."""
+    rng = np.random.default_rng(12)
+    sorted_bytes = []
+    monkeypatch.setattr(SD, "suffix_array", lambda t: sorted_bytes.append(len(t)) or suffix_array(t))
+    for alphabet, window in ((4, 6), (200, 50), (1, 5)):
+        shared = rng.integers(0, alphabet, 2 * window).astype(np.uint8)
+        tiles = [rng.integers(0, alphabet, int(n)).astype(np.uint8) for n in rng.integers(window, 4 * window, 300)]
+        tiles[10:20] = [np.concatenate([t, shared[i:i + window + i // 2], t]) for i, t in enumerate(tiles[10:20])]
+        tiles[30], tiles[31] = shared[:window], shared
+        size, docs = np.array([len(t) for t in tiles]), rng.integers(0, 50, 300)
+        owner: dict[bytes, int] = {}
+        pieces = [(t[i:i + window].tobytes(), int(d)) for t, d in zip(tiles, docs) for i in range(len(t) - window + 1)]
+        for p, d in pieces:
+            owner[p] = min(owner.get(p, d), d)
+        sorted_bytes.clear()
+        assert SD.window_minima(np.concatenate(tiles), size, docs, window).tolist() == [owner[p] for p, _ in pieces]
+        assert alphabet < 200 or sum(sorted_bytes) < size.sum() / 10
+    once = rng.permutation(200).astype(np.uint8)
+    sorted_bytes.clear()
+    assert SD.window_minima(once, np.array([100, 100]), np.array([3, 1]), 50).tolist() == [3] * 51 + [1] * 51 and not sorted_bytes
+
+
+def test_removed_spans_meet_at_document_ends(spark):
+    """Spans that touch are one in a document and two where a document ends between them."""
+    a, b, c = ("".join(chr(first + int(x)) for x in np.random.default_rng(first).integers(0, 10, 50)) for first in (48, 65, 97))
+    rows = [(1, a), (2, b), (3, a + b), (4, a), (5, b), (6, a + c + b), (7, c), (8, a + "." + b), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in suffix_dedup(df).collect()}
+    assert got == {1: (50, 0, 0, a.encode()), 2: (50, 0, 0, b.encode()), 3: (100, 100, 1, b""), 4: (50, 50, 1, b""), 5: (50, 50, 1, b""),
+                   6: (150, 100, 2, c.encode()), 7: (50, 50, 1, b""), 8: (101, 100, 2, b"."), 9: (0, 0, 0, b"")}

@@ -8,7 +8,8 @@ give the splits. Histograms of one job are bounded by memory: more nodes take mo
 * Boosting: one tree a class and iteration on the gradients of the softmax loss; of two siblings
   the one with fewer rows is counted, the other one follows by subtraction.
 * Forest: Poisson bootstraps by hash, class weights balanced within each bootstrap, trees without
-  a depth limit. A node of few rows is finished by one task with all the rows of its subtree.
+  a depth limit. Rows of equal bins and label are one cell with its draws; a node whose cells a task can
+  hold is finished by that task, a level of its subtree at a time.
 """
 
 from __future__ import annotations
@@ -29,12 +30,16 @@ from rampart.session import discard, materialize
 MAX_BINS = 256
 #: bytes of histograms a task adds up in one job
 HISTOGRAM_BYTES = 64 << 20
-#: rows of a node (over its bootstrap) that one task finishes
+#: rows that boosting fits in one task
 LOCAL_ROWS = 20_000
-#: rows that one task of the last step grows subtrees from, about
+#: cells (over its bootstrap) that one task of a forest's last step grows subtrees from, about
 SUBTREE_ROWS = 5_000
-#: rows below which a node is split by sorting them rather than by a histogram
+#: bytes of the cells of a node that one task finishes
+SUBTREE_BYTES = 128 << 20
+#: rows below which a forest's rows are not combined over tasks
 SMALL_ROWS = 1_000
+#: bytes of cells that meet in one task, about
+CELL_BYTES = 8 << 20
 #: bytes of trees a task is handed at once when a forest predicts
 FOREST_BYTES = 64 << 20
 #: bytes of a block of rows while boosting, about
@@ -156,52 +161,65 @@ def _walk(x: np.ndarray, f: np.ndarray, cut: np.ndarray, left: np.ndarray, right
 @dataclass
 class Packed:
     """A grown tree of distributions as few bytes: nodes as arrays, and of the leaves' distributions
-    (most leaves hold one class) each once. Nodes that are no leaves keep none."""
+    (most leaves hold one class) each once. ``link`` is a node's left child, which the right one
+    follows, or a leaf's distribution."""
 
     feature: np.ndarray
     cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    kind: np.ndarray
+    link: np.ndarray
     shares: np.ndarray
 
     @classmethod
     def of(cls, t: Tree) -> Packed:
-        f = np.array(t.feature, np.int32)
-        value = np.array(t.value, np.float64).reshape(len(f), -1)
-        value[f >= 0] = 0.0
-        shares, kind = np.unique(value, axis=0, return_inverse=True)
-        return cls(f, np.array(t.cut, np.uint8), np.array(t.left, np.int32), np.array(t.right, np.int32), kind.reshape(-1).astype(np.int32), shares)
+        return cls.made(np.array(t.feature), np.array(t.cut), np.array(t.left), np.array(t.value, np.float64).reshape(len(t.feature), -1))
+
+    @classmethod
+    def made(cls, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, value: np.ndarray) -> Packed:
+        leaf = feature < 0
+        shares, kind = distinct_rows(np.where(leaf[:, None], value, 0.0))
+        return cls(feature.astype(np.int16 if feature.max() < 1 << 15 else np.int32), cut.astype(np.uint8), np.where(leaf, kind, left).astype(np.int32), shares)
 
     @property
     def value(self) -> np.ndarray:
-        return self.shares[self.kind]
+        return np.where((self.feature < 0)[:, None], self.shares[np.where(self.feature < 0, self.link, 0)], 0.0)
 
     def node_of(self, x: np.ndarray) -> np.ndarray:
-        return _walk(x, self.feature, self.cut, self.left, self.right)
+        """The node each row of bins ends in."""
+        out = np.zeros(len(x), np.int64)
+        if self.feature[0] < 0 or not len(x):
+            return out
+        flat, wide = np.ascontiguousarray(x).ravel(), x.shape[1]
+        live = np.arange(len(x))
+        at, f, row = out, np.full(len(x), self.feature[0], np.int64), live * wide
+        while len(live):
+            at = self.link.take(at) + (flat.take(row + f) > self.cut.take(at))
+            f = self.feature.take(at)
+            inner = f >= 0
+            if not inner.all():
+                out[live[~inner]] = at[~inner]
+                live, at, f, row = live[inner], at[inner], f[inner], row[inner]
+        return out
 
     def share_of(self, x: np.ndarray) -> np.ndarray:
         """The distribution of each row's leaf."""
-        return self.shares[self.kind[self.node_of(x)]]
+        return self.shares.take(self.link.take(self.node_of(x)), axis=0)
 
     def grafted(self, subs: list[tuple[int, Packed]]) -> Packed:
         """The tree with each subtree in its node's place."""
-        names = ("feature", "cut", "left", "right", "kind")
-        cols = {c: [getattr(self, c).copy()] for c in names}
+        feature, cut, link = [self.feature.astype(np.int32)], [self.cut.copy()], [self.link.copy()]
         at, seen, shares = len(self.feature), len(self.shares), [self.shares]
         for node, sub in subs:
-            moved = {"feature": sub.feature, "cut": sub.cut, "kind": sub.kind + np.int32(seen),
-                     # a subtree's node i > 0 becomes i + at - 1
-                     **{c: np.where(getattr(sub, c) < 0, -1, getattr(sub, c) + (at - 1)).astype(np.int32) for c in ("left", "right")}}
-            for c in names:
-                cols[c][0][node] = moved[c][0]
-                cols[c].append(moved[c][1:])
+            moved = np.where(sub.feature < 0, sub.link + seen, sub.link + (at - 1))  # a subtree's node i > 0 becomes i + at - 1
+            for whole, part in ((feature, sub.feature), (cut, sub.cut), (link, moved)):
+                whole[0][node] = part[0]
+                whole.append(part[1:])
             at += len(sub.feature) - 1
             seen += len(sub.shares)
             shares.append(sub.shares)
-        whole = {c: np.concatenate(v) for c, v in cols.items()}
-        every, kind = np.unique(np.concatenate(shares), axis=0, return_inverse=True)
-        return Packed(**{**whole, "kind": kind.reshape(-1).astype(np.int32)[whole["kind"]]}, shares=every)
+        feature, cut, link = (np.concatenate(c) for c in (feature, cut, link))
+        every, kind = distinct_rows(np.concatenate(shares))
+        leaf = feature < 0
+        return Packed(feature.astype(np.int16 if feature.max() < 1 << 15 else np.int32), cut, np.where(leaf, kind[np.where(leaf, link, 0)], link).astype(np.int32), every)
 
 
 # ------------------------------------------------------------------ histograms
@@ -583,6 +601,78 @@ def feature_order(seed: int, tree: int, path: str, n: int) -> np.ndarray:
     return np.random.default_rng(int.from_bytes(d, "little")).permutation(n)
 
 
+def feature_orders(seed: int, tree: int, paths: list[bytes], n: int) -> np.ndarray:
+    """``feature_order`` of many nodes, a row each: numpy's generator for all of them at once."""
+    head = f"{seed}:{tree}:".encode()
+    raw = np.frombuffer(b"".join([hashlib.blake2b(head + p, digest_size=8).digest() for p in paths]), "<u8")
+    out = np.tile(np.arange(n), (len(raw), 1))
+    (hi, lo), inc = _seeded(raw)
+    rest, has = np.zeros(len(raw), np.uint64), np.zeros(len(raw), bool)  # the upper half of a word serves the next draw
+    for i in range(n - 1, 0, -1):
+        mask, live, j = np.uint64((1 << i.bit_length()) - 1), np.arange(len(raw)), np.zeros(len(raw), np.int64)
+        while len(live):  # drawn again until it is at most i
+            fresh = live[~has[live]]
+            hi[fresh], lo[fresh] = _step(hi[fresh], lo[fresh], inc[0][fresh], inc[1][fresh])
+            x, turn = hi[fresh] ^ lo[fresh], hi[fresh] >> np.uint64(58)
+            x = (x >> turn) | (x << ((np.uint64(64) - turn) & np.uint64(63)))
+            draw = rest[live]
+            draw[~has[live]] = x & _LOW
+            has[live] = ~has[live]
+            rest[fresh] = x >> np.uint64(32)
+            draw &= mask
+            j[live] = draw
+            live = live[draw > i]
+        at = np.arange(len(raw))
+        out[at, j], out[at, i] = out[at, i], out[at, j]
+    return out
+
+
+_LOW = np.uint64(0xFFFFFFFF)
+_PCG = (np.uint64(0x2360ED051FC65DA4), np.uint64(0x4385DF649FCCF645))
+
+
+def _step(hi: np.ndarray, lo: np.ndarray, inc_hi: np.ndarray, inc_lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A step of the 128-bit congruential generator (PCG64) whose state is two words."""
+    half = np.uint64(32)
+    a, b, c, d = lo >> half, lo & _LOW, _PCG[1] >> half, _PCG[1] & _LOW
+    low, mid = b * d, a * d
+    mid2 = (low >> half) + (mid & _LOW) + b * c
+    high = a * c + (mid >> half) + (mid2 >> half) + hi * _PCG[1] + lo * _PCG[0]
+    low = lo * _PCG[1] + inc_lo
+    return high + inc_hi + (low < inc_lo), low
+
+
+def _seeded(raw: np.ndarray):
+    """(state, increment) of ``np.random.PCG64`` seeded with each number, each as two words."""
+    n32, shift = np.uint32, np.uint32(16)
+    const = 0x43B0D7E5
+
+    def mixed(v):
+        nonlocal const
+        v = v ^ n32(const)
+        const = const * 0x931E8875 & 0xFFFFFFFF
+        v = v * n32(const)
+        return v ^ (v >> shift)
+
+    zero = np.zeros(len(raw), n32)
+    pool = [mixed(v) for v in ((raw & _LOW).astype(n32), (raw >> np.uint64(32)).astype(n32), zero, zero)]
+    for src in range(4):
+        for dst in range(4):
+            if src != dst:
+                v = pool[dst] * n32(0xCA01F9DD) - mixed(pool[src]) * n32(0x4973F715)
+                pool[dst] = v ^ (v >> shift)
+    words, const = [], 0x8B51F9DD
+    for i in range(8):
+        v = pool[i % 4] ^ n32(const)
+        const = const * 0x58F38DED & 0xFFFFFFFF
+        v = v * n32(const)
+        words.append((v ^ (v >> shift)).astype(np.uint64))
+    hi, lo, inc_hi, inc_lo = (words[i] | (words[i + 1] << np.uint64(32)) for i in (0, 2, 4, 6))
+    inc = (inc_hi << np.uint64(1)) | (inc_lo >> np.uint64(63)), (inc_lo << np.uint64(1)) | np.uint64(1)
+    low = lo + inc[1]
+    return _step(hi + inc[0] + (low < lo), low, *inc), inc
+
+
 def gini_split(h: np.ndarray, order: np.ndarray, tried: int) -> tuple[int, int] | None:
     """(feature, bin) of the largest weighted purity from [features, bins, classes + rows]: the
     first ``tried`` features of the order that can split at all; ties to the first of them, then
@@ -605,90 +695,224 @@ def gini_split(h: np.ndarray, order: np.ndarray, tried: int) -> tuple[int, int]
     return best and best[1:]
 
 
-def node_histogram(x: np.ndarray, y: np.ndarray, w: np.ndarray, n_classes: int) -> np.ndarray:
-    """[features, bins, classes + rows] of one node's rows."""
-    n_features = x.shape[1]
-    h = np.zeros((n_features, MAX_BINS, n_classes + 1))
-    for f in range(n_features):
-        at = x[:, f].astype(np.int64)
-        h[f, :, :-1] = np.bincount(at * n_classes + y, w, MAX_BINS * n_classes).reshape(MAX_BINS, n_classes)
-        h[f, :, -1] = np.bincount(at, minlength=MAX_BINS)
+def best_cuts(x, draws, rows, node, total_, weight, order, tried: int) -> tuple[np.ndarray, np.ndarray]:
+    """``gini_split`` of many nodes at once, from the cells themselves: (feature or -1, bin) of each. ``rows``
+    are the nodes' cells, ``node`` whose they are, ``total_`` the nodes' draws by class."""
+    n = len(total_)
+    score, feature, cut, seen = np.full(n, -np.inf), np.full(n, -1, np.int32), np.zeros(n, np.uint8), np.zeros(n, np.int64)
+    for j in range(x.shape[1]):
+        want = seen < tried
+        if not want.any():
+            break
+        r, k = rows, node
+        if not want.all():
+            on = want[node]
+            r, k = rows[on], node[on]
+        both = np.sort((((k << 8) | x[r, order[k, j]]) << 32) | r)  # by node, then bin
+        key = both >> 32
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key = key[head]
+        sums = np.add.reduceat(draws[both & 0xFFFFFFFF], head, axis=0)
+        k = key >> 8
+        lead = np.append(True, k[1:] != k[:-1])
+        can = np.flatnonzero(~np.append(lead[1:], True))  # all but a node's last bin
+        if not len(can):
+            continue
+        left = np.cumsum(sums, axis=0)
+        left = (left - (left - sums)[np.flatnonzero(lead)][np.cumsum(lead) - 1])[can]
+        k = k[can]
+        right = (total_[k] - left) * weight
+        left *= weight
+        got = (left**2).sum(axis=1) / left.sum(axis=1) + (right**2).sum(axis=1) / right.sum(axis=1)
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        top = np.maximum.reduceat(got, first)
+        near = np.flatnonzero(got >= np.repeat(top * (1 - 1e-10), np.diff(np.append(first, len(k)))))
+        near = near[np.append(True, k[near[1:]] != k[near[:-1]])]  # a node's lowest bin
+        nodes = k[near]
+        seen[nodes] += 1
+        better = got[near] > score[nodes] * (1 + 1e-10)
+        near, nodes = near[better], nodes[better]
+        score[nodes], feature[nodes], cut[nodes] = got[near], order[nodes, j], key[can[near]] & 0xFF
+    return feature, cut
+
+
+def grow_cells(x: np.ndarray, draws: np.ndarray, weight: np.ndarray, path: str, seed: int, number: int) -> Packed:
+    """The whole subtree of a node from its cells: distinct rows of bins and their draws by class. All
+    nodes of a level are split at once, so a node costs no step of its own."""
+    tried = max(1, int(np.sqrt(x.shape[1])))
+    rows, size, paths = np.arange(len(x)), np.array([len(x)]), [path.encode()]
+    levels, made = [], 1
+    while len(size):
+        sums = np.add.reduceat(draws[rows], np.cumsum(size) - size, axis=0)
+        share = sums * weight
+        value = share / share.sum(axis=1, keepdims=True)
+        feature, cut, left = np.full(len(size), -1, np.int32), np.zeros(len(size), np.uint8), np.full(len(size), -1, np.int32)
+        levels.append((feature, cut, left, value))
+        mixed = (np.count_nonzero(share, axis=1) > 1) & (size > 1)
+        open_ = np.flatnonzero(mixed)
+        if not len(open_):
+            break
+        rows = rows[np.repeat(mixed, size)]
+        node = np.repeat(np.arange(len(open_)), size[open_])
+        order = feature_orders(seed, number, [paths[i] for i in open_.tolist()], x.shape[1])
+        f, c = best_cuts(x, draws, rows, node, sums[open_], weight, order, tried)
+        cuts = np.flatnonzero(f >= 0)
+        at = open_[cuts]
+        feature[at], cut[at], left[at] = f[cuts], c[cuts], made + 2 * np.arange(len(cuts))
+        made += 2 * len(cuts)
+        if len(cuts) < len(f):
+            rows, node = rows[f[node] >= 0], (np.cumsum(f >= 0) - 1)[node[f[node] >= 0]]
+            f, c = f[cuts], c[cuts]
+        kid = 2 * node + (x[rows, f[node]] > c[node])
+        rows = np.sort((kid << 32) | rows) & 0xFFFFFFFF
+        size = np.bincount(kid, minlength=2 * len(cuts))
+        paths = [paths[i] + turn for i in at.tolist() for turn in (b"L", b"R")]
+    return Packed.made(*(np.concatenate(c) for c in zip(*levels)))
+
+
+def distinct_rows(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a matrix of doubles and which of them each row is."""
+    words = np.ascontiguousarray(value + 0.0).view("<u8").reshape(len(value), -1)
+    _, first, kind = np.unique(_row_hash(words), return_index=True, return_inverse=True)
+    if not (words[first][kind] == words).all():
+        _, first, kind = np.unique(words, axis=0, return_index=True, return_inverse=True)
+    return value[first], kind.reshape(-1).astype(np.int32)
+
+
+def _row_hash(words: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(words), np.uint64)
+    for c in range(words.shape[1]):
+        h = (h ^ words[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
     return h
 
 
-def sorted_split(x: np.ndarray, shares: np.ndarray, order: np.ndarray, tried: int) -> tuple[int, int] | None:
-    """``gini_split`` of a node of few rows from the rows themselves: ``shares`` holds a row's weight
-    in the column of its class."""
-    best, seen, whole = None, 0, shares.sum(axis=0)
-    for f in order.tolist():
-        o = np.argsort(x[:, f], kind="stable")
-        v = x[o, f]
-        at = np.flatnonzero(v[1:] != v[:-1])
-        if not len(at):
-            continue
-        a = np.cumsum(shares[o], axis=0)[at]
-        b = whole - a
-        score = (a**2).sum(axis=1) / a.sum(axis=1) + (b**2).sum(axis=1) / b.sum(axis=1)
-        i = int(np.argmax(score >= score.max() * (1 - 1e-10)))
-        if best is None or score[i] > best[0] * (1 + 1e-10):
-            best = (float(score[i]), f, int(v[at[i]]))
-        seen += 1
-        if seen == tried:
-            break
-    return best and best[1:]
+def same_cells(x: np.ndarray, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows, where in it other bins (or another label) begin, and the rows' hashes. Equal
+    rows whose hashes meet another row's may begin twice; different rows are never joined."""
+    n, wide = x.shape
+    words = np.zeros((n, -(-(wide + 4) // 8) * 8), np.uint8)
+    words[:, 4:4 + wide] = x
+    if y is not None:
+        words[:, :4] = y.astype("<i4").reshape(n, 1).view(np.uint8)
+    words = words.view("<u8")
+    h = _row_hash(words)
+    order = np.argsort(h)
+    new = np.ones(n, bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    return order, np.flatnonzero(new), h
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    top = int(counts.max()) if counts.size else 0
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<i8")
+
+
+def _widened(raw: bytes, n: int) -> np.ndarray:
+    """``n`` counts as ``_narrow`` made them."""
+    return np.frombuffer(raw, {1: "<u1", 2: "<u2", 8: "<i8"}[len(raw) // n])
+
+
+def _batch(found: list[tuple], names: str) -> pa.RecordBatch:
+    """Rows of a schema of long, int and binary columns."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    cols = list(zip(*found)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields)], names=[f for f, _ in fields])
+
+
+CELLS = "n long, bins binary, label binary, draws binary"
+
+
+def forest_cells(known: DataFrame, n_rows: int, n_features: int, params: ForestParams) -> DataFrame:
+    """Blocks of cells, written. Rows of equal bins and label go the same way in every tree: they are one cell
+    with its draws, how often each bootstrap holds it. A block has n cells: bins [n, features],
+    labels and draws [trees, n].
+
+    Tasks combine the rows they scan; pieces meet by the hash of their content, a common cell once a
+    piece. A table of few rows is not worth the exchange."""
+    trees, seed = range(params.trees), params.seed
+    wide = n_features + 4 + params.trees
+    buckets = max(1, -(-n_rows * wide // CELL_BYTES))
+    some = max(1, 4 * CELL_BYTES // (wide + 8 * params.trees))
+
+    def packed(x, y, draws):
+        return len(y), x.tobytes(), y.astype("<i4").tobytes(), _narrow(draws).tobytes()
+
+    def pieces_of(held):
+        x = np.concatenate([_matrix(b.column(2), n_features) for b in held])
+        rid, y = (np.concatenate([np.asarray(b.column(i)) for b in held]) for i in (0, 1))
+        order, first, h = same_cells(x, y)
+        draws = np.stack([np.add.reduceat(bootstrap_counts(rid, t, seed)[order], first) for t in trees])
+        keep = order[first]
+        x, y, to = x[keep], y[keep], ((h[keep] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        place = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.append(True, to[place][1:] != to[place][:-1])).tolist()
+        for lo, hi in zip(cut, [*cut[1:], len(place)]):
+            at = place[lo:hi]
+            yield int(to[at[0]]), *packed(x[at], y[at], draws[:, at])
+
+    def scan(batches):
+        held = []
+        for b in batches:
+            for lo in range(0, len(b), some):
+                held.append(b.slice(lo, some))
+                if sum(map(len, held)) >= some:
+                    yield _batch([*pieces_of(held)], f"bucket long, {CELLS}")
+                    held = []
+        if held:
+            yield _batch([*pieces_of(held)], f"bucket long, {CELLS}")
 
+    def merge(t: pa.Table) -> pa.Table:
+        parts = [_cell_arrays(*r, n_features, params.trees) for r in zip(*(t.column(c).to_pylist() for c in ("n", "bins", "label", "draws")))]
+        x, y = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order, first, _ = same_cells(x, y)
+        draws = np.stack([np.add.reduceat(np.concatenate([p[2][i] for p in parts])[order], first, dtype=np.int64) for i in trees])
+        return pa.Table.from_batches([_batch([packed(x[order[first]], y[order[first]], draws)], CELLS)])
 
-def grow_local(tree: Tree, node: int, path: str, x, y, w, n_classes: int, seed: int, number: int) -> None:
-    """Finish the subtree of one node with all its rows."""
-    tried = max(1, int(np.sqrt(x.shape[1])))
-    shares = np.zeros((len(y), n_classes))
-    shares[np.arange(len(y)), y] = w
-    stack = [(node, path, np.arange(len(y)))]
-    while stack:
-        node, path, at = stack.pop()
-        share = shares[at].sum(axis=0)
-        tree.value[node] = share / share.sum()
-        if np.count_nonzero(share) < 2:
-            continue
-        order = feature_order(seed, number, path, x.shape[1])
-        if len(at) < SMALL_ROWS:
-            got = sorted_split(x[at], shares[at], order, tried)
-        else:
-            got = gini_split(node_histogram(x[at], y[at], w[at], n_classes), order, tried)
-        if got is None:
-            continue
-        low = x[at, got[0]] <= got[1]
-        left, right = tree.split(node, *got)
-        stack += [(left, path + "L", at[low]), (right, path + "R", at[~low])]
+    got = known.select("rid", "label_id", "bins").mapInArrow(scan, f"bucket long, {CELLS}")
+    if n_rows < SMALL_ROWS:
+        return materialize(got.drop("bucket"), "forest-cells")
+    return materialize(got.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, CELLS), "forest-cells")
 
 
-def fit_forest(rows: DataFrame, n_features: int, n_classes: int, params: ForestParams = ForestParams(), local_rows: int = LOCAL_ROWS) -> DataFrame:
+def _cell_arrays(n: int, bins: bytes, label: bytes, draws: bytes, n_features: int, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins [n, features], labels, draws [trees, n]) of a block."""
+    return np.frombuffer(bins, np.uint8).reshape(n, n_features), np.frombuffer(label, "<i4"), _widened(draws, n * trees).reshape(trees, n)
+
+
+def fit_forest(rows: DataFrame, n_features: int, n_classes: int, params: ForestParams = ForestParams(), local_rows: int | None = None) -> DataFrame:
     """(tree, bytes, nodes): the pickled trees of a forest over ``binned`` rows with label_id, written.
 
-    Nodes of more than ``local_rows`` rows are split by histograms, all trees' together; then the
-    rows of each remaining node meet in one task, which finishes its subtree. Rows whose label is
-    NULL or outside the classes take no part.
+    Trees grow from cells (``forest_cells``). Nodes of more than ``local_rows`` cells (as many as a task
+    can hold, unless given) are split by histograms, all trees' together; then the cells of each
+    remaining node meet in one task, which finishes its subtree. Rows whose label is NULL or outside
+    the classes take no part.
     """
     import pickle
 
+    local_rows = max(1, SUBTREE_BYTES // (n_features + 16 * n_classes + 100)) if local_rows is None else local_rows
     known = rows.where((F.col("label_id") >= 0) & (F.col("label_id") < n_classes))
-    parts = 1 + (known.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0)
     seed, numbers = params.seed, list(range(params.trees))
+    cells = forest_cells(known, known.count(), n_features, params)
+    parts = max(1, cells.rdd.getNumPartitions())
+
+    def blocks(batches):
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                yield _cell_arrays(*r, n_features, params.trees)
 
     def counts(batches):
         out = np.zeros((params.trees, n_classes, 2))
-        for b in batches:
-            rid, y = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
+        for _, y, draws in blocks(batches):
             for t in numbers:
-                k = bootstrap_counts(rid, t, seed)
-                out[t, :, 0] += np.bincount(y, k, n_classes)
-                out[t, :, 1] += np.bincount(y, k > 0, n_classes)
-        got = pieces(out)
+                out[t, :, 0] += np.bincount(y, draws[t], n_classes)
+                out[t, :, 1] += np.bincount(y, draws[t] > 0, n_classes)
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(got), pa.int64()), pa.array([i for i, _ in got], pa.int64()), pa.array([v for _, v in got], pa.binary())],
-                                         names=["part", "piece", "v"])
+        yield _batch([(part, i, v) for i, v in pieces(out)], "part long, piece long, v binary")
 
-    drawn = total(known.select("rid", "label_id").mapInArrow(counts, "part long, piece long, v binary"), params.trees * n_classes * 2, parts).reshape(params.trees, n_classes, 2)
+    drawn = total(cells.mapInArrow(counts, "part long, piece long, v binary"), params.trees * n_classes * 2, parts).reshape(params.trees, n_classes, 2)
     present = (drawn[:, :, 0] > 0).sum(axis=1, keepdims=True)
     weight = np.where(drawn[:, :, 0] > 0, drawn[:, :, 0].sum(axis=1, keepdims=True) / (np.maximum(present, 1) * np.maximum(drawn[:, :, 0], 1)), 0.0)
     if not params.balanced:
@@ -698,7 +922,7 @@ def fit_forest(rows: DataFrame, n_features: int, n_classes: int, params: ForestP
     for t in numbers:
         share = drawn[t, :, 0] * weight[t]
         tops[t].value[0] = share / share.sum() if share.sum() else np.full(n_classes, 1.0 / n_classes)
-    # (tree, node) -> path; nodes of many rows of several classes
+    # (tree, node) -> path; nodes of many cells of several classes
     big = {(t, 0): "" for t in numbers if drawn[t, :, 1].sum() > local_rows and np.count_nonzero(drawn[t, :, 1]) > 1}
     small = {(t, 0): "" for t in numbers if (t, 0) not in big and np.count_nonzero(drawn[t, :, 1]) > 1}
     room = max(1, HISTOGRAM_BYTES // (n_features * MAX_BINS * (n_classes + 1) * 8))
@@ -712,15 +936,14 @@ def fit_forest(rows: DataFrame, n_features: int, n_classes: int, params: ForestP
                 slot_of[t][node] = i
 
             def stats(b, slot_of=slot_of):
-                col = lambda c: b.column(b.schema.get_field_index(c))
-                x, rid, y = _matrix(col("bins"), n_features), np.asarray(col("rid")), np.asarray(col("label_id")).astype(np.int64)
-                one = np.eye(n_classes)[y]
-                for t, slots in slot_of.items():
-                    k = bootstrap_counts(rid, t, seed)
-                    slot = np.where(k > 0, slots[tops[t].node_of(x)], -1)
-                    yield slot, x, np.concatenate([one * (k * weight[t][y])[:, None], np.ones((len(y), 1))], axis=1)
-
-            h = histograms(known, len(some), n_features, n_classes + 1, parts, stats)
+                for x, y, draws in blocks([b]):
+                    one = np.eye(n_classes)[y]
+                    for t, slots in slot_of.items():
+                        k = draws[t]
+                        slot = np.where(k > 0, slots[tops[t].node_of(x)], -1)
+                        yield slot, x, np.concatenate([one * (k * weight[t][y])[:, None], np.ones((len(y), 1))], axis=1)
+
+            h = histograms(cells, len(some), n_features, n_classes + 1, parts, stats)
             found += [(key, path, h[i], gini_split(h[i], feature_order(seed, key[0], path, n_features), tried)) for i, (key, path) in enumerate(some)]
         for (t, node), path, h, got in found:
             if got is None:
@@ -733,31 +956,36 @@ def fit_forest(rows: DataFrame, n_features: int, n_classes: int, params: ForestP
                 if np.count_nonzero(share > 1e-9 * share.sum()) > 1:
                     (big if s[-1] > local_rows else small)[t, kid] = path + turn
 
+    dealt_as = "tree int, node long, n long, bins binary, label binary, draws binary"
+
     def deal(batches):
-        """Every row once a bootstrap that holds it, with the node where its subtree starts."""
+        """Every cell once a bootstrap that holds it, with the node where its subtree starts."""
         mine: dict[int, list[int]] = {}
         for t, node in small:
             mine.setdefault(t, []).append(node)
-        for b in batches:
-            col = lambda c: b.column(b.schema.get_field_index(c))
-            x, rid = _matrix(col("bins"), n_features), np.asarray(col("rid"))
+        for x, y, draws in blocks(batches):
             for t, nodes in mine.items():
                 at = tops[t].node_of(x)
-                k = bootstrap_counts(rid, t, seed)
-                on = np.flatnonzero((k > 0) & np.isin(at, nodes))
-                if len(on):
-                    take = pa.array(on)
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(on), pa.int32()), pa.array(at[on]), pa.array(rid[on]), col("label_id").take(take).cast(pa.int32()),
-                                                      pa.array(k[on], pa.int32()), col("bins").take(take)], names=["tree", "node", "rid", "y", "k", "bins"])
+                on = np.flatnonzero((draws[t] > 0) & np.isin(at, nodes))
+                on = on[np.argsort(at[on], kind="stable")]
+                at = at[on]
+                cut = np.flatnonzero(np.append(len(at) > 0, at[1:] != at[:-1])).tolist()
+                found = [(t, int(at[lo]), hi - lo, x[on[lo:hi]].tobytes(), y[on[lo:hi]].tobytes(), _narrow(draws[t][on[lo:hi]]).tobytes())
+                         for lo, hi in zip(cut, [*cut[1:], len(at)])]
+                if found:
+                    yield _batch(found, dealt_as)
 
     def finish(t: pa.Table) -> pa.Table:
         number, node = t.column("tree")[0].as_py(), t.column("node")[0].as_py()
-        order = np.argsort(np.asarray(t.column("rid")))
-        y = np.asarray(t.column("y")).astype(np.int64)[order]
-        x = _matrix(t.column("bins"), n_features)[order]
-        sub = Tree()
-        grow_local(sub, 0, small[number, node], x, y, np.asarray(t.column("k"))[order] * weight[number][y], n_classes, seed, number)
-        return pa.table({"tree": pa.array([number], pa.int32()), "node": pa.array([node], pa.int64()), "sub": pa.array([pickle.dumps(Packed.of(sub))], pa.binary())})
+        x = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, n_features)
+        y = np.frombuffer(b"".join(t.column("label").to_pylist()), "<i4")
+        k = np.concatenate([_widened(raw, n) for raw, n in zip(t.column("draws").to_pylist(), t.column("n").to_pylist())])
+        order, first, _ = same_cells(x)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        draws = np.bincount(of * n_classes + y, k, len(first) * n_classes).reshape(-1, n_classes)
+        sub = grow_cells(x[order[first]], draws, weight[number], small[number, node], seed, number)
+        return pa.Table.from_batches([_batch([(number, node, pickle.dumps(sub))], "tree int, node long, sub binary")])
 
     def join(t: pa.Table) -> pa.Table:
         number = t.column("tree")[0].as_py()
@@ -767,12 +995,14 @@ def fit_forest(rows: DataFrame, n_features: int, n_classes: int, params: ForestP
         return pa.table({"tree": pa.array([number], pa.int32()), "model": pa.array([raw], pa.binary()), "size": pa.array([len(raw)], pa.int64()),
                          "nodes": pa.array([len(whole.feature)], pa.int64())})
 
-    # a number of tasks by the rows to grow trees from: few bytes of rows are much work
+    # a number of tasks by the cells to grow trees from: few bytes of cells are much work
     tasks = max(1, min(len(small), int(drawn[:, :, 1].sum()) // SUBTREE_ROWS))
-    dealt = known.mapInArrow(deal, "tree int, node long, rid long, y int, k int, bins binary").repartition(tasks, "tree", "node")
+    dealt = cells.mapInArrow(deal, dealt_as).repartition(tasks, "tree", "node")
     subs = dealt.groupBy("tree", "node").applyInArrow(finish, "tree int, node long, sub binary")
     every = known.sparkSession.range(params.trees).select(F.col("id").cast("int").alias("tree"), F.lit(-1).cast("long").alias("node"), F.lit(None).cast("binary").alias("sub"))
-    return materialize(subs.unionByName(every).groupBy("tree").applyInArrow(join, "tree int, model binary, size long, nodes long"), "forest")
+    forest = materialize(subs.unionByName(every).groupBy("tree").applyInArrow(join, "tree int, model binary, size long, nodes long"), "forest")
+    discard(cells)
+    return forest
 
 
 def predict_forest(rows: DataFrame, forest: DataFrame, edges: list[np.ndarray], n_classes: int, features: str = "features") -> DataFrame:

@@ -263,3 +263,51 @@ def test_subtrees_in_their_places():
     got = TR.Packed.of(tree).grafted(sorted(subs.items()))
     x = np.array([[5, 1], [5, 2], [6, 2], [6, 3]], np.uint8)
     assert got.share_of(x).tolist() == [[1.0, 0.0], [0.25, 0.75]] * 2 and len(got.shares) == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 64])
+def test_feature_orders_of_many_nodes(n):
+    """The generator's permutations, for all nodes at once."""
+    rng = np.random.default_rng(n)
+    paths = ["".join(rng.choice(["L", "R"], int(k))) for k in rng.integers(0, 40, 500)]
+    got = TR.feature_orders(42, 5, [p.encode() for p in paths], n)
+    assert got.tolist() == [TR.feature_order(42, 5, p, n).tolist() for p in paths]
+
+
+@pytest.mark.parametrize("small_rows,cell_bytes,local_rows", [(0, 8 << 20, None), (0, 4_000, None), (0, 4_000, 30), (10_000, 1_000, None)])
+def test_forest_of_repeated_rows(spark, small_rows, cell_bytes, local_rows, monkeypatch):
+    """A row that occurs often is one cell with the draws of all its copies, and the trees are those of the rows."""
+    monkeypatch.setattr(TR, "SMALL_ROWS", small_rows)
+    monkeypatch.setattr(TR, "CELL_BYTES", cell_bytes)
+    rng = np.random.default_rng(9)
+    some = [(int(y), [float(v) for v in x]) for x, y in zip(rng.integers(0, 12, (120, 3)), rng.integers(0, 3, 120))]
+    rows = [r for i, r in enumerate(some) for _ in range(1 + i % 20)] + [some[0]] * 400 + [(None, [1.0, 1.0, 1.0]), (7, [2.0, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "label_id int, features array<double>").repartition(5)
+    b = TR.binned(df, TR.bin_edges(df, 3))
+    p = TR.ForestParams(trees=4, seed=3)
+    x, y, rid = local(b.where("label_id between 0 and 2"))
+    draws = np.stack([TR.bootstrap_counts(rid, t, 3) for t in range(4)])
+    blocks = [TR._cell_arrays(*r, 3, 4) for r in TR.forest_cells(b.where("label_id between 0 and 2"), len(x), 3, p).collect()]
+    got: dict[tuple, np.ndarray] = {}
+    for bx, by, bd in blocks:
+        for i in range(len(by)):
+            key = (*bx[i].tolist(), int(by[i]))
+            assert small_rows or key not in got  # once, wherever its rows were
+            got[key] = got.get(key, 0) + bd[:, i].astype(int)
+    want: dict[tuple, np.ndarray] = {}
+    for i in range(len(x)):
+        key = (*x[i].tolist(), int(y[i]))
+        want[key] = want.get(key, 0) + draws[:, i]
+    assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+    trees = {r.tree: pickle.loads(bytes(r.model)) for r in TR.fit_forest(b, 3, 3, p, local_rows=local_rows).collect()}
+    for t, tree in trees.items():
+        n = np.bincount(y, draws[t], 3)
+        w, on = (n.sum() / (np.count_nonzero(n) * n))[y] * draws[t], draws[t] > 0
+        plain = plain_forest_tree(x[on], y[on], w[on], 3, 3, t)
+        assert np.allclose(tree.share_of(x), [plain(r) for r in x])
+
+
+def test_distinct_rows_of_doubles():
+    v = np.array([[0.0, 1.0], [0.5, 0.5], [-0.0, 1.0], [0.5, 0.5]])
+    rows, kind = TR.distinct_rows(v)
+    assert len(rows) == 2 and (rows[kind] == v).all()

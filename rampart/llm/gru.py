@@ -91,14 +91,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pooled(p: Params, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+def pooled(p: Params, x: np.ndarray, mask: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
     """(K, B): class probabilities summed over the positions of each window. ``x``: (T, B)
-    bytes; ``mask``: (T, B) ones where a window has text (short windows end early)."""
+    bytes; ``mask``: (T, B) ones where a window has text (short windows end early); ``known``:
+    of each byte value whether its probabilities count, else they are even."""
     fwd = _run(p, 0, x, mask, False)
     bwd = _run(p, 1, x, mask, False)
     total = np.zeros((p.out.shape[0], x.shape[1]), F32)
     for t in range(x.shape[0]):
         probs = _softmax(_logits(p, fwd[t], bwd[t]))
+        if known is not None:
+            probs[:, ~known[x[t]]] = F32(1 / len(probs))
         total += probs if mask is None else probs * mask[t]
     return total
 

@@ -25,6 +25,7 @@ class LanguageModel:
     params: Params | None = None
     sampled: dict[str, int] = field(default_factory=dict)
     floor: float = 0.0  # a lower score is that of a text in none of the languages
+    taught: np.ndarray | None = None  # of each byte value, whether the fit saw it; the others speak for no language
 
 
 def windows(buf: np.ndarray, offs: np.ndarray):
@@ -82,6 +83,7 @@ def train_language_model(docs: DataFrame, learn: str, docs_per_lang: int = 600,
         x[i, :len(b)] = np.frombuffer(b, np.uint8)
         mask[i, :len(b)] = 1
     model = LanguageModel(langs, train(x, mask, y, len(langs)), got["lang"].value_counts().to_dict())
+    model.taught = np.bincount(x[mask > 0], minlength=256) > 0
     unseen = sample[~sample["fit"]]
     model.floor = _floor(model, unseen if len(unseen) else sample)
     return model
@@ -99,7 +101,8 @@ def _floor(model: LanguageModel, sample) -> float:
 
 
 def document_probabilities(model: LanguageModel, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(documents, langs): probabilities of all positions of a text, averaged; empty texts 0."""
+    """(documents, langs): probabilities of all positions of a text, averaged; empty texts 0. Bytes that
+    the fit never saw count evenly for all languages."""
     start, size, doc = windows(buf, offs)
     total = np.zeros((len(offs) - 1, len(model.langs)))
     full = size == STEPS
@@ -108,10 +111,10 @@ def document_probabilities(model: LanguageModel, buf: np.ndarray, offs: np.ndarr
             g = group[i:i + LANES]
             at = start[g] + np.arange(STEPS)[:, None]
             if size[g[0]] == STEPS:
-                probs = pooled(model.params, buf[at])
+                probs = pooled(model.params, buf[at], known=model.taught)
             else:
                 mask = (np.arange(STEPS)[:, None] < size[g]).astype(np.float32)
-                probs = pooled(model.params, buf[np.minimum(at, len(buf) - 1)], mask)
+                probs = pooled(model.params, buf[np.minimum(at, len(buf) - 1)], mask, model.taught)
             for k in range(len(model.langs)):
                 total[:, k] += np.bincount(doc[g], probs[k], minlength=len(total))
     return total / np.maximum(np.diff(offs), 1)[:, None]
